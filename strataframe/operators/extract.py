@@ -227,7 +227,13 @@ SPATIAL_TYPES = ("BOREHOLE", "VERIFIED_COORDINATE", "COORDINATE", "MINE")
 def spatial_rows(rows: DataFrame) -> DataFrame:
     """Candidates of rows that name a type, a name and, when complete, a latitude and a longitude under their headers."""
     entry = F.transform(F.map_entries("values"), lambda e: F.struct(header_key(e["key"]).alias("k"), e["value"].alias("v")))
-    got = lambda *keys: F.coalesce(*[F.get(F.filter(entry, lambda e, k=k: e["k"] == k), F.lit(0))["v"] for k in keys])
+
+    def under(key: str) -> Column:
+        return F.get(F.filter(entry, lambda e: e["k"] == key), F.lit(0))["v"]
+
+    def got(*keys: str) -> Column:
+        return F.coalesce(*map(under, keys))
+
     out = rows.withColumns({"_type": F.upper(F.trim(F.coalesce(got("entitytype", "recordtype", "type"), F.lit("")))), "_name": F.trim(F.coalesce(got("name", "entityname", "boreholename"), F.lit(""))), "_lat": F.trim(got("latitude", "lat")), "_lon": F.trim(got("longitude", "lon", "long"))})
     out = out.where(F.col("_type").isin(*SPATIAL_TYPES) & (F.col("_name") != ""))
     lat, lon = F.col("_lat").try_cast("decimal(38,12)"), F.col("_lon").try_cast("decimal(38,12)")
