@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented Latin letters and what is left of them in ASCII; fixed values.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -25,7 +26,7 @@ def fold_ascii(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_unicode(text: pd.Series) -> pd.Series:
     """The same by compatibility decomposition, for texts beyond Latin letters."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
