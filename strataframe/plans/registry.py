@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import production, spatial, text
+from . import documents, extraction, production, publication, review, search, spatial, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (production, spatial, text)
+MODULES = (production, spatial, text, documents, search, extraction, review, publication)
 
 
 def queries() -> dict[str, Query]:
