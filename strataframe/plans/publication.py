@@ -22,14 +22,13 @@ def _pick(values, at) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
 
-_K = F.col("p_partkey")
 
 
 def _approved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with an approval, every fifth edited."""
     p = table(spark, sf_dir, "part")
-    c = p.select(_K.alias("id"), F.col("p_name").alias("raw_value"), F.col("p_name").alias("normalized_value"), F.lit("t").alias("unit"))
-    a = p.where("p_partkey % 3 = 0").select(_K.alias("id"), (_K % 7).alias("verified_by"), _K.alias("verified_seq"), F.when(_K % 5 == 0, F.create_map(F.lit("normalized_value"), F.lit("edited"))).alias("edited"))
+    c = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("raw_value"), F.col("p_name").alias("normalized_value"), F.lit("t").alias("unit"))
+    a = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("verified_by"), F.col("p_partkey").alias("verified_seq"), F.when(F.col("p_partkey") % 5 == 0, F.create_map(F.lit("normalized_value"), F.lit("edited"))).alias("edited"))
     return op.canonical_records(c, a)
 
 
@@ -38,13 +37,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(_K.alias("id"), F.col("p_type").alias("entity_type"), F.initcap("p_name").alias("name"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("entity_type"), F.initcap("p_name").alias("name"))
     known = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_type").alias("entity_type"), F.regexp_replace("p_name", " ", "").alias("entity_key")).distinct()
     return op.upsert_entities(p, known).select("entity_type", "entity_key", "created_by")
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(_K.alias("id"), F.when(_K % 2 == 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), _pick(("MINE", "UNKNOWN", "PRODUCTION", "MEASUREMENT"), _K % 8 / 2).alias("classification"), _pick(("APPROVED", "NEW", "CONFLICT"), _K % 3).alias("mapping_status"), F.lit(1).alias("verified_by"), F.when(_K % 10 == 0, 2).otherwise(1).alias("actor"), F.when(_K % 14 != 0, "VERIFIER").alias("role"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), _pick(("MINE", "UNKNOWN", "PRODUCTION", "MEASUREMENT"), F.col("p_partkey") % 8 / 2).alias("classification"), _pick(("APPROVED", "NEW", "CONFLICT"), F.col("p_partkey") % 3).alias("mapping_status"), F.lit(1).alias("verified_by"), F.when(F.col("p_partkey") % 10 == 0, 2).otherwise(1).alias("actor"), F.when(F.col("p_partkey") % 14 != 0, "VERIFIER").alias("role"))
     return op.publish_gate(p).select("id", "reason")
 
 
@@ -67,7 +66,7 @@ def bad_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(_K.alias("id"), F.when(_K % 3 != 0, F.col("p_size")).alias("value"), F.when(_K % 5 != 0, "t").alias("unit"), F.when(_K % 7 != 0, "2020").alias("period"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("value"), F.when(F.col("p_partkey") % 5 != 0, "t").alias("unit"), F.when(F.col("p_partkey") % 7 != 0, "2020").alias("period"))
     return op.publish_measurements(p).select("id", F.lit("measurement").alias("kind"), "reason").unionByName(op.publish_production(p).select("id", F.lit("production").alias("kind"), "reason"))
 
 
@@ -77,7 +76,7 @@ SELECT id, 'measurement' AS kind, CASE WHEN len(a) > 0 THEN 'MISSING ' || array_
 
 def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select(_K.alias("id"), (_K % 100).cast("string").alias("lat"), (_K % 170).cast("string").alias("lon"), _pick(("epsg:4326", "WGS 84", "EPSG:3857"), _K % 3).alias("crs"), F.when(_K % 4 != 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), F.lit("COORDINATE").alias("classification"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).cast("string").alias("lat"), (F.col("p_partkey") % 170).cast("string").alias("lon"), _pick(("epsg:4326", "WGS 84", "EPSG:3857"), F.col("p_partkey") % 3).alias("crs"), F.when(F.col("p_partkey") % 4 != 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), F.lit("COORDINATE").alias("classification"))
 
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +117,7 @@ def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 500).alias("verification_id"))
-    r = table(spark, sf_dir, "part").where("p_partkey < 400").select(_K.alias("verification_id"), (_K % 30).alias("document_id"), (_K % 60).alias("page_id"))
+    r = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("verification_id"), (F.col("p_partkey") % 30).alias("document_id"), (F.col("p_partkey") % 60).alias("page_id"))
     d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), "n_name")
     p = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("page_id"), "lang")
     return op.field_provenance(h, r, d, p).select("event_id", "n_name", "lang")
@@ -145,11 +144,11 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trusted_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.union_all({"MINE": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "PRODUCTION": table(spark, sf_dir, "part").select(_K.alias("id"), F.col("p_size").alias("value")), "BOREHOLE": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))})
+    return log.union_all({"MINE": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "PRODUCTION": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("value")), "BOREHOLE": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))})
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(_K.alias("id"), ((_K % 13) / 10.0).alias("confidence"), (F.col("p_size") - 2).alias("row_index"), (_K % 4).alias("version"), _pick(("OPEN", "CLOSED", "LOST"), _K % 3).alias("status"), F.when(_K % 3 != 0, _K).alias("mine_id"), F.when(_K % 5 == 0, _K).alias("project_id"), (_K % 20).alias("period_start"), (_K % 21).alias("period_end"), (_K % 9 - 1).alias("top"), (_K % 11).alias("bottom"), F.col("p_size").alias("depth"), F.when(_K % 50 == 0, float("nan")).otherwise(1.0).alias("value"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 13) / 10.0).alias("confidence"), (F.col("p_size") - 2).alias("row_index"), (F.col("p_partkey") % 4).alias("version"), _pick(("OPEN", "CLOSED", "LOST"), F.col("p_partkey") % 3).alias("status"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey")).alias("mine_id"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey")).alias("project_id"), (F.col("p_partkey") % 20).alias("period_start"), (F.col("p_partkey") % 21).alias("period_end"), (F.col("p_partkey") % 9 - 1).alias("top"), (F.col("p_partkey") % 11).alias("bottom"), F.col("p_size").alias("depth"), F.when(F.col("p_partkey") % 50 == 0, float("nan")).otherwise(1.0).alias("value"))
     rules = [quality.confidence(), quality.nonnegative("row_index"), quality.positive("version"), quality.one_of("status", ("OPEN", "CLOSED")), *quality.production(), *quality.geology()]
     unique = quality.duplicates(table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), "lineitem", ["l_orderkey", "l_linenumber"])
     return quality.quality_report([quality.violations(p, "part", "id", rules), unique]).select("table", "rule", "key", "severity")
