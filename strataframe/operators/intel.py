@@ -9,6 +9,15 @@ from pyspark.sql.window import Window
 from ..functions.text import terms
 
 
+def intelligence_input(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Indexed chunks with the number of their page, or where the page is unknown the number in their metadata.
+
+    ``chunks (chunk_id, page_id, is_indexed, metadata)``, ``pages (page_id, page_number)``.
+    """
+    joined = chunks.where("is_indexed").join(pages, "page_id", "left")
+    return joined.withColumn("page_number", F.coalesce("page_number", F.get_json_object("metadata", "$.page_number").try_cast("int")))
+
+
 def chunk_terms(chunks: DataFrame, text: str = "text") -> DataFrame:
     """``(document_id, page_id, chunk_id, term, n)``: terms of every chunk, counted."""
     own = chunks.select("document_id", "page_id", "chunk_id", F.explode(terms(F.col(text))).alias("term"))

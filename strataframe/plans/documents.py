@@ -9,6 +9,7 @@ from ..operators import chunk as op
 from ..operators.paging import order_pages
 from ..sources import ingest, sinks
 from ..sources.views import table
+from ..streaming.tables import folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +211,66 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.new_rows(e.where("id % 2 = 0").unionByName(e.where("id % 4 = 0")), e.where("id % 3 = 0"))
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as text spans of lines of blocks of pages."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    spans = p.select((k % 50).alias("page_id"), (k % 7).alias("block_index"), (k % 3).alias("line_index"), k.alias("span_index"), k.alias("id"), F.col("p_name").alias("text"))
+    return op.span_blocks(spans).select("page_id", "block_index", "text", F.size("source_unit_ids").alias("n_spans"))
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: every third has contents, every fifth a table row."""
+    d = documents(spark, sf_dir)
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8").alias("document_version_id"), F.col("doc_id").alias("page_number"), "text")
+    contents = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("id"), F.lit("content").alias("text"))
+    rows = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("table_id"), F.lit("row").alias("text"))
+    out = op.page_chunks(pages, contents, rows, 40_000, 0)
+    return out.select("page_id", "source_unit_type", "ordinal", "character_count")
+
+
+def intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.intel import intelligence_input
+
+    d = documents(spark, sf_dir)
+    c = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 40).alias("page_id"), (F.col("doc_id") % 7 != 0).alias("is_indexed"), F.concat(F.lit('{"page_number": '), F.col("doc_id") % 9 + 1, F.lit("}")).alias("metadata"))
+    pages = d.where("doc_id < 30").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") + 100).cast("int").alias("page_number"))
+    return intelligence_input(c, pages).select("chunk_id", "page_number")
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions written, then those of one written anew with fewer rows."""
+    at = folder(spark)
+    d = documents(spark, sf_dir).select("doc_id", F.col("source").alias("document_version_id"))
+    ingest.write_pages(d, at)
+    ingest.write_pages(d.where("document_version_id = 'src1' AND doc_id % 40 = 1"), at)
+    return spark.read.parquet(at).select("doc_id", F.col("document_version_id").cast("string").alias("document_version_id"))
+
+
+def appended_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log, then by id so that a repeat adds nothing."""
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
+    sinks.append_only(e.where("id % 2 = 0"), at)
+    for _ in range(2):
+        sinks.append_new(e, at)
+    return spark.read.parquet(at)
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark)
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("report_id")).agg(F.count(F.lit(1)).alias("n_items"))
+    sinks.write_report(o, at)
+    return spark.read.schema("title string, n_items long, report_id string").json(at)
+
+
 QUERIES = {
+    "a06_rewritten_versions": (rewritten, "SELECT doc_id, source AS document_version_id FROM documents WHERE source <> 'src1' OR doc_id % 40 = 1"),
+    "b02_written_report": (reported, "SELECT o_orderpriority AS title, o_orderstatus AS report_id, count(*) AS n_items FROM orders GROUP BY 1, 2"),
+    "b05_append_only": (appended_twice, "SELECT event_id AS id, event_type FROM events"),
+    "d06_intelligence_input": (intelligence, "SELECT doc_id AS chunk_id, (CASE WHEN doc_id % 40 < 30 AND doc_id % 40 IN (SELECT doc_id FROM documents) THEN doc_id % 40 + 100 ELSE doc_id % 9 + 1 END)::INTEGER AS page_number FROM documents WHERE doc_id % 7 <> 0"),
+    "f02_span_blocks": (blocks, "SELECT page_id, block_index, string_agg(line, chr(10) ORDER BY l) AS text, sum(n)::INTEGER AS n_spans FROM (SELECT p_partkey % 50 AS page_id, p_partkey % 7 AS block_index, p_partkey % 3 AS l, string_agg(p_name, '' ORDER BY p_partkey) AS line, count(*) AS n FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2"),
+    "f04_page_chunks": (paged, r"WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS clean FROM documents) SELECT doc_id AS page_id, 'PAGE' AS source_unit_type, 0 AS ordinal, length(clean) AS character_count FROM c WHERE doc_id % 3 <> 0 AND length(clean) > 0 UNION ALL SELECT doc_id, 'CONTENT', 0, 7 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'TABLE_ROW', 0, 3 FROM documents WHERE doc_id % 5 = 0"),
     "a01_admit": (admitted, _ADMITTED),
     "a03_size_gate": (gated, "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 'EMPTY' WHEN strlen(text) > 10000 THEN 'TOO_LARGE' END AS reason FROM documents"),
     "a04_exact_dedup": (deduplicated, "WITH k AS (SELECT coalesce(text, '') AS t, min(doc_id) AS k FROM documents WHERE doc_id < 100 GROUP BY 1), f AS (SELECT coalesce(text, '') AS t, min(doc_id) AS f FROM documents WHERE doc_id >= 100 GROUP BY 1) SELECT doc_id, coalesce(k, f) AS surviving_id, doc_id <> coalesce(k, f) AS duplicate FROM documents d JOIN f ON f.t = coalesce(d.text, '') LEFT JOIN k ON k.t = f.t WHERE doc_id >= 100"),
