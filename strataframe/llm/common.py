@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` written once as compressed columns in the shared folder; for tables too large for ``cut``."""
+    path = new_folder(df.sparkSession, stem)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, substrings, toxicity, wavelet
-from .common import crc_fold
+from .common import crc_fold, new_folder
 
 #: Where the public tokenizers' files are; empty: where their package says.
 VOCABULARIES = ""
@@ -39,7 +39,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as wavelet files and read back."""
-    path = wavelet.new_folder(spark, "tokens")
+    path = new_folder(spark, "tokens")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, END)
     return wavelet.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -57,7 +57,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 13-word passages."""
     out = substrings.drop_repeated_passages(table(spark, sf_dir, "documents"), window=13)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,29 +123,16 @@ SELECT page_id, host, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_removed,
 """
 
 
-def _op5(levels: int = 10) -> str:
-    """Windows as strings at 13 words; from there a class of 2n words is a pair of classes of n words."""
-    parts = [
-        r"w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents)",
-        "p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM w WHERE len(words) >= 13)",
-        "l0 AS (SELECT doc_id, at, min(doc_id) OVER g AS lo, max(doc_id) OVER g AS hi, min(doc_id * 100000 + at) OVER g AS id FROM (SELECT doc_id, at, array_to_string(words[at:at+12], ' ') AS s FROM p) WINDOW g AS (PARTITION BY s))",
-    ]
-    n = 13
-    for i in range(1, levels):
-        parts.append(f"l{i} AS (SELECT x.doc_id, x.at, min(x.doc_id) OVER g AS lo, max(x.doc_id) OVER g AS hi, min(x.doc_id * 100000 + x.at) OVER g AS id FROM (SELECT * FROM l{i - 1} WHERE lo < hi) x JOIN (SELECT * FROM l{i - 1} WHERE lo < hi) y ON x.doc_id = y.doc_id AND y.at = x.at + {n} WINDOW g AS (PARTITION BY x.id, y.id))")
-        n *= 2
-    copies = "copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents)"
-    # levels count texts, each text once
-    parts.insert(0, copies)
-    every = " UNION ALL ".join(f"SELECT doc_id, {13 * 2**i} AS n FROM l{i} JOIN copies USING (doc_id) WHERE lo < hi" for i in range(levels))
-    parts.append("covered AS (SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS at FROM l0 WHERE lo < doc_id)")
-    parts.append("gone AS (SELECT doc_id, list(at) AS gone FROM covered GROUP BY doc_id)")
-    parts.append(f"longest AS (SELECT doc_id, max(n) AS longest FROM ({every}) GROUP BY doc_id)")
-    return "WITH " + ",\n".join(parts) + """
+_OP5 = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY array_to_string(list_slice(words, pos, pos + 12), ' ')) AS first FROM p),
+covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM g WHERE first < doc_id),
+gone AS (SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
-FROM w LEFT JOIN gone USING (doc_id)"""
-
+FROM w LEFT JOIN gone USING (doc_id)
+"""
 
 _OP7 = """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -158,4 +145,4 @@ FROM v JOIN parts USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": _OP9, "op7_embedding_dedup": _OP7}
+    return {"op5_substring_dedup": _OP5, "op7_embedding_dedup": _OP7, "op9_line_dedup": _OP9}

@@ -8,7 +8,6 @@ its k-th occurrence is, each in one step a plane, without decoding the rest.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_checkpoints
 from .tokens import encoded, encoder
 
 STEP = 512
@@ -153,12 +151,6 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return [int(k) if ok else None for k, ok in zip(keys, known, strict=True)], counts, WaveletMatrix.from_bytes(raw[8 + size :])
 
 
-def new_folder(spark: SparkSession, stem: str) -> str:
-    """A new folder name in the shared checkpoint folder."""
-    shared_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
-
-
 def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str = "doc_id", text: str = "text", tokens_per_file: int = 1 << 18, blanks_matter: bool = False, levels: int = 16) -> None:
     """Encode every text, end it with ``end``, and write files of about ``tokens_per_file`` ids under ``path``.
 
