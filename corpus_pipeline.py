@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import decontaminate, language, lines, packing, queries, simhash, wavelet
+from strataframe.llm import decontaminate, language, lines, packing, queries, simhash
+from strataframe.llm.common import new_folder
 
 #: A language has to be likelier than all others together.
 LEAST_SCORE = 0.5
-#: 256 bits of which 38 may differ: texts whose five-word shingles overlap by 0.8 of their union differ in 38.7 on average.
-WORDS, RADIUS, PROBE = 4, 38, 11
+#: 256 bits of which 42 may differ: texts whose five-word shingles overlap by 0.8 of their union differ in 38.7 on average.
+WORDS, RADIUS, PROBE = 4, 42, 11
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are kept in the shared folder for the next."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = wavelet.new_folder(spark, name)
+        path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
