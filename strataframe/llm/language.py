@@ -149,14 +149,14 @@ class Scorer:
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 1000, chars: int = 1200) -> ByteNet:
     """Train on about ``per_label`` rows of each label, the ones with the smallest key hashes, ``chars`` characters of each.
 
-    These two bounds keep what the driver holds at ``per_label * chars`` characters a label. Rows without label or text are
+    These two bounds keep what the driver holds at ``per_label * chars`` characters a label; a row for each label is broadcast. Rows without label or text are
     not used. Where in a text its characters are taken depends on the hash.
     """
     h = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11).cast("double") * 2.0**-53
     rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), h.alias("h"))
     sizes = rows.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n"))
     start = (F.col("h") * F.lit(1e6)) % F.greatest(F.length("text") - chars, F.lit(1)) + 1
-    taken = rows.join(sizes, F.col("label") == F.col("l")).where(F.col("h") * F.col("n") < per_label).select("label", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "h")
+    taken = rows.join(F.broadcast(sizes), F.col("label") == F.col("l")).where(F.col("h") * F.col("n") < per_label).select("label", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "h")
     sample = sorted((r.h, r.label, r.text) for r in taken.collect())
     return train([t for _, _, t in sample], [x for _, x, _ in sample])
 
