@@ -75,8 +75,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from three folds of four."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 4) == 2).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
-    net = toxicity.fit(docs.where(~F.col("held_out")).join(labels, F.col("doc_id") == F.col("labelled")))
+    net = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, net, spans="offending")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.col("offending.sentence").alias("offending"))
 

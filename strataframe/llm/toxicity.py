@@ -89,26 +89,43 @@ def train(texts: list[str], labels: list[int], epochs: int = 120, rate: float =
     if not texts or len(set(labels)) < 2:
         return ToxicNet(weights, bias)
     words = _Words(1 << 60)
-    at, sentence, counts = words.bags(texts)
-    table = np.array(words.rows, np.int64).reshape(-1, 3)
-    pair = np.unique(sentence * np.int64(max(len(table), 1)) + at)  # words of a sentence count once
-    sentence, cols = pair // max(len(table), 1), table[pair % max(len(table), 1)]
-    y = np.array(labels, float)
-    n, owner = int(counts.sum()), np.repeat(np.arange(len(counts)), counts)
-    of_text = np.unique((owner[sentence][:, None] * np.int64(FEATURES) + cols).ravel())
-    common = np.bincount(of_text % FEATURES, minlength=FEATURES) >= min_texts
-    place = np.where(common, np.cumsum(common), 0)  # features in use from 1 on; 0 stands for the others
-    feature = place[cols].ravel()
-    line = np.repeat(sentence, 3)[feature > 0]
-    feature = feature[feature > 0]
+    y, n, sizes, lines, found = np.array(labels, float), 0, [], [], []
+    texts_with = np.zeros(FEATURES, np.int32)
+    for lo in range(0, len(texts), 200):
+        at, sentence, counts = words.bags(texts[lo : lo + 200])
+        table = np.array(words.rows, np.int32).reshape(-1, 3)
+        pair = np.unique(sentence * np.int64(max(len(table), 1)) + at)  # words of a sentence count once
+        sentence, cols = pair // max(len(table), 1), table[pair % max(len(table), 1)]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        of_text = np.unique((owner[sentence][:, None] * np.int64(FEATURES) + cols).ravel())
+        texts_with += np.bincount(of_text % FEATURES, minlength=FEATURES).astype(np.int32)
+        lines.append(np.repeat((sentence + n).astype(np.int32), 3))
+        found.append(cols.ravel())
+        sizes.append(counts)
+        n += int(counts.sum())
+    del words
+    common = texts_with >= min_texts
+    place = np.where(common, np.cumsum(common), 0).astype(np.int32)  # features in use from 1 on; 0 stands for the others
+    for i, f in enumerate(found):
+        kept = place[f]
+        lines[i], found[i] = lines[i][kept > 0], kept[kept > 0]
+    counts = np.concatenate(sizes)
+    owner = np.repeat(np.arange(len(counts)), counts)
     w = np.zeros(int(common.sum()) + 1)
     g_w, g_b = np.full(len(w), 1e-8), 1e-8
     for _ in range(epochs):
-        z = bias + np.bincount(line, weights=w[feature], minlength=n)
+        z = np.full(n, bias)
+        for line, feature in zip(lines, found, strict=True):
+            if len(line):
+                first = int(line[0])
+                part = np.bincount(line - first, weights=w[feature])
+                z[first : first + len(part)] += part
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.clip(_noisy_or(p, counts), 1e-9, 1 - 1e-9)
         slope = np.where(y[owner] > 0, p * (1 - total[owner]) / total[owner], -p)
-        grad = np.bincount(feature, weights=slope[line], minlength=len(w)) - decay * len(texts) * w
+        grad = -decay * len(texts) * w
+        for line, feature in zip(lines, found, strict=True):
+            grad += np.bincount(feature, weights=slope[line], minlength=len(w))
         g_w += grad**2
         g_b += slope.sum() ** 2
         w += rate * grad / np.sqrt(g_w)
@@ -141,17 +158,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), counts
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 4000, chars: int = 4000) -> ToxicNet:
-    """Train on about ``per_class`` rows of each class, the ones with the smallest key hashes, ``chars`` characters of each from a place that the hash chooses.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 4000, chars: int = 4000) -> ToxicNet:
+    """Train on about ``per_class`` rows of ``docs`` of each class in ``labels (key, label)``, the ones with the smallest key hashes, ``chars`` characters of each from a place that the hash chooses.
 
-    The two bounds keep what the driver holds at ``2 * per_class * chars`` characters. Rows without label or text are not used.
+    The two bounds keep what the driver holds at ``2 * per_class * chars`` characters. The rows are chosen on keys alone,
+    and the chosen keys, ``2 * per_class`` of them, are broadcast to the texts. Rows without label or text are not used.
     """
     h = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11).cast("double") * 2.0**-53
-    rows = df.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), h.alias("h"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).distinct()
+    known = docs.where(F.length(text) > 0).select(F.col(key).alias("d")).join(marks, F.col("d") == F.col("k")).select("k", "label")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(per_class / max(sizes.get(1, 1), 1))).otherwise(F.lit(per_class / max(sizes.get(0, 1), 1)))
-    start = (F.col("h") * F.lit(1e6)) % F.greatest(F.length("text") - chars, F.lit(1)) + 1
-    taken = rows.where(F.col("h") < share).select("label", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "h")
+    hash_k = F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string")), 11).cast("double") * 2.0**-53
+    chosen = known.where(hash_k < share)
+    start = (h * F.lit(1e6)) % F.greatest(F.length(text) - chars, F.lit(1)) + 1
+    taken = docs.where(F.length(text) > 0).join(F.broadcast(chosen), F.col(key) == F.col("k")).select("label", F.substring(F.col(text), start.cast("int"), F.lit(chars)).alias("text"), h.alias("h"))
     sample = sorted((r.h, r.label, r.text) for r in taken.collect())
     return train([t for _, _, t in sample], [x for _, x, _ in sample])
 
