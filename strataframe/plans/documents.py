@@ -65,7 +65,7 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    return d.select("doc_id", ingest.needs_ocr(F.substring("text", 1, 22)).alias("needed"))
+    return d.select("doc_id", ingest.needs_ocr(F.col("text"), 120).alias("needed"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables: a header row and a row for each different line number, three columns."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
     body = l.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row_index"), F.posexplode(F.array(F.concat(F.lit("line "), "l_linenumber"), F.col("p").cast("string"), F.col("q").cast("string"))).alias("column_index", "raw_value"))
     head = l.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row_index"), F.posexplode(F.array(F.lit("Item"), F.lit(""), F.lit("Output (tonnes)"))).alias("column_index", "raw_value"))
     return head.unionByName(body).withColumns({"normalized_value": F.lit(None).cast("string"), "table_order": (F.col("table_id") % 5 + 1).cast("int")})
@@ -105,7 +105,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.grid_guard(cells(spark, sf_dir), 18)
 
 
-_L = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2)"
+_L = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY 1, 2)"
 
 
 def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,18 +146,18 @@ def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each document, with vectors for some."""
     d = documents(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings")
-    own = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_version_id"), F.substring("text", 1, 200).alias("chunk"))
+    own = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_version_id"), F.col("text").alias("chunk"))
     joined = own.join(v, (F.col("chunk_id") == F.col("vec_id")) & (F.col("vec_id") % 3 != 0), "left")
     return joined.select("chunk_id", "document_version_id", "chunk", "embedding", F.col("embedding").isNotNull().alias("is_indexed"), F.when(F.col("embedding").isNotNull(), F.when(F.col("chunk_id") % 10 == 1, "old").otherwise("m1")).alias("embedding_model"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("embedding_dimension"))
 
 
-_FIRST = """f AS (SELECT doc_id AS chunk_id, source AS document_version_id, substr(text, 1, 200) AS chunk, embedding, vec_id IS NOT NULL AS is_indexed,
+_FIRST = """f AS (SELECT doc_id AS chunk_id, source AS document_version_id, text AS chunk, embedding, vec_id IS NOT NULL AS is_indexed,
   CASE WHEN vec_id IS NOT NULL THEN CASE WHEN doc_id % 10 = 1 THEN 'old' ELSE 'm1' END END AS model, len(embedding) AS dim FROM documents LEFT JOIN embeddings ON doc_id = vec_id AND vec_id % 3 <> 0)"""
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _first(spark, sf_dir).where("chunk_id % 4 <> 0")
-    new = documents(spark, sf_dir).where("doc_id % 7 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("new text")).otherwise(F.substring("text", 1, 200)).alias("chunk"))
+    new = documents(spark, sf_dir).where("doc_id % 7 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("new text")).otherwise(F.col("text")).alias("chunk"))
     return op.merge_chunks(old, new).select("chunk_id", "change", "is_indexed", F.col("embedding").isNotNull().alias("has_vector"))
 
 
@@ -275,7 +275,7 @@ QUERIES = {
     "a03_size_gate": (gated, "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 'EMPTY' WHEN strlen(text) > 10000 THEN 'TOO_LARGE' END AS reason FROM documents"),
     "a04_exact_dedup": (deduplicated, "WITH k AS (SELECT coalesce(text, '') AS t, min(doc_id) AS k FROM documents WHERE doc_id < 100 GROUP BY 1), f AS (SELECT coalesce(text, '') AS t, min(doc_id) AS f FROM documents WHERE doc_id >= 100 GROUP BY 1) SELECT doc_id, coalesce(k, f) AS surviving_id, doc_id <> coalesce(k, f) AS duplicate FROM documents d JOIN f ON f.t = coalesce(d.text, '') LEFT JOIN k ON k.t = f.t WHERE doc_id >= 100"),
     "a05_latest_version": (latest_versions, "SELECT max(o_orderkey) AS id, o_custkey AS document_id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::INTEGER AS version_number FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey) GROUP BY 2, 3"),
-    "a07_needs_ocr": (ocr_needed, r"SELECT doc_id, length(regexp_replace(substr(text, 1, 22), '\s+', '', 'g')) < 20 AS needed FROM documents"),
+    "a07_needs_ocr": (ocr_needed, r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) < 120 AS needed FROM documents"),
     "a08_ocr_lines": (lines, f"WITH {_LINES} SELECT * FROM l"),
     "a08_ocr_pages": (ocr_pages, f"WITH {_LINES} SELECT page, length(string_agg(text, chr(10))) AS n, round(round(avg(confidence), 4), 3) AS confidence FROM l GROUP BY 1"),
     "a09_page_order": (page_order, "SELECT event_id FROM events ORDER BY CASE WHEN event_id % 3 <> 0 THEN user_id END NULLS LAST, CASE WHEN event_id % 2 = 0 THEN user_id % 5 END NULLS LAST, event_id LIMIT 200"),
@@ -285,7 +285,7 @@ QUERIES = {
     "f05_chunk_ids": (identities, None),
     "f06_chunk_index": (numbered, None),
     "f07_trusted_text": (trusted, "SELECT s_suppkey AS id, 'Mine' AS entity_type, 'Mine. canonical_name: ' || s_name || CASE WHEN s_suppkey % 3 <> 0 THEN '; state: N' || s_nationkey ELSE '' END AS text, 'TRUSTED_CANONICAL_DATA' AS evidence_type FROM supplier UNION ALL SELECT p_partkey, 'Production', 'Production. commodity: ' || p_name || '; value: ' || p_size, 'TRUSTED_CANONICAL_DATA' FROM part"),
-    "f08_merge_chunks": (merged, f"WITH {_FIRST}, n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new text' ELSE substr(text, 1, 200) END AS chunk FROM documents WHERE doc_id % 7 <> 0) SELECT n.doc_id AS chunk_id, CASE WHEN f.chunk_id IS NULL THEN 'ADDED' WHEN f.chunk = n.chunk THEN 'KEPT' ELSE 'CHANGED' END AS change, coalesce(f.chunk = n.chunk AND is_indexed, false) AS is_indexed, coalesce(f.chunk = n.chunk AND embedding IS NOT NULL, false) AS has_vector FROM n LEFT JOIN (SELECT * FROM f WHERE chunk_id % 4 <> 0) f ON f.chunk_id = n.doc_id"),
+    "f08_merge_chunks": (merged, f"WITH {_FIRST}, n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new text' ELSE text END AS chunk FROM documents WHERE doc_id % 7 <> 0) SELECT n.doc_id AS chunk_id, CASE WHEN f.chunk_id IS NULL THEN 'ADDED' WHEN f.chunk = n.chunk THEN 'KEPT' ELSE 'CHANGED' END AS change, coalesce(f.chunk = n.chunk AND is_indexed, false) AS is_indexed, coalesce(f.chunk = n.chunk AND embedding IS NOT NULL, false) AS has_vector FROM n LEFT JOIN (SELECT * FROM f WHERE chunk_id % 4 <> 0) f ON f.chunk_id = n.doc_id"),
     "f08_removed_chunks": (removed, "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 = 0"),
     "c11_needs_embedding": (stale, f"WITH {_FIRST} SELECT chunk_id FROM f WHERE embedding IS NULL OR model <> 'm1' OR dim <> 64"),
     "f09_valid_vector": (valid, "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS valid FROM embeddings"),

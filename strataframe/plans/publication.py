@@ -117,9 +117,9 @@ def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 500).alias("verification_id"))
-    r = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("verification_id"), (F.col("p_partkey") % 30).alias("document_id"), (F.col("p_partkey") % 60).alias("page_id"))
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("verification_id"), (F.col("p_partkey") % 30).alias("document_id"), (F.col("p_partkey") % 60).alias("page_id"))
     d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), "n_name")
-    p = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("page_id"), "lang")
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang")
     return op.field_provenance(h, r, d, p).select("event_id", "n_name", "lang")
 
 
@@ -150,7 +150,7 @@ def trusted_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 13) / 10.0).alias("confidence"), (F.col("p_size") - 2).alias("row_index"), (F.col("p_partkey") % 4).alias("version"), _pick(("OPEN", "CLOSED", "LOST"), F.col("p_partkey") % 3).alias("status"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey")).alias("mine_id"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey")).alias("project_id"), (F.col("p_partkey") % 20).alias("period_start"), (F.col("p_partkey") % 21).alias("period_end"), (F.col("p_partkey") % 9 - 1).alias("top"), (F.col("p_partkey") % 11).alias("bottom"), F.col("p_size").alias("depth"), F.when(F.col("p_partkey") % 50 == 0, float("nan")).otherwise(1.0).alias("value"))
     rules = [quality.confidence(), quality.nonnegative("row_index"), quality.positive("version"), quality.one_of("status", ("OPEN", "CLOSED")), *quality.production(), *quality.geology()]
-    unique = quality.duplicates(table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), "lineitem", ["l_orderkey", "l_linenumber"])
+    unique = quality.duplicates(table(spark, sf_dir, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber"])
     return quality.quality_report([quality.violations(p, "part", "id", rules), unique]).select("table", "rule", "key", "severity")
 
 
@@ -158,7 +158,7 @@ _RULES = {
     "confidence_range": "p_partkey % 13 > 10", "row_index_nonnegative": "p_size < 2", "version_positive": "p_partkey % 4 = 0", "status_known": "p_partkey % 3 = 2", "entity_required": "p_partkey % 3 = 0 AND p_partkey % 5 <> 0",
     "period_order": "p_partkey % 21 < p_partkey % 20", "top_nonnegative": "p_partkey % 9 = 0", "interval_order": "p_partkey % 11 < p_partkey % 9 - 1", "depth_nonnegative": "p_size < 0", "value_finite": "p_partkey % 50 = 0",
 }
-_CHECKED = " UNION ALL ".join(f"SELECT 'part' AS \"table\", '{r}' AS rule, p_partkey::VARCHAR AS key, 'ERROR' AS severity FROM part WHERE {w}" for r, w in _RULES.items()) + " UNION ALL SELECT 'lineitem', 'unique_l_orderkey_l_linenumber', l_orderkey || '|' || l_linenumber, 'ERROR' FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"
+_CHECKED = " UNION ALL ".join(f"SELECT 'part' AS \"table\", '{r}' AS rule, p_partkey::VARCHAR AS key, 'ERROR' AS severity FROM part WHERE {w}" for r, w in _RULES.items()) + " UNION ALL SELECT 'lineitem', 'unique_l_orderkey_l_linenumber', l_orderkey || '|' || l_linenumber, 'ERROR' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ def appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _evidence(spark, sf_dir).where("topic IS NOT NULL AND report_id < 5")
+    e = _evidence(spark, sf_dir).where("topic IS NOT NULL")
     ev = e.groupBy(F.col("topic").alias("term")).agg(F.sort_array(F.collect_list(F.struct(F.col("report_id").alias("document_id"), "chunk_id"))).alias("evidence"))
     return reports.cite(ev, e.where("chunk_id % 3 <> 0").select("chunk_id", "citation_id"))
 
@@ -244,13 +244,13 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.review import ACTIONS
     e = source(spark, sf_dir, "events")
-    d = e.select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action")).where("id < 280")
+    d = e.select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"))
     return _drained(spark, jobs.stream_decisions(d))
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark)
-    c = source(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 100).alias("chunk"))
+    c = source(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
     q = jobs.stream_index(c, f"{at}/index", f"{at}/state")
     q.awaitTermination()
     last = max(p["batchId"] for p in q.recentProgress)
@@ -270,7 +270,7 @@ QUERIES = {
     "l09_value_history": (history, f"{_VALUES} SELECT entity_id, field, seq, value FROM v WHERE value = f"),
     "l10_value_conflicts": (value_conflicts, f"{_VALUES} SELECT entity_id, field, seq, f AS value_a, value AS value_b FROM v WHERE value <> f"),
     "l11_already_published": (idempotent, "SELECT p_partkey AS id, p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 2 = 1) AS published FROM part"),
-    "d14_field_provenance": (traced, "SELECT event_id, n_name, lang FROM events JOIN part ON p_partkey = event_id % 500 AND p_partkey < 400 LEFT JOIN nation ON n_nationkey = p_partkey % 30 LEFT JOIN documents ON doc_id = p_partkey % 60 AND doc_id < 50"),
+    "d14_field_provenance": (traced, "SELECT event_id, n_name, lang FROM events JOIN part ON p_partkey = event_id % 500 LEFT JOIN nation ON n_nationkey = p_partkey % 30 LEFT JOIN documents ON doc_id = p_partkey % 60"),
     "l14_data_conflicts": (data_conflicts, f"{_VALUES} SELECT seq AS conflict_id, CASE WHEN seq % 5 = 0 THEN 'RESOLVED' WHEN seq % 2 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM v WHERE value <> f"),
     "m01_audit_events": (audit, """SELECT 'AUDIT' AS source, event_id, event_type AS action, props AS detail FROM events UNION ALL SELECT 'VERIFICATION', event_id, 'CLAIM', '{"candidate_id":' || event_id || ',"previous_state":"PENDING","new_state":"IN_REVIEW"}' FROM events WHERE event_id % 4 = 0"""),
     "c18_listing": (listing, "SELECT source, event_id FROM (SELECT 'AUDIT' AS source, event_id, ts FROM events UNION ALL SELECT 'VERIFICATION', event_id, ts FROM events WHERE event_id % 4 = 0) ORDER BY ts DESC, source LIMIT 200"),
@@ -284,9 +284,9 @@ QUERIES = {
     "n06_reference_summary": (summary, _SUMMARY),
     "n07_findings": (numeric_findings, "SELECT report_id, r AS rank, v AS value, event_type AS kind FROM (SELECT user_id % 60 AS report_id, (event_id % 10)::VARCHAR AS v, event_type, row_number() OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS r FROM events) WHERE r <= 4"),
     "n08_appendix_evidence": (appendix, "SELECT report_id, position, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY tier, position) AS r FROM (SELECT user_id % 60 AS report_id, event_id AS position, CASE WHEN event_id % 2 = 0 AND row_number() OVER (PARTITION BY user_id % 60, CASE WHEN event_id % 2 = 0 THEN event_type END ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS tier FROM events)) WHERE r <= 10"),
-    "d15_citations": (cited, "SELECT event_type AS term, list('E' || CASE WHEN event_id = 77 THEN 1 ELSE event_id END ORDER BY user_id % 60, event_id) AS citations FROM events WHERE event_id % 2 = 0 AND user_id % 60 < 5 AND event_id % 3 <> 0 GROUP BY 1"),
+    "d15_citations": (cited, "SELECT event_type AS term, list('E' || CASE WHEN event_id = 77 THEN 1 ELSE event_id END ORDER BY user_id % 60, event_id) AS citations FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1"),
     "s01_stream_dedup": (stream_unique, "SELECT count(DISTINCT user_id || '|' || event_type) AS n, count(DISTINCT user_id || '|' || event_type) AS n_distinct FROM events"),
     "s02_stream_index": (stream_index, "SELECT doc_id AS chunk_id, 'ADDED' AS change, false AS is_indexed FROM documents"),
     "s03_stream_activity": (stream_activity, "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, action, n FROM w WHERE s + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"),
-    "s04_stream_decisions": (stream_states, f"WITH {review._FOLD} SELECT id, seq, action, state, outcome FROM s WHERE r > 0 AND id < 280"),
+    "s04_stream_decisions": (stream_states, f"WITH {review.FOLD_ALL} SELECT id, seq, action, state, outcome FROM s WHERE r > 0"),
 }

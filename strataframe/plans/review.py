@@ -129,7 +129,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 280").select(F.col("p_partkey").alias("id"), F.lit("PENDING").alias("verification_status"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("PENDING").alias("verification_status"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +137,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLD = """RECURSIVE d AS (SELECT user_id * 7 % 300 AS id, event_id AS seq, ['CLAIM', 'APPROVE', 'EDIT_AND_APPROVE', 'REJECT', 'MARK_UNRESOLVED'][(event_id * 31 + user_id) % 5 + 1] AS action, row_number() OVER (PARTITION BY user_id * 7 % 300 ORDER BY event_id) AS r FROM events),
-s AS (SELECT id, 0::BIGINT AS seq, '' AS action, 0::BIGINT AS r, CASE WHEN id < 280 AND id IN (SELECT p_partkey FROM part) THEN 'PENDING' END AS state, '' AS outcome FROM (SELECT DISTINCT id FROM d)
+s AS (SELECT id, 0::BIGINT AS seq, '' AS action, 0::BIGINT AS r, CASE WHEN id IN (SELECT p_partkey FROM part) THEN 'PENDING' END AS state, '' AS outcome FROM (SELECT DISTINCT id FROM d)
   UNION ALL SELECT id, seq, action, r, CASE outcome WHEN 'APPLIED' THEN CASE WHEN action = 'CLAIM' THEN 'IN_REVIEW' WHEN action LIKE '%APPROVE' THEN 'VERIFIED' WHEN action = 'REJECT' THEN 'REJECTED' ELSE 'UNRESOLVED' END ELSE state END, outcome FROM (
     SELECT d.id, d.seq, d.action, d.r, s.state, CASE WHEN s.state IS NULL THEN 'NOT_FOUND' WHEN d.action = 'CLAIM' THEN CASE WHEN s.state = 'PENDING' THEN 'APPLIED' WHEN s.state IN ('IN_REVIEW', 'VERIFIED') THEN 'NO_OP' ELSE 'ILLEGAL' END
       WHEN d.action LIKE '%APPROVE' THEN CASE WHEN s.state = 'IN_REVIEW' THEN 'APPLIED' WHEN s.state = 'VERIFIED' THEN 'NO_OP' ELSE 'ILLEGAL' END
       WHEN d.action = 'REJECT' THEN CASE WHEN s.state = 'REJECTED' THEN 'NO_OP' WHEN s.state <> 'VERIFIED' THEN 'APPLIED' ELSE 'ILLEGAL' END ELSE CASE WHEN s.state <> 'VERIFIED' THEN 'APPLIED' ELSE 'ILLEGAL' END END AS outcome
     FROM s JOIN d ON d.id = s.id AND d.r = s.r + 1))"""
 
+#: The same with every candidate known.
+FOLD_ALL = _FOLD.replace("CASE WHEN id IN (SELECT p_partkey FROM part) THEN 'PENDING' END", "'PENDING'")
+
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.current_state(starts(spark, sf_dir), op.fold_decisions(starts(spark, sf_dir), decisions(spark, sf_dir))).select("id", "verification_status")
@@ -163,8 +166,8 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 50")
-    return d.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") + 1).alias("page_number"), F.substring("text", 1, 40).alias("page_text"), F.concat(F.lit("file-"), "source").alias("document_name"))
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") + 1).alias("page_number"), F.col("text").alias("page_text"), F.concat(F.lit("file-"), "source").alias("document_name"))
 
 
 def digits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +195,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers against suppliers as known entities, by code, name, place."""
     s = table(spark, sf_dir, "supplier")
     e = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Mine Alpha "), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("canonical_name"), F.array(F.concat(F.lit("A-"), "s_suppkey")).alias("aliases"), F.concat(F.lit("C"), "s_suppkey").alias("domain_code"), F.concat(F.lit("P"), F.col("s_nationkey")).alias("parent"), (F.col("s_suppkey") / 10.0).alias("lat"), (F.col("s_suppkey") / 5.0).alias("lon"))
-    c = table(spark, sf_dir, "customer").where("c_custkey < 600")
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     name = F.when(k % 6 == 0, F.concat(F.lit("a "), k)).when(k % 6 == 1, F.concat(F.lit("MINE-ALPHA "), F.lpad(k.cast("string"), 4, "0"))).when(k % 6 == 2, "").otherwise(F.concat(F.lit("zz"), k))
     cands = c.select(k.alias("id"), name.alias("name"), F.when(k % 6 == 3, F.concat(F.lit("c"), k)).alias("code"), F.when(k % 12 == 1, "other").alias("parent"), F.when(k % 6 == 4, k / 10.0 + 0.001).alias("lat"), F.when(k % 6 == 4, k / 5.0).alias("lon"))
@@ -200,7 +203,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IDENTITY = """WITH n AS (SELECT count(*) AS n FROM supplier) SELECT c_custkey AS id, CASE WHEN k = 2 THEN 'UNRESOLVED' WHEN c_custkey >= n OR k = 5 THEN 'NEW' WHEN k = 0 THEN 'MATCHED' WHEN k = 1 THEN CASE WHEN c_custkey % 12 = 1 THEN 'CONFLICT' ELSE 'MATCHED' END ELSE 'POSSIBLE_MATCH' END AS identity_status,
-  CASE WHEN k <> 2 AND k <> 5 AND c_custkey < n THEN c_custkey END AS entity_id FROM (SELECT *, c_custkey % 6 AS k FROM customer WHERE c_custkey < 600), n WHERE c_custkey < n OR k <> 1"""
+  CASE WHEN k <> 2 AND k <> 5 AND c_custkey < n THEN c_custkey END AS entity_id FROM (SELECT *, c_custkey % 6 AS k FROM customer), n WHERE c_custkey < n OR k <> 1"""
 
 
 def identity_known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,9 +226,9 @@ QUERIES = {
     "k10_resolved_conflicts": (resolved, "SELECT event_id AS conflict_id, event_id % 2 = 0 AND event_id % 3 < 2 AS changed, CASE WHEN event_id % 2 = 0 AND event_id % 3 < 2 THEN 'ACCEPTED_AS_SOURCE_VARIATION' ELSE ['OPEN', 'UNDER_REVIEW', 'RESOLVED'][event_id % 3 + 1] END AS status FROM events"),
     "k11_status_report": (report, "SELECT 'records' AS source, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'mines', 'TOTAL', count(*) FROM supplier"),
     "l01_decisions": (events, f"WITH {_FOLD} SELECT id, seq, action, state, outcome FROM s WHERE r > 0"),
-    "l01_current_state": (state, f"WITH {_FOLD} SELECT p_partkey AS id, coalesce((SELECT arg_max(state, r) FROM s WHERE s.id = p_partkey), 'PENDING') AS verification_status FROM part WHERE p_partkey < 280"),
+    "l01_current_state": (state, f"WITH {_FOLD} SELECT p_partkey AS id, coalesce((SELECT arg_max(state, r) FROM s WHERE s.id = p_partkey), 'PENDING') AS verification_status FROM part"),
     "c04_queue_search_digits": (digits, f"WITH {_CANDS} SELECT id FROM c WHERE k % 50 = 11 OR lower(v) = '12'"),
-    "c05_queue_search_text": (words, f"{_CLASS} SELECT id FROM r JOIN documents ON doc_id = k % 50 WHERE contains(lower('text ' || p_name), 'ring') OR contains(lower(coalesce(v, '')), 'ring') OR contains(kind, 'ring') OR contains(lower(classification), 'ring') OR contains(lower('file-' || source), 'ring') OR contains(lower(substr(text, 1, 40)), 'ring')"),
+    "c05_queue_search_text": (words, f"{_CLASS} SELECT id FROM r JOIN documents ON doc_id = k % 50 WHERE contains(lower('text ' || p_name), 'ring') OR contains(lower(coalesce(v, '')), 'ring') OR contains(kind, 'ring') OR contains(lower(classification), 'ring') OR contains(lower('file-' || source), 'ring') OR contains(lower(text), 'ring')"),
     "c06_queue_filter": (queue, f"{_CLASS} SELECT id FROM r WHERE k % 4 = 0 AND classification = 'MINE' AND failed"),
     "c08_without_conflict": (unconflicted, f"{_CONFLICTS} SELECT id FROM c WHERE (kind, p_brand || '|' || (k % 30)) NOT IN (SELECT (candidate_type, semantic_key) FROM g)"),
     "d13_candidate_detail": (detail, f"{_CONFLICTS} SELECT id, n_name, k % 50 + 1 AS page_number, CASE WHEN id % 2 = 0 THEN 'NEW' END AS proposal, CASE WHEN g.semantic_key IS NULL THEN 0 ELSE 1 END AS n_conflicts FROM c LEFT JOIN nation ON n_nationkey = k % 20 LEFT JOIN g ON kind = candidate_type AND p_brand || '|' || (k % 30) = semantic_key"),

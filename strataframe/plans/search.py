@@ -91,10 +91,10 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     words = F.element_at(F.array(*map(F.lit, ("verified total", "mine in the report", "production of seam", "page text", "how many mines near", "x"))), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(words, F.lit(" "), F.substring("text", 1, 40)).alias("text"))
+    return c.select("conv_id", "turn", F.concat(words, F.lit(" "), F.col("text")).alias("text"))
 
 
-_ROUTED = "r AS (SELECT conv_id, turn, ['verified total', 'mine in the report', 'production of seam', 'page text', 'how many mines near', 'x'][(conv_id + turn) % 6 + 1] || ' ' || substr(text, 1, 40) AS text FROM conversations WHERE role = 'user')"
+_ROUTED = "r AS (SELECT conv_id, turn, ['verified total', 'mine in the report', 'production of seam', 'page text', 'how many mines near', 'x'][(conv_id + turn) % 6 + 1] || ' ' || text AS text FROM conversations WHERE role = 'user')"
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    h = _hits(spark, sf_dir).select("query_id", "chunk_id", F.col("document_id").alias("page_id"), F.col("chunk_id").alias("source_unit_id"), F.substring("chunk", 1, 50).alias("chunk"), F.lit(None).cast("long").alias("table_id"), F.lit(None).cast("int").alias("row_index"))
+    h = _hits(spark, sf_dir).select("query_id", "chunk_id", F.col("document_id").alias("page_id"), F.col("chunk_id").alias("source_unit_id"), "chunk", F.lit(None).cast("long").alias("table_id"), F.lit(None).cast("int").alias("row_index"))
     pages = d.select(F.col("source").alias("page_id")).distinct().withColumn("page_text", F.concat(F.lit("page "), "page_id"))
     units = d.select(F.col("source").alias("page_id"), F.col("doc_id").alias("unit_id"), F.concat(F.lit("unit "), "doc_id").alias("unit_text"), F.col("doc_id").alias("unit_order"))
     cells = spark.createDataFrame([], "table_id long, row_index int, column_index int, cell_text string")
@@ -137,7 +137,7 @@ QUERIES = {
     "g03_hybrid_topk": (hybrid, f"WITH {_SCORES}{_LEXICAL}, y AS (SELECT s.query_id, s.chunk_id, 0.7 * score + 0.3 * coalesce(lexical, 0) AS score FROM s LEFT JOIN x USING (query_id, chunk_id)) {_ranked('y', 10)}"),
     "c10_filtered_chunks": (filtered, "SELECT doc_id AS chunk_id FROM documents WHERE source = 'src1' AND lang = 'en' AND doc_id % 5 <> 0"),
     "d05_chunk_context": (context, f"{_HITS} SELECT query_id, chunk_id, 'file-' || document_id AS document_name FROM hits"),
-    "d12_evidence": (evidence, f"{_HITS}, u AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), t AS (SELECT h.query_id, h.chunk_id, string_agg('unit ' || u.doc_id, chr(10) ORDER BY r) FILTER (WHERE u.doc_id <> h.chunk_id) AS units FROM hits h JOIN u ON u.source = h.document_id AND r <= 10 GROUP BY 1, 2) SELECT query_id, chunk_id, sha256(substr(chunk, 1, 50) || chr(10) || 'page ' || document_id || chr(10) || units) AS hash FROM hits JOIN t USING (query_id, chunk_id)"),
+    "d12_evidence": (evidence, f"{_HITS}, u AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), t AS (SELECT h.query_id, h.chunk_id, string_agg('unit ' || u.doc_id, chr(10) ORDER BY r) FILTER (WHERE u.doc_id <> h.chunk_id) AS units FROM hits h JOIN u ON u.source = h.document_id AND r <= 10 GROUP BY 1, 2) SELECT query_id, chunk_id, sha256(substr(chunk || chr(10) || 'page ' || document_id || chr(10) || units, 1, 24000)) AS hash FROM hits JOIN t USING (query_id, chunk_id)"),
     "g05_traceable": (traced, f"{_HITS} SELECT query_id, chunk_id FROM hits WHERE chunk_id % 4 <> 0"),
     "g06_routes": (routes, f"WITH {_ROUTED} SELECT conv_id, turn, length(text) BETWEEN 1 AND 1000 AS valid, regexp_matches(text, '(?i)\\b(verified|trusted|canonical|recorded)\\b') OR (regexp_matches(text, '(?i)\\b(production|mine|project|borehole|seam|block)\\b') AND NOT regexp_matches(text, '(?i)\\b(source|document|report|page|text|according to)\\b')) AS trusted_requested, regexp_matches(text, '{op.CALCULATION}') AS calculation FROM r"),
     "g07_trusted_first": (trusted, f"{_HITS} SELECT query_id, chunk_id, 'E' || r AS citation_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_type <> 'TRUSTED_CANONICAL_DATA', score DESC, chunk_id) AS r FROM hits) WHERE r <= 5"),
