@@ -40,7 +40,7 @@ def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, min_pages
     return hot.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_ratio: float = 0.2, min_pages: int = 5, salts: int = 16, removed: str | None = None) -> DataFrame:
+def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_ratio: float = 0.2, min_pages: int = 5, salts: int = 64, removed: str | None = None) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``; ``removed`` names a column for the number taken out.
 
     Lines are compared without surrounding blanks; blank lines are never boilerplate and stay. Hosts with fewer than

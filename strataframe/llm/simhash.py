@@ -143,6 +143,13 @@ def _pairs_within(bits: list[int], t: int, n: int, differ: np.ndarray) -> float:
     return min(1.0, share) * n * n / 2
 
 
+def _work(bits: list[int], t: int, n: int, differ: np.ndarray) -> float:
+    """Estimated work of a partition: its keys, its pairs, and dealing keys with many members out in blocks."""
+    keys = sum(math.comb(len(bits), k) for k in range(t // 2 + 1))
+    members = keys * 2 * _pairs_within(bits, 0, n, differ) / max(n, 1)  # of a key
+    return KEY_COST * n * keys * (1 + (math.ceil(members / BLOCK) + 1 if members > BLOCK / 4 else 0)) + _pairs_within(bits, t, n, differ)
+
+
 def plan(n: int, both: np.ndarray, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6)) -> Plan:
     """Partitions and thresholds of least estimated work for ``radius``; see the module's text."""
     one = np.diag(both) / max(n, 1)
@@ -166,7 +173,7 @@ def plan(n: int, both: np.ndarray, radius: int, parts: tuple[int, ...] = (2, 3,
             new: dict[int, tuple[float, list[int]]] = {}
             for covered, (cost, ts) in table.items():
                 for t in (-1, 0, 2, 4):
-                    extra = 0.0 if t < 0 else KEY_COST * n * sum(math.comb(len(g), k) for k in range(t // 2 + 1)) + _pairs_within(g, t, n, differ)
+                    extra = 0.0 if t < 0 else _work(g, t, n, differ)
                     at = min(radius + 1, covered + t + 1)
                     if at not in new or cost + extra < new[at][0]:
                         new[at] = (cost + extra, [*ts, t])
