@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import decontaminate, language, lines, packing, queries, simhash
+from strataframe.llm import decontaminate, jaccard, language, lines, packing, queries
 from strataframe.llm.common import new_folder
 
 #: A language has to be likelier than all others together.
 LEAST_SCORE = 0.5
-#: 256 bits of which 42 may differ: texts whose five-word shingles overlap by 0.8 of their union differ in 38.7 on average.
-WORDS, RADIUS, PROBE = 4, 42, 11
+#: Texts are near-duplicates when their sets of five-word shingles overlap by this many hundredths of their union.
+SHINGLE, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs, shingle=5, radius=RADIUS, words=WORDS, probe_radius=PROBE)
+    groups = jaccard.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
     others = groups.where(F.col("component") < F.col("key")).select(F.col("key").alias("other"))
     return docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
 
