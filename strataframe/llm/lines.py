@@ -26,29 +26,34 @@ def _identity(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
     """One row per host that has boilerplate: the host and the identities of its lines above the ratio.
 
     A page counts once for a line however often it repeats it. A host keeps fewer than ``lines per page / max_ratio``
-    lines, whatever its number of pages. A null host is a host of its own.
+    lines, whatever its number of pages. A null host is a host of its own. With ``copies_once`` the pages of a host that
+    have the same text count as one page.
     """
     own = F.array_distinct(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
-    lines = df.select(F.col(host).alias("host"), F.explode(F.transform(own, _identity)).alias("line"))
-    pages = df.groupBy(F.col(host).alias("h")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    lines = df.select(F.col(host).alias("host"), F.explode(F.transform(own, _identity)).alias("line"), *([_identity(F.col(text)).alias("page")] if copies_once else []))
+    every = df.select(F.col(host).alias("h"), *([_identity(F.col(text)).alias("page")] if copies_once else []))
+    if copies_once:
+        lines, every = lines.distinct(), every.distinct()
+    pages = every.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hot = counts.join(pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
     return hot.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_ratio: float = 0.2, min_pages: int = 5, salts: int = 64, removed: str | None = None) -> DataFrame:
+def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_ratio: float = 0.2, min_pages: int = 5, salts: int = 64, removed: str | None = None, copies_once: bool = False) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``; ``removed`` names a column for the number taken out.
 
     Lines are compared without surrounding blanks; blank lines are never boilerplate and stay. Hosts with fewer than
     ``min_pages`` pages keep everything. A null text stays null. Line breaks between kept lines stay as they are. Hosts
-    are joined under ``salts`` salts of ``key``, so a host with a third of the pages is spread over that many tasks.
+    are joined under ``salts`` salts of ``key``, so a host with a third of the pages is spread over that many tasks. With
+    ``copies_once`` shares are taken over a host's different texts, so copies of a page do not make its lines boilerplate.
     """
     salt, bad, lines = fresh(df, "salt"), fresh(df, "bad"), fresh(df, "lines")
-    found = boilerplate(df, text, host, max_ratio, min_pages).select(F.col("host").alias(f"{bad}h"), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{bad}s"))
+    found = boilerplate(df, text, host, max_ratio, min_pages, copies_once).select(F.col("host").alias(f"{bad}h"), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{bad}s"))
     dealt = df.withColumn(salt, F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
     joined = dealt.join(found, F.col(host).eqNullSafe(F.col(f"{bad}h")) & (F.col(salt) == F.col(f"{bad}s")), "left").withColumn(lines, F.split(F.col(text), "\n"))
     kept = F.filter(F.col(lines), lambda x: ~F.coalesce(F.array_contains(F.col(bad), _identity(F.trim(x))), F.lit(False)))
