@@ -30,7 +30,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, True)
         for batch in batches:
-            for at, ids, n in encoded(batch.column(1).to_pylist(), e, end):
+            for at, ids, n in encoded(batch.column(1), e, end):
                 k = -(-n // capacity)
                 own = np.repeat(np.arange(len(n)), k)
                 number = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, substrings, toxicity, wavelet
 from .common import crc_fold, new_folder
 
-#: Where the public tokenizers' files are; empty: where their package says.
+#: The folder of the public tokenizers' files on every machine; empty: where their package says there.
 VOCABULARIES = ""
 #: The id that ends a document.
 END = 2
@@ -22,12 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    """The path of a vocabulary file on this machine."""
-    if VOCABULARIES:
-        return os.path.join(VOCABULARIES, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+    """What the operators call a vocabulary file; tasks look up its path on their own machine."""
+    return os.path.join(VOCABULARIES, name) if VOCABULARIES else name
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,12 +151,13 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return [int(k) if ok else None for k, ok in zip(keys, known, strict=True)], counts, WaveletMatrix.from_bytes(raw[8 + size :])
 
 
-def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str = "doc_id", text: str = "text", tokens_per_file: int = 1 << 18, blanks_matter: bool = False, levels: int = 16) -> None:
+def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str = "doc_id", text: str = "text", tokens_per_file: int = 1 << 18, blanks_matter: bool = False, levels: int | None = None) -> None:
     """Encode every text, end it with ``end``, and write files of about ``tokens_per_file`` ids under ``path``.
 
     ``path`` is a Parquet table of the files, in ascending order of ``key``: ``part`` and ``number`` order them, ``content``
     is the file. Spark writes it, so that any store will do and a task that is repeated leaves one copy. Null keys come
-    first; a null text counts as empty and has ``end`` alone; a text longer than a file has a file of its own.
+    first; a null text counts as empty and has ``end`` alone; a text longer than a file has a file of its own. There are as
+    many planes as the vocabulary's ids have bits, unless ``levels`` says so.
     """
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +165,17 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str =
 
         part, number = TaskContext.get().partitionId(), 0
         e = encoder(vocabulary, blanks_matter)
+        planes = levels or max(end, len(e.bytes) - 1).bit_length()
         keys, counts, ids, have = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(ids)
-            content = pack_file(keys, np.concatenate(counts), every, levels)
+            content = pack_file(keys, np.concatenate(counts), every, planes)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([len(every)], pa.int64()), pa.array([content], pa.binary())], names=["part", "number", "n_docs", "n_tokens", "content"])
 
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, more, n in encoded(texts, e, end, 64):
+            own = batch.column(0).to_pylist()
+            for at, more, n in encoded(batch.column(1), e, end):
                 keys += own[at : at + len(n)]
                 counts.append(n)
                 ids.append(more)

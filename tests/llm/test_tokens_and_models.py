@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from strataframe.llm import decontaminate, language, packing, queries, sharding, toxicity, wavelet
 from strataframe.llm.common import new_folder
-from strataframe.llm.tokens import Encoder
+from strataframe.llm.tokens import Encoder, vocabulary_path
 
 SF = "/root/testdata/sf0.01"
 ODD = ["a  b\n\n c\t\td ", " lead", "x  y", "it's 'll <|endoftext|> ok", "", None, "\n", "é É éx", "ΑΣ ΑΣ.", "12 34,567\r\n  x", "日本語 テスト", "a\x0bb\x1cc  d", "😀 😀a", "CAFÉ, Straße. İx, don.t ., .. a.b, x).", "A, b. C.,"]
@@ -54,7 +54,7 @@ def test_token_files(spark, odd, odd_rows, none):
     path, vocabulary = new_folder(spark, "t"), queries.vocabulary("word_bpe_49k.json")
     wavelet.write_tokens(odd, vocabulary, path, 2, tokens_per_file=500)
     got = wavelet.read_tokens(spark, path, with_ids=True).orderBy(F.col("doc_id").asc_nulls_first(), "start").collect()
-    tokenizer, start, want = Tokenizer.from_file(vocabulary), 0, []
+    tokenizer, start, want = Tokenizer.from_file(vocabulary_path(vocabulary)), 0, []
     for k, t in sorted(odd_rows, key=lambda r: -1 if r[0] is None else r[0]):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((k, start, len(ids), crc(ids), ids))
@@ -71,7 +71,7 @@ def test_token_files(spark, odd, odd_rows, none):
 def test_packing(spark, odd, odd_rows, none):
     vocabulary, capacity = queries.vocabulary("byte_bpe_50k.json"), 64
     got = packing.pack(odd, vocabulary, 2, capacity, with_ids=True).collect()
-    tokenizer, want, total = Tokenizer.from_file(vocabulary), Counter(), 0
+    tokenizer, want, total = Tokenizer.from_file(vocabulary_path(vocabulary)), Counter(), 0
     for k, t in odd_rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         total += len(ids)
