@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; copies of a document count as one, for they are still there."""
-    out = lines.drop_boilerplate_lines(docs, host="source", max_ratio=queries.LINE_RATIO, min_pages=queries.LINE_PAGES, copies_once=True)
+    out = lines.drop_boilerplate_lines(docs, host="source", max_ratio=queries.LINE_RATIO, least=queries.LINE_PAGES, copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh
 
 #: Elements that begin or end a line of a page, as in the HTML standard's block level; fixed values.
 BLOCKS = "address|article|aside|blockquote|br|div|dd|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul|body|html"
@@ -26,7 +26,7 @@ def _identity(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
+def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, least: int, copies_once: bool = False) -> DataFrame:
     """One row per host that has boilerplate: the host and the identities of its lines above the ratio.
 
     A page counts once for a line however often it repeats it. A host keeps fewer than ``lines per page / max_ratio``
@@ -38,26 +38,27 @@ def boilerplate(df: DataFrame, text: str, host: str, max_ratio: float, min_pages
     every = df.select(F.col(host).alias("h"), *([_identity(F.col(text)).alias("page")] if copies_once else []))
     if copies_once:
         lines, every = lines.distinct(), every.distinct()
-    pages = every.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    pages = every.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, 2))
     hot = counts.join(pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
     return hot.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_ratio: float = 0.2, min_pages: int = 5, salts: int = 64, removed: str | None = None, copies_once: bool = False) -> DataFrame:
+def drop_boilerplate_lines(df: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.2, least: int = 3, removed: str | None = None, copies_once: bool = False) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``; ``removed`` names a column for the number taken out.
 
-    Lines are compared without surrounding blanks; blank lines are never boilerplate and stay. Hosts with fewer than
-    ``min_pages`` pages keep everything. A null text stays null. Line breaks between kept lines stay as they are. Hosts
-    are joined under ``salts`` salts of ``key``, so a host with a third of the pages is spread over that many tasks. With
-    ``copies_once`` shares are taken over a host's different texts, so copies of a page do not make its lines boilerplate.
+    A line is boilerplate when more than ``max_ratio`` of its host's pages contain it, ``least`` pages at least; hosts of
+    every size are judged alike. Lines are compared without surrounding blanks; blank lines are never boilerplate and
+    stay. A null text stays null, an empty one empty; repeated rows are pages each; a null host is a host of its own. Line
+    breaks between kept lines stay as they are. With ``copies_once`` shares are taken over a host's different texts, so
+    copies of a page do not make its lines boilerplate. An empty table stays empty; other columns, of whatever names, are
+    kept. Hosts' lines are kept in the shared folder before the join, so that Spark can split a host that has many pages.
     """
-    salt, bad, lines = fresh(df, "salt"), fresh(df, "bad"), fresh(df, "lines")
-    found = boilerplate(df, text, host, max_ratio, min_pages, copies_once).select(F.col("host").alias(f"{bad}h"), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{bad}s"))
-    dealt = df.withColumn(salt, F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-    joined = dealt.join(found, F.col(host).eqNullSafe(F.col(f"{bad}h")) & (F.col(salt) == F.col(f"{bad}s")), "left").withColumn(lines, F.split(F.col(text), "\n"))
-    kept = F.filter(F.col(lines), lambda x: ~F.coalesce(F.array_contains(F.col(bad), _identity(F.trim(x))), F.lit(False)))
-    out = joined.withColumn(f"{lines}k", F.when(F.col(bad).isNull(), F.col(lines)).otherwise(kept))
+    bad, lines = fresh(df, "bad"), fresh(df, "lines")
+    found = cut(boilerplate(df, text, host, max_ratio, least, copies_once)).select(F.col("host").alias(f"{bad}h"), F.col("lines").alias(bad))
+    joined = df.join(found, F.col(host).eqNullSafe(F.col(f"{bad}h")), "left").withColumn(lines, F.split(F.col(text), "\n"))
+    left = F.filter(F.col(lines), lambda x: ~F.coalesce(F.array_contains(F.col(bad), _identity(F.trim(x))), F.lit(False)))
+    out = joined.withColumn(f"{lines}k", F.when(F.col(bad).isNull(), F.col(lines)).otherwise(left))
     if removed:
         out = out.withColumn(removed, F.coalesce(F.size(lines) - F.size(f"{lines}k"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.array_join(f"{lines}k", "\n")).drop(salt, bad, f"{bad}h", f"{bad}s", lines, f"{lines}k")
+    return out.withColumn(text, F.array_join(f"{lines}k", "\n")).drop(bad, f"{bad}h", lines, f"{lines}k")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, substrings, toxicity, wavelet
-from .common import crc_fold, new_folder
+from .common import crc_fold, kept, new_folder
 
 #: The folder of the public tokenizers' files on every machine; empty: where their package says there.
 VOCABULARIES = ""
 #: The id that ends a document.
 END = 2
-LINE_RATIO, LINE_PAGES = 0.1, 20
+#: A line is boilerplate on over this share of its host's pages, and on so many pages at least.
+LINE_RATIO, LINE_PAGES = 0.1, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +84,7 @@ def _host(url: str):
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without the boilerplate lines of their hosts."""
     pages = table(spark, sf_dir, "pages").select("page_id", _host("url").alias("host"), lines.page_lines(F.col("html")).alias("text"))
-    out = lines.drop_boilerplate_lines(pages, host="host", key="page_id", max_ratio=LINE_RATIO, min_pages=LINE_PAGES, removed="n_removed")
+    out = lines.drop_boilerplate_lines(kept(pages, "pages"), host="host", max_ratio=LINE_RATIO, least=LINE_PAGES, removed="n_removed")
     return out.select("page_id", "host", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -109,9 +110,9 @@ WITH cleaned AS (
 split AS (
   SELECT page_id, host, string_split(regexp_replace(regexp_replace(seen, '(?i)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS lines
   FROM cleaned),
-pages_of AS (SELECT host, count(*) AS pages FROM split GROUP BY host HAVING count(*) >= {LINE_PAGES}),
+pages_of AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
 own AS (SELECT DISTINCT page_id, host, trim(line, ' ') AS line FROM (SELECT page_id, host, unnest(lines) AS line FROM split) WHERE trim(line, ' ') <> ''),
-hot AS (SELECT o.host, o.line FROM own o JOIN pages_of p ON o.host IS NOT DISTINCT FROM p.host GROUP BY o.host, o.line, p.pages HAVING count(*) > 1 AND count(*) > {LINE_RATIO} * p.pages),
+hot AS (SELECT o.host, o.line FROM own o JOIN pages_of p ON o.host IS NOT DISTINCT FROM p.host GROUP BY o.host, o.line, p.pages HAVING count(*) >= {LINE_PAGES} AND count(*) > {LINE_RATIO} * p.pages),
 bad AS (SELECT host, list(line) AS bad FROM hot GROUP BY host),
 kept AS (SELECT s.page_id, s.host, s.lines, list_filter(s.lines, lambda x: NOT coalesce(list_contains(b.bad, trim(x, ' ')), false)) AS kept FROM split s LEFT JOIN bad b ON s.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, host, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM kept

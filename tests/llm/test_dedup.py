@@ -176,7 +176,7 @@ def test_calibration():
     assert (hits >= least).mean() >= 0.999
 
 
-def brute_lines(rows, ratio, pages):
+def brute_lines(rows, ratio, least):
     hosts, seen = defaultdict(int), defaultdict(set)
     for i, (_, host, text) in enumerate(rows):
         hosts[host] += 1
@@ -185,7 +185,7 @@ def brute_lines(rows, ratio, pages):
                 seen[host, line.strip(" ")].add(i)
     out = []
     for k, host, text in rows:
-        bad = lambda x: hosts[host] >= pages and len(seen[host, x.strip(" ")]) > max(1, ratio * hosts[host])  # noqa: B023, E731
+        bad = lambda x: len(seen[host, x.strip(" ")]) >= least and len(seen[host, x.strip(" ")]) > ratio * hosts[host]  # noqa: B023, E731
         out.append((k, None if text is None else "\n".join(x for x in text.split("\n") if not bad(x))))
     return sorted(out, key=repr)
 
@@ -196,9 +196,9 @@ def test_lines(spark):
     rows = [(i, rng.choice(["a", "a", "b", None, f"h{i}"]), "\n".join([rng.choice(common), f"own {i}", rng.choice(common), rng.choice(common)])) for i in range(120)]
     rows += [(500, "a", None), (501, "a", ""), (502, None, "menu\nmenu\nmenu"), (503, "a", rows[0][2]), rows[0], (None, "b", "menu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"host": F.lit(1), "line": F.lit(2), "lines": F.lit(3)})
-    out = lines.drop_boilerplate_lines(df, max_ratio=0.2, min_pages=5, removed="n")
+    out = lines.drop_boilerplate_lines(df, max_ratio=0.2, least=3, removed="n")
     assert out.columns == [*df.columns, "n"]
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_lines(rows, 0.2, 5)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_lines(rows, 0.2, 3)
     assert lines.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
