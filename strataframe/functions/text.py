@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-#: Accented Latin letters and what is left of them in ASCII; fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 #: Words without meaning of their own in reports; fixed values.
 STOP_WORDS = (
@@ -21,15 +17,41 @@ STOP_WORDS = (
 ).split()
 
 
-def fold_ascii(text: Column) -> Column:
-    """Accents taken off Latin letters and every other non-ASCII character dropped."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+@cache
+def _folding(form: str, lower: bool) -> tuple[str, str, dict[str, str], str]:
+    """How characters beyond ASCII come out of a Unicode normal form as ASCII: those that give one character and what they
+    give, those that give several, and a pattern of ASCII characters that the form joins with a mark behind them."""
+    one, many = {}, {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x1F200)]:
+        c = chr(code)
+        got = unicodedata.normalize(form, c)
+        got = "".join(x for x in (got.casefold() if lower else got) if x.isascii())
+        if len(got) == 1:
+            one[c] = got
+        elif got:
+            many[c] = got
+    marks = {}
+    for m in map(chr, range(0x300, 0x370)):
+        own = "".join(c for c in string.ascii_letters if len(unicodedata.normalize("NFC", c + m)) == 1)
+        if own:
+            marks.setdefault(own, []).append(m)
+    joined = "|".join(f"[{own}][{''.join(ms)}]" for own, ms in marks.items()) if form == "NFKC" else ""
+    return "".join(one), "".join(one.values()), many, joined
+
+
+def _folded(text: Column, form: str, lower: bool) -> Column:
+    one, plain, many, joined = _folding(form, lower)
+    if joined:
+        text = F.regexp_replace(text, joined, "")
+    known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("[" + "".join(many) + "]"), F.lit(0)))
+    text = F.aggregate(found, text, lambda t, c: F.replace(t, c, F.element_at(known, c)))
+    return F.regexp_replace(F.translate(text, one, plain), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf(StringType())
-def fold_unicode(text: pd.Series) -> pd.Series:
-    """The same by compatibility decomposition, for texts beyond Latin letters."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+def fold_ascii(text: Column) -> Column:
+    """Characters taken apart by compatibility (NFKD) and all that is not ASCII dropped: accents go, ligatures and full-width letters are spelt."""
+    return _folded(text, "NFKD", False)
 
 
 def entity_key(name: Column) -> Column:
@@ -42,11 +64,19 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
 
 
+def mention_key(name: Column) -> Column:
+    """As :func:`name_key` after joining by compatibility (NFKC): full-width letters and ligatures count, accented letters do not."""
+    return F.regexp_replace(F.lower(_folded(name, "NFKC", True)), "[^a-z0-9]+", "")
+
+
 def safe_filename(name: Column) -> Column:
-    """The last part of a path without accents and unusual characters, at most 160 characters; ``document`` if nothing is left."""
-    base = F.regexp_extract(F.translate(name, "\\", "/"), r"([^/]*)$", 1)
-    clean = F.regexp_replace(F.regexp_replace(fold_ascii(base), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.when(F.length(clean) > 0, F.substring(clean, 1, 160)).otherwise("document")
+    """The last part of a path: its stem without accents and unusual characters, 160 characters at most and ``document`` if none is left, and its extension in lower case."""
+    leaf = F.regexp_extract(F.translate(name, "\\", "/"), r"([^/]*)$", 1)
+    extension = F.lower(F.regexp_extract(leaf, r"(?s)^.+(\.[^.]+)$", 1))
+    ends = r"^[._-]+|[._-]+$"
+    clean = F.regexp_replace(F.regexp_replace(fold_ascii(leaf), r"[^A-Za-z0-9._-]+", "_"), ends, "")
+    stem = F.substring(F.regexp_replace(F.regexp_replace(clean, r"\.[^.]+$", ""), ends, ""), 1, 160)
+    return F.concat(F.when(stem == "", "document").otherwise(stem), extension)
 
 
 def uuid5(namespace: Column, name: Column) -> Column:
@@ -56,6 +86,7 @@ def uuid5(namespace: Column, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+# What readers are not shown.
 _UUID = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 _FIELD = r"(?i)\b(?:source_document_id|source_version_id|source_page_id|source_content_id|source_table_id|source_cell_id|source_candidate_id|verification_id|verifier_id|record_id|chunk_id|document_id|document_version_id|page_id)\b"
 

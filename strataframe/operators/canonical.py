@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import normalize_point
 from ..functions.text import entity_key, uuid5
-from .extract import NAMESPACE
+from .extract import NAMESPACE, parse_pair
 from .review import resolve_identity
 
+# What has a table of its own, and the names of the coordinate system.
 PUBLISHABLE = ("MINE", "PROJECT", "BOREHOLE", "COAL_BLOCK", "GEOLOGICAL_FORMATION", "SEAM", "GEOLOGICAL_MEASUREMENT", "PRODUCTION", "COORDINATE")
-WGS84 = ("EPSG:4326", "WGS84", "WGS 84", "WGS-84")
+WGS84 = ("EPSG:4326", "4326", "WGS84", "WGS 84")
 
 
 def canonical_records(cands: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -75,19 +76,38 @@ def publish_facts(records: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return records.withColumn("reason", F.when(F.size(missing) > 0, F.concat(F.lit("MISSING "), F.array_join(missing, ","))))
 
 
-def publish_measurements(records: DataFrame) -> DataFrame:
-    return publish_facts(records, ("value", "unit"))
+def _with_known(facts: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+    """``reason`` of facts without one whose reference, by its column, is no row of the trusted table ``(column)``; null names nothing."""
+    for column, trusted in refs.items():
+        known = trusted.select(F.col(column).alias("_known")).distinct()
+        joined = facts.join(known, F.col(column) == F.col("_known"), "left")
+        unknown = F.col("reason").isNull() & F.col(column).isNotNull() & F.col("_known").isNull()
+        facts = joined.withColumn("reason", F.when(unknown, F.lit(f"UNKNOWN {column}")).otherwise(F.col("reason"))).drop("_known")
+    return facts
 
 
-def publish_production(records: DataFrame) -> DataFrame:
-    return publish_facts(records, ("value", "unit", "period"))
+def publish_measurements(records: DataFrame, **refs: DataFrame) -> DataFrame:
+    """Measurement facts; ``refs`` name trusted tables by the columns that refer to them (``borehole_id``, ``seam_id``)."""
+    return _with_known(publish_facts(records, ("value", "unit")), refs)
 
 
-def publish_coordinates(records: DataFrame) -> DataFrame:
-    """Points in WGS84, by any of its names, with their canonical text; others have a ``reason``."""
+def publish_production(records: DataFrame, **refs: DataFrame) -> DataFrame:
+    """Production facts; ``refs`` name trusted tables by the columns that refer to them (``mine_id``, ``project_id``)."""
+    return _with_known(publish_facts(records, ("value", "unit", "period")), refs)
+
+
+def publish_coordinates(records: DataFrame, accepted: str | None = None) -> DataFrame:
+    """Points in WGS84 with their canonical text; others have a ``reason``.
+
+    A declared ``crs`` has to be one of its names; none declared is taken for it. The column ``accepted`` holds the text
+    that was accepted: where a pair can be read from it, that pair counts, else ``lat`` and ``lon``.
+    """
     p = normalize_point(F.col("lat"), F.col("lon"))
+    if accepted is not None:
+        pair = parse_pair(F.coalesce(F.col(accepted), F.lit("")))
+        p = F.when(pair.isNotNull(), normalize_point(pair["lat"].cast("string"), pair["lon"].cast("string"))).otherwise(p)
     crs = F.upper(F.trim(F.coalesce("crs", F.lit(""))))
-    return records.withColumns({"point": p, "reason": F.when(~crs.isin(*WGS84), "CRS_UNSUPPORTED").when(p.isNull(), "INVALID_POINT")})
+    return records.withColumns({"point": p, "reason": F.when((crs != "") & ~crs.isin(*WGS84), "CRS_UNSUPPORTED").when(p.isNull(), "INVALID_POINT")})
 
 
 def fold_values(values: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import uuid5
+from .paging import numbered
 
 MAX_CHARS, OVERLAP = 3000, 300
 
@@ -79,8 +80,10 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def chunk_index(chunks: DataFrame) -> DataFrame:
     """Running number of a chunk in its version: pages first, in order, then trusted rows."""
-    w = Window.partitionBy("document_version_id").orderBy(F.col("evidence_type") == "TRUSTED_CANONICAL_DATA", "page_number", "source_unit_id", "ordinal")
-    return chunks.withColumn("chunk_index", F.row_number().over(w) - 1)
+    order = [F.col("document_version_id"), F.col("evidence_type") == "TRUSTED_CANONICAL_DATA", F.col("page_number"), F.col("source_unit_id"), F.col("ordinal")]
+    rows = numbered(chunks, order, "_number")  # a version is as many ranges as its size asks for
+    first = rows.groupBy(F.col("document_version_id").alias("_v")).agg(F.min("_number").alias("_first"))
+    return rows.join(first, F.col("document_version_id").eqNullSafe(F.col("_v"))).withColumn("chunk_index", (F.col("_number") - F.col("_first")).cast("int")).drop("_number", "_v", "_first")
 
 
 def span_blocks(spans: DataFrame) -> DataFrame:

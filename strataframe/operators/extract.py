@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import uuid5
+from ..functions.text import mention_key, uuid5
 from ..functions.units import EXTRACTION_UNITS, normalize_units
 
+#: Fixed value: the namespace of identifiers.
 NAMESPACE = "03ae188d-b4a5-4344-a3bb-829b0ad16d8e"
 
 # The rules' patterns.
@@ -69,14 +70,14 @@ def _candidate(df: DataFrame, kind: Column | str, raw_value: Column, normalized:
 
 
 def extract_entities(df: DataFrame) -> DataFrame:
-    """Names after their labels, by eight rules."""
-    out = None
-    for kind, pattern in ENTITY_RULES.items():
-        rows = _exploded(df, pattern)
-        value = F.regexp_replace(F.regexp_extract("raw_text", pattern, 1), r"^[ .,:;-]+|[ .,:;-]+$", "")
-        found = _candidate(rows, kind, value, value)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Names after their labels, by eight rules, in one pass over the texts."""
+    def named(kind: str, pattern: str) -> Column:
+        value = lambda raw: F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"^[ .,:;-]+|[ .,:;-]+$", "")
+        return F.transform(matches(F.coalesce(F.col("text"), F.lit("")), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), value(m["raw"]).alias("value")))
+
+    rows = df.withColumn("_m", F.explode(F.concat(*[named(*rule) for rule in ENTITY_RULES.items()])))
+    rows = rows.withColumns({"raw_text": F.col("_m.raw"), "start": F.col("_m.start"), "end": F.col("_m.end"), "_kind": F.col("_m.kind"), "_value": F.col("_m.value")}).drop("_m")
+    return _candidate(rows, F.col("_kind"), F.col("_value"), F.col("_value"))
 
 
 def parse_date(raw: Column) -> Column:
@@ -192,12 +193,21 @@ def candidate_ids(candidates: DataFrame, version: str = "document_version_id") -
 
 def prior_match(candidates: DataFrame) -> DataFrame:
     """``match_status`` against earlier names of the type in the version ``(document_version_id, seq, candidate_type, raw_value)``: equal, one the beginning of the other, or neither."""
-    key = F.regexp_replace(F.lower(F.coalesce("raw_value", F.lit(""))), "[^a-z0-9]+", "")
-    w = Window.partitionBy("document_version_id", "candidate_type").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = candidates.withColumn("_key", key).withColumn("_prior", F.collect_set("_key").over(w))
-    starts = F.exists("_prior", lambda p: (p != "") & (F.col("_key").startswith(p) | p.startswith(F.col("_key"))))
-    status = F.when(F.array_contains("_prior", F.col("_key")), "MATCHED").when(starts, "POSSIBLE_MATCH").otherwise("UNRESOLVED")
-    return rows.withColumn("match_status", status).drop("_key", "_prior")
+    rows = candidates.withColumn("_key", mention_key(F.coalesce("raw_value", F.lit(""))))
+    group = ["document_version_id", "candidate_type"]
+    # a key is known from its first mention on; a key and its beginnings meet by equality, so no mention carries all earlier ones
+    first = rows.groupBy(*group, "_key").agg(F.min("seq").alias("_first"))
+    whole = first.where("_key <> ''").select(*group, F.col("_key").alias("_part"), F.col("_first").alias("_whole"))
+    parts = first.withColumn("_part", F.explode(F.when(F.col("_key") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.substring(F.col("_key"), F.lit(1), n)))))
+    # the earliest key that begins this one, and the earliest that this one begins
+    begins = parts.join(whole, [*group, "_part"]).groupBy(*group, "_key").agg(F.min(F.when(F.col("_part") != F.col("_key"), F.col("_whole"))).alias("_shorter"))
+    begun = parts.where("_key <> ''").groupBy(*group, F.col("_part").alias("_k")).agg(F.min(F.when(F.col("_part") != F.col("_key"), F.col("_first"))).alias("_longer"))
+    any_ = first.where("_key <> ''").groupBy(*group).agg(F.min("_first").alias("_any"))
+    known = first.join(begins, [*group, "_key"], "left").join(begun.withColumnRenamed("_k", "_key"), [*group, "_key"], "left").join(any_, group, "left")
+    known = known.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_key").alias("_known"), "_first", F.least("_shorter", F.when(F.col("_key") == "", F.col("_any")).otherwise(F.col("_longer"))).alias("_near"))
+    joined = rows.join(known, F.col("_key").eqNullSafe(F.col("_known")) & F.col("document_version_id").eqNullSafe(F.col("_document_version_id")) & F.col("candidate_type").eqNullSafe(F.col("_candidate_type")), "left")
+    status = F.when(F.col("_first") < F.col("seq"), "MATCHED").when(F.col("_near") < F.col("seq"), "POSSIBLE_MATCH").otherwise("UNRESOLVED")
+    return joined.withColumn("match_status", status).drop("_key", "_known", "_first", "_near", *[f"_{c}" for c in group])
 
 
 def extraction_summary(candidates: DataFrame) -> DataFrame:
@@ -210,22 +220,37 @@ def header_key(header: Column) -> Column:
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """``(table_id, row_index, values, cells)``: each row after the first as a map from header to value; a blank header is the column's number."""
+    """``(table_id, row_index, values, cells)``: each row after the first as a map from header to value; a blank header is the column's number.
+
+    ``cells`` keeps each cell with its header and, where ``cells`` has a column ``id``, its ``cell_id``.
+    """
     w = Window.partitionBy("table_id")
     rows = cells.withColumn("_head", F.min("row_index").over(w))
     heads = rows.where("row_index = _head").select(F.col("table_id").alias("_t"), F.col("column_index").alias("_c"), F.when(F.trim(F.coalesce("raw_value", F.lit(""))) != "", F.trim("raw_value")).otherwise(F.col("column_index").cast("string")).alias("_h"))
     body = rows.where("row_index > _head").join(heads, (F.col("table_id") == F.col("_t")) & (F.col("column_index") == F.col("_c")), "left")
-    entry = F.struct(F.col("column_index"), F.coalesce("_h", F.col("column_index").cast("string")).alias("header"), F.col("raw_value"))
+    cell_id = (F.col("id") if "id" in cells.columns else F.lit(None)).cast("string").alias("cell_id")
+    entry = F.struct(F.col("column_index"), F.coalesce("_h", F.col("column_index").cast("string")).alias("header"), F.col("raw_value"), cell_id)
     grouped = body.groupBy("table_id", "row_index").agg(F.sort_array(F.collect_list(entry)).alias("cells"))
     last = F.aggregate("cells", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, c: F.map_concat(F.map_filter(m, lambda k, _: k != c["header"]), F.map_from_arrays(F.array(c["header"]), F.array(c["raw_value"]))))
     return grouped.select("table_id", "row_index", last.alias("values"), "cells")
 
 
+#: Fixed values of the table rules.
 SPATIAL_TYPES = ("BOREHOLE", "VERIFIED_COORDINATE", "COORDINATE", "MINE")
 
 
+#: Headers that become metadata, and under which name.
+SPATIAL_METADATA = {"state": "state", "district": "district", "mine": "mine", "description": "description", "elevationm": "elevation", "elevation": "elevation", "depthm": "depth", "depth": "depth", "coordinatesystem": "coordinate_system", "crs": "coordinate_system"}
+NAME_HEADERS = ("name", "entityname", "boreholename")
+
+
 def spatial_rows(rows: DataFrame) -> DataFrame:
-    """Candidates of rows that name a type, a name and, when complete, a latitude and a longitude under their headers."""
+    """Candidates of rows that name a type, a name and, when complete, a latitude and a longitude under their headers.
+
+    ``metadata`` holds what else the row says and where it stands, ``validation`` what was checked, ``source_cells`` the
+    cell of each header and ``source_cell_id`` the cell of the name. Explicit latitude and longitude are geographic degrees
+    unless the row declares another system. An incomplete or invalid coordinate stays a candidate, with a FAILED check.
+    """
     entry = F.transform(F.map_entries("values"), lambda e: F.struct(header_key(e["key"]).alias("k"), e["value"].alias("v")))
 
     def under(key: str) -> Column:
@@ -234,18 +259,38 @@ def spatial_rows(rows: DataFrame) -> DataFrame:
     def got(*keys: str) -> Column:
         return F.coalesce(*map(under, keys))
 
-    out = rows.withColumns({"_type": F.upper(F.trim(F.coalesce(got("entitytype", "recordtype", "type"), F.lit("")))), "_name": F.trim(F.coalesce(got("name", "entityname", "boreholename"), F.lit(""))), "_lat": F.trim(got("latitude", "lat")), "_lon": F.trim(got("longitude", "lon", "long"))})
+    out = rows.withColumns({"_type": F.upper(F.trim(F.coalesce(got("entitytype", "recordtype", "type"), F.lit("")))), "_name": F.trim(F.coalesce(got(*NAME_HEADERS), F.lit(""))), "_lat": F.trim(got("latitude", "lat")), "_lon": F.trim(got("longitude", "lon", "long"))})
     out = out.where(F.col("_type").isin(*SPATIAL_TYPES) & (F.col("_name") != ""))
     lat, lon = F.col("_lat").try_cast("decimal(38,12)"), F.col("_lon").try_cast("decimal(38,12)")
     complete = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
-    fine = lat.between(-90, 90) & lon.between(-180, 180)
+    numeric = lat.isNotNull() & lon.isNotNull()
+    fine = F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
     point = F.col("_type").isin("VERIFIED_COORDINATE", "COORDINATE")
-    status = F.when(complete & F.coalesce(fine, F.lit(False)), "PASSED").when(complete | point, "FAILED").otherwise("WARNING")
+    status = F.when(complete & fine, "PASSED").when(complete | point, "FAILED").otherwise("WARNING")
     value = F.when(point, F.concat(F.coalesce("_lon", F.lit("")), F.lit(","), F.coalesce("_lat", F.lit("")))).otherwise(F.col("_name"))
     kind = F.when(point, "coordinate").when(F.col("_type") == "BOREHOLE", "borehole").otherwise("mine")
-    return out.select("table_id", "row_index", kind.alias("candidate_type"), value.alias("raw_value"), F.col("_name").alias("display_name"), status.alias("coordinate_status"), F.when(status == "PASSED", F.col("_lat")).alias("latitude"), F.when(status == "PASSED", F.col("_lon")).alias("longitude"))
+    check = lambda s, message: F.struct(F.lit("coordinate_range").alias("rule"), F.lit(s).alias("status"), F.lit(message).alias("message"))
+    first = (
+        F.when(~complete, check("WARNING", "Spatial entity row has no complete latitude/longitude pair")).when(~numeric, check("FAILED", "Latitude and longitude must be numeric"))
+        .when(fine, check("PASSED", "Coordinate is within WGS84 numeric ranges")).otherwise(check("FAILED", "Longitude must be within ±180 and latitude within ±90 degrees"))
+    )
+    checks = F.when(~complete & point, F.array(first, check("FAILED", "Coordinate row requires valid latitude and longitude"))).otherwise(F.array(first))
+    names: dict[str, list[str]] = {}
+    for key, name in SPATIAL_METADATA.items():
+        names.setdefault(name, []).insert(0, key)
+    said = {name: got(*keys) for name, keys in names.items()}
+    said["coordinate_system"] = F.coalesce(F.nullif(said["coordinate_system"], F.lit("")), F.when(complete & numeric, F.lit("EPSG:4326")))
+    said |= {"latitude": F.when(complete & numeric, F.col("_lat")), "longitude": F.when(complete & numeric, F.col("_lon")), "rule": F.lit("labeled_spatial_table_row"), "display_name": F.col("_name"), "spatial_entity_type": F.col("_type"), "table_row_index": F.col("row_index").cast("string"), "source_table_id": F.col("table_id").cast("string")}
+    metadata = F.map_filter(F.create_map(*[x for name, v in said.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    name_cell = F.filter("cells", lambda c: F.when(point, header_key(c["header"]).isin(*NAME_HEADERS)).otherwise(F.trim(F.coalesce(c["raw_value"], F.lit(""))) == F.col("_name")))
+    return out.select(
+        "table_id", "row_index", kind.alias("candidate_type"), value.alias("raw_value"), F.col("_name").alias("display_name"), status.alias("coordinate_status"),
+        F.when(status == "PASSED", F.col("_lat")).alias("latitude"), F.when(status == "PASSED", F.col("_lon")).alias("longitude"), metadata.alias("metadata"), checks.alias("validation"),
+        F.transform("cells", lambda c: F.struct(c["header"].alias("header"), c["cell_id"].alias("cell_id"))).alias("source_cells"), F.get(name_cell, F.lit(0))["cell_id"].alias("source_cell_id"),
+    )
 
 
+# Fixed values of the production tables' rules.
 MEASURE = r"(?i)production|output|dispatch|achievement|quantity|tonnage"
 EXCLUDED = r"(?i)%|percent|share|growth|change|rate|average|difference|index"
 MASS = r"(?i)\b(million\s+tonnes?|kilotonnes?|tonnes?|tons?|Mt|kt)\b"
@@ -262,6 +307,9 @@ def unit_definitions(pages: DataFrame) -> DataFrame:
 def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
     """Production amounts of tables ``(table_id, row_index, column_index, raw_value)``; ``definitions (table_id)`` are tables whose document defines MT.
 
+    Where ``cells`` has a column ``id``, ``source_cell_id`` and ``source_cells`` say where an amount stands; ``definitions``
+    may have ``definition`` and ``definition_page``, which are kept with the amounts that need them.
+
     The first row is the title. Rows before the first amount are headings, joined column by column. A table without measure
     word or mass unit, a column of shares or changes, and an amount without a year are left out.
     """
@@ -273,11 +321,13 @@ def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> D
         F.min_by(F.when(F.col("row_index") > F.col("_head"), F.nullif(F.regexp_extract("v", MASS, 1), F.lit(""))), F.when((F.col("row_index") > F.col("_head")) & F.col("v").rlike(MASS), F.struct("row_index", "column_index"))).alias("body_unit"),
     ).where(F.col("title").rlike(MEASURE))
     if definitions is not None:
-        text = text.join(definitions.select(F.col("table_id").alias("_d")).distinct(), F.col("_t") == F.col("_d"), "left")
+        said = [c for c in ("definition", "definition_page") if c in definitions.columns]
+        text = text.join(definitions.groupBy(F.col("table_id").alias("_d")).agg(F.count(F.lit(1)).alias("_defined"), *[F.min(c).alias(c) for c in said]), F.col("_t") == F.col("_d"), "left")
     unit = F.coalesce(F.nullif(F.regexp_extract("title", MASS, 1), F.lit("")), "body_unit")
     settled = lambda u: F.when((F.lower(u) == "mt") & (u != "Mt") & known, "Mt").otherwise(u)
     text = text.withColumns({"raw_unit": unit, "unit": settled(unit), "defined": known, "one": F.lit("1")})
-    text = normalize_units(text, "one", "unit", EXTRACTION_UNITS).where("dimension = 'mass'").select("_t", "title", "raw_unit", F.col("normalized_value").alias("table_factor"), "defined")
+    text = normalize_units(text, "one", "unit", EXTRACTION_UNITS).where("dimension = 'mass'")
+    text = text.select("_t", "title", "raw_unit", F.col("normalized_value").alias("table_factor"), "defined", *[(F.col(c) if c in text.columns else F.lit(None)).cast("string").alias(c) for c in ("definition", "definition_page")])
     body = rows.where("row_index > _head").join(text, F.col("table_id") == F.col("_t"))
     amount = F.col("v").rlike(AMOUNT)
     label = F.max(F.when(F.col("column_index") == 0, F.col("v"))).over(Window.partitionBy("table_id", "row_index"))
@@ -293,7 +343,10 @@ def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> D
     column = F.array_join(F.coalesce("parts", F.array().cast("array<string>")), " ")
     none = lambda c: F.nullif(c, F.lit(""))
     period = F.coalesce(own, F.when(F.col("row_label").rlike(f"^{YEAR}$"), F.col("row_label")), none(F.regexp_extract(column, PERIOD, 0)), none(F.regexp_extract("title", PERIOD, 0)))
-    body = body.withColumns({"column_label": column, "period": period})
+    cell_id = (F.col("id") if "id" in cells.columns else F.lit(None)).cast("string")
+    body = body.withColumns({"column_label": column, "period": period, "source_cell_id": cell_id})
+    each = F.struct("column_index", F.coalesce(none(F.col("column_label")), F.col("column_index").cast("string")).alias("label"), F.col("source_cell_id").alias("cell_id"))
+    body = body.withColumn("source_cells", F.sort_array(F.collect_list(each).over(Window.partitionBy("table_id", "row_index"))))
     out = body.where((F.col("row_index") >= F.col("_start")) & (F.col("column_index") > 0) & amount & ~F.col("column_label").rlike(EXCLUDED) & F.col("period").rlike(YEAR))
     cell_unit = none(F.regexp_extract("v", AMOUNT, 2))
     out = out.withColumns({"raw_value": F.regexp_extract("v", AMOUNT, 1), "cell_unit": cell_unit, "_one": F.lit("1")})
@@ -306,9 +359,10 @@ def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> D
     plain = (F.col("row_label") == "") | F.lower("row_label").isin("india", "all india", "world", "total")
     number = F.regexp_replace("raw_value", ",", "").try_cast("decimal(20,6)")
     out = out.withColumn("normalized", (number * factor).cast("decimal(29,6)")).where(F.col("normalized").isNotNull())
-    return out.select("table_id", "row_index", "column_index", "raw_value", F.col("normalized").alias("normalized_value"), F.lit("t").alias("unit"), "period", F.when(plain, named).otherwise(F.concat("row_label", F.lit(" — "), named)).alias("commodity"), F.when(number < 0, "FAILED").otherwise("PASSED").alias("nonnegative"))
+    return out.select("table_id", "row_index", "column_index", "raw_value", F.col("normalized").alias("normalized_value"), F.lit("t").alias("unit"), "period", F.when(plain, named).otherwise(F.concat("row_label", F.lit(" — "), named)).alias("commodity"), F.when(number < 0, "FAILED").otherwise("PASSED").alias("nonnegative"), F.coalesce("cell_unit", "raw_unit").alias("source_unit"), F.col("title").alias("source_table_title"), F.col("row_label").alias("source_row_label"), "source_cell_id", "source_cells", "definition", "definition_page")
 
 
+#: Fixed value: headers that say what a cell is.
 RELEVANT_HEADER = r"(?i)mine|project|block|borehole|seam|formation|mineral|reserve|production|output|depth|thickness|elevation|coordinate|latitude|longitude|grade|quality|date|period"
 
 

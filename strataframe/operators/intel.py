@@ -19,9 +19,16 @@ def intelligence_input(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``(document_id, page_id, chunk_id, term, n)``: terms of every chunk, counted."""
-    own = chunks.select("document_id", "page_id", "chunk_id", F.explode(terms(F.col(text))).alias("term"))
-    return own.groupBy("document_id", "page_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    """``(document_id, page_id, chunk_id, term, n)``: terms of every chunk, counted. A chunk is one row, so nothing moves: equal terms stand side by side when sorted."""
+    return chunks.select("document_id", "page_id", "chunk_id", F.inline(counted_terms(terms(F.col(text)))))
+
+
+def counted_terms(every: Column) -> Column:
+    """``array<struct<term, n>>`` of an array of terms."""
+    ordered = F.sort_array(every)
+    size = F.size(ordered)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & ((i == size) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+    return F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda e, b: F.when(e.isNotNull(), F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n"))))
 
 
 def _ranked(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
@@ -38,7 +45,12 @@ def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = (), co
     ``keys=("document_id",)`` gives each document its own list.
     """
     rows = chunk_terms(chunks) if counted is None else counted
-    found = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("frequency"), F.sum("n").alias("token_frequency"), F.count_distinct("document_id").alias("document_count"), F.count_distinct("page_id").alias("page_count"))
+    pages = rows.groupBy("term", "document_id", "page_id").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("t"))
+    documents = pages.groupBy("term", "document_id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.count("page_id").alias("p"))
+    if "document_id" in keys:
+        found = documents.select(*keys, "term", F.col("f").alias("frequency"), F.col("t").alias("token_frequency"), F.lit(1).cast("long").alias("document_count"), F.col("p").alias("page_count"))
+    else:  # a page belongs to one document
+        found = documents.groupBy("term").agg(F.sum("f").alias("frequency"), F.sum("t").alias("token_frequency"), F.count("document_id").alias("document_count"), F.sum("p").alias("page_count"))
     first = _ranked(found, keys, limit)
     top = first.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("frequency").alias("_top"))
     joined = first.join(F.broadcast(top) if not keys else top, [F.col(k) == F.col(f"_{k}") for k in keys]) if keys else first.crossJoin(F.broadcast(top))  # one row
@@ -57,7 +69,7 @@ def topics(chunks: DataFrame, limit: int = 100, counted: DataFrame | None = None
     """Two-word terms with the share of documents that hold them as confidence."""
     rows = chunk_terms(chunks) if counted is None else counted
     documents = chunks.agg(F.count_distinct("document_id").alias("_n"))
-    found = rows.where(F.col("term").contains(" ")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("document_id").alias("document_count"))
+    found = rows.where(F.col("term").contains(" ")).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("f")).groupBy("term").agg(F.sum("f").alias("frequency"), F.count("document_id").alias("document_count"))
     return _ranked(found, (), limit).crossJoin(F.broadcast(documents)).select("term", "frequency", "document_count", F.round(F.least(F.lit(1.0), F.col("document_count") / F.greatest(F.col("_n"), F.lit(1))), 6).alias("confidence"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..streaming.tables import folder
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key along ``order``."""
@@ -31,7 +33,26 @@ def list_by_status(df: DataFrame, status: str | None, newest: str, key: str, lim
     return rows.orderBy(F.col(newest).desc(), F.col(key)).limit(limit)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... along ``order``, which should tell rows apart.
+
+    Sorted ranges of rows are kept in the shared folder with the number of their range and their place in it; a row for each
+    range tells how many rows come before it. No task holds more than a range.
+    """
+    part, at, path = f"_{name}_part", f"_{name}_at", folder(df.sparkSession)
+    df.orderBy(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id() % (1 << 33)}).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    sizes = ranged.groupBy(F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    joined = ranged.join(F.broadcast(sizes.select("_p", before.alias("_before"))), F.col(part) == F.col("_p"))
+    return joined.withColumn(name, F.col("_before") + F.col(at)).drop(part, at, "_p", "_before")
+
+
 def order_pages(pages: DataFrame) -> DataFrame:
     """Pages by number, then sheet index from the metadata, then creation; missing ones last."""
+    return pages.orderBy(*page_order())
+
+
+def page_order() -> list[Column]:
     sheet = F.get_json_object("metadata", "$.sheet_index").try_cast("int")
-    return pages.orderBy(F.col("page_number").asc_nulls_last(), sheet.asc_nulls_last(), F.col("created_at"))
+    return [F.col("page_number").asc_nulls_last(), sheet.asc_nulls_last(), F.col("created_at").asc_nulls_last()]

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.units import normalize_units
+from ..functions.units import convert_units, normalize_units
+from .paging import numbered
 
+# The years a period may name, and the kinds of groups.
 YEAR = r"(?<!\d)(18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?!\d)"
 GROUPS = ("year", "state", "mine", "company", "commodity")
 
@@ -28,7 +30,17 @@ def verified_production(production: DataFrame, records: DataFrame, projects: Dat
     m = mines.select(F.col("mine_id").alias("m_id"), F.col("canonical_name").alias("mine"), "state", "operator")
     with_project = trusted.join(projects.withColumnRenamed("project_id", "p_id"), F.col("project_id") == F.col("p_id"), "left")
     joined = with_project.join(m, F.coalesce("mine_id", "project_mine_id") == F.col("m_id"), "left")
-    return joined.withColumns({"company": F.coalesce("operator", "organization"), "year": reporting_year(F.col("period"))}).drop("p_id", "m_id", "operator", "organization", "project_mine_id")
+    out = joined.withColumns({"company": F.coalesce("operator", "organization"), "year": reporting_year(F.col("period")), "provenance": provenance(joined.columns)})
+    return out.drop("p_id", "m_id", "operator", "organization", "project_mine_id")
+
+
+#: Where a production record comes from.
+PROVENANCE = ("source_candidate_id", "verification_id", "verifier_id", "source_document_id", "source_version_id", "source_page_id", "source_content_id", "source_table_id", "source_cell_id")
+
+
+def provenance(columns: list[str]) -> Column:
+    """The record's id and its sources as text; null where the table does not have them."""
+    return F.struct(F.col("record_id").cast("string").alias("id"), *[(F.col(c) if c in columns else F.lit(None)).cast("string").alias(c) for c in PROVENANCE])
 
 
 def filter_production(df: DataFrame, mine_id=None, project_id=None, year=None, year_from=None, year_to=None, state=None, commodity=None, record_ids: DataFrame | None = None) -> DataFrame:
@@ -170,6 +182,34 @@ def percentage(part: Column, whole: Column, on_error: str = "status") -> Column:
     return F.struct((r["value"] * 100).alias("value"), r["status"].alias("status"))
 
 
+def with_units(df: DataFrame, kind: str, first: str, first_unit: str, second: str, second_unit: str, name: str = "result") -> DataFrame:
+    """Add ``name``, ``struct(value, unit, status)``: a calculation of two amounts in units of their own.
+
+    ``production_difference``, ``growth_percentage``, ``production_share`` and ``stripping_ratio`` bring the second amount
+    into the unit of the first; ``productivity`` takes a mass and man-shifts. ``status`` is ``ok``, ``missing_input``,
+    ``unsupported_unit``, ``incompatible_units``, ``wrong_dimension`` or ``zero_denominator``.
+    """
+    if kind not in ("production_difference", "growth_percentage", "production_share", "stripping_ratio", "productivity"):
+        raise ValueError(f"no calculation {kind}")
+    a, b = F.col(first).cast("double"), F.col(second).cast("double")
+    missing = F.when(a.isNull() | b.isNull(), "missing_input")
+    if kind == "productivity":
+        out = normalize_units(df.withColumn("_one", F.lit("1")), "_one", first_unit).withColumnRenamed("dimension", "_first_dimension").drop("normalized_value", "normalized_unit", "conversion_rule", "unit_issue")
+        out = normalize_units(out, "_one", second_unit).withColumnRenamed("dimension", "_second_dimension").drop("normalized_value", "normalized_unit", "conversion_rule", "unit_issue", "_one")
+        fits = F.coalesce((F.col("_first_dimension") == "mass") & (F.col("_second_dimension") == "labor"), F.lit(False))
+        status = F.when(~fits, "wrong_dimension").otherwise(F.coalesce(missing, F.when(b == 0, "zero_denominator"), F.lit("ok")))
+        value, unit, gone = F.try_divide(a, b), F.concat(F.col(first_unit), F.lit("/man-shift")), ("_first_dimension", "_second_dimension")
+    else:
+        out = convert_units(df, second, second_unit, first_unit)
+        b = F.col("converted").cast("double")
+        issue = F.when(F.col("convert_issue") == "UNSUPPORTED", "unsupported_unit").when(F.col("convert_issue") == "INCOMPATIBLE", "incompatible_units")
+        zero = F.when((b == 0) & (kind != "production_difference"), "zero_denominator")
+        status = F.coalesce(missing, issue, zero, F.lit("ok"))
+        value = {"production_difference": a - b, "growth_percentage": F.try_divide(a - b, b) * 100, "production_share": F.try_divide(a, b) * 100, "stripping_ratio": F.try_divide(a, b)}[kind]
+        unit, gone = {"production_difference": F.col(first_unit), "stripping_ratio": F.lit("t/t")}.get(kind, F.lit("%")), ("converted", "convert_issue")
+    return out.withColumn(name, F.struct(F.when(status == "ok", value).alias("value"), unit.alias("unit"), status.alias("status"))).drop(*gone)
+
+
 def growth(current: Column, previous: Column, on_error: str = "status") -> Column:
     """Percent change from ``previous`` to ``current``, both in one unit."""
     return percentage(current - previous, previous, on_error)
@@ -194,9 +234,14 @@ def productivity(output: Column, manshifts: Column, on_error: str = "status") ->
 
 def period_over_period(df: DataFrame, value: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Differences and percent changes along ``order``, nulls taken out first."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
     v = F.col(value).cast("double")
-    out = df.where(F.col(value).isNotNull()).withColumn("previous", F.lag(v).over(w)).where(F.col("previous").isNotNull())
+    if keys:
+        out = df.where(F.col(value).isNotNull()).withColumn("previous", F.lag(v).over(Window.partitionBy(*keys).orderBy(order)))
+    else:  # one sequence of all rows: ranges of it are numbered side by side, and each row meets the one before by number
+        rows = numbered(df.where(F.col(value).isNotNull()), [F.col(order)], "_at")
+        before = rows.select((F.col("_at") + 1).alias("_next"), v.alias("previous"))
+        out = rows.join(before, F.col("_at") == F.col("_next"), "left").drop("_at", "_next")
+    out = out.where(F.col("previous").isNotNull())
     return out.withColumns({"difference": v - F.col("previous"), "percent": F.try_divide(v - F.col("previous"), F.col("previous")) * 100})
 
 

@@ -12,6 +12,7 @@ from ..functions.text import entity_key
 from ..functions.units import EXTRACTION_UNITS, normalize_units
 from .extract import YEAR
 
+# What candidates are, and the words that tell.
 TYPES = {"mine": "MINE", "project": "PROJECT", "coal_block": "COAL_BLOCK", "borehole": "BOREHOLE", "seam": "SEAM", "geological_formation": "GEOLOGICAL_FORMATION", "exploration_location": "EXPLORATION_LOCATION", "mineral_resource": "RESOURCE", "production_record": "PRODUCTION", "coordinate": "COORDINATE"}
 ENTITIES = ("MINE", "PROJECT", "COAL_BLOCK", "BOREHOLE", "SEAM", "GEOLOGICAL_FORMATION", "EXPLORATION_LOCATION", "RESOURCE")
 FUZZY = 0.88
@@ -134,7 +135,8 @@ def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) ->
     ``cands (id, entity_type, key)``, ``entities (entity_id, entity_type, entity_key)``. Pairs meet in a hash join on type and
     a shared run of letters, within the band of lengths that ``least`` leaves. That loses nothing at 0.88 or above: ``u``
     unmatched letters cut the ``M`` matched ones into ``u + 1`` runs at most, and the ratio makes ``M`` so large that one of
-    them has three letters; only where both keys have five letters at most it may have two.
+    them has three letters; only where both keys have five letters at most it may have two. Keys are compared once however
+    many candidates have them, and only those that no entity has: an equal key is the most similar one.
     """
     if least < FUZZY:
         raise ValueError(f"runs of three letters find all pairs from {FUZZY} on")
@@ -146,13 +148,19 @@ def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) ->
     def run(key: Column) -> Column:
         return F.when(F.length(key) <= 5, F.concat(runs(key, 3), runs(key, 2))).otherwise(runs(key, 3))
 
-    c = cands.where(F.col("key") != "").select("id", F.col("entity_type").alias("ct"), "key", F.explode(F.array_distinct(run(F.col("key")))).alias("g"))
-    e = entities.where(F.col("entity_key") != "").select("entity_id", F.col("entity_type").alias("et"), "entity_key", F.explode(F.array_distinct(run(F.col("entity_key")))).alias("h"))
-    a, b = F.length("key"), F.length("entity_key")
+    keys = cands.where(F.col("key") != "").select(F.col("entity_type").alias("ct"), F.col("key").alias("ck")).distinct()
+    known = entities.where(F.col("entity_key") != "").groupBy(F.col("entity_type").alias("et"), F.col("entity_key").alias("ek")).agg(F.min("entity_id").alias("entity_id"))
+    same = (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek"))
+    equal = keys.join(known, same).select("ct", "ck", "entity_id", F.lit(1.0).alias("score"))
+    c = keys.join(known, same, "left_anti").select("ct", "ck", F.explode(F.array_distinct(run(F.col("ck")))).alias("g"))
+    e = known.select("et", "ek", "entity_id", F.explode(F.array_distinct(run(F.col("ek")))).alias("h"))
+    a, b = F.length("ck"), F.length("ek")
     band = F.least(a, b) * 2 >= (a + b) * F.lit(least)
-    pairs = c.join(e, (F.col("ct") == F.col("et")) & (F.col("g") == F.col("h")) & band).select("id", "key", "entity_id", "entity_key").distinct()
-    scored = pairs.withColumn("score", ratio("key", "entity_key")).where(F.col("score") >= least)
-    return scored.groupBy("id").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"))
+    pairs = c.join(e, (F.col("ct") == F.col("et")) & (F.col("g") == F.col("h")) & band).select("ct", "ck", "ek", "entity_id").distinct()
+    scored = pairs.withColumn("score", ratio("ck", "ek")).where(F.col("score") >= least)
+    best = scored.groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"))
+    found = equal.unionByName(best)
+    return cands.join(found, (F.col("entity_type") == F.col("ct")) & (F.col("key") == F.col("ck"))).select("id", "entity_id", "score")
 
 
 def conflict_keys(cands: DataFrame) -> DataFrame:
@@ -295,19 +303,21 @@ def queue_filter(cands: DataFrame, status: str | None = None, classification: st
     return cands.where(has_validation(F.col("validation_results"), validation)) if validation else cands
 
 
-def queue_search(cands: DataFrame, pages: DataFrame, q: str) -> DataFrame:
-    """Candidates for a search text. Digits mean a page number or an exact value; other text is looked for in the candidate, its page and its document.
+def queue_search(cands: DataFrame, pages: DataFrame, contents: DataFrame, q: str) -> DataFrame:
+    """Candidates for a search text. Digits mean a page number or an exact value; other text is a pattern (``%`` and ``_`` stand for others) looked for in the candidate, its content unit, its page's number and its document's name.
 
-    ``pages (page_id, page_number, page_text, document_name)``.
+    ``pages (page_id, page_number, document_name)``, ``contents (content_id, content_text)``.
     """
     q = q.strip().lower()
     joined = cands.join(pages.withColumnRenamed("page_id", "_p"), F.col("page_id") == F.col("_p"), "left")
+    if not q.isdigit():
+        joined = joined.join(contents.withColumnRenamed("content_id", "_c"), F.col("content_id") == F.col("_c"), "left").drop("_c")
     if q.isdigit():
         hit = (F.col("page_number") == int(q)) | (F.lower("raw_value") == q) | (F.lower("normalized_value") == q)
     else:
         hit = F.lit(False)
-        for c in ("raw_text", "raw_value", "normalized_value", "candidate_type", "classification", "document_name", "page_text"):
-            hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(q)), F.lit(False))
+        for c in ("raw_text", "raw_value", "normalized_value", "candidate_type", "classification", "document_name", "page_number", "content_text"):
+            hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).like(f"%{q}%"), F.lit(False))
     return joined.where(F.coalesce(hit, F.lit(False))).drop("_p")
 
 

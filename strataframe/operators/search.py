@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 MAX_TOP_K, MAX_QUERY_CHARS, CONTEXT_CHARS = 50, 1000, 24_000
-#: Query vectors that are broadcast at once; more are joined block by block.
+#: Query vectors that are broadcast at once; more are scored block by block.
 BROADCAST_QUERIES = 20_000
 
+# The words that route a question.
 CALCULATION = r"(?i)\b(total|sum|average|mean|percentage|percent|how many|how much|distance|reserve|growth rate|production rate)\b"
 TRUSTED = r"(?i)\b(verified|trusted|canonical|recorded)\b"
 DOMAIN = r"(?i)\b(production|mine|project|borehole|seam|block)\b"
@@ -34,17 +37,32 @@ def _top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
 def semantic_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, semantic_score)`` of every indexed chunk for ``queries (query_id, vector)``.
 
-    Each chunk's norm is taken once. Queries are a stated set: a bounded one is broadcast against all chunks, a larger one
-    is an error here and is given in parts.
+    Each chunk's norm is taken once. Queries are a stated set: it is broadcast against all chunks in blocks.
     """
+    return reduce(DataFrame.unionByName, [_scored(block, chunks) for block in _blocks(queries)])
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` in parts that may be broadcast, by a hash of their ids."""
     n = queries.count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries; give at most {BROADCAST_QUERIES} at once")
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    c = chunks.where(F.col("is_indexed") & F.col("embedding").isNotNull()).select("chunk_id", unit(F.col("embedding")).alias("c"))
-    dot = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return c.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", dot.alias("semantic_score"))
+    parts = 1 if n <= BROADCAST_QUERIES else -(-2 * n // BROADCAST_QUERIES)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
+
+
+def _unit(v: Column) -> Column:
+    """A vector over its length; null for a vector of no length."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))
+    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+
+
+def _dot(q: str, c: str) -> Column:
+    return F.aggregate(F.zip_with(q, c, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _scored(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    q = queries.select("query_id", _unit(F.col("vector")).alias("q"))
+    c = chunks.where(F.col("is_indexed") & F.col("embedding").isNotNull()).select("chunk_id", _unit(F.col("embedding")).alias("c"))
+    return c.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", _dot("q", "c").alias("semantic_score"))
 
 
 def words(text: Column) -> Column:
@@ -80,7 +98,8 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    return _top(semantic_scores(queries, chunks).withColumnRenamed("semantic_score", "score"), k)
+    """Best ``k`` by meaning. Each block of queries is cut to its best before rows move."""
+    return reduce(DataFrame.unionByName, [_top(_scored(block, chunks).withColumnRenamed("semantic_score", "score"), k) for block in _blocks(queries)])
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False) -> DataFrame:
@@ -94,11 +113,19 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = Fals
 
 
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, semantic: float = SEMANTIC_WEIGHT, lexical: float = LEXICAL_WEIGHT) -> DataFrame:
-    """Best ``k`` by both scores, weights made to add up to one."""
-    s, l = semantic_scores(queries.select("query_id", "vector"), chunks), lexical_scores(queries.select("query_id", "query"), chunks)
+    """Best ``k`` by both scores, weights made to add up to one.
+
+    A chunk without the query's words is among the best only if it is among the ``k`` best by meaning, so these and the
+    chunks with the words are all that is ranked; no other pair leaves its task.
+    """
     total = semantic + lexical
+    best = semantic_topk(queries.select("query_id", "vector"), chunks, k).select("query_id", "chunk_id", F.col("score").alias("semantic_score"), F.lit(None).cast("double").alias("lexical_score"))
+    vectors = chunks.where(F.col("is_indexed") & F.col("embedding").isNotNull()).select(F.col("chunk_id").alias("_c"), _unit(F.col("embedding")).alias("_cv"))
+    hits = lexical_scores(queries.select("query_id", "query"), chunks).join(vectors, F.col("chunk_id") == F.col("_c")).join(queries.select(F.col("query_id").alias("_q"), _unit(F.col("vector")).alias("_qv")), F.col("query_id") == F.col("_q"))
+    hits = hits.select("query_id", "chunk_id", _dot("_qv", "_cv").alias("semantic_score"), "lexical_score")
+    rows = best.unionByName(hits).groupBy("query_id", "chunk_id").agg(F.max("semantic_score").alias("semantic_score"), F.max("lexical_score").alias("lexical_score"))
     score = F.coalesce("semantic_score", F.lit(0.0)) * (semantic / total) + F.coalesce("lexical_score", F.lit(0.0)) * (lexical / total)
-    return _top(s.join(l, ["query_id", "chunk_id"], "left").withColumn("score", score), k)
+    return _top(rows.withColumn("score", score), k)
 
 
 def filter_chunks(chunks: DataFrame, document_id=None, version_id=None, page_id=None, content_type=None, evidence_types=None, entity_type=None, created_from=None, created_before=None) -> DataFrame:

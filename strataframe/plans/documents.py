@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk as op
-from ..operators.paging import order_pages
+from ..operators.paging import numbered
+from ..operators.paging import page_order as page_order_columns
 from ..sources import ingest, sinks
 from ..sources.views import table
 from ..streaming.tables import folder
@@ -90,7 +91,7 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     p = e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("page_number"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"sheet_index": '), F.col("user_id") % 5, F.lit("}"))).alias("metadata"), F.col("event_id").alias("created_at"))
-    return order_pages(p).limit(200).select("event_id")
+    return numbered(p, page_order_columns(), "position").select("event_id", "position")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,11 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("doc_id", "ordinal", "chunk_id", "token_count", "character_count")
 
 
-def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+_IDENTITIES = f"""SELECT doc_id, ordinal, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id,
+  greatest(1, n // 4)::INTEGER AS token_count, n::INTEGER AS character_count FROM (SELECT *, sha1(from_hex('00000000000050008000' || lpad(regexp_replace(source, '[^0-9]', '', 'g'), 12, '0')) || encode('PAGE:' || doc_id || ':' || ordinal || ':' || hash)) AS h FROM ({_CHUNKED}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id))"""
+
+
+def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.chunk_index(chunks(spark, sf_dir)).select("chunk_id", "document_version_id", "chunk_index")
 
 
@@ -278,12 +283,12 @@ QUERIES = {
     "a07_needs_ocr": (ocr_needed, r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) < 120 AS needed FROM documents"),
     "a08_ocr_lines": (lines, f"WITH {_LINES} SELECT * FROM l"),
     "a08_ocr_pages": (ocr_pages, f"WITH {_LINES} SELECT page, length(string_agg(text, chr(10))) AS n, round(round(avg(confidence), 4), 3) AS confidence FROM l GROUP BY 1"),
-    "a09_page_order": (page_order, "SELECT event_id FROM events ORDER BY CASE WHEN event_id % 3 <> 0 THEN user_id END NULLS LAST, CASE WHEN event_id % 2 = 0 THEN user_id % 5 END NULLS LAST, event_id LIMIT 200"),
+    "a09_page_order": (page_order, "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 <> 0 THEN user_id END NULLS LAST, CASE WHEN event_id % 2 = 0 THEN user_id % 5 END NULLS LAST, event_id) - 1 AS position FROM events"),
     "a10_grid_guard": (grids, f"WITH {_L} SELECT l_orderkey AS table_id, max(l_linenumber)::BIGINT + 1 AS n_rows, 3::BIGINT AS n_columns, (max(l_linenumber) + 1) * 3 <= 18 AS allowed FROM l GROUP BY 1"),
     "f01_chunks": (chunked, _CHUNKED),
     "f03_table_row_text": (row_texts, f"WITH {_L} SELECT l_orderkey AS table_id, l_linenumber AS row_index, 'Table ' || (l_orderkey % 5 + 1) || ', row ' || (l_linenumber + 1) || '. Headers: Item | Column 2 | Output (tonnes). Item: line ' || l_linenumber || ' | Column 2: ' || p || ' | Output (tonnes): ' || q AS text FROM l"),
-    "f05_chunk_ids": (identities, None),
-    "f06_chunk_index": (numbered, None),
+    "f05_chunk_ids": (identities, _IDENTITIES),
+    "f06_chunk_index": (chunk_numbers, f"SELECT chunk_id, document_version_id, (row_number() OVER (PARTITION BY document_version_id ORDER BY doc_id, ordinal) - 1)::INTEGER AS chunk_index FROM ({_IDENTITIES}) JOIN (SELECT doc_id, '00000000-0000-5000-8000-' || lpad(regexp_replace(source, '[^0-9]', '', 'g'), 12, '0') AS document_version_id FROM documents) USING (doc_id)"),
     "f07_trusted_text": (trusted, "SELECT s_suppkey AS id, 'Mine' AS entity_type, 'Mine. canonical_name: ' || s_name || CASE WHEN s_suppkey % 3 <> 0 THEN '; state: N' || s_nationkey ELSE '' END AS text, 'TRUSTED_CANONICAL_DATA' AS evidence_type FROM supplier UNION ALL SELECT p_partkey, 'Production', 'Production. commodity: ' || p_name || '; value: ' || p_size, 'TRUSTED_CANONICAL_DATA' FROM part"),
     "f08_merge_chunks": (merged, f"WITH {_FIRST}, n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new text' ELSE text END AS chunk FROM documents WHERE doc_id % 7 <> 0) SELECT n.doc_id AS chunk_id, CASE WHEN f.chunk_id IS NULL THEN 'ADDED' WHEN f.chunk = n.chunk THEN 'KEPT' ELSE 'CHANGED' END AS change, coalesce(f.chunk = n.chunk AND is_indexed, false) AS is_indexed, coalesce(f.chunk = n.chunk AND embedding IS NOT NULL, false) AS has_vector FROM n LEFT JOIN (SELECT * FROM f WHERE chunk_id % 4 <> 0) f ON f.chunk_id = n.doc_id"),
     "f08_removed_chunks": (removed, "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 = 0"),

@@ -46,7 +46,7 @@ def _grouped(by: str):
 
 
 def verified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verified(spark, sf_dir).select("record_id", "mine", "state", "company", "period", "year", "commodity", "unit", _six("value"))
+    return verified(spark, sf_dir).select("record_id", "mine", "state", "company", "period", "year", "commodity", "unit", _six("value"), F.col("provenance.id").alias("provenance_id"), F.col("provenance.verification_id").alias("provenance_verification"), F.col("provenance.verifier_id").alias("provenance_verifier"), F.col("provenance.source_page_id").alias("provenance_page"))
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ _ISSUES = _sql("""SELECT record_id, issue FROM (
 
 
 def count_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verified(spark, sf_dir).where(F.col("year") == 1998).agg(F.count(F.lit(1)).alias("n"))
+    return verified(spark, sf_dir).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def latest_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f"i07_production_by_{by}": _grouped(by) for by in op.GROUPS} | {
-    "d01_verified_production": (verified_records, _sql("SELECT record_id, mine, state, company, period, year, commodity, unit, round(value::DOUBLE, 6) AS value FROM verified")),
+    "d01_verified_production": (verified_records, _sql("SELECT record_id, mine, state, company, period, year, commodity, unit, round(value::DOUBLE, 6) AS value, record_id AS provenance_id, verification_id::VARCHAR AS provenance_verification, verifier_id::VARCHAR AS provenance_verifier, NULL::VARCHAR AS provenance_page FROM verified")),
     "c02_filtered_production": (filtered, _sql("SELECT record_id, state, year, commodity FROM verified WHERE year BETWEEN 1996 AND 1999 AND state ILIKE 'nation_1%' AND commodity ILIKE 'economy'")),
     "d16_only_record_ids": (by_record_ids, _sql("SELECT record_id, mine_id FROM verified WHERE record_id IN (SELECT record_id FROM production WHERE mine_id % 5 = 0)")),
     "i01_normalized_units": (normalized, _NORMALIZED),
@@ -219,7 +219,7 @@ QUERIES = {f"i07_production_by_{by}": _grouped(by) for by in op.GROUPS} | {
     "i03_extraction_units": (extraction_units, _EXTRACTION_UNITS),
     "i05_production_issues": (issues, _ISSUES),
     "i16_issue_checks": (issue_counts, f"SELECT issue AS validation_type, CASE WHEN issue LIKE 'MISSING_%' THEN 'WARNING' ELSE 'ERROR' END AS severity, CASE WHEN issue LIKE 'MISSING_%' THEN 'REVIEW_REQUIRED' ELSE 'FAILED' END AS status, count(*) AS n FROM ({_ISSUES}) GROUP BY 1, 2, 3"),
-    "i06_count_verified": (count_verified, _sql("SELECT count(*) AS n FROM verified WHERE year = 1998")),
+    "i06_count_verified": (count_verified, _sql("SELECT year, count(*) AS n FROM verified GROUP BY 1")),
     "i09_yearly": (observations, _sql("SELECT year, round(sum(tonnes)::DOUBLE, 6) AS value, count(*) AS record_count FROM good WHERE year IS NOT NULL GROUP BY 1")),
     "i10_trend_changes": (changes, _sql(f", {_BY_MINE} SELECT mine_id, from_year, year AS to_year, round((value - before)::DOUBLE, 6) AS change, round(CASE WHEN before <> 0 THEN (value - before)::DOUBLE / before::DOUBLE * 100 END, 4) AS change_percent FROM (SELECT *, lag(year) OVER w AS from_year, lag(value) OVER w AS before FROM by_mine WINDOW w AS (PARTITION BY mine_id ORDER BY year)) WHERE from_year IS NOT NULL")),
     "i11_cagr": (cagr, _sql(f", {_BY_MINE} SELECT mine_id, min(year) AS first_year, max(year) AS last_year, round(CASE WHEN max(year) > min(year) AND arg_min(value, year) > 0 THEN (pow(arg_max(value, year)::DOUBLE / arg_min(value, year)::DOUBLE, 1.0 / (max(year) - min(year))) - 1) * 100 END, 6) AS cagr_percent FROM by_mine GROUP BY 1")),

@@ -67,20 +67,25 @@ def bad_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("value"), F.when(F.col("p_partkey") % 5 != 0, "t").alias("unit"), F.when(F.col("p_partkey") % 7 != 0, "2020").alias("period"))
-    return op.publish_measurements(p).select("id", F.lit("measurement").alias("kind"), "reason").unionByName(op.publish_production(p).select("id", F.lit("production").alias("kind"), "reason"))
+    p = p.withColumns({"borehole_id": F.when(F.col("id") % 11 == 0, F.col("id")), "mine_id": F.when(F.col("id") % 2 == 0, F.col("id") % 40)})
+    boreholes = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("borehole_id"))
+    mines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("mine_id"))
+    m, q = op.publish_measurements(p, borehole_id=boreholes), op.publish_production(p, mine_id=mines)
+    return m.select("id", F.lit("measurement").alias("kind"), "reason").unionByName(q.select("id", F.lit("production").alias("kind"), "reason"))
 
 
 _FACTS = """WITH m AS (SELECT p_partkey AS id, list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'value' END, CASE WHEN p_partkey % 5 = 0 THEN 'unit' END], lambda x: x IS NOT NULL) AS a, CASE WHEN p_partkey % 7 = 0 THEN ['period'] ELSE [] END AS b FROM part)
-SELECT id, 'measurement' AS kind, CASE WHEN len(a) > 0 THEN 'MISSING ' || array_to_string(a, ',') END AS reason FROM m UNION ALL SELECT id, 'production', CASE WHEN len(a) + len(b) > 0 THEN 'MISSING ' || array_to_string(list_concat(a, b), ',') END FROM m"""
+SELECT id, 'measurement' AS kind, CASE WHEN len(a) > 0 THEN 'MISSING ' || array_to_string(a, ',') WHEN id % 11 = 0 AND id % 2 = 1 THEN 'UNKNOWN borehole_id' END AS reason FROM m
+UNION ALL SELECT id, 'production', CASE WHEN len(a) + len(b) > 0 THEN 'MISSING ' || array_to_string(list_concat(a, b), ',') WHEN id % 2 = 0 AND id % 40 NOT IN (SELECT n_nationkey FROM nation) THEN 'UNKNOWN mine_id' END FROM m"""
 
 
 def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).cast("string").alias("lat"), (F.col("p_partkey") % 170).cast("string").alias("lon"), _pick(("epsg:4326", "WGS 84", "EPSG:3857"), F.col("p_partkey") % 3).alias("crs"), F.when(F.col("p_partkey") % 4 != 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), F.lit("COORDINATE").alias("classification"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).cast("string").alias("lat"), (F.col("p_partkey") % 170).cast("string").alias("lon"), _pick(("epsg:4326", "4326", "EPSG:3857", "", "WGS-84", None), F.col("p_partkey") % 6).alias("crs"), F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("20.5, "), F.col("p_partkey") % 80, F.lit(".25"))).alias("accepted"), F.when(F.col("p_partkey") % 4 != 0, "VERIFIED").otherwise("PENDING").alias("verification_status"), F.lit("COORDINATE").alias("classification"))
 
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.publish_coordinates(_coordinates(spark, sf_dir)).select("id", "reason", F.col("point.geometry_wkt").alias("wkt"))
+    return op.publish_coordinates(_coordinates(spark, sf_dir), "accepted").select("id", "reason", F.col("point.geometry_wkt").alias("wkt"))
 
 
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +197,7 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def executive(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = spatial.layers(spark, sf_dir)
-    return reports.executive_report(production_report(production.verified(spark, sf_dir)), geo.count_layers(layers), layers).where("section IN ('layers', 'features')")
+    return reports.executive_report(production_report(production.verified(spark, sf_dir)), geo.count_layers(layers), layers).withColumn("value", F.round("value", 3))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +238,7 @@ def _drained(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataF
 
 def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = source(spark, sf_dir, "events").withColumn("content", F.concat_ws("|", "user_id", "event_type"))
-    return _drained(spark, jobs.stream_dedup(e, late="40 days")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("checksum").alias("n_distinct"))
+    return _drained(spark, jobs.stream_dedup(e, late="40 days")).select("checksum")
 
 
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,10 +254,14 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, then some of them again, every second of these with another text, and new ones: two batches, the second merged with the index of the first."""
     at = folder(spark)
-    c = source(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
-    q = jobs.stream_index(c, f"{at}/index", f"{at}/state")
-    q.awaitTermination()
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
+    again = d.where("chunk_id % 3 = 0").withColumn("chunk", F.when(F.col("chunk_id") % 2 == 0, F.lit("another text")).otherwise(F.col("chunk")))
+    for part in (d.where("chunk_id % 7 <> 0"), again):
+        part.write.mode("append").parquet(f"{at}/in")
+        q = jobs.stream_index(spark.readStream.schema(d.schema).parquet(f"{at}/in"), f"{at}/index", f"{at}/state")
+        q.awaitTermination()
     last = max(p["batchId"] for p in q.recentProgress)
     return spark.read.parquet(f"{at}/index/version={last}").select("chunk_id", "change", "is_indexed")
 
@@ -264,9 +273,9 @@ QUERIES = {
     "l05_published_aliases": (published, "SELECT s_suppkey AS entity_id, list_sort(CASE WHEN s_suppkey % 2 = 0 THEN ['OLD-' || s_suppkey, 'old ' || s_suppkey] ELSE ['old ' || s_suppkey] END) AS aliases FROM supplier"),
     "d11_bad_references": (bad_refs, "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 40 NOT IN (SELECT n_nationkey FROM nation)"),
     "l06_l07_facts": (facts, _FACTS),
-    "l08_coordinates": (coordinates, "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN 'CRS_UNSUPPORTED' WHEN p_partkey % 100 > 90 THEN 'INVALID_POINT' END AS reason, CASE WHEN p_partkey % 100 <= 90 THEN 'SRID=4326;POINT(' || (p_partkey % 170) || ' ' || (p_partkey % 100) || ')' END AS wkt FROM part"),
+    "l08_coordinates": (coordinates, "SELECT p_partkey AS id, CASE WHEN p_partkey % 6 IN (2, 4) THEN 'CRS_UNSUPPORTED' WHEN p_partkey % 10 <> 0 AND p_partkey % 100 > 90 THEN 'INVALID_POINT' END AS reason, CASE WHEN p_partkey % 10 = 0 THEN 'SRID=4326;POINT(20.5 ' || (p_partkey % 80) || '.25)' WHEN p_partkey % 100 <= 90 THEN 'SRID=4326;POINT(' || (p_partkey % 170) || ' ' || (p_partkey % 100) || ')' END AS wkt FROM part"),
     "d08_missing_trusted": (missing, "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 5 <> 0"),
-    "l12_backfill": (backfilled, "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'SKIPPED' WHEN p_partkey % 3 = 2 OR p_partkey % 100 > 90 THEN 'FAILED' ELSE 'CREATED' END AS outcome, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1"),
+    "l12_backfill": (backfilled, "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'SKIPPED' WHEN p_partkey % 6 IN (2, 4) OR p_partkey % 100 > 90 THEN 'FAILED' ELSE 'CREATED' END AS outcome, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1"),
     "l09_value_history": (history, f"{_VALUES} SELECT entity_id, field, seq, value FROM v WHERE value = f"),
     "l10_value_conflicts": (value_conflicts, f"{_VALUES} SELECT entity_id, field, seq, f AS value_a, value AS value_b FROM v WHERE value <> f"),
     "l11_already_published": (idempotent, "SELECT p_partkey AS id, p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 2 = 1) AS published FROM part"),
@@ -277,16 +286,16 @@ QUERIES = {
     "m02_trusted_union": (trusted_union, "SELECT s_suppkey AS id, s_name AS name, NULL::INTEGER AS value, 'MINE' AS entity_type FROM supplier UNION ALL SELECT p_partkey, NULL, p_size, 'PRODUCTION' FROM part UNION ALL SELECT c_custkey, c_name, NULL, 'BOREHOLE' FROM customer"),
     "v07_quality_report": (checked, _CHECKED),
     "n01_validated_reports": (validated, _VALIDATED),
-    "n02_document_report": (sections, None),
-    "n03_comparison_report": (comparison, None),
-    "n04_executive_report": (executive, spatial._LAYERS + "SELECT 'layers' AS section, entity_type AS key, count(*)::DOUBLE AS value FROM layers GROUP BY 2 UNION ALL SELECT 'features', entity_type, count(*)::DOUBLE FROM (SELECT * FROM layers ORDER BY entity_type, id LIMIT 100) GROUP BY 2"),
+    "n02_document_report": (sections, text._sql(", k AS (SELECT 'keywords' AS section, term, count(*) AS frequency FROM counted GROUP BY term ORDER BY frequency DESC, term LIMIT 20), t AS (SELECT 'topics' AS section, term, count(*) AS frequency FROM counted WHERE contains(term, ' ') GROUP BY term ORDER BY frequency DESC, term LIMIT 20) SELECT section, term, frequency, least(frequency, 5)::INTEGER AS n_citations FROM (SELECT * FROM k UNION ALL SELECT * FROM t)")),
+    "n03_comparison_report": (comparison, text._sql(f", {text._OWN}, r AS (SELECT term, sum(frequency) AS total, CASE WHEN count(*) = (SELECT count(DISTINCT source) FROM documents) THEN 'COMMON' ELSE 'DOCUMENT_SPECIFIC' END AS class FROM own GROUP BY 1), z AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY total DESC, term) AS r FROM r) SELECT class, count(*) AS n_topics, list(term ORDER BY r) FILTER (WHERE r <= 5) AS first_topics FROM z GROUP BY 1")),
+    "n04_executive_report": (executive, "SELECT section, key, value FROM (" + production.QUERIES["i25_production_report"][1] + ") UNION ALL SELECT section, key, value FROM (" + spatial._LAYERS + "SELECT 'layers' AS section, entity_type AS key, count(*)::DOUBLE AS value FROM layers GROUP BY 2 UNION ALL SELECT 'features', entity_type, count(*)::DOUBLE FROM (SELECT * FROM layers ORDER BY entity_type, id LIMIT 100) GROUP BY 2" + ")"),
     "n05_report_sources": (sources, "SELECT user_id % 60 AS report_id, list_sort(list(DISTINCT event_id % 20) FILTER (WHERE event_id % 997 <> 5)) AS document_ids, list_sort(list(DISTINCT event_id % 40)) AS version_ids FROM events GROUP BY 1"),
     "n06_reference_summary": (summary, _SUMMARY),
     "n07_findings": (numeric_findings, "SELECT report_id, r AS rank, v AS value, event_type AS kind FROM (SELECT user_id % 60 AS report_id, (event_id % 10)::VARCHAR AS v, event_type, row_number() OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS r FROM events) WHERE r <= 4"),
     "n08_appendix_evidence": (appendix, "SELECT report_id, position, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY tier, position) AS r FROM (SELECT user_id % 60 AS report_id, event_id AS position, CASE WHEN event_id % 2 = 0 AND row_number() OVER (PARTITION BY user_id % 60, CASE WHEN event_id % 2 = 0 THEN event_type END ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS tier FROM events)) WHERE r <= 10"),
     "d15_citations": (cited, "SELECT event_type AS term, list('E' || CASE WHEN event_id = 77 THEN 1 ELSE event_id END ORDER BY user_id % 60, event_id) AS citations FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1"),
-    "s01_stream_dedup": (stream_unique, "SELECT count(DISTINCT user_id || '|' || event_type) AS n, count(DISTINCT user_id || '|' || event_type) AS n_distinct FROM events"),
-    "s02_stream_index": (stream_index, "SELECT doc_id AS chunk_id, 'ADDED' AS change, false AS is_indexed FROM documents"),
+    "s01_stream_dedup": (stream_unique, "SELECT DISTINCT sha256(user_id || '|' || event_type) AS checksum FROM events"),
+    "s02_stream_index": (stream_index, "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'ADDED' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'CHANGED' ELSE 'KEPT' END AS change, false AS is_indexed FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0"),
     "s03_stream_activity": (stream_activity, "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, action, n FROM w WHERE s + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"),
     "s04_stream_decisions": (stream_states, f"WITH {review.FOLD_ALL} SELECT id, seq, action, state, outcome FROM s WHERE r > 0"),
 }

@@ -170,12 +170,19 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") + 1).alias("page_number"), F.col("text").alias("page_text"), F.concat(F.lit("file-"), "source").alias("document_name"))
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates with the content unit of every second, pages, and content units."""
+    c = classified(spark, sf_dir).withColumn("content_id", F.when(F.col("id") % 2 == 0, F.col("id") % 70))
+    contents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), F.col("text").alias("content_text"))
+    return c, _pages(spark, sf_dir), contents
+
+
 def digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.queue_search(classified(spark, sf_dir), _pages(spark, sf_dir), "12").select("id")
+    return op.queue_search(*_searched(spark, sf_dir), "12").select("id")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.queue_search(classified(spark, sf_dir), _pages(spark, sf_dir), "RING").select("id")
+    return op.queue_search(*_searched(spark, sf_dir), "RI_G").select("id")
 
 
 def unconflicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,25 +198,31 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.candidate_detail(c, docs, _pages(spark, sf_dir), proposals, op.extraction_conflicts(candidates(spark, sf_dir))).select("id", "n_name", "page_number", "proposal", "n_conflicts")
 
 
-def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against suppliers as known entities, by code, name, place."""
+def _identity(spark: SparkSession, sf_dir: str, near: bool) -> DataFrame:
+    """Customers against suppliers as known entities, by code, name, place; with ``near`` some names are merely like known ones."""
     s = table(spark, sf_dir, "supplier")
     e = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Mine Alpha "), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("canonical_name"), F.array(F.concat(F.lit("A-"), "s_suppkey")).alias("aliases"), F.concat(F.lit("C"), "s_suppkey").alias("domain_code"), F.concat(F.lit("P"), F.col("s_nationkey")).alias("parent"), (F.col("s_suppkey") / 10.0).alias("lat"), (F.col("s_suppkey") / 5.0).alias("lon"))
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    name = F.when(k % 6 == 0, F.concat(F.lit("a "), k)).when(k % 6 == 1, F.concat(F.lit("MINE-ALPHA "), F.lpad(k.cast("string"), 4, "0"))).when(k % 6 == 2, "").otherwise(F.concat(F.lit("zz"), k))
+    if not near:  # names that are like none where they are none
+        c = c.crossJoin(F.broadcast(s.agg(F.max("s_suppkey").alias("n"))))  # one row
+    known = F.lit(True) if near else k <= F.col("n")
+    name = F.when(k % 6 == 0, F.concat(F.lit("a "), k)).when((k % 6 == 1) & known, F.concat(F.lit("MINE-ALPHA "), F.lpad(k.cast("string"), 4, "0"))).when(k % 6 == 2, "").otherwise(F.concat(F.lit("zz"), k))
     cands = c.select(k.alias("id"), name.alias("name"), F.when(k % 6 == 3, F.concat(F.lit("c"), k)).alias("code"), F.when(k % 12 == 1, "other").alias("parent"), F.when(k % 6 == 4, k / 10.0 + 0.001).alias("lat"), F.when(k % 6 == 4, k / 5.0).alias("lon"))
     return op.resolve_identity(cands, e)
 
 
-_IDENTITY = """WITH n AS (SELECT count(*) AS n FROM supplier) SELECT c_custkey AS id, CASE WHEN k = 2 THEN 'UNRESOLVED' WHEN c_custkey >= n OR k = 5 THEN 'NEW' WHEN k = 0 THEN 'MATCHED' WHEN k = 1 THEN CASE WHEN c_custkey % 12 = 1 THEN 'CONFLICT' ELSE 'MATCHED' END ELSE 'POSSIBLE_MATCH' END AS identity_status,
-  CASE WHEN k <> 2 AND k <> 5 AND c_custkey < n THEN c_custkey END AS entity_id FROM (SELECT *, c_custkey % 6 AS k FROM customer), n WHERE c_custkey < n OR k <> 1"""
+def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identity(spark, sf_dir, False)
+
+
+def identity_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With names that similarity alone decides; compared with a scan of all pairs in the tests."""
+    return _identity(spark, sf_dir, True)
 
 
-def identity_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without names that are merely like a known one: those are for the tests."""
-    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    return identity(spark, sf_dir).crossJoin(F.broadcast(n)).where("id < n OR id % 6 <> 1").drop("n")  # one row
+_IDENTITY = """WITH n AS (SELECT max(s_suppkey) AS n FROM supplier) SELECT c_custkey AS id, CASE WHEN k = 2 THEN 'UNRESOLVED' WHEN c_custkey > n OR k = 5 THEN 'NEW' WHEN k = 0 THEN 'MATCHED' WHEN k = 1 THEN CASE WHEN c_custkey % 12 = 1 THEN 'CONFLICT' ELSE 'MATCHED' END ELSE 'POSSIBLE_MATCH' END AS identity_status,
+  CASE WHEN k <> 2 AND k <> 5 AND c_custkey <= n THEN c_custkey END AS entity_id FROM (SELECT *, c_custkey % 6 AS k FROM customer), n"""
 
 
 QUERIES = {
@@ -219,7 +232,8 @@ QUERIES = {
     "k04_edit_issues": (edits, "SELECT event_id, [NULL, 'UNSUPPORTED_FIELDS', 'NO_VALUE', 'NOT_A_NUMBER', 'UNIT_UNKNOWN', NULL][event_id % 6 + 1] AS edit_issue FROM events"),
     "d10_fuzzy_match": (fuzzy, None),
     "k06_mapping": (mapped, None),
-    "k07_identity": (identity_known, _IDENTITY),
+    "k07_identity": (identity, _IDENTITY),
+    "k07_identity_near": (identity_near, None),
     "k08_class_counts": (counts, f"{_CLASS} SELECT classification, count(*) AS n FROM r GROUP BY 1"),
     "d09_conflict_keys": (conflicts, f"{_CONFLICTS} SELECT * FROM g"),
     "k09_conflict_members": (members, f"{_CONFLICTS} SELECT candidate_type, semantic_key, id, 'OPEN' AS status FROM c JOIN g ON kind = candidate_type AND p_brand || '|' || (k % 30) = semantic_key"),
@@ -228,7 +242,7 @@ QUERIES = {
     "l01_decisions": (events, f"WITH {_FOLD} SELECT id, seq, action, state, outcome FROM s WHERE r > 0"),
     "l01_current_state": (state, f"WITH {_FOLD} SELECT p_partkey AS id, coalesce((SELECT arg_max(state, r) FROM s WHERE s.id = p_partkey), 'PENDING') AS verification_status FROM part"),
     "c04_queue_search_digits": (digits, f"WITH {_CANDS} SELECT id FROM c WHERE k % 50 = 11 OR lower(v) = '12'"),
-    "c05_queue_search_text": (words, f"{_CLASS} SELECT id FROM r JOIN documents ON doc_id = k % 50 WHERE contains(lower('text ' || p_name), 'ring') OR contains(lower(coalesce(v, '')), 'ring') OR contains(kind, 'ring') OR contains(lower(classification), 'ring') OR contains(lower('file-' || source), 'ring') OR contains(lower(text), 'ring')"),
+    "c05_queue_search_text": (words, f"{_CLASS} SELECT id FROM r JOIN documents d ON d.doc_id = k % 50 LEFT JOIN documents t ON t.doc_id = CASE WHEN id % 2 = 0 THEN id % 70 END WHERE lower('text ' || p_name) LIKE '%ri_g%' OR lower(v) LIKE '%ri_g%' OR kind LIKE '%ri_g%' OR lower(classification) LIKE '%ri_g%' OR lower('file-' || d.source) LIKE '%ri_g%' OR lower(t.text) LIKE '%ri_g%'"),
     "c06_queue_filter": (queue, f"{_CLASS} SELECT id FROM r WHERE k % 4 = 0 AND classification = 'MINE' AND failed"),
     "c08_without_conflict": (unconflicted, f"{_CONFLICTS} SELECT id FROM c WHERE (kind, p_brand || '|' || (k % 30)) NOT IN (SELECT (candidate_type, semantic_key) FROM g)"),
     "d13_candidate_detail": (detail, f"{_CONFLICTS} SELECT id, n_name, k % 50 + 1 AS page_number, CASE WHEN id % 2 = 0 THEN 'NEW' END AS proposal, CASE WHEN g.semantic_key IS NULL THEN 0 ELSE 1 END AS n_conflicts FROM c LEFT JOIN nation ON n_nationkey = k % 20 LEFT JOIN g ON kind = candidate_type AND p_brand || '|' || (k % 30) = semantic_key"),

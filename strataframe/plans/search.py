@@ -17,21 +17,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as queries: two frequent words each, with the vector of the same number."""
+    """Benchmark texts as queries: their first one to three different words, with the vector of the same number."""
     b, v = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     words = F.array_distinct(op.words(F.col("text")))
-    return b.join(v, b.item_id == v.vec_id).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"), F.col("embedding").alias("vector"))
+    return b.join(v, b.item_id == v.vec_id).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " ").alias("query"), F.col("embedding").alias("vector"))
 
 
-_SCORES = """q AS (SELECT item_id AS query_id, embedding AS v, list_distinct_words[1] AS a, list_distinct_words[2] AS b FROM (
+_SCORES = """q AS (SELECT item_id AS query_id, embedding AS v, list_distinct_words[1] AS a, CASE WHEN item_id % 3 > 0 THEN list_distinct_words[2] END AS b, CASE WHEN item_id % 3 > 1 THEN list_distinct_words[3] END AS c FROM (
   SELECT item_id, embedding, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_words FROM (SELECT item_id, embedding, regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+') AS w FROM benchmark b JOIN embeddings ON item_id = vec_id))),
 c AS (SELECT doc_id AS chunk_id, vec_id, embedding, text FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 s AS (SELECT query_id, chunk_id, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS score FROM q JOIN c ON vec_id IS NOT NULL)"""
-# two different words: a cover is a neighbouring pair of places of different words
+# a cover ends at every place where all words have been seen and the last place of the one seen longest ago has moved
 _LEXICAL = """, p AS (SELECT chunk_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM c)),
-h AS (SELECT query_id, chunk_id, word, pos FROM q JOIN p ON word = a OR word = b),
-n AS (SELECT *, lag(word) OVER w AS before, lag(pos) OVER w AS before_pos FROM h WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos)),
-l AS (SELECT query_id, chunk_id, sum(1.0 / (pos - before_pos)) AS r FROM n WHERE before <> word GROUP BY 1, 2),
+h AS (SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = a UNION ALL SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = b UNION ALL SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = c),
+n AS (SELECT *, max(pos) FILTER (word = a) OVER w AS la, max(pos) FILTER (word = b) OVER w AS lb, max(pos) FILTER (word = c) OVER w AS lc, 1 + (b IS NOT NULL)::INTEGER + (c IS NOT NULL)::INTEGER AS m FROM h WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN la IS NOT NULL AND (b IS NULL OR lb IS NOT NULL) AND (c IS NULL OR lc IS NOT NULL) THEN least(la, lb, lc) END AS start FROM n),
+e AS (SELECT *, lag(start) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS before FROM g),
+l AS (SELECT query_id, chunk_id, sum(1.0 / (pos - start + 2 - m)) AS r FROM e WHERE start IS NOT NULL AND (before IS NULL OR start > before) GROUP BY 1, 2),
 x AS (SELECT query_id, chunk_id, r / (1 + r) AS lexical FROM l)"""
 
 
@@ -49,7 +51,7 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), 10, pad=True).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return op.lexical_topk(queries(spark, sf_dir), chunks(spark, sf_dir), 10, pad=True).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +135,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "g01_semantic_topk": (semantic, f"WITH {_SCORES} {_ranked('s', 10)}"),
     "g02_lexical_scores": (lexical, f"WITH {_SCORES}{_LEXICAL} SELECT query_id, chunk_id, round(lexical, 6) AS score FROM x"),
-    "g02_lexical_padded": (padded, "SELECT item_id AS query_id, least(10, (SELECT count(*) FROM documents)) AS n FROM benchmark JOIN embeddings ON item_id = vec_id"),
+    "g02_lexical_padded": (padded, f"WITH {_SCORES}{_LEXICAL} SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(lexical, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(lexical, 0) DESC, chunk_id) AS rank FROM (SELECT query_id, q_c.chunk_id, lexical FROM (SELECT query_id, chunk_id FROM q CROSS JOIN (SELECT chunk_id FROM c)) q_c LEFT JOIN x USING (query_id, chunk_id))) WHERE rank <= 10"),
     "g03_hybrid_topk": (hybrid, f"WITH {_SCORES}{_LEXICAL}, y AS (SELECT s.query_id, s.chunk_id, 0.7 * score + 0.3 * coalesce(lexical, 0) AS score FROM s LEFT JOIN x USING (query_id, chunk_id)) {_ranked('y', 10)}"),
     "c10_filtered_chunks": (filtered, "SELECT doc_id AS chunk_id FROM documents WHERE source = 'src1' AND lang = 'en' AND doc_id % 5 <> 0"),
     "d05_chunk_context": (context, f"{_HITS} SELECT query_id, chunk_id, 'file-' || document_id AS document_name FROM hits"),

@@ -72,7 +72,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intel.frequency_changes(chunks(spark, sf_dir).where(F.col("document_id").isin("src1", "src2", "src3")))
+    return intel.frequency_changes(chunks(spark, sf_dir))
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,10 @@ def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", fn.safe_filename(F.col("url")).alias("name"))
 
 
-_FILENAMES = r"""SELECT page_id, CASE WHEN length(c) > 0 THEN substr(c, 1, 160) ELSE 'document' END AS name FROM (
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_extract(replace(url, '\', '/'), '([^/]*)$', 1)), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS c FROM pages)"""
+_FILENAMES = r"""WITH l AS (SELECT page_id, regexp_extract(replace(url, '\', '/'), '([^/]*)$', 1) AS leaf FROM pages),
+c AS (SELECT page_id, lower(regexp_extract(leaf, '^.+(\.[^.]+)$', 1)) AS extension, regexp_replace(regexp_replace(regexp_replace(strip_accents(leaf), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS clean FROM l),
+s AS (SELECT page_id, extension, substr(regexp_replace(regexp_replace(clean, '\.[^.]+$', ''), '^[._-]+|[._-]+$', '', 'g'), 1, 160) AS stem FROM c)
+SELECT page_id, CASE WHEN stem = '' THEN 'document' ELSE stem END || extension AS name FROM s"""
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ QUERIES = {
     "h05_distribution": (distribution, _sql(f", {_TOPICS} SELECT term, document_id, count(*) AS frequency FROM counted WHERE term IN (SELECT term FROM top) GROUP BY 1, 2")),
     "c17_topics_for_document": (document_topics, _sql(f", {_TOPICS} SELECT term, count(*) AS frequency FROM counted WHERE term IN (SELECT term FROM top) AND document_id = 'src1' GROUP BY 1")),
     "h07_keywords_by_document": (keywords_by_document, _sql(", k AS (SELECT document_id, term, count(*) AS frequency, sum(n)::BIGINT AS token_frequency, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, term) AS r FROM counted GROUP BY 1, 2) SELECT document_id, term, frequency, token_frequency, round(frequency / max(frequency) OVER (PARTITION BY document_id), 6) AS weight FROM k WHERE r <= 20")),
-    "h08_frequency_changes": (changes, _sql(f", {_OWN}, three AS (SELECT * FROM own WHERE document_id IN ('src1', 'src2', 'src3')) SELECT t.term, d.document_id, coalesce(frequency, 0) AS frequency FROM (SELECT DISTINCT term FROM three) t CROSS JOIN (SELECT unnest(['src1', 'src2', 'src3']) AS document_id) d LEFT JOIN three o ON o.term = t.term AND o.document_id = d.document_id")),
+    "h08_frequency_changes": (changes, _sql(f", {_OWN}, every_document AS (SELECT DISTINCT source AS document_id FROM documents) SELECT t.term, d.document_id, coalesce(frequency, 0) AS frequency FROM (SELECT DISTINCT term FROM own) t CROSS JOIN every_document d LEFT JOIN own o ON o.term = t.term AND o.document_id = d.document_id")),
     "h09_compare_documents": (compared, _sql(f", {_OWN} SELECT term, count(*) AS n_documents, sum(frequency)::BIGINT AS total, CASE WHEN count(*) = (SELECT count(DISTINCT source) FROM documents) THEN 'COMMON' ELSE 'DOCUMENT_SPECIFIC' END AS class FROM own GROUP BY 1")),
     "h10_needs_rebuild": (rebuild, "WITH n AS (SELECT source AS document_id, count(*) AS n, count(*) FILTER (WHERE doc_id % 17 <> 0) AS m FROM documents GROUP BY 1) SELECT document_id, document_id = 'src3' OR n <> m AS rebuild FROM n"),
     "h11_themes": (themes, _THEMES),
