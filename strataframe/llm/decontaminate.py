@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, kept
 
 #: Six tokens each; every pattern of one replaced token in five leaves one of them whole.
 MASKS = ("1110111", "11011011", "111100011", "1010110011")
@@ -55,42 +55,54 @@ def _best_window() -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.col("n_overlap") - 1), start, step)["best"]
 
 
-def _laid_over(d: DataFrame, seeds: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``(key, words, item, item_words, shift)``: every document laid over every item at every hit.
+def _row(key: str, text: str) -> list[Column]:
+    """128 bits that stand for a row."""
+    return [F.xxhash64(key, text).alias("row"), F.xxhash64(F.lit(1), key, text).alias("row2")]
 
-    A small benchmark is broadcast and documents stay where they are. A large one is joined by hash with the documents'
-    hashes alone, and the words are joined to the hits.
-    """
-    hashed = _exploded(d, "words", "at", "seed", masks)
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    if seeds.count() <= BROADCAST_SEEDS:
-        hits = hashed.join(F.broadcast(seeds), F.col("seed") == F.col("item_seed")).select("key", "words", "own", shift)
-        return hits.join(F.broadcast(items), F.col("own") == F.col("item_row"))
-    hits = hashed.select("row", "at", "seed").join(seeds, F.col("seed") == F.col("item_seed")).select(F.col("row").alias("hit"), "own", shift).distinct()
-    return d.join(hits, F.col("row") == F.col("hit")).join(items, F.col("own") == F.col("item_row"))
 
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.75) -> DataFrame:
+    """``(row, row2, key, item, n_equal, shift, n_overlap, best_window, doc_start, item_start)``: every row of ``docs`` laid over every item that shares a passage with it, once for each shift.
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = 13, share: float = 0.75) -> DataFrame:
+    First the seeds alone are joined, and each (row, item, shift) is kept once in the shared folder, whatever its number
+    of hits; then the texts of the rows found are read again and verified. A benchmark of few seeds is broadcast, which
+    bounds its words too; the rows found are left to Spark's own size check.
+    """
+    d = docs.select(*_row(key, text), F.col(key).alias("key"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item).alias("item"), F.xxhash64(item, item_text).alias("item_row"), tokens(F.col(item_text)).alias("item_words")).dropDuplicates(["item_row"])
+    items = items.where(F.size("item_words") >= min(map(len, masks)))
+    seeds = _exploded(items, "item_words", "item_at", "item_seed", masks).select(F.col("item_row").alias("own"), "item_at", "item_seed")
+    small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else lambda x: x
+    hashed = _exploded(d.select("row", "row2", tokens(F.col("text")).alias("words")), "words", "at", "seed", masks).select("row", "row2", "at", "seed")
+    hits = hashed.join(small(seeds), F.col("seed") == F.col("item_seed")).select(F.col("row").alias("hit"), F.col("row2").alias("hit2"), "own", (F.col("at") - F.col("item_at")).alias("shift"))
+    hits = kept(hits.distinct(), "hits")
+    laid = d.join(hits, (F.col("row") == F.col("hit")) & (F.col("row2") == F.col("hit2"))).withColumn("words", tokens(F.col("text"))).drop("text", "hit", "hit2")
+    laid = laid.join(small(items), F.col("own") == F.col("item_row")).withColumn("item_start", F.greatest(F.lit(0), -F.col("shift")))
+    laid = laid.withColumns({"doc_start": F.col("item_start") + F.col("shift"), "n_overlap": F.least(F.size("item_words"), F.size("words") - F.col("shift")) - F.col("item_start"), "span": F.least(F.lit(window), F.size("item_words"))})
+    found = laid.withColumn("best_window", _best_window()).where(F.col("best_window") >= F.ceil(F.lit(share) * F.col("span")))
+    equal = F.aggregate(F.sequence(F.lit(0), F.col("n_overlap") - 1), F.lit(0), lambda acc, i: acc + _equal(i))
+    return found.select("row", "row2", "key", "item", equal.alias("n_equal"), "shift", "n_overlap", "best_window", "doc_start", "item_start")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
     """``(key, item, n_equal, n_overlap, best_window, doc_start, item_start)``: one row for each document and benchmark item with a shared passage.
 
     A passage counts when some window of ``window`` tokens (the whole item where it is shorter) has at least ``share`` of
-    its tokens equal at equal places; ``n_equal`` of ``n_overlap`` tokens are equal where the texts lie over each other.
-    Null or short texts (fewer tokens than a mask) match nothing. Repeated documents and items give a row for each key.
-    Empty tables give an empty result. Names of the two tables may clash.
+    its tokens equal at equal places; ``n_equal`` of ``n_overlap`` tokens are equal where the texts lie over each other
+    best (of ties the smaller shift). Null or short texts (fewer tokens than a mask) match nothing. Repeated documents and
+    items give one row for each key and item id, null ones included. Empty tables give an empty result. Names of the two
+    tables may clash; other columns play no part.
     """
-    d = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), tokens(F.col(text)).alias("words"))
-    items = benchmark.select(F.col(item).alias("item"), F.xxhash64(item, item_text).alias("item_row"), tokens(F.col(item_text)).alias("item_words")).dropDuplicates(["item_row"])
-    seeds = _exploded(items, "item_words", "item_at", "item_seed", masks).select(F.col("item_row").alias("own"), "item_at", "item_seed")
-    hits = _laid_over(d, seeds, items, masks).withColumn("item_start", F.greatest(F.lit(0), -F.col("shift")))
-    hits = hits.withColumns({"doc_start": F.col("item_start") + F.col("shift"), "n_overlap": F.least(F.size("item_words"), F.size("words") - F.col("shift")) - F.col("item_start"), "span": F.least(F.lit(window), F.size("item_words"))})
-    hits = hits.withColumn("best_window", _best_window())
-    found = hits.where(F.col("best_window") >= F.ceil(F.lit(share) * F.col("span")))
-    found = found.withColumn("n_equal", F.aggregate(F.sequence(F.lit(0), F.col("n_overlap") - 1), F.lit(0), lambda acc, i: acc + _equal(i)))
-    best = found.groupBy("key", "item").agg(F.max(F.struct("n_equal", -F.col("shift"), "n_overlap", "best_window", "doc_start", "item_start")).alias("m"))
+    best = matches(docs, benchmark, key, text, item, **options).groupBy("key", "item").agg(F.max(F.struct("n_equal", -F.col("shift"), "n_overlap", "best_window", "doc_start", "item_start")).alias("m"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), "m.n_equal", "m.n_overlap", "m.best_window", "m.doc_start", "m.item_start")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose key shares a passage with the benchmark; all their columns are kept. Null keys stay."""
-    bad = contaminated(docs, benchmark, key, **options).select(F.col(key).alias(fresh(docs, "bad"))).distinct()
-    return docs.join(bad, F.col(key) == F.col(bad.columns[0]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text shares a passage with the benchmark; all their columns, of whatever names, are kept.
+
+    Rows are removed by what they hold, so rows of a null key go like others, and of two rows with one key only the one
+    with the passage. Null, empty and short texts stay. An empty benchmark removes nothing.
+    """
+    a, b = fresh(docs, "bad_a"), fresh(docs, "bad_b")
+    bad = kept(matches(docs, benchmark, key, text, **options).select(F.col("row").alias(a), F.col("row2").alias(b)).distinct(), "leaks")
+    own = _row(key, text)
+    return docs.join(bad, (own[0] == F.col(a)) & (own[1] == F.col(b)), "left_anti")
