@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Width and number of the filters.
 FILTERS = ((2, 8), (3, 12), (4, 12))
@@ -57,20 +58,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 1, epochs: int = 12, rate: float = 0.02, per_text: int = 3, embed: int = 8) -> ByteNet:
-    """Fit on labelled texts; ``per_text`` windows of each are used. With one label, or no text, the net knows that alone."""
+def draw(data: bytes, per_text: int, seed: int) -> np.ndarray:
+    """``per_text`` different windows from anywhere in a text (all, if it has fewer)."""
+    w = windows(data)
+    return w[np.random.default_rng(seed).choice(len(w), min(per_text, len(w)), replace=False)]
+
+
+def train(texts: list[str], labels: list[str], per_text: int = 3, **options) -> ByteNet:
+    """:func:`train_windows` on ``per_text`` windows of each text."""
+    drawn = [draw(t.encode("utf-8", "surrogatepass"), per_text, i) for i, t in enumerate(texts)]
+    return train_windows(np.concatenate([np.zeros((0, WINDOW + 3), np.uint8), *drawn]), [x for x, d in zip(labels, drawn, strict=True) for _ in d], **options)
+
+
+def train_windows(x: np.ndarray, labels: list[str], seed: int = 1, epochs: int = 12, rate: float = 0.02, embed: int = 8) -> ByteNet:
+    """Fit on labelled windows. With one label, or no window, the net knows that alone."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     net = ByteNet(names, rng.normal(0, 0.5, (256, embed)).astype(np.float32), [rng.normal(0, (width * embed) ** -0.5, (width * embed, n)).astype(np.float32) for width, n in FILTERS], np.zeros(sum(n for _, n in FILTERS), np.float32), rng.normal(0, 0.2, (sum(n for _, n in FILTERS), max(len(names), 1))).astype(np.float32), np.zeros(max(len(names), 1), np.float32))
-    xs, ys = [], []
-    for t, label in zip(texts, labels, strict=True):
-        w = windows(t.encode("utf-8", "surrogatepass"))
-        take = rng.choice(len(w), min(per_text, len(w)), replace=False)
-        xs.append(w[take])
-        ys += [names.index(label)] * len(take)
     if len(names) < 2:
         return net
-    x, y = np.concatenate(xs), np.array(ys)
+    y = np.searchsorted(names, labels)
     params = [net.embedding, *net.kernels, net.bias, net.weights, net.offset]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -146,25 +153,45 @@ class Scorer:
         return out
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 1000, chars: int = 1200) -> ByteNet:
-    """Train on about ``per_label`` rows of each label, the ones with the smallest key hashes, ``chars`` characters of each.
+def sample(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 1000, per_text: int = 3) -> DataFrame:
+    """``(h, label, at, window)``: windows of at most ``per_label`` rows of each label, ``per_text`` of each, from anywhere in their texts.
 
-    These two bounds keep what the driver holds at ``per_label * chars`` characters a label; a row for each label is broadcast. Rows without label or text are
-    not used. Where in a text its characters are taken depends on the hash.
+    Rows are chosen by a hash of key and text, smallest first; equal rows count once, rows without label or text do not
+    count. Tasks draw the windows, so the result has at most ``per_label * per_text`` rows of ``WINDOW + 3`` bytes a
+    label, however long texts are and whatever their keys.
     """
-    h = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11).cast("double") * 2.0**-53
-    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), h.alias("h"))
+    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    share = F.shiftrightunsigned("h", 11).cast("double") * 2.0**-53
     sizes = rows.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    start = (F.col("h") * F.lit(1e6)) % F.greatest(F.length("text") - chars, F.lit(1)) + 1
-    taken = rows.join(F.broadcast(sizes), F.col("label") == F.col("l")).where(F.col("h") * F.col("n") < per_label).select("label", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "h")
-    sample = sorted((r.h, r.label, r.text) for r in taken.collect())
-    return train([t for _, _, t in sample], [x for _, x, _ in sample])
+    near = rows.join(F.broadcast(sizes), F.col("label") == F.col("l")).where(share * F.col("n") < 1.5 * per_label).select("h", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            drawn = [draw(t, per_text, x % 2**32) for x, t in zip(h, batch.column(2).cast(pa.binary()).to_pylist(), strict=True)]
+            out = [(x, y, i, w.tobytes()) for x, y, d in zip(h, labels, drawn, strict=True) for i, w in enumerate(d)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["h", "label", "at", "window"])
+
+    found = near.mapInArrow(run, "h long, label string, at int, window binary").dropDuplicates(["label", "h", "at"])
+    order = Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 1), "h")
+    return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= per_label).drop("rank")
+
+
+def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 1000, per_text: int = 3) -> ByteNet:
+    """Train on :func:`sample`; the driver holds that sample, and a row for each label is broadcast.
+
+    A table without labelled texts gives a net that knows no label. Columns of other names play no part.
+    """
+    rows = sorted((r.h, r.label, r.at, bytes(r.window)) for r in sample(df, text, label, key, per_label, per_text).collect())
+    return train_windows(np.frombuffer(b"".join(w for *_, w in rows), np.uint8).reshape(-1, WINDOW + 3), [x for _, x, _, _ in rows])
 
 
 def identify(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with ``label`` (``und`` for a null text or one without letters) and ``score``, the label's probability.
 
-    Columns of these names are replaced. Every byte of a text counts. A net that knows no label says ``und``.
+    Columns of these names are replaced; others, of whatever names, are kept. Every byte of a text counts, however long it
+    is. Of equally likely labels the first in order is taken. A net that knows no label says ``und``. Repeated rows are
+    scored alike; an empty table stays empty.
     """
     kept = df.drop(label, score)
     place = kept.columns.index(next(c for c in kept.columns if c.lower() == text.lower()))
