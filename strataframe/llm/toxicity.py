@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from .common import cut
+
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
 FEATURES = 1 << 18
@@ -158,30 +160,42 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 4000, chars: int = 4000) -> ToxicNet:
-    """Train on about ``per_class`` rows of ``docs`` of each class in ``labels (key, label)``, the ones with the smallest key hashes, ``chars`` characters of each from a place that the hash chooses.
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 4000, chars: int = 40_000_000) -> DataFrame:
+    """``(h, label, text)``: whole texts of at most ``per_class`` rows of ``docs`` of each class in ``labels (key, label)``.
 
-    The two bounds keep what the driver holds at ``2 * per_class * chars`` characters. The rows are chosen on keys alone,
-    and the chosen keys, ``2 * per_class`` of them, are broadcast to the texts. Rows without label or text are not used.
+    Rows are chosen by a hash of key and text, smallest first; equal rows count once. A key with both labels is toxic; null
+    keys, other labels and empty texts do not count. A class takes rows while their lengths add up to at most half of
+    ``chars``, and passes over those that do not fit, so the result has at most that many characters. The hashes of the
+    chosen rows, at most ``2 * per_class``, are broadcast to the texts.
     """
-    h = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11).cast("double") * 2.0**-53
-    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).distinct()
-    known = docs.where(F.length(text) > 0).select(F.col(key).alias("d")).join(marks, F.col("d") == F.col("k")).select("k", "label")
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("lk"), F.col(label).cast("int").alias("label")).groupBy("lk").agg(F.max("label").alias("label"))
+    known = cut(rows.select("k", "h", F.length("t").alias("n")).join(marks, F.col("k") == F.col("lk")).groupBy("h").agg(F.max("label").alias("label"), F.max("n").alias("n")))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, F.lit(per_class / max(sizes.get(1, 1), 1))).otherwise(F.lit(per_class / max(sizes.get(0, 1), 1)))
-    hash_k = F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string")), 11).cast("double") * 2.0**-53
-    chosen = known.where(hash_k < share)
-    start = (h * F.lit(1e6)) % F.greatest(F.length(text) - chars, F.lit(1)) + 1
-    taken = docs.where(F.length(text) > 0).join(F.broadcast(chosen), F.col(key) == F.col("k")).select("label", F.substring(F.col(text), start.cast("int"), F.lit(chars)).alias("text"), h.alias("h"))
-    sample = sorted((r.h, r.label, r.text) for r in taken.collect())
-    return train([t for _, _, t in sample], [x for _, x, _ in sample])
+    share = F.shiftrightunsigned("h", 11).cast("double") * 2.0**-53
+    near = known.where(share < F.when(F.col("label") == 1, 1.5 * per_class / sizes.get(1, 1)).otherwise(1.5 * per_class / sizes.get(0, 1)))
+    chosen, left = [], {0: [per_class, chars // 2], 1: [per_class, chars // 2]}
+    for r in sorted(near.collect(), key=lambda r: r.h % 2**64):  # about three times per_class rows of three numbers
+        if left[r.label][0] and r.n <= left[r.label][1]:
+            left[r.label][0] -= 1
+            left[r.label][1] -= r.n
+            chosen.append((r.h, r.label))
+    wanted = docs.sparkSession.createDataFrame(chosen, "ch long, label int")
+    return rows.join(F.broadcast(wanted), F.col("h") == F.col("ch")).groupBy("h").agg(F.first("label").alias("label"), F.first("t").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> ToxicNet:
+    """Train on the whole texts of :func:`sample`, which the driver holds. Without texts of both labels no word has a weight."""
+    rows = sorted((r.h, r.label, r.text) for r in sample(docs, labels, **options).collect())
+    return train([t for _, _, t in rows], [x for _, x, _ in rows])
 
 
 def score(df: DataFrame, net: ToxicNet, text: str = "text", name: str = "score", spans: str | None = None, offending: float = 0.5) -> DataFrame:
     """``df`` with ``name``, the text's probability; ``spans`` names a column ``array<struct<sentence, p>>`` of sentences at ``offending`` or above.
 
     Sentences are numbered from 0 in their text and end at a stop, exclamation or question mark or line break. A null or
-    empty text is one sentence without words. Columns of these names are replaced.
+    empty text is one sentence without words. Columns of these names are replaced; others, of whatever names, are kept.
+    Repeated rows are scored alike; an empty table stays empty. Whole texts are scored, however long.
     """
     kept = df.drop(name, *[spans] * bool(spans))
     place = kept.columns.index(next(c for c in kept.columns if c.lower() == text.lower()))
