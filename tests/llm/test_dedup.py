@@ -64,24 +64,37 @@ def test_passages(odd, odd_rows, window):
     assert sorted((tuple(r) for r in got), key=repr) == brute_passages(odd_rows, window)
 
 
-def test_passages_of_many_lengths(spark):
+@pytest.mark.parametrize("chunk,bucket", [(1 << 20, 10**6), (200, 50), (1, 1)])
+def test_passages_of_many_lengths(spark, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    monkeypatch.setattr(substrings, "BUCKET", bucket)
     rng = random.Random(4)
     parts = [" ".join(rng.choice("abc") for _ in range(rng.randint(5, 60))) for _ in range(6)]
     docs = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))) for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = substrings.drop_repeated_passages(df, window=7, longest=True).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == brute_passages(docs, 7)
-    texts = {t for _, t in docs}
+    texts = dict(docs)
     for r in got:
-        w, best, n = WORD.findall(r.text), None, 7
+        w, best, n = WORD.findall(texts[r.doc_id]), None, 7
         while n <= len(w):
             have = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-            others = (WORD.findall(t) for t in texts if t != r.text)
+            others = (WORD.findall(t) for t in texts.values() if t != texts[r.doc_id])
             if any(have & {tuple(o[i : i + n]) for i in range(len(o) - n + 1)} for o in others):
                 best, n = n, 2 * n
             else:
                 break
-        assert r.longest == best, r
+        copy = any(t == texts[r.doc_id] and k < r.doc_id for k, t in docs)
+        assert r.longest == (None if copy else best), r
+    short = substrings.drop_repeated_passages(df, window=7)
+    assert sorted(((r.doc_id, r.kept, r.longest) for r in short.collect()), key=repr) == sorted(((r.doc_id, r.kept, None) for r in got), key=repr)
+
+
+def test_passages_of_extreme_keys(spark):
+    own = " ".join(f"w{i}" for i in range(20))
+    rows = [(-(2**63), own), (2**63 - 1, own), (None, own + " tail"), (5, "x " + own), (5, "x " + own), (5, "y " + own)]
+    got = substrings.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == sorted([(-(2**63), own), (2**63 - 1, ""), (None, "tail"), (5, "x"), (5, "x"), (5, "y")], key=repr)
 
 
 def test_no_passages(none):
