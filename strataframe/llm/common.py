@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,9 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable; a local folder is used only where the session names none."""
+    """Make ``checkpoint()`` usable in the folder of ``spark.checkpoint.dir``.
+
+    Only a session that runs on one machine (``local``) may leave that unset: it gets a folder of its own.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataframe-"))
 
 
@@ -32,6 +39,12 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_folder` named, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def kept(df: DataFrame, stem: str) -> DataFrame:
     """``df`` written once as compressed columns in the shared folder; for tables too large for ``cut``."""
     path = new_folder(df.sparkSession, stem)
@@ -39,6 +52,15 @@ def kept(df: DataFrame, stem: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that a task no longer needs back to the machine; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

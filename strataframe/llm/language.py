@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import release_memory
+
 #: Width and number of the filters.
 FILTERS = ((2, 8), (3, 12), (4, 12))
 WINDOW = 256
@@ -204,6 +206,8 @@ def identify(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang
                 part = batch.slice(at, 128)
                 got = scorer.score(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g for g, _ in got]), pa.array([p for _, p in got])], names=[*names, "label", "p"])
+        del scorer
+        release_memory()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

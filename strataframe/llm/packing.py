@@ -44,6 +44,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+        e.forget()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_memory
+
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python alone, and what begins the strings of special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -57,7 +59,7 @@ class Encoder:
     looked up with ASCII letters in lower case. At most about ``keep`` pieces are remembered.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 1_000_000, blanks_matter: bool = True):
+    def __init__(self, vocabulary: str, keep: int = 500_000, blanks_matter: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +71,11 @@ class Encoder:
         self._one = {mark: [x.id for x in self.tokenizer.model.tokenize(token)] for mark, token in ((".", "."), (",", ","), *[(_LINE, _BYTE[10])] * blanks_matter)}
         self._clear()
 
+    def forget(self) -> None:
+        """Forget all pieces, at the end of a task."""
+        self._clear()
+        release_memory()
+
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, self.dtype)
@@ -201,7 +208,7 @@ class Encoder:
         return ids, np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]])
 
 
-def encoded(texts: pa.Array, encoder: Encoder, end: int, chars: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, encoder: Encoder, end: int, chars: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of ``texts`` of about ``chars`` bytes (one text at least): its start, all ids with ``end`` after each text, and the number of ids of each text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0

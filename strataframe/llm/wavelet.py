@@ -2,13 +2,14 @@
 
 Plane ``l`` holds bit ``levels - 1 - l`` of every id, the ids having been moved, stably and level by level, zeros before ones.
 With the ranks at every ``STEP`` bits, a file answers: the id at a place, how often an id occurs before a place, and where
-its k-th occurrence is, each in one step a plane, without decoding the rest.
+its k-th occurrence is, each in one step a plane, and unpacks only the blocks of the planes that these steps touch.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,47 @@ from pyspark.sql.window import Window
 
 from .tokens import encoded, encoder
 
-STEP = 512
-_MAGIC = b"WVM1"
+#: Bits between ranks; bytes of a plane that are compressed together, a multiple of that.
+STEP, BLOCK = 512, 1 << 13
+_MAGIC = b"WVM2"
+
+
+class Planes:
+    """Bit planes as rows of bytes, all in memory or in compressed blocks that are unpacked when they are first read."""
+
+    def __init__(self, width: int, whole: np.ndarray | None = None, blocks: list[list[bytes]] | None = None):
+        self.width, self.whole, self.blocks, self.read = width, whole, blocks, {}
+
+    def __len__(self) -> int:
+        return len(self.whole if self.whole is not None else self.blocks)
+
+    def _block(self, level: int, number: int) -> np.ndarray:
+        if (level, number) not in self.read:
+            self.read[level, number] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[level][number]), np.uint8)
+        return self.read[level, number]
+
+    def part(self, level: int, start: int, stop: int) -> np.ndarray:
+        """Bytes of a plane; they lie in one block or two."""
+        stop = min(stop, self.width)
+        if start >= stop:
+            return np.zeros(0, np.uint8)
+        if self.whole is not None:
+            return self.whole[level, start:stop]
+        first, last = start // BLOCK, (stop - 1) // BLOCK
+        parts = [self._block(level, i) for i in range(first, last + 1)]
+        return (parts[0] if len(parts) == 1 else np.concatenate(parts))[start - first * BLOCK : stop - first * BLOCK]
+
+    def plane(self, level: int) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[level]
+        return np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, self.blocks[level])), np.uint8)
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of ids under ``2 ** levels``."""
 
-    def __init__(self, planes: np.ndarray, n: int, zeros: np.ndarray, ranks: np.ndarray | None = None):
-        self.planes, self.n, self.zeros, self.levels = planes, n, zeros, len(planes)
-        self.ranks = ranks if ranks is not None else self._directory()
-
-    def _directory(self) -> np.ndarray:
-        wide = np.zeros((self.levels, -(-self.planes.shape[1] // (STEP // 8)) * (STEP // 8)), np.uint8)
-        wide[:, : self.planes.shape[1]] = self.planes
-        ones = np.bitwise_count(wide).reshape(self.levels, -1, STEP // 8).sum(2, dtype=np.uint32)
-        return np.concatenate([np.zeros((self.levels, 1), np.uint32), np.cumsum(ones, 1, dtype=np.uint32)], 1)
+    def __init__(self, planes: Planes, n: int, zeros: np.ndarray, ranks: np.ndarray):
+        self.planes, self.n, self.zeros, self.levels, self.ranks = planes, n, zeros, len(planes), ranks
 
     @classmethod
     def of(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
@@ -47,13 +73,17 @@ class WaveletMatrix:
             low = now.take(np.flatnonzero(~one))
             zeros[level] = len(low)
             now = np.concatenate([low, now.take(np.flatnonzero(one))])
-        return cls(planes, len(ids), zeros)
+        wide = np.zeros((levels, -(-planes.shape[1] // (STEP // 8)) * (STEP // 8)), np.uint8)
+        wide[:, : planes.shape[1]] = planes
+        ones = np.bitwise_count(wide).reshape(levels, -1, STEP // 8).sum(2, dtype=np.uint32)
+        ranks = np.concatenate([np.zeros((levels, 1), np.uint32), np.cumsum(ones, 1, dtype=np.uint32)], 1)
+        return cls(Planes(planes.shape[1], planes), len(ids), zeros, ranks)
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
         now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            one = np.unpackbits(self.planes.plane(level), count=self.n).view(bool)
             z, up = int(self.zeros[level]), np.empty_like(now)
             up[np.flatnonzero(~one)] = now[:z]
             up[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.levels - 1 - level))
@@ -61,20 +91,24 @@ class WaveletMatrix:
         return now
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level, i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self.planes.part(level, i >> 3, (i >> 3) + 1)[0]) >> (7 - (i & 7)) & 1
 
     def rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
         block = i // STEP
-        bits = np.unpackbits(self.planes[level, block * STEP // 8 : -(-i // 8)])[: i - block * STEP]
+        bits = np.unpackbits(self.planes.part(level, block * STEP // 8, -(-i // 8)))[: i - block * STEP]
         return int(self.ranks[level, block]) + int(np.count_nonzero(bits))
 
     def select(self, level: int, bit: int, k: int) -> int:
         """The place of the ``k``-th (from 0) bit of a kind in a plane."""
-        have = self.ranks[level].astype(np.int64) if bit else np.minimum(np.arange(self.ranks.shape[1]) * STEP, self.n) - self.ranks[level]
-        block = int(np.searchsorted(have, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level, block * STEP // 8 : (block + 1) * STEP // 8])[: self.n - block * STEP]
-        return block * STEP + int(np.flatnonzero(bits == bit)[k - int(have[block])])
+
+        def before(block: int) -> int:
+            ones = int(self.ranks[level, block])
+            return ones if bit else min(block * STEP, self.n) - ones
+
+        block = bisect_right(range(self.ranks.shape[1]), k, key=before) - 1
+        bits = np.unpackbits(self.planes.part(level, block * STEP // 8, (block + 1) * STEP // 8))[: self.n - block * STEP]
+        return block * STEP + int(np.flatnonzero(bits == bit)[k - before(block)])
 
     def access(self, i: int) -> int:
         """The id at a place."""
@@ -117,38 +151,45 @@ class WaveletMatrix:
         return i
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<IQ", self.levels, self.n) + self.zeros.astype("<i8").tobytes() + self.ranks.astype("<u4").tobytes() + self.planes.tobytes()
+        """Sizes, zeros and ranks in one compressed frame, then the blocks of all planes, each a frame of its own."""
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=True).compress
+        blocks = [pack(row[at : at + BLOCK].tobytes()) for row in map(self.planes.plane, range(self.levels)) for at in range(0, self.planes.width, BLOCK)]
+        head = pack(self.zeros.astype("<i8").tobytes() + np.array(list(map(len, blocks)), "<u4").tobytes() + self.ranks.astype("<u4").tobytes())
+        return struct.pack("<IQQ", self.levels, self.n, len(head)) + head + b"".join(blocks)
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> WaveletMatrix:
-        levels, n = struct.unpack_from("<IQ", raw)
-        at, width = 12, -(-n // 8)
-        zeros = np.frombuffer(raw, "<i8", levels, at)
-        at += 8 * levels
-        blocks = -(-width // (STEP // 8)) + 1
-        ranks = np.frombuffer(raw, "<u4", levels * blocks, at).reshape(levels, blocks)
-        at += 4 * levels * blocks
-        return cls(np.frombuffer(raw, np.uint8, levels * width, at).reshape(levels, width), n, zeros, ranks)
+    def from_bytes(cls, data: bytes) -> WaveletMatrix:
+        levels, n, size = struct.unpack_from("<IQQ", data)
+        raw, width = zstandard.ZstdDecompressor().decompress(data[20 : 20 + size]), -(-n // 8)
+        per = -(-width // BLOCK)
+        zeros = np.frombuffer(raw, "<i8", levels)
+        lengths = np.frombuffer(raw, "<u4", levels * per, 8 * levels)
+        ranks = np.frombuffer(raw, "<u4", offset=8 * levels + 4 * levels * per).reshape(levels, -1)
+        ends = (20 + size + np.cumsum(lengths, dtype=np.int64)).tolist()
+        view = memoryview(data)
+        blocks = [view[e - x : e] for e, x in zip(ends, lengths.tolist(), strict=True)]
+        return cls(Planes(width, blocks=[blocks[i * per : (i + 1) * per] for i in range(levels)]), n, zeros, ranks)
 
 
 def pack_file(keys: list[int | None], counts: np.ndarray, ids: np.ndarray, levels: int) -> bytes:
-    """A file: magic, then one zstandard frame of the documents' keys and counts and the matrix of all their ids."""
+    """A file: magic, one zstandard frame of the documents' keys and counts, and the matrix of all their ids in blocks."""
     known = np.array([k is not None for k in keys], bool)
     head = struct.pack("<Q", len(keys)) + np.array([k or 0 for k in keys], "<i8").tobytes() + np.packbits(known).tobytes() + counts.astype("<i8").tobytes()
-    return _MAGIC + zstandard.ZstdCompressor(level=1, write_checksum=True).compress(struct.pack("<Q", len(head)) + head + WaveletMatrix.of(ids, levels).to_bytes())
+    head = zstandard.ZstdCompressor(level=1, write_checksum=True).compress(head)
+    return _MAGIC + struct.pack("<Q", len(head)) + head + WaveletMatrix.of(ids, levels).to_bytes()
 
 
 def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """The keys, counts and matrix of a file."""
+    """The keys, counts and matrix of a file; of the matrix only the blocks that are asked for are unpacked."""
     if data[:4] != _MAGIC:
         raise ValueError("not a wavelet file")
-    raw = zstandard.ZstdDecompressor().decompress(data[4:])
-    (size,) = struct.unpack_from("<Q", raw)
-    (n,) = struct.unpack_from("<Q", raw, 8)
-    keys = np.frombuffer(raw, "<i8", n, 16)
-    known = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 16 + 8 * n), count=n).astype(bool)
-    counts = np.frombuffer(raw, "<i8", n, 16 + 8 * n + -(-n // 8))
-    return [int(k) if ok else None for k, ok in zip(keys, known, strict=True)], counts, WaveletMatrix.from_bytes(raw[8 + size :])
+    (size,) = struct.unpack_from("<Q", data, 4)
+    raw = zstandard.ZstdDecompressor().decompress(data[12 : 12 + size])
+    (n,) = struct.unpack_from("<Q", raw)
+    keys = np.frombuffer(raw, "<i8", n, 8)
+    known = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 8 + 8 * n), count=n).astype(bool)
+    counts = np.frombuffer(raw, "<i8", n, 8 + 8 * n + -(-n // 8))
+    return [int(k) if ok else None for k, ok in zip(keys, known, strict=True)], counts, WaveletMatrix.from_bytes(data[12 + size :])
 
 
 def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str = "doc_id", text: str = "text", tokens_per_file: int = 1 << 18, blanks_matter: bool = False, levels: int | None = None) -> None:
@@ -186,6 +227,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int, key: str =
                     keys, counts, ids, have = [], [], [], 0
         if keys:
             yield flush()
+        e.forget()
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
     rows.mapInArrow(files, "part int, number int, n_docs long, n_tokens long, content binary").write.parquet(path)
