@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import decontaminate, jaccard, language, lines, packing, queries
-from strataframe.llm.common import new_folder
+from strataframe.llm import decontaminate, language, lines, packing, queries, simhash
+from strataframe.llm.common import discard, new_folder
 
 #: A language has to be likelier than all others together.
 LEAST_SCORE = 0.5
@@ -15,31 +15,39 @@ SHINGLE, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are null, without letters or of no certain language go."""
+    """Documents with a language; texts that are null, empty, without letters or of no certain language go.
+
+    Repeated rows are judged alike. Without any labelled text every document goes. An empty table stays empty.
+    """
     known = language.identify(docs, language.fit(docs), label="lang_pred_", score="lang_score_")
     return known.where((F.col("lang_pred_") != "und") & (F.col("lang_score_") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; copies of a document count as one, for they are still there."""
+    """Texts without the boilerplate lines of their source; copies of a document count as one, for they are still there.
+
+    No document goes. Null and empty texts stay as they are; a null source is a source of its own.
+    """
     out = lines.drop_boilerplate_lines(docs, host="source", max_ratio=queries.LINE_RATIO, least=queries.LINE_PAGES, copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    groups = jaccard.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    others = groups.where(F.col("component") < F.col("key")).select(F.col("key").alias("other"))
-    return docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
+    """One document of each group of near-duplicates, the one of smallest id, null last; of repeated rows one.
+
+    Null, empty and blank texts are near-duplicates of each other. Documents of one id but different texts are judged each
+    by its text. An empty table stays empty.
+    """
+    return simhash.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark. Null, empty and short texts stay; null ids are judged like others."""
     return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 ids."""
+    """The pieces of all documents with their places in sequences of 1024 ids; a null or empty text is one piece of one id."""
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), queries.END, 1024)
 
 
@@ -50,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are kept in the shared folder for the next."""
-    docs = queries.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's rows are kept in the shared folder until the next one's are written."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

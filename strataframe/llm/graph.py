@@ -15,8 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge, the component being its smallest node.
 
-    Null ends and loops are ignored; repeated edges count once. Stars are joined, never gathered, so a node with very
-    many edges stays spread over tasks; each round's edges are kept in the shared checkpoint folder.
+    Null ends and loops are ignored; repeated edges count once; no edges give an empty table. Stars are joined, never
+    gathered. What a round finds is kept in the shared checkpoint folder, and so are the least neighbours before they are
+    joined: both sides of each join are then dealt by Spark, which splits a node that has very many edges.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct()
     e = cut(e)
@@ -24,8 +25,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        least = cut(least)
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = cut(large)
+        lower = cut(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
         joined = large.join(lower, F.col("u") == F.col("w"))
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select(F.col("w").alias("u"), F.col("m").alias("v")))
         e = cut(small.distinct())

@@ -1,9 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of word shingles.
+"""Exact links by Jaccard similarity inside groups of texts that may be near-duplicates.
 
-Each text has ``BANDS`` keys of ``ROWS`` minima of its shingles under different hashes. A pair of similarity ``s`` shares a
-key with probability ``1 - (1 - s ** ROWS) ** BANDS``: 0.998 at 0.8, 0.9999 at 0.85. Texts that share a key are
-compared by their whole shingle sets, so a link is never wrong. Only one text of each shingle set takes part, and sets are
-made and moved only for texts that share a key with another.
+Groups come from elsewhere and only have to be large enough: any two texts to be linked are in one group. A group whose
+shingles fit in a task is linked there. In a larger one every text is first compared with the group's first text; only those
+that do not link with it are compared with all others, block by block.
 """
 
 from __future__ import annotations
@@ -12,73 +11,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept
-from .graph import connected_components
-from .simhash import shingle_hashes
+from .common import kept, release_memory
+from .shingles import shingle_set
 
-BANDS, ROWS = 16, 5
-#: Members of one key that are compared with each other in a task; larger groups are dealt out in blocks.
-BLOCK = 256
-_RNG = np.random.default_rng(42)
-_XOR, _ODD, _ODD2 = (_RNG.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(odd) for odd in (0, 1, 1))
+#: Shingles that a task compares with each other at once (8 bytes each, a few copies).
+BLOCK = 1_000_000
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The different shingle hashes of a text, sorted; none if it has no words."""
-    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+class _Sets:
+    """Shingle sets of a task, to be compared one with all."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.first = np.cumsum(self.size) - self.size
+        self.filled = np.flatnonzero(self.size)
+        values, self.where = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.seen = np.zeros(len(values), np.int32)
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """The keys of a shingle set; an empty set has none."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        x = (hashes[None, at : at + 2048] ^ _XOR) * _ODD
-        x ^= x >> np.uint64(32)
-        x *= _ODD2
-        np.minimum(least, x.min(1), out=least)
-    return [xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) - 2**63 for b in range(BANDS)]
-
-
-def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``(key, a, b, bands)`` for every row: 128 bits that stand for its shingle set, and the set's keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                ids = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["key", "a", "b", "bands"])
-
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, a long, b long, bands array<long>")
-
-
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``(node, hashes)`` of ``texts (node, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    return texts.mapInArrow(run, "node long, hashes array<long>")
+    def near(self, i: int, percent: int) -> np.ndarray:
+        """Whether each set has ``percent`` hundredths of its union with set ``i`` in common; two empty sets are equal."""
+        mine = self.where[self.first[i] : self.first[i] + self.size[i]]
+        both = np.zeros(len(self.size), np.int64)
+        if len(self.filled):
+            self.seen[mine] = 1
+            both[self.filled] = np.add.reduceat(self.seen[self.where], self.first[self.filled])
+            self.seen[mine] = 0
+        return (100 + percent) * both >= percent * (self.size + self.size[i])
 
 
 def forest(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     """Index pairs that connect exactly what is connected by pairs of at least ``percent`` similarity."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    first = np.cumsum(size) - size
-    a, b, left = [], [], np.ones(len(sets), bool)
-    seen = np.zeros(len(values), np.int32)
+    held, a, b, left = _Sets(sets), [], [], np.ones(len(sets), bool)
     for root in range(len(sets)):
         if not left[root]:
             continue
@@ -86,11 +52,7 @@ def forest(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
         front = [root]
         while front and left.any():
             i = front.pop()
-            mine = where[first[i] : first[i] + size[i]]
-            seen[mine] = 1
-            both = np.add.reduceat(seen[where], first)
-            seen[mine] = 0
-            new = np.flatnonzero(left & ((100 + percent) * both >= percent * (size + size[i]))).tolist()
+            new = np.flatnonzero(left & held.near(i, percent)).tolist()
             a += [i] * len(new)
             b += new
             left[new] = False
@@ -98,59 +60,95 @@ def forest(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` inside each task of ``rows (task, node, hashes)``, which come sorted by task."""
+def bridges(sets: list[np.ndarray], percent: int, side: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each set of side 0 that is similar to one of side 1, such a pair."""
+    held, a, b = _Sets(sets), [], []
+    for i in np.flatnonzero(side == 0).tolist():
+        new = np.flatnonzero(held.near(i, percent) & (side == 1))[:1].tolist()
+        a += [i] * len(new)
+        b += new
+    return a, b
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """``texts (node, text)`` with ``hashes``, their shingle sets, instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+        release_memory()
+
+    return texts.mapInArrow(run, "node long, hashes array<long>")
+
+
+def _in_tasks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` inside each task of ``rows (task, side, node, hashes)``: all that connects, or, in tasks with a side 1, one for each node of side 0."""
 
-    def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = forest(sets, percent) if len(nodes) > 1 else ([], [])
+    def linked(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> pa.RecordBatch:
+        a, b = bridges(sets, percent, np.array(sides)) if any(sides) else forest(sets, percent) if len(nodes) > 1 else ([], [])
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nodes, sets = None, [], []
+        task, nodes, sets, sides = None, [], [], []
         for batch in batches:
-            hashes = batch.column(2)
-            ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy(zero_copy_only=False)
-            for i, (t, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            hashes = batch.column(3)
+            ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, (t, side, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
                 if t != task:
                     if nodes:
-                        yield linked(nodes, sets)
-                    task, nodes, sets = t, [], []
+                        yield linked(nodes, sets, sides)
+                    task, nodes, sets, sides = t, [], [], []
                 nodes.append(node)
                 sets.append(flat[ends[i] : ends[i + 1]].copy())
+                sides.append(side)
         if nodes:
-            yield linked(nodes, sets)
+            yield linked(nodes, sets, sides)
+        release_memory()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` of nodes ``(node, bands)`` that share a key and have ``percent`` similarity; of the pairs of a key only a spanning forest.
+def exact_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly what ``percent`` similarity connects inside the groups of ``members (group, node, hashes)``.
 
-    Keys with the same members are compared once. A key with over ``BLOCK`` members is compared block against block.
-    """
-    rows = nodes.select("node", F.explode("bands").alias("k"))
-    shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
-    once = shared.groupBy("n", "least", "x", "y").agg(F.min("k").alias("once")).select("once", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = cut(rows.join(once, F.col("k") == F.col("once")).select("k", "node", "blocks"))
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = members.select("k", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node")
-    needed = members.select(F.col("node").alias("n")).distinct()
-    sets = kept(_sets(texts.join(needed, F.col("node") == F.col("n"), "left_semi"), shingle), "shingles")
-    moved = tasks.join(sets, "node").select("task", "node", "hashes")
-    return _verified(moved.repartition("task").sortWithinPartitions("task"), percent).distinct()
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``(key, component)`` for every row: the smallest key reachable over links.
-
-    Two texts link when their sets of ``shingle``-word shingles (lower case) have a Jaccard similarity of ``percent``
-    hundredths or more; links chain. Texts of equal sets always link, null and blank texts with each other. A null key is
-    no node: its component is null. A key is taken to name one text.
+    ``members`` is read several times and should be a kept table, one row a node. A large group costs one comparison a
+    node, and for each node that is not similar to the group's first one all others.
     """
-    prints = kept(_prints(df, key, text, shingle), "prints")
-    nodes = cut(prints.where("key IS NOT NULL").groupBy("a", "b").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
-    parts = connected_components(links(nodes, df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")), shingle, percent))
-    grouped = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("a", "b", F.coalesce("component", "node").alias("component"))
-    out = prints.select("key", "a", "b").join(grouped, ["a", "b"], "left")
-    return out.select("key", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+    sizes = kept(members.groupBy("group").agg(F.sum(F.size("hashes") + 1).alias("total"), F.min("node").alias("lead")), "groups")
+    own = members.join(sizes.withColumnRenamed("group", "g"), F.col("group") == F.col("g")).drop("g")
+    out = _in_tasks(own.where(F.col("total") <= BLOCK).select(F.col("group").alias("task"), _side(0), "node", "hashes"), percent)
+    if sizes.where(F.col("total") > BLOCK).isEmpty():
+        return out
+    large = own.where(F.col("total") > BLOCK)
+    leads = kept(large.where(F.col("node") == F.col("lead")).select(F.col("group").alias("g"), F.col("hashes").alias("led")), "leads")
+    both = F.size(F.array_intersect("hashes", "led"))
+    near = F.lit(100 + percent) * both >= F.lit(percent) * (F.size("hashes") + F.size("led"))
+    blocks = F.ceil(F.col("total") * 2 / BLOCK).cast("int").alias("blocks")
+    compared = kept(large.join(leads, F.col("group") == F.col("g")).select("group", "node", "lead", "hashes", blocks, near.alias("near")), "compared")
+    rest = compared.where(~F.col("near"))
+    parts = F.ceil(F.sum(F.size("hashes") + 1) * 2 / BLOCK).cast("int").alias("parts")
+    parts = kept(rest.groupBy("group").agg(parts).withColumnRenamed("group", "g"), "parts")
+    rest, like = (x.join(parts, F.col("group") == F.col("g")) for x in (rest, compared.where("near")))
+    far = rest.withColumns({"x": _part("parts"), "y": F.explode(_to("blocks"))})
+    like = like.withColumns({"y": _part("blocks"), "x": F.explode(_to("parts"))})
+    task = F.xxhash64("group", "x", "y").alias("task")
+    across = far.select(task, _side(0), "node", "hashes").unionByName(like.select(task, _side(1), "node", "hashes"))
+    inner = rest.withColumns({"x": _part("parts"), "y": F.explode(_to("parts"))})
+    inner = inner.select(F.xxhash64("group", F.lit(-1), F.least("x", "y"), F.greatest("x", "y")).alias("task"), _side(0), "node", "hashes")
+    out = out.unionByName(compared.where("near").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    return out.unionByName(_in_tasks(across, percent)).unionByName(_in_tasks(inner, percent))
+
+
+def _side(n: int) -> Column:
+    return F.lit(n).cast("byte").alias("side")
+
+
+def _part(n: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
+
+
+def _to(n: str) -> Column:
+    return F.sequence(F.lit(0), F.col(n) - 1)

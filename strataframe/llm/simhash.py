@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import jaccard
+from .common import cut, fresh, kept, release_memory
 from .graph import connected_components
+from .shingles import shingle_hashes, shingle_set
 
 #: Members of one key that a task compares with each other; larger groups are dealt out in blocks.
 BLOCK = 1024
@@ -29,21 +31,6 @@ KEY_COST = 500
 LANES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """XXH64 (seed 42) of the word shingles of ``text`` in lower case (A-Z only), repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    ends = (ends - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return [h(flat, 42)]
-    return [h(flat[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)]
-
-
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     """Another 64 bits for each hash; word 0 is the hash itself."""
     if not word:
@@ -77,6 +64,11 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def collision(bits: int, t: int, p: float) -> float:
+    """The probability that two fingerprints differ in at most ``t`` of ``bits`` bits, when each bit differs with probability ``p``."""
+    return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(t + 1)) if t >= 0 else 0.0
+
+
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int, words: int = 1) -> DataFrame:
     """``(key, f0, ..., f{words-1})`` for every row, 64 bits a word; a text without words has zeros."""
 
@@ -150,8 +142,13 @@ def _work(bits: list[int], t: int, n: int, differ: np.ndarray) -> float:
     return KEY_COST * n * keys * (1 + (math.ceil(members / BLOCK) + 1 if members > BLOCK / 4 else 0)) + _pairs_within(bits, t, n, differ)
 
 
-def plan(n: int, both: np.ndarray, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6)) -> Plan:
+def plan(n: int, both: np.ndarray, radius: int) -> Plan:
     """Partitions and thresholds of least estimated work for ``radius``; see the module's text."""
+    return costed(n, both, radius)[0]
+
+
+def costed(n: int, both: np.ndarray, radius: int, parts: tuple[int, ...] = (2, 3, 4, 5, 6)) -> tuple[Plan, float]:
+    """:func:`plan` with its estimated work."""
     one = np.diag(both) / max(n, 1)
     joint = both / max(n, 1)
     none = 1 - one[:, None] - one[None, :] + joint
@@ -183,7 +180,7 @@ def plan(n: int, both: np.ndarray, radius: int, parts: tuple[int, ...] = (2, 3,
             best = (cost, Plan((g, t) for g, t in zip(groups, ts, strict=True) if t >= 0))
     if best is None:
         raise ValueError(f"no thresholds cover {radius} bits")
-    return best[1]
+    return best[1], best[0]
 
 
 def _keys(f: np.ndarray, chosen: Plan) -> np.ndarray:
@@ -197,7 +194,7 @@ def _keys(f: np.ndarray, chosen: Plan) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def _forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+def spanning_forest(near: np.ndarray) -> tuple[list[int], list[int]]:
     """A spanning forest of an adjacency matrix, as index pairs."""
     k = len(near)
     a, b, left = [], [], np.ones(k, bool)
@@ -241,7 +238,7 @@ def _links(keys: np.ndarray, nodes: np.ndarray, f: np.ndarray, radius: int) -> t
         x = f[s : s + k]
         near = _distance(x[:, None, :], x[None, :, :]) <= radius
         if np.count_nonzero(near) > k:
-            a, b = _forest(near)
+            a, b = spanning_forest(near)
             got_a.append(nodes[s : s + k][a])
             got_b.append(nodes[s : s + k][b])
     none = np.zeros(0, np.int64)
@@ -310,28 +307,30 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def links(nodes: DataFrame, words: int, radius: int, probe_radius: int | None = None) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the nodes ``(node, f0, ...)`` within ``radius`` bits of each other.
+def links(nodes: DataFrame, words: int, radius: int, chosen: Plan | None = None, probed: int = 1) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the nodes ``(node, f0, ...)`` that share a key and lie within ``radius`` bits of each other.
 
-    Word 0 is probed. With one word, and ``probe_radius`` left out, every pair within ``radius`` is probed. With more
-    words ``probe_radius`` bounds word 0 alone and the verified distance covers all words. Of the pairs within a key only
-    a spanning forest is returned. Keys with over ``BLOCK`` members are compared block against block by many tasks.
+    Keys are those of the plan ``chosen`` in the first ``probed`` words; ``words`` words, the last ones, are verified. Without a
+    plan word 0 is probed so that every pair within ``radius`` shares a key. Of the pairs within a key only a spanning
+    forest is returned. Keys with over ``BLOCK`` members are compared block against block by many tasks.
     """
-    names = [f"f{w}" for w in range(words)]
-    n, both = bit_statistics(nodes)
-    if n < 2:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    chosen = plan(n, both, radius if probe_radius is None else probe_radius)
+    every = [c for c in nodes.columns if c != "node"]
+    names = every[-words:]
+    if chosen is None:
+        n, both = bit_statistics(nodes)
+        if n < 2:
+            return nodes.sparkSession.createDataFrame([], "a long, b long")
+        chosen = plan(n, both, radius)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                k = _keys(part.column(1).to_numpy(zero_copy_only=False), chosen)
-                own = np.repeat(np.arange(part.num_rows), k.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *[c.take(pa.array(own)) for c in part.columns]], names=["k", "node", *names])
+                k = np.concatenate([_keys(part.column(1 + w).to_numpy(zero_copy_only=False), chosen) + np.int64(w << 59) for w in range(probed)], axis=1)
+                own = pa.array(np.repeat(np.arange(part.num_rows), k.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), part.column(0).take(own), *[c.take(own) for c in part.columns[-words:]]], names=["k", "node", *names])
 
-    rows = nodes.select("node", *names).mapInArrow(probe, "k long, node long, " + ", ".join(f"{x} long" for x in names))
+    rows = nodes.select("node", *every).mapInArrow(probe, "k long, node long, " + ", ".join(f"{x} long" for x in names))
     found = cut(_verified(rows.repartition("k").sortWithinPartitions("k"), words, radius, BLOCK))
     edges = found.where("hot IS NULL").select("a", "b")
     hot = found.where("hot IS NOT NULL").select(F.col("hot").alias("k"), F.col("a").alias("node"))
@@ -343,17 +342,102 @@ def links(nodes: DataFrame, words: int, radius: int, probe_radius: int | None =
     return edges.unionByName(again).distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, probe_radius: int | None = None) -> DataFrame:
-    """``(key, f0, ..., component)``: fingerprints of every row and the smallest key reachable over links.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``(key, f0, component)``: fingerprints of every row and the smallest key reachable over links.
 
     Two texts link when their fingerprints differ in ``radius`` bits or fewer; links chain. Null and blank texts have the
     zero fingerprint and link like others. A null key is no node: its component is null. Repeated keys are repeated in
-    the result. An empty table gives an empty result; other columns of ``df`` play no part.
+    the result. An empty table gives an empty result; other columns of ``df`` play no part. Groups of equal fingerprints
+    are one node, and are kept before they are joined to the rows, so that Spark can split one that has many rows.
+    """
+    prints = kept(fingerprints(df, key, text, shingle), "prints")
+    nodes = cut(prints.where("key IS NOT NULL").groupBy("f0").agg(F.min(F.col("key").cast("long")).alias("node")).select("node", "f0"))
+    parts = connected_components(links(nodes, 1, radius))
+    grouped = kept(nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("f0", F.coalesce("component", "node").alias("component")), "groups")
+    out = prints.join(grouped, "f0", "left")
+    return out.select("key", "f0", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+
+
+#: 64-bit words of the fingerprints that :func:`similar_texts` makes, the last two of which verify a pair.
+WORDS = 16
+
+
+def probing(n: int, both: np.ndarray, similarity: float, recall: float) -> tuple[Plan, int]:
+    """A plan, and the number of words to probe with it, of least estimated work for pairs at ``similarity`` to share a key with ``recall``.
+
+    Two sets of equal size and Jaccard similarity ``s`` have the cosine ``2 s / (1 + s)``, and a fingerprint bit of theirs
+    differs with the probability ``acos(cosine) / pi``, less for sets of unequal size.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    best: tuple[float, Plan, int] | None = None
+    for radius in range(1, 12):
+        chosen, cost = costed(n, both, radius)
+        hit = 1 - math.prod(1 - collision(len(bits), t, p) for bits, t in chosen)
+        probed = math.ceil(math.log(1 - recall) / math.log(max(1 - hit, 1e-12)))
+        if probed <= WORDS and (best is None or cost * probed < best[0]):
+            best = cost * probed, chosen, probed
+    if best is None:
+        raise ValueError(f"{WORDS} words do not find {recall} of the pairs at {similarity}")
+    return best[1], best[2]
+
+
+def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 0.98) -> tuple[DataFrame, DataFrame]:
+    """``(key, th, component)`` of every row and ``(component, key, th)`` of the row that stays for each component.
+
+    Two texts link when their sets of ``shingle``-word shingles (A-Z in lower case) have a Jaccard similarity of ``percent``
+    hundredths or more; links chain. Candidates are found by fingerprints of the sets: a pair at the bound shares a key of
+    some probed word with a probability of about ``recall`` (nearer pairs more often), and is compared on two more words.
+    What these connect is then linked exactly by the sets themselves, so no text links with another below the bound.
+
+    Texts of equal sets always link, null and blank texts with each other. ``component`` is a number of no meaning; ``th`` is
+    a hash of the text. The row that stays is the one of smallest key, null last; of rows of that key the one of smallest
+    ``th``. Repeated rows are repeated in the first table. Keys may repeat, with any texts. An empty table gives empty ones.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    names = [f"f{w}" for w in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t, shingle) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                ids = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).view(np.int64)
+                n, h = np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(majority(_mixed(h, w), n).view(np.int64)) for w in range(WORDS)]], names=["key", "th", "a", "b", *names])
+        release_memory()
+
+    prints = kept(rows.select("key", "th", "text").mapInArrow(run, "key long, th long, a long, b long, " + ", ".join(f"{x} long" for x in names)), "prints")
+    least = F.min(F.struct(F.col("key").isNull().alias("nul"), "key", "th")).alias("least")
+    nodes = prints.groupBy("a", "b").agg(least, *[F.first(x).alias(x) for x in names]).withColumn("node", F.monotonically_increasing_id())
+    nodes = kept(nodes.select("node", "a", "b", "least.key", "least.th", *names), "nodes")  # numbers do not change once they are kept
+    words = nodes.select("node", *names)
+    n, both = bit_statistics(words)
+    if n > 1:
+        chosen, probed = probing(n, both, percent / 100, recall)
+        p = math.acos(200 * percent / (100 + percent) / 100) / math.pi
+        near = next(t for t in range(129) if collision(128, t, p) >= 0.999)
+        loose = kept(connected_components(links(words, 2, near, chosen, probed)), "loose")
+        wanted = nodes.join(loose.withColumnRenamed("node", "l"), F.col("node") == F.col("l")).select("node", F.xxhash64("key", "th").alias("wr"), F.col("th").alias("wt"))
+        own = rows.select(F.xxhash64("key", "th").alias("r"), "th", "text")
+        texts = own.join(wanted, (F.col("r") == F.col("wr")) & (F.col("th") == F.col("wt"))).groupBy("r", "th", "node").agg(F.first("text").alias("text"))
+        sets = jaccard.sets_of(texts.select("node", "text"), shingle)
+        members = kept(sets.join(loose.select(F.col("node").alias("l"), F.col("component").alias("group")), F.col("node") == F.col("l")).select("group", "node", "hashes"), "sets")
+        parts = connected_components(jaccard.exact_links(members, percent)).withColumnRenamed("node", "l")
+        nodes = nodes.join(parts, F.col("node") == F.col("l"), "left")
+    else:
+        nodes = nodes.withColumn("component", F.lit(None).cast("long"))
+    nodes = kept(nodes.select("a", "b", "key", "th", F.coalesce("component", "node").alias("component")), "components")
+    stays = nodes.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("nul"), "key", "th")).alias("least")).select("component", "least.key", "least.th")
+    return prints.select("key", "th", "a", "b").join(nodes.select("a", "b", "component"), ["a", "b"]).select("key", "th", "component"), stays
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` with one row of each component of :func:`similar_texts`; its columns, of whatever names, are kept.
+
+    Of repeated rows one stays, and of rows of one key those whose texts differ by more than the bound.
     """
-    names = [f"f{w}" for w in range(words)]
-    prints = cut(fingerprints(df, key, text, shingle, words))
-    nodes = cut(prints.where("key IS NOT NULL").groupBy(*names).agg(F.min(F.col("key").cast("long")).alias("node")))
-    parts = connected_components(links(nodes, words, radius, probe_radius))
-    grouped = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*names, F.coalesce("component", "node").alias("component"))
-    out = prints.join(grouped, names, "left")
-    return out.select("key", *names, F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+    r, t = fresh(df, "row"), fresh(df, "text")
+    _, stays = similar_texts(df, key, text, **options)
+    stays = stays.select(F.xxhash64("key", "th").alias(f"{r}s"), F.col("th").alias(f"{t}s"))
+    own = df.withColumn(t, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(r, F.xxhash64(F.col(key).cast("long"), F.col(t)))
+    return own.dropDuplicates([r, t]).join(stays, (F.col(r) == F.col(f"{r}s")) & (F.col(t) == F.col(f"{t}s")), "left_semi").drop(r, t)

@@ -6,7 +6,9 @@ import pytest
 from test_dedup import components
 
 import corpus_pipeline
-from strataframe.llm import jaccard
+from strataframe.llm import jaccard, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def shingles(text):
@@ -39,30 +41,61 @@ def test_planted_pairs_against_brute_force(spark):
     sets = {i: shingles(t) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if similar(sets[a], sets[b]) >= 0.8]
     want = components(sets, links)
-    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     lost, wrong = {i for i in left if want[i] != i}, {i for i in want if want[i] == i} - left
-    assert not wrong and len(lost) <= 2
+    assert not wrong and len(lost) <= 4
     assert sum(want[i] != i for i in want) == 202
 
 
-@pytest.mark.parametrize("block", [8, 256])
+@pytest.mark.parametrize("block", [400, 3000, 10**6])
 def test_large_group(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join("changed" if rng.random() < 0.012 else w for w in base)) for i in range(150)]
+    rows = [(i, " ".join("changed" if rng.random() < 0.012 else w for w in base)) for i in range(80)]
     sets = {i: shingles(t) for i, t in rows}
     want = components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if similar(sets[a], sets[b]) >= 0.8])
-    got = {r.key: r.component for r in jaccard.near_duplicates(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")).collect()}
-    assert got.pop(None) is None and got == want
-    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    members = spark.createDataFrame([(1, i, jaccard.shingle_set(t, 5).view(np.int64).tolist()) for i, t in rows] + [(2, 200, []), (2, 201, []), (2, 202, [5])], "group long, node long, hashes array<long>")
+    got = components([*range(80), 200, 201, 202], [(r.a, r.b) for r in jaccard.exact_links(members, 80).collect()])
+    assert got == want | {200: 200, 201: 200, 202: 202}
+    assert len(set(want.values())) > 1
 
 
-def test_recall_of_the_keys():
+def test_words_probed_find_pairs_at_the_bound():
     rng = np.random.default_rng(1)
-    found = 0
-    for _ in range(500):
-        h = rng.integers(0, 2**64, 100, dtype=np.uint64)
-        found += bool(set(jaccard.band_keys(np.sort(h[:90]))) & set(jaccard.band_keys(np.sort(h[10:]))))
-    assert found >= 490  # 0.998 of them at a similarity of 0.8
+    bits = rng.integers(0, 2, (2000, 64)).astype(float)
+    for n in (100, 10**5, 10**7):
+        chosen, probed = simhash.probing(n, bits.T @ bits * n / 2000, 0.8, 0.98)
+        found = 0
+        for _ in range(300):
+            h = rng.integers(0, 2**64, 180, dtype=np.uint64)
+            a, b = h[:162], h[18:]  # 144 of 180 in common
+            both = [np.array([simhash.majority(simhash._mixed(x, w), np.array([162]))[0] for w in range(probed)], np.uint64).view(np.int64) for x in (a, b)]
+            keys = [np.concatenate([simhash._keys(f[w : w + 1], chosen)[0] + (w << 59) for w in range(probed)]) for f in both]
+            found += len(np.intersect1d(*keys)) > 0
+        assert found >= 285, (n, chosen, probed, found)  # 0.95
+
+
+def test_rows_that_stay(spark, odd, none):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, "quite another text of this very id"), (None, text + " tail"), (None, "a text of its own"), (None, "a text of its own"), (7, None), (3, ""), (2**63 - 1, text)]
+    df = spark.createDataFrame([(*r, 5, 6, 7) for r in rows], "doc_id long, text string, other int, component int, row int")
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, text), (1, "quite another text of this very id"), (None, "a text of its own"), (3, "")], key=repr)
+    left = corpus_pipeline.drop_near_copies(spark, odd, "")
+    assert left.columns == odd.columns and 0 < left.count() < odd.count()
+    assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
+    components_ = simhash.similar_texts(odd)[0]
+    assert components_.count() == odd.count()
+
+
+def test_stages_with_odd_rows(spark, odd, none):
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, none, odd.unionByName(odd)):
+            out = stage(spark, df, "/root/testdata/sf0.001")
+            rows = out.count()
+            assert (rows > 0) == (df is not none), name
+            if name != "packing":
+                assert out.columns == df.columns

@@ -50,6 +50,18 @@ def test_wavelet_matrix(ids, token):
         m.access(len(ids))
 
 
+def test_few_blocks_are_unpacked():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 49408, 400_000).astype(np.uint16)
+    keys, counts, m = wavelet.open_file(wavelet.pack_file([1, None], np.array([399_999, 1]), ids, 16))
+    assert keys == [1, None] and counts.tolist() == [399_999, 1]
+    assert [m.access(i) for i in (0, 123_456, 399_999)] == [int(ids[i]) for i in (0, 123_456, 399_999)]
+    assert len(m.planes.read) <= 3 * 2 * 16 < 16 * len(m.planes.blocks[0])
+    token = int(ids[200_000])
+    assert m.count(token) == int((ids == token).sum()) and m.locate(token, 0) == int(np.flatnonzero(ids == token)[0])
+    assert (m.decode() == ids).all()
+
+
 def test_token_files(spark, odd, odd_rows, none):
     path, vocabulary = new_folder(spark, "t"), queries.vocabulary("word_bpe_49k.json")
     wavelet.write_tokens(odd, vocabulary, path, 2, tokens_per_file=500)
@@ -122,6 +134,23 @@ def test_language(spark, none):
     assert language.identify(none, net).count() == 0
 
 
+def test_samples_are_bounded(spark, odd, none):
+    rows = [(None, f"text number {i}", "en", i % 2) for i in range(10_000)] + [(3, "the same text", "en", 1)] * 10_000 + [(i, f"ein Text {i}", "de", i % 2) for i in range(4, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").withColumns({"label": F.lit(1), "k": F.lit(2), "h": F.lit(3), "n": F.lit(4)})
+    got = language.sample(df, per_label=100, per_text=2).collect()
+    rows_of = {x: len({r.h for r in got if r.label == x}) for x in ("en", "de")}
+    assert 40 < rows_of["en"] <= 100 and rows_of["de"] == 100 and len(got) <= 400  # equal rows count once
+    labels = df.select("doc_id", "toxic", "label", "text")
+    got = toxicity.sample(df, labels, per_class=100).collect()
+    assert Counter(r.label for r in got) == {0: 100, 1: 100} and all(r.text.startswith("ein") or r.text == "the same text" for r in got)
+    assert sum(len(r.text) for r in toxicity.sample(df, labels, per_class=100, chars=500).collect()) <= 500
+    assert toxicity.sample(none, labels).count() == 0 == language.sample(none).count()
+    net = toxicity.fit(odd, odd.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic", "key AS label", "text"))
+    scored = toxicity.score(odd.unionByName(odd), net, spans="spans")
+    assert scored.columns == [*[c for c in odd.columns if c != "score"], "score", "spans"] and scored.count() == 2 * odd.count()
+    assert scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
 def test_pair_tables_are_the_network():
     rng = np.random.default_rng(0)
     net = language.train(["abcab" * 60, "xyzzy" * 60] * 10, ["a", "b"] * 10, epochs=2)
@@ -194,7 +223,10 @@ def test_decontamination(spark, odd, odd_rows, none, monkeypatch, bound):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()}
     assert got == brute_leaks(odd_rows, items) and got
     left = decontaminate.decontaminate(odd, bench)
-    assert left.columns == odd.columns and sorted((r.doc_id for r in left.where("doc_id IS NOT NULL").collect())) == sorted(k for k, _ in odd_rows if k is not None and k not in {k for k, _ in got})
+    assert left.columns == odd.columns and sorted((r.doc_id for r in left.collect()), key=repr) == sorted((k for k, _ in odd_rows if k not in {k for k, _ in got}), key=repr)
+    passage = items[0][1]
+    keyless = spark.createDataFrame([(None, "a " + passage), (None, "clean"), (1, passage), (1, "clean"), (2, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.decontaminate(keyless, bench).collect()), key=repr) == sorted([(None, "clean"), (1, "clean"), (2, None)], key=repr)
     assert decontaminate.contaminated(none, bench).count() == 0 == decontaminate.contaminated(odd, bench.limit(0)).count()
 
 
