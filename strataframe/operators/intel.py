@@ -28,7 +28,8 @@ def counted_terms(every: Column) -> Column:
     ordered = F.sort_array(every)
     size = F.size(ordered)
     ends = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & ((i == size) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-    return F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda e, b: F.when(e.isNotNull(), F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n"))))
+    before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+    return F.zip_with(ends, before, lambda e, b: F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n")))
 
 
 def _ranked(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:

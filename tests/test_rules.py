@@ -129,3 +129,16 @@ def test_numbered(spark):
     rows = paging.numbered(df, [F.col("k"), F.col("id")], "n").collect()
     assert [(r.k, r.id) for r in sorted(rows, key=lambda r: r.n)] == sorted((r.k, r.id) for r in rows) and sorted(r.n for r in rows) == list(range(500))
     assert paging.numbered(df.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_files_in_and_out(spark, tmp_path):
+    from strataframe.sources import ingest, sinks
+
+    df = spark.createDataFrame([(1, "=1+1", '{"type": "Feature"}'), (2, "plain", "{}")], "id int, note string, feature_json string")
+    sinks.write_csv(df.select("id", "note"), str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == [("1", "'=1+1"), ("2", "plain")]
+    sinks.write_features(df, str(tmp_path / "features"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "features")).collect()) == ['{"type": "Feature"}', "{}"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1")
+    assert [(r.name, bytes(r.content)) for r in ingest.read_files(spark, str(tmp_path / "in")).collect()] == [("a.pdf", b"%PDF-1")]
