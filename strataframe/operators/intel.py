@@ -23,13 +23,20 @@ def chunk_terms(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("document_id", "page_id", "chunk_id", F.inline(counted_terms(terms(F.col(text)))))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas would compute it again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def counted_terms(every: Column) -> Column:
     """``array<struct<term, n>>`` of an array of terms."""
-    ordered = F.sort_array(every)
-    size = F.size(ordered)
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & ((i == size) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-    before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
-    return F.zip_with(ends, before, lambda e, b: F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n")))
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & ((i == size) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+        return _let(ends, lambda x: F.zip_with(x, F.slice(F.concat(F.array(F.lit(0)), x), F.lit(1), F.size(x)), lambda e, b: F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n"))))
+
+    return _let(F.sort_array(every), runs)
 
 
 def _ranked(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
