@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, substrings, toxicity, wavelet
+from . import bpe, decontaminate, divergence, embeddings, language, lines, negatives, packing, sharding, simhash, substrings, toxicity, wavelet
 from .common import crc_fold, kept, new_folder
 
 #: The folder of the public tokenizers' files on every machine; empty: where their package says there.
@@ -96,8 +96,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of the sources of each language differ, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents and the bytes that they decode to."""
+    import public_tokenizers
+
+    name = vocabulary("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), name, public_tokenizers.PATTERN)
+    return bpe.decode(ids, name).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and each of its nearest vectors of one label, among all embeddings."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    out = negatives.mine(rows, anchor=F.col("vec_id") % 50 == 0, key="vec_id", positives=5, negatives=3, low=50, high=95)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_files, op3_best_fit_packing, op4_decontamination, op5_substring_dedup, op6_simhash_dedup, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_files, op3_best_fit_packing, op4_decontamination, op5_substring_dedup, op6_simhash_dedup, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_sharding, op11_source_divergence, op12_tree_bpe, op13_hard_negatives)}
 
 
 _BLOCKS = lines.BLOCKS
@@ -140,5 +164,33 @@ FROM v JOIN parts USING (vec_id)
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+n AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(m, 0) AS m FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS m FROM n GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (m + 2 * v)::HUGEINT AS p FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // (sum(sum(c)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM n GROUP BY lang, term),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS id, a.label = o.label AS same, list_dot_product(a.e, o.e)::BIGINT AS score FROM v a JOIN v o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": _OP5, "op7_embedding_dedup": _OP7, "op9_line_dedup": _OP9}
+    return {"op5_substring_dedup": _OP5, "op7_embedding_dedup": _OP7, "op9_line_dedup": _OP9, "op11_source_divergence": _OP11, "op13_hard_negatives": _OP13}
