@@ -125,13 +125,21 @@ def trusted_text(kind: str, df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select("id", F.lit(kind).alias("entity_type"), F.concat(F.lit(f"{kind}. "), F.concat_ws("; ", *parts)).alias("text"), F.lit("TRUSTED_CANONICAL_DATA").alias("evidence_type"))
 
 
-def merge_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The index after new chunks ``(chunk_id, chunk)``: an unchanged chunk keeps its vector, a changed one loses it, a missing one goes."""
-    o = old.select(F.col("chunk_id").alias("_id"), F.col("chunk").alias("_chunk"), F.col("embedding").alias("_embedding"), F.col("is_indexed").alias("_indexed"))
-    joined = new.join(o, F.col("chunk_id") == F.col("_id"), "left")
-    same = F.col("_id").isNotNull() & F.col("chunk").eqNullSafe(F.col("_chunk"))
-    state = F.when(F.col("_id").isNull(), "ADDED").when(same, "KEPT").otherwise("CHANGED")
-    return joined.withColumns({"embedding": F.when(same, F.col("_embedding")), "is_indexed": F.coalesce(same & F.col("_indexed"), F.lit(False)), "change": state}).drop("_id", "_chunk", "_embedding", "_indexed")
+def merge_chunks(old: DataFrame, new: DataFrame, model: str, dimension: int, rest: bool = False) -> DataFrame:
+    """The index after new chunks ``(chunk_id, chunk)``: an unchanged chunk keeps its vector, a changed one loses it, a missing one goes.
+
+    A chunk is indexed if its text is unchanged and its vector is of ``model`` and ``dimension`` and finite, whatever its flag
+    was. ``change`` is ADDED, CHANGED, KEPT, or FLAGGED where only the flag differs. With ``rest`` the missing ones stay as they are.
+    """
+    o = old.select(*[F.col(c).alias(f"_{c}") for c in ("chunk_id", "chunk", "embedding", "embedding_model", "embedding_dimension", "is_indexed")])
+    joined = new.withColumn("_arrived", F.lit(True)).join(o, F.col("chunk_id") == F.col("_chunk_id"), "full" if rest else "left")
+    arrived = F.col("_arrived").isNotNull()
+    same = F.col("_chunk_id").isNotNull() & F.col("chunk").eqNullSafe(F.col("_chunk"))
+    fits = same & valid_vector(F.col("_embedding"), dimension) & F.col("_embedding_model").eqNullSafe(F.lit(model)) & F.col("_embedding_dimension").eqNullSafe(F.lit(dimension))
+    state = F.when(~arrived, "KEPT").when(F.col("_chunk_id").isNull(), "ADDED").when(~same, "CHANGED").when(~fits.eqNullSafe(F.col("_is_indexed")), "FLAGGED").otherwise("KEPT")
+    vector = {c: F.when(same | ~arrived, F.col(f"_{c}")) for c in ("embedding", "embedding_model", "embedding_dimension")}
+    own = {c: F.when(arrived, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("chunk_id", "chunk")}
+    return joined.withColumns({**vector, "is_indexed": F.when(arrived, fits).otherwise(F.col("_is_indexed")), "change": state}).withColumns(own).drop("_arrived", *o.columns)
 
 
 def removed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:

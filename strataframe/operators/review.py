@@ -236,52 +236,6 @@ def resolve_conflicts(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame
     return joined.withColumns({"changed": change, "status": F.when(change, F.col("resolution")).otherwise(F.col("status"))}).drop("_c", "resolution")
 
 
-ACTIONS = ("CLAIM", "APPROVE", "EDIT_AND_APPROVE", "REJECT", "MARK_UNRESOLVED")
-
-
-def transition(state: Column, action: Column) -> Column:
-    """``struct(state, outcome)``: APPLIED, NO_OP or ILLEGAL."""
-    out = lambda s, o: F.struct(s.alias("state"), F.lit(o).alias("outcome"))
-    lit = lambda s: F.lit(s)
-    approve = action.isin("APPROVE", "EDIT_AND_APPROVE")
-    return (
-        F.when((action == "CLAIM") & (state == "PENDING"), out(lit("IN_REVIEW"), "APPLIED"))
-        .when((action == "CLAIM") & state.isin("IN_REVIEW", "VERIFIED"), out(state, "NO_OP"))
-        .when(approve & (state == "IN_REVIEW"), out(lit("VERIFIED"), "APPLIED"))
-        .when(approve & (state == "VERIFIED"), out(state, "NO_OP"))
-        .when((action == "REJECT") & (state == "REJECTED"), out(state, "NO_OP"))
-        .when((action == "REJECT") & (state != "VERIFIED"), out(lit("REJECTED"), "APPLIED"))
-        .when((action == "MARK_UNRESOLVED") & (state != "VERIFIED"), out(lit("UNRESOLVED"), "APPLIED"))
-        .otherwise(out(state, "ILLEGAL"))
-    )
-
-
-def fold_decisions(cands: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``(id, seq, action, actor, previous_state, state, outcome)`` of every decision, each candidate's in order of ``seq``.
-
-    A candidate has few decisions; its log is folded in one array. Candidates ``(id, verification_status)`` without decisions
-    give no row; decisions on unknown candidates are NOT_FOUND.
-    """
-    d = decisions.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "action", "actor"))).alias("log"))
-    joined = d.join(cands.select(F.col("id").alias("_i"), "verification_status"), F.col("id") == F.col("_i"), "left")
-    event = "array<struct<seq:bigint,action:string,actor:bigint,previous_state:string,state:string,outcome:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        t = transition(acc["state"], x["action"])
-        t = F.when(acc["state"].isNull(), F.struct(F.lit(None).cast("string").alias("state"), F.lit("NOT_FOUND").alias("outcome"))).otherwise(t)
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["action"].alias("action"), x["actor"].cast("long").alias("actor"), acc["state"].alias("previous_state"), t["state"].alias("state"), t["outcome"].alias("outcome"))
-        return F.struct(t["state"].alias("state"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate("log", F.struct(F.col("verification_status").alias("state"), F.array().cast(event).alias("out")), step)["out"]
-    return joined.select("id", F.inline(folded))
-
-
-def current_state(cands: DataFrame, events: DataFrame) -> DataFrame:
-    """Candidates after their decisions, with the verifier of an approval."""
-    last = events.groupBy(F.col("id").alias("_i")).agg(F.max_by("state", "seq").alias("_s"), F.max(F.when((F.col("state") == "VERIFIED") & (F.col("outcome") == "APPLIED"), F.col("actor"))).alias("verified_by"))
-    return cands.join(last, F.col("id") == F.col("_i"), "left").withColumn("verification_status", F.coalesce("_s", "verification_status")).drop("_i", "_s")
-
-
 def class_counts(cands: DataFrame) -> DataFrame:
     return cands.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 

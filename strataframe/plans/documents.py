@@ -163,7 +163,7 @@ _FIRST = """f AS (SELECT doc_id AS chunk_id, source AS document_version_id, text
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _first(spark, sf_dir).where("chunk_id % 4 <> 0")
     new = documents(spark, sf_dir).where("doc_id % 7 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("new text")).otherwise(F.col("text")).alias("chunk"))
-    return op.merge_chunks(old, new).select("chunk_id", "change", "is_indexed", F.col("embedding").isNotNull().alias("has_vector"))
+    return op.merge_chunks(old, new, "m1", 64).select("chunk_id", "change", "is_indexed", F.col("embedding").isNotNull().alias("has_vector"))
 
 
 def removed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ QUERIES = {
     "f05_chunk_ids": (identities, _IDENTITIES),
     "f06_chunk_index": (chunk_numbers, f"SELECT chunk_id, document_version_id, (row_number() OVER (PARTITION BY document_version_id ORDER BY doc_id, ordinal) - 1)::INTEGER AS chunk_index FROM ({_IDENTITIES}) JOIN (SELECT doc_id, '00000000-0000-5000-8000-' || lpad(regexp_replace(source, '[^0-9]', '', 'g'), 12, '0') AS document_version_id FROM documents) USING (doc_id)"),
     "f07_trusted_text": (trusted, "SELECT s_suppkey AS id, 'Mine' AS entity_type, 'Mine. canonical_name: ' || s_name || CASE WHEN s_suppkey % 3 <> 0 THEN '; state: N' || s_nationkey ELSE '' END AS text, 'TRUSTED_CANONICAL_DATA' AS evidence_type FROM supplier UNION ALL SELECT p_partkey, 'Production', 'Production. commodity: ' || p_name || '; value: ' || p_size, 'TRUSTED_CANONICAL_DATA' FROM part"),
-    "f08_merge_chunks": (merged, f"WITH {_FIRST}, n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new text' ELSE text END AS chunk FROM documents WHERE doc_id % 7 <> 0) SELECT n.doc_id AS chunk_id, CASE WHEN f.chunk_id IS NULL THEN 'ADDED' WHEN f.chunk = n.chunk THEN 'KEPT' ELSE 'CHANGED' END AS change, coalesce(f.chunk = n.chunk AND is_indexed, false) AS is_indexed, coalesce(f.chunk = n.chunk AND embedding IS NOT NULL, false) AS has_vector FROM n LEFT JOIN (SELECT * FROM f WHERE chunk_id % 4 <> 0) f ON f.chunk_id = n.doc_id"),
+    "f08_merge_chunks": (merged, f"WITH {_FIRST}, n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new text' ELSE text END AS chunk FROM documents WHERE doc_id % 7 <> 0), m AS (SELECT n.doc_id, f.*, f.chunk IS NOT DISTINCT FROM n.chunk AND f.chunk_id IS NOT NULL AS same, coalesce(model = 'm1' AND dim = 64, false) AS fits FROM n LEFT JOIN (SELECT * FROM f WHERE chunk_id % 4 <> 0) f ON f.chunk_id = n.doc_id) SELECT doc_id AS chunk_id, CASE WHEN chunk_id IS NULL THEN 'ADDED' WHEN NOT same THEN 'CHANGED' WHEN is_indexed <> fits THEN 'FLAGGED' ELSE 'KEPT' END AS change, same AND fits AS is_indexed, same AND embedding IS NOT NULL AS has_vector FROM m"),
     "f08_removed_chunks": (removed, "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 = 0"),
     "c11_needs_embedding": (stale, f"WITH {_FIRST} SELECT chunk_id FROM f WHERE embedding IS NULL OR model <> 'm1' OR dim <> 64"),
     "f09_valid_vector": (valid, "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS valid FROM embeddings"),

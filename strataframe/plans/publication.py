@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from ..operators import canonical as op
 from ..operators import events as log
 from ..operators import quality, reports
 from ..operators import spatial as geo
+from ..operators.decisions import ACTIONS
 from ..operators.paging import list_by_status
 from ..operators.production import production_report
-from ..operators.review import ACTIONS
 from ..sources.views import table
-from ..streaming import jobs
+from ..streaming import index, jobs, uploads
 from ..streaming.tables import folder, source
 from . import production, review, spatial, text
 
@@ -229,16 +231,30 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cite(ev, e.where("chunk_id % 3 <> 0").select("chunk_id", "citation_id"))
 
 
-def _drained(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream writes when it has read all its input, as a table."""
-    at = folder(spark)
+def _drained(spark: SparkSession, out: DataFrame, mode: str = "append", at: str | None = None, back: SparkSession | None = None) -> DataFrame:
+    """What a stream writes when it has read all its input, as a table of the session ``back``."""
+    at = at or folder(spark)
     out.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/rows").awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+    return (back or spark).read.schema(out.schema).parquet(f"{at}/rows")
+
+
+def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files in four uploads, days apart: each a batch of one stream."""
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("|", "user_id", "event_type").alias("content"))
+    n = e.agg(F.max("event_id").alias("n")).first()["n"] or 0
+    for k in range(4):
+        e.where((F.col("event_id") * 4 > n * k - (k == 0)) & (F.col("event_id") * 4 <= n * (k + 1))).write.mode("append").parquet(f"{at}/in")
+        uploads.stream_uploads(spark.readStream.schema(e.schema).parquet(f"{at}/in"), at, f"{at}/state", key="event_id").awaitTermination()
+    return uploads.uploads(spark, at, "event_id")
 
 
 def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = source(spark, sf_dir, "events").withColumn("content", F.concat_ws("|", "user_id", "event_type"))
-    return _drained(spark, jobs.stream_dedup(e, late="40 days")).select("checksum")
+    return _uploaded(spark, sf_dir).where("NOT duplicate").select("checksum")
+
+
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploaded(spark, sf_dir).where("duplicate").select("event_id", "surviving_id")
 
 
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,23 +263,31 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.review import ACTIONS
-    e = source(spark, sf_dir, "events")
-    d = e.select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"))
-    return _drained(spark, jobs.stream_decisions(d))
+    """Decisions in sixteen files, every two of them in the wrong order; a last one, long after, lets the watermark pass them all."""
+    at, session = folder(spark), spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    d = table(spark, sf_dir, "events").select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"), F.col("ts").cast("timestamp").alias("ts"))
+    n, newest, oldest = d.agg(F.max("seq"), F.max("ts"), F.min("ts")).first()
+    for k in range(16):
+        d.where(F.floor(F.col("seq") * 16 / (n + 1)) == (k ^ 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    spark.createDataFrame([(-1, n + 1, ACTIONS[0], newest + timedelta(days=90))], d.schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    out = jobs.stream_decisions(session.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), late=f"{(newest - oldest) // 4 // timedelta(seconds=1)} seconds")
+    return _drained(session, out, at=at, back=spark)
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, then some of them again, every second of these with another text, and new ones: two batches, the second merged with the index of the first."""
+    """Documents, vectors for some, then some documents again, every second of these with another text, and new ones."""
     at = folder(spark)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
     again = d.where("chunk_id % 3 = 0").withColumn("chunk", F.when(F.col("chunk_id") % 2 == 0, F.lit("another text")).otherwise(F.col("chunk")))
-    for part in (d.where("chunk_id % 7 <> 0"), again):
+    vectors = d.join(table(spark, sf_dir, "embeddings"), F.col("chunk_id") == F.col("vec_id")).select(F.col("chunk_id").alias("id"), F.sha2("chunk", 256).alias("text_hash"), F.col("embedding").alias("vector"))
+    for k, part in enumerate((d.where("chunk_id % 7 <> 0"), again)):
         part.write.mode("append").parquet(f"{at}/in")
-        q = jobs.stream_index(spark.readStream.schema(d.schema).parquet(f"{at}/in"), f"{at}/index", f"{at}/state")
-        q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{at}/index/version={last}").select("chunk_id", "change", "is_indexed")
+        jobs.stream_index(spark.readStream.schema(d.schema).parquet(f"{at}/in"), f"{at}/index", f"{at}/state", "m1", 64, buckets=64).awaitTermination()
+        if k == 0:
+            index.attach(spark, f"{at}/index", vectors, "m1", 64, "vectors", buckets=64)
+    index.drop_versions(spark, f"{at}/index")
+    return index.read_index(spark, f"{at}/index").select("chunk_id", "change", "is_indexed")
 
 
 QUERIES = {
@@ -295,7 +319,8 @@ QUERIES = {
     "n08_appendix_evidence": (appendix, "SELECT report_id, position, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY tier, position) AS r FROM (SELECT user_id % 60 AS report_id, event_id AS position, CASE WHEN event_id % 2 = 0 AND row_number() OVER (PARTITION BY user_id % 60, CASE WHEN event_id % 2 = 0 THEN event_type END ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS tier FROM events)) WHERE r <= 10"),
     "d15_citations": (cited, "SELECT event_type AS term, list('E' || CASE WHEN event_id = 77 THEN 1 ELSE event_id END ORDER BY user_id % 60, event_id) AS citations FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1"),
     "s01_stream_dedup": (stream_unique, "SELECT DISTINCT sha256(user_id || '|' || event_type) AS checksum FROM events"),
-    "s02_stream_index": (stream_index, "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'ADDED' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'CHANGED' ELSE 'KEPT' END AS change, false AS is_indexed FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0"),
+    "s01_stream_rejected": (stream_rejected, "SELECT event_id, f AS surviving_id FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events) WHERE event_id <> f"),
+    "s02_stream_index": (stream_index, "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'ADDED' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'CHANGED' ELSE 'KEPT' END AS change, doc_id % 7 <> 0 AND doc_id % 6 <> 0 AND text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings) AS is_indexed FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0"),
     "s03_stream_activity": (stream_activity, "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, action, n FROM w WHERE s + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"),
     "s04_stream_decisions": (stream_states, f"WITH {review.FOLD_ALL} SELECT id, seq, action, state, outcome FROM s WHERE r > 0"),
 }

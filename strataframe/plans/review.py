@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decisions as log
 from ..operators import review as op
 from ..sources.views import table
 
@@ -125,7 +126,7 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(op.ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"), F.col("user_id").alias("actor"))
+    return e.select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(log.ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"), F.col("user_id").alias("actor"))
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.fold_decisions(starts(spark, sf_dir), decisions(spark, sf_dir)).select("id", "seq", "action", "state", "outcome")
+    return log.fold_decisions(starts(spark, sf_dir), decisions(spark, sf_dir)).select("id", "seq", "action", "state", "outcome")
 
 
 _FOLD = """RECURSIVE d AS (SELECT user_id * 7 % 300 AS id, event_id AS seq, ['CLAIM', 'APPROVE', 'EDIT_AND_APPROVE', 'REJECT', 'MARK_UNRESOLVED'][(event_id * 31 + user_id) % 5 + 1] AS action, row_number() OVER (PARTITION BY user_id * 7 % 300 ORDER BY event_id) AS r FROM events),
@@ -149,7 +150,7 @@ FOLD_ALL = _FOLD.replace("CASE WHEN id IN (SELECT p_partkey FROM part) THEN 'PEN
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.current_state(starts(spark, sf_dir), op.fold_decisions(starts(spark, sf_dir), decisions(spark, sf_dir))).select("id", "verification_status")
+    return log.current_state(starts(spark, sf_dir), log.fold_decisions(starts(spark, sf_dir), decisions(spark, sf_dir))).select("id", "verification_status")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:

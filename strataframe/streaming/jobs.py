@@ -1,4 +1,4 @@
-"""Streaming forms: ingest deduplication, incremental index, activity windows, decisions."""
+"""Streaming forms: incremental index, activity windows, decisions. Ingest deduplication is in :mod:`.uploads`."""
 
 from __future__ import annotations
 
@@ -7,16 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.chunk import merge_chunks
-from ..sources.ingest import checksum
+from ..operators.decisions import next_state
+from . import index
 
-
-def stream_dedup(files: DataFrame, content: str = "content", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """The first file of each content within the watermark."""
-    return files.withColumns({"checksum": checksum(F.col(content)), ts: F.col(ts).cast("timestamp")}).withWatermark(ts, late).dropDuplicatesWithinWatermark(["checksum"])
+#: The state store that decisions need; set ``spark.sql.streaming.stateStore.providerClass`` to it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_activity(events: DataFrame, ts: str = "ts", action: str = "event_type", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -25,55 +22,77 @@ def stream_activity(events: DataFrame, ts: str = "ts", action: str = "event_type
     return counted.select(F.col("w.start").alias("start"), "action", "n")
 
 
-def stream_index(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge new chunks into an index kept as snapshots ``path/version=n``: each batch writes the next from the last.
+def stream_index(chunks: DataFrame, path: str, checkpoint: str, model: str, dimension: int, buckets: int = index.BUCKETS) -> StreamingQuery:
+    """Merge new chunks ``(chunk_id, chunk)`` into the index at ``path``: each batch rewrites the buckets whose chunks it changes.
 
-    A batch that is repeated after a failure overwrites its own snapshot and no other.
+    A batch that is repeated after a failure finds its label in the last version, or else writes the same version again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["chunk_id"]).select("chunk_id", "chunk")
-        if number == 0:
-            none = new.limit(0).withColumns({"embedding": F.lit(None).cast("array<float>"), "is_indexed": F.lit(None).cast("boolean")})
-            out = merge_chunks(none, new)
-        else:
-            old = spark.read.parquet(f"{path}/version={number - 1}").select("chunk_id", "chunk", "embedding", "is_indexed")
-            rest = old.join(new.select(F.col("chunk_id").alias("_n")), F.col("chunk_id") == F.col("_n"), "left_anti").withColumn("change", F.lit("KEPT"))
-            out = merge_chunks(old, new).unionByName(rest)
-        out.write.mode("overwrite").parquet(f"{path}/version={number}")
+        index.merge(batch.sparkSession, path, batch, model, dimension, f"{checkpoint}#{number}", buckets)
 
     return chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_NEXT = {
-    ("CLAIM", "PENDING"): ("IN_REVIEW", "APPLIED"), ("CLAIM", "IN_REVIEW"): ("IN_REVIEW", "NO_OP"), ("CLAIM", "VERIFIED"): ("VERIFIED", "NO_OP"),
-    ("APPROVE", "IN_REVIEW"): ("VERIFIED", "APPLIED"), ("APPROVE", "VERIFIED"): ("VERIFIED", "NO_OP"),
-    ("REJECT", "REJECTED"): ("REJECTED", "NO_OP"),
-}
-
-
-def next_state(state: str, action: str) -> tuple[str, str]:
-    """The transition table of the batch job, one decision at a time."""
-    action = "APPROVE" if action == "EDIT_AND_APPROVE" else action
-    if (action, state) in _NEXT:
-        return _NEXT[action, state]
-    if action in ("REJECT", "MARK_UNRESOLVED") and state != "VERIFIED":
-        return ("REJECTED" if action == "REJECT" else "UNRESOLVED"), "APPLIED"
-    return state, "ILLEGAL"
-
-
-def stream_decisions(decisions: DataFrame) -> DataFrame:
-    """Decisions ``(id, seq, action)`` with the state and outcome that they lead to; a candidate starts PENDING."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "PENDING"
-        rows = pd.concat(list(batches)).sort_values("seq")  # one candidate's decisions of one batch
+class _Decisions(StatefulProcessor):
+    """Decisions of one candidate wait until the watermark has passed them, then they are folded in order."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string, last long")
+        self.waiting = handle.getListState("waiting", "at long, seq long, action string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for some in rows:
+            for r in some.itertuples():
+                self.waiting.appendValue((int(r.at), int(r.seq), r.action))
+                first = int(r.at) if first is None else min(first, int(r.at))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for r in self.waiting.get() if self.waiting.exists() else ():
+            (ready if r[0] < mark else later).append(tuple(r))
+        state, last = self.state.get() if self.state.exists() else ("PENDING", 0)
         out = []
-        for r in rows.itertuples():
-            now, outcome = next_state(now, r.action)
-            out.append((key[0], r.seq, r.action, now, outcome))
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["id", "seq", "action", "state", "outcome"])
-
-    return decisions.groupBy("id").applyInPandasWithState(fold, "id long, seq long, action string, state string, outcome string", "state string", "append", GroupStateTimeout.NoTimeout)
+        for at, seq, action in sorted(ready, key=lambda r: (r[1], r[2])):
+            state, outcome = next_state(state, action)
+            out.append((key[0], seq, action, state, outcome))
+            last = max(last, at)
+        if ready:
+            self.state.update((state, last))
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if later:
+            self.handle.registerTimer(min(r[0] for r in later) + 1)
+        elif self.idle is not None:
+            if not ready and last + self.idle < mark:
+                self.state.clear()
+            else:
+                self.handle.registerTimer(last + self.idle + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["id", "seq", "action", "state", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_decisions(decisions: DataFrame, ts: str = "ts", late: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
+    """Decisions ``(id, seq, action)`` with the state and outcome that they lead to, in order of ``seq`` whatever order they arrive in.
+
+    A candidate starts PENDING. A decision waits until the watermark, ``late`` behind the newest one seen, has passed its
+    time ``ts``, along which ``seq`` rises; one that comes later than that is dropped, as in any stream with a watermark. With
+    ``idle_ms`` a candidate is forgotten so long after its last decision. Needs :data:`STATE_STORE`.
+    """
+    timed = decisions.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = timed.select("id", F.col("seq").cast("long").alias("seq"), "action", ts, F.unix_millis(ts).alias("at"))
+    return rows.groupBy("id").transformWithStateInPandas(_Decisions(idle_ms), "id long, seq long, action string, state string, outcome string", "Append", "EventTime")

@@ -10,8 +10,8 @@ import pytest
 import __spark_entry__
 from strataframe.operators import review
 from strataframe.operators.canonical import fold_values
+from strataframe.operators.decisions import ACTIONS, next_state, transition
 from strataframe.plans import registry
-from strataframe.streaming.jobs import next_state
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,9 +36,9 @@ def test_transitions(spark):
 
     from pyspark.sql import functions as F
 
-    rows = list(product(("PENDING", "IN_REVIEW", "VERIFIED", "REJECTED", "UNRESOLVED"), review.ACTIONS))
+    rows = list(product(("PENDING", "IN_REVIEW", "VERIFIED", "REJECTED", "UNRESOLVED"), ACTIONS))
     df = spark.createDataFrame(rows, "s string, a string")
-    got = [tuple(r.t) for r in df.select(review.transition(F.col("s"), F.col("a")).alias("t")).collect()]
+    got = [tuple(r.t) for r in df.select(transition(F.col("s"), F.col("a")).alias("t")).collect()]
     assert got == [next_state(s, a) for s, a in rows]
     assert dict(zip(rows, got, strict=True))["REJECTED", "CLAIM"] == ("REJECTED", "ILLEGAL")
 
