@@ -63,6 +63,8 @@ class _Decisions(StatefulProcessor):
         state, last = self.state.get() if self.state.exists() else ("PENDING", 0)
         out = []
         for at, seq, action in sorted(ready, key=lambda r: (r[1], r[2])):
+            if self.idle is not None and last and at - last > self.idle:
+                state = "PENDING"  # forgotten, whether or not its timer has been
             state, outcome = next_state(state, action)
             out.append((key[0], seq, action, state, outcome))
             last = max(last, at)
@@ -91,7 +93,7 @@ def stream_decisions(decisions: DataFrame, ts: str = "ts", late: str = "1 hour",
 
     A candidate starts PENDING. A decision waits until the watermark, ``late`` behind the newest one seen, has passed its
     time ``ts``, along which ``seq`` rises; one that comes later than that is dropped, as in any stream with a watermark. With
-    ``idle_ms`` a candidate is forgotten so long after its last decision. Needs :data:`STATE_STORE`.
+    ``idle_ms`` a candidate is forgotten so long after its last decision and begins anew. Needs :data:`STATE_STORE`.
     """
     timed = decisions.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     rows = timed.select("id", F.col("seq").cast("long").alias("seq"), "action", ts, F.unix_millis(ts).alias("at"))
