@@ -28,7 +28,7 @@ from .common import kept
 #: Rows of a packed block, and queries that are sent to it together.
 BLOCK, QUERIES = 4096, 128
 #: Rows of the sample that the codebooks are fitted on, about; never twice as many.
-SAMPLE = 20_000
+SAMPLE = 8192
 #: Rows that the first round of a search looks at for each query, at least.
 PROBE = 2048
 #: Bounds of windows that are open to one side.
@@ -46,6 +46,12 @@ class Index:
     radii: list[np.ndarray]
     rows: dict[tuple[int, int], int]
     exact: bool
+    width: np.dtype  # of packed components
+    block: int
+
+    def parts(self, cell: tuple[int, int]) -> int:
+        """The number of blocks that a cell's rows are dealt to."""
+        return -(-self.rows[cell] // self.block)
 
     def half(self, x: np.ndarray, side: int) -> np.ndarray:
         return x[:, : self.dim // 2] if side == 0 else x[:, self.dim // 2 :]
@@ -121,17 +127,17 @@ def build(rows: DataFrame, codes: int | None = None, sample: int = SAMPLE, seed:
     dim, n, top = max(seen["dim"], 2), seen["n"], seen["top"] or 0
     codes = codes or int(np.clip(round(n**0.25), 4, 256))
     share = F.shiftrightunsigned(F.xxhash64("id", "vector"), 11).cast("double") * 2.0**-53
-    drawn = [r["vector"] for r in rows.where(share * n < sample).select("vector").limit(2 * sample).collect()] or [r["vector"] for r in rows.select("vector").limit(1).collect()]
-    index = Index(dim, [], [], {}, dim * float(top) ** 2 < _EXACT)
-    x = _matrix(pa.array(drawn, pa.list_(pa.int64())), dim).astype(np.float64)
+    drawn = rows.where(share * n < sample).select("vector").limit(2 * sample).toArrow()
+    drawn = drawn if drawn.num_rows else rows.select("vector").limit(1).toArrow()
+    index = Index(dim, [], [], {}, dim * float(top) ** 2 < _EXACT, np.dtype(np.int16 if top < 1 << 15 else np.int64), BLOCK)
+    x = _matrix(drawn.column("vector").combine_chunks(), dim).astype(np.float64)
     rng = np.random.default_rng(seed)
     index.books = [_codebook(index.half(x, side), codes, rng) for side in (0, 1)]
-    width = np.dtype(np.int16 if top < 1 << 15 else np.int64)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = _matrix(batch.column("vector"), dim)
-            out = [batch.column("id"), batch.column("label"), pa.array([v.tobytes() for v in whole.astype(width)], pa.binary())]
+            out = [batch.column("id"), batch.column("label"), pa.array([v.tobytes() for v in whole.astype(index.width)], pa.binary())]
             for side in (0, 1):
                 half = index.half(whole.astype(np.float64), side)
                 code = _nearest(half, index.books[side])
@@ -145,7 +151,7 @@ def build(rows: DataFrame, codes: int | None = None, sample: int = SAMPLE, seed:
         index.rows[r["i"], r["j"]] = r["n"]
         for side, (code, d) in enumerate(((r["i"], r["di"]), (r["j"], r["dj"]))):
             index.radii[side][code] = max(index.radii[side][code], d)
-    parts = F.broadcast(rows.sparkSession.createDataFrame([(i, j, _parts(m)) for (i, j), m in index.rows.items()], "ci int, cj int, parts long"))  # bounded likewise
+    parts = F.broadcast(rows.sparkSession.createDataFrame([(*c, index.parts(c)) for c in index.rows], "ci int, cj int, parts long"))  # bounded likewise
     other = len(index.books[1])
     placed = dealt.join(parts, (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj"))).select((F.col("i") * other + F.col("j")).alias("cell"), F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int").alias("part"), "id", "label", "vector")
 
@@ -153,7 +159,7 @@ def build(rows: DataFrame, codes: int | None = None, sample: int = SAMPLE, seed:
         for batch in batches:
             cell, part = (batch.column(c).to_numpy() for c in ("cell", "part"))
             cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]).tolist() if len(cell) else []
-            ranges = [(a, min(a + BLOCK, b)) for lo, b in zip(cuts, [*cuts[1:], len(cell)], strict=True) for a in range(lo, b, BLOCK)]
+            ranges = [(a, min(a + index.block, b)) for lo, b in zip(cuts, [*cuts[1:], len(cell)], strict=True) for a in range(lo, b, index.block)]
             ids, labels = (batch.column(c).to_numpy() for c in ("id", "label"))
             packed = [[ids[a:b].tobytes() for a, b in ranges], [labels[a:b].tobytes() for a, b in ranges], [b"".join(batch.column("vector").slice(a, b - a).to_pylist()) for a, b in ranges]]
             starts = [a for a, _ in ranges]
@@ -163,15 +169,6 @@ def build(rows: DataFrame, codes: int | None = None, sample: int = SAMPLE, seed:
     return index, kept(ordered.mapInArrow(pack, "cell int, part int, ids binary, labels binary, vectors binary"), "blocks")
 
 
-def _parts(rows: int) -> int:
-    return -(-rows // BLOCK)
-
-
-def _read(data: bytes, rows: int) -> np.ndarray:
-    """Packed vectors; their width follows from their number."""
-    return np.frombuffer(data, np.int64).reshape(rows, -1)
-
-
 def _visits(asked: DataFrame, index: Index, same: bool, certify: bool, probe: int) -> DataFrame:
     """The queries, packed for each block that they visit in this round."""
     other = len(index.books[1])
@@ -200,8 +197,8 @@ def _visits(asked: DataFrame, index: Index, same: bool, certify: bool, probe: in
         out: list[tuple] = []
         for cell, qs in wanted.items():
             at = np.array([[q, w["w"], w["low"], w["high"], w["floor"]] for q, i in enumerate(qs) for w in windows[i]], np.int64)
-            row = (query[qs].tobytes(), ids[qs].tobytes(), labels[qs].tobytes(), x[qs].tobytes(), at.tobytes())
-            out += [(cell, p, *row) for p in range(_parts(index.rows[divmod(cell, other)]))]
+            row = (query[qs].tobytes(), ids[qs].tobytes(), labels[qs].tobytes(), x[qs].astype(index.width).tobytes(), at.tobytes())
+            out += [(cell, p, *row) for p in range(index.parts(divmod(cell, other)))]
             if len(out) >= 64:
                 yield _batch(out)
                 out = []
@@ -215,15 +212,17 @@ def _visits(asked: DataFrame, index: Index, same: bool, certify: bool, probe: in
 
 
 def _look(visits: DataFrame, blocks: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
-    """``(query, w, other, score)``: of each block visited the best rows of every window."""
+    """``(query, w, other, score)``: of each block visited the best rows of every window.
+
+    Both sides are packed: they are larger than Spark takes them for, so neither may be broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 query, own, label, ids, labels = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("query", "id", "label", "ids", "labels"))
-                width = len(batch.column("vectors")[r].as_py()) // (len(ids) * index.dim)
-                rows = np.frombuffer(batch.column("vectors")[r].as_py(), f"<i{width}").reshape(len(ids), index.dim)
-                score = _products(_read(batch.column("vector")[r].as_py(), len(query)), rows, index.exact)
+                queries, rows = (np.frombuffer(batch.column(c)[r].as_py(), index.width).reshape(-1, index.dim) for c in ("vector", "vectors"))
+                score = _products(queries, rows, index.exact)
                 fine = ((labels == label[:, None]) == same) & (ids != own[:, None])
                 at = np.frombuffer(batch.column("windows")[r].as_py(), np.int64).reshape(-1, 5)
                 s = score[at[:, 0]]
@@ -236,7 +235,7 @@ def _look(visits: DataFrame, blocks: DataFrame, index: Index, same: bool, k: int
                 w, other, s = w[best], other[best], s[best]
                 yield pa.RecordBatch.from_arrays([pa.array(query[at[w, 0]]), pa.array(at[w, 1]), pa.array(ids[other]), pa.array(s)], names=["query", "w", "other", "score"])
 
-    met = visits.join(blocks, (F.col("c") == F.col("cell")) & (F.col("p") == F.col("part"))).drop("c", "p", "cell", "part")
+    met = visits.join(blocks.hint("merge"), (F.col("c") == F.col("cell")) & (F.col("p") == F.col("part"))).drop("c", "p", "cell", "part")
     return met.mapInArrow(run, "query long, w long, other long, score long")
 
 
@@ -268,8 +267,8 @@ def mine(rows: DataFrame, anchor: Column, key: str = "id", label: str = "label",
 
     Rows with a null key, label, vector or component take no part. A row of the anchor's own key is never its partner;
     repeated rows are partners as often as they occur, and repeated anchors answer once. Shorter vectors count as zero beyond
-    their end. An empty table, or one without anchors, gives no rows. Other columns play no part. Scores beyond 2^56 are
-    outside of what windows hold.
+    their end. An empty table, or one without anchors, gives no rows. Other columns play no part. Positives'
+    scores beyond 2^56 raise, because the bounds of their windows do not fit a long.
     """
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False)) & F.col(key).isNotNull() & F.col(label).isNotNull()
     usable = rows.where(fine).select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<long>").alias("vector"), F.coalesce(anchor, F.lit(False)).alias("is_anchor"))
