@@ -106,14 +106,19 @@ def formula_safe(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+#: What a token is, and tokens that mean nothing.
+TOKEN = r"[a-z][a-z0-9-]+"
+NOISE = r"[a-z]{1,2}|[0-9]+|[a-f0-9]{12,}"
+
+
 def tokens(text: Column) -> Column:
     """Words of a letter and more letters, digits or hyphens, in lower case, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z0-9-]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def meaningful(token: Column) -> Column:
     """Neither a stop word, nor one or two letters, nor a long hexadecimal number."""
-    return ~token.isin(STOP_WORDS) & ~token.rlike(r"^(?:[a-z]{1,2}|[0-9]+|[a-f0-9]{12,})$")
+    return ~token.isin(STOP_WORDS) & ~token.rlike(f"^(?:{NOISE})$")
 
 
 def terms(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import terms
+from .terms import candidates, chunk_terms, summed_terms
 
 
 def intelligence_input(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -18,27 +18,6 @@ def intelligence_input(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("page_number", F.coalesce("page_number", F.get_json_object("metadata", "$.page_number").try_cast("int")))
 
 
-def chunk_terms(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``(document_id, page_id, chunk_id, term, n)``: terms of every chunk, counted. A chunk is one row, so nothing moves: equal terms stand side by side when sorted."""
-    return chunks.select("document_id", "page_id", "chunk_id", F.inline(counted_terms(terms(F.col(text)))))
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: lambdas would compute it again for every element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def counted_terms(every: Column) -> Column:
-    """``array<struct<term, n>>`` of an array of terms."""
-
-    def runs(ordered: Column) -> Column:
-        size = F.size(ordered)
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & ((i == size) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-        return _let(ends, lambda x: F.zip_with(x, F.slice(F.concat(F.array(F.lit(0)), x), F.lit(1), F.size(x)), lambda e, b: F.struct(F.get(ordered, e - 1).alias("term"), (e - b).cast("long").alias("n"))))
-
-    return _let(F.sort_array(every), runs)
-
-
 def _ranked(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
     """The first ``limit`` by frequency, then term; for each key if there are keys."""
     if not keys:
@@ -47,13 +26,24 @@ def _ranked(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
-def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
+def _frequencies(chunks: DataFrame, by: tuple[str, ...], limit: int, pairs_only: bool) -> DataFrame:
+    """``(*by, term, f, t)`` of the terms that can be among the ``limit`` first, summed over tasks."""
+    likely, heavy = candidates(chunks, limit, pairs_only=pairs_only)
+    rows = summed_terms(chunks, by, pairs_only=pairs_only, likely=likely, heavy=heavy)
+    return rows.groupBy(*by, "term").agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
+
+
+def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
     """Terms by the number of chunks that hold them, with counts of tokens, documents and pages and a weight from 0 to 1.
 
-    ``keys=("document_id",)`` gives each document its own list.
+    ``keys=("document_id",)`` gives each document its own list. Without keys, terms that cannot be among the first are
+    found in a pass of their own (:func:`.terms.candidates`) and not shuffled.
     """
-    rows = chunk_terms(chunks) if counted is None else counted
-    pages = rows.groupBy("term", "document_id", "page_id").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("t"))
+    by = ("document_id", "page_id")
+    if keys:
+        pages = summed_terms(chunks, by).groupBy("term", *by).agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
+    else:
+        pages = _frequencies(chunks, by, limit, False)
     documents = pages.groupBy("term", "document_id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.count("page_id").alias("p"))
     if "document_id" in keys:
         found = documents.select(*keys, "term", F.col("f").alias("frequency"), F.col("t").alias("token_frequency"), F.lit(1).cast("long").alias("document_count"), F.col("p").alias("page_count"))
@@ -65,26 +55,41 @@ def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = (), co
     return joined.withColumn("weight", F.round(F.col("frequency") / F.col("_top"), 6)).drop("_top", *[f"_{k}" for k in keys])
 
 
-def evidence(chunks: DataFrame, ranked: DataFrame, per_term: int = 5, counted: DataFrame | None = None) -> DataFrame:
-    """``(term, evidence)``: the first chunks of each ranked term in order of document and chunk."""
-    rows = (chunk_terms(chunks) if counted is None else counted).join(F.broadcast(ranked.select(F.col("term").alias("_t")).distinct()), F.col("term") == F.col("_t"))  # at most the ranked list
+#: What evidence says about its chunk, where the chunks have it.
+PROVENANCE = ("document_version_id", "page_id", "page_number", "source_unit_id", "evidence_type")
+#: Ranked terms that tasks may be given to look for; of more, all terms are joined.
+GIVEN = 10_000
+
+
+def _held(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
+    """:func:`chunk_terms` of the ranked terms."""
+    wanted = [r["term"] for r in ranked.select("term").distinct().limit(GIVEN + 1).collect()]
+    if len(wanted) <= GIVEN:
+        return chunk_terms(chunks, only=wanted)
+    return chunk_terms(chunks).join(ranked.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left_semi")
+
+
+def evidence(chunks: DataFrame, ranked: DataFrame, per_term: int = 5) -> DataFrame:
+    """``(term, evidence)``: the first chunks of each ranked term in order of document and chunk, with their provenance."""
     w = Window.partitionBy("term").orderBy("document_id", "chunk_id")
-    first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_term)
-    return first.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "document_id", "chunk_id"))), lambda x: F.struct(x["document_id"].alias("document_id"), x["chunk_id"].alias("chunk_id"))).alias("evidence"))
+    first = _held(chunks, ranked).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_term)
+    known = [c for c in PROVENANCE if c in chunks.columns and c != "page_id"]
+    if known:
+        first = first.join(chunks.select(F.col("chunk_id").alias("_c"), *known), F.col("chunk_id") == F.col("_c"))
+    fields = ["document_id", "chunk_id", *[c for c in PROVENANCE if c in first.columns]]
+    return first.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("evidence"))  # ``per_term`` at most
 
 
-def topics(chunks: DataFrame, limit: int = 100, counted: DataFrame | None = None) -> DataFrame:
+def topics(chunks: DataFrame, limit: int = 100) -> DataFrame:
     """Two-word terms with the share of documents that hold them as confidence."""
-    rows = chunk_terms(chunks) if counted is None else counted
     documents = chunks.agg(F.count_distinct("document_id").alias("_n"))
-    found = rows.where(F.col("term").contains(" ")).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("f")).groupBy("term").agg(F.sum("f").alias("frequency"), F.count("document_id").alias("document_count"))
+    found = _frequencies(chunks, ("document_id",), limit, True).groupBy("term").agg(F.sum("f").alias("frequency"), F.count("document_id").alias("document_count"))
     return _ranked(found, (), limit).crossJoin(F.broadcast(documents)).select("term", "frequency", "document_count", F.round(F.least(F.lit(1.0), F.col("document_count") / F.greatest(F.col("_n"), F.lit(1))), 6).alias("confidence"))
 
 
-def distribution(chunks: DataFrame, ranked: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def distribution(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     """``(term, document_id, frequency)`` of the ranked topics."""
-    rows = (chunk_terms(chunks) if counted is None else counted).join(F.broadcast(ranked.select(F.col("term").alias("_t"))), F.col("term") == F.col("_t"))
-    return rows.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("frequency"))
+    return _held(chunks, ranked).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def topics_for_document(distributed: DataFrame, document_id) -> DataFrame:
@@ -93,7 +98,7 @@ def topics_for_document(distributed: DataFrame, document_id) -> DataFrame:
 
 def document_topics(chunks: DataFrame, limit: int = 100) -> DataFrame:
     """Each document's own first topics."""
-    rows = chunk_terms(chunks).where(F.col("term").contains(" ")).groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("frequency"))
+    rows = summed_terms(chunks, ("document_id",), pairs_only=True).groupBy("document_id", "term").agg(F.sum("f").alias("frequency"))
     return _ranked(rows, ("document_id",), limit)
 
 

@@ -41,6 +41,7 @@ def document_report(chunks: DataFrame, limit: int = 20) -> DataFrame:
     words = intel.keywords(chunks, limit).select(F.lit("keywords").alias("section"), "term", "frequency")
     themes = intel.topics(chunks, limit).select(F.lit("topics").alias("section"), "term", "frequency")
     rows = themes.unionByName(words)
+    rows = chunks.sparkSession.createDataFrame(rows.collect(), rows.schema)  # ``limit`` rows of each
     ev = intel.evidence(chunks, rows)
     first = ev.select(F.explode("evidence").alias("e")).select(F.col("e.document_id").alias("document_id"), F.col("e.chunk_id").alias("chunk_id")).distinct()
     labels = first.withColumn("citation_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("document_id", "chunk_id")))).select("chunk_id", "citation_id")  # five chunks a term at most

@@ -119,11 +119,6 @@ def test_search_in_blocks(spark, monkeypatch):
         assert [c for _, c in sorted(got[q])] == [c for _, c in ranked[:6]]
 
 
-def test_counted_terms(spark):
-    r = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"])], "i int, t array<string>").select("i", F.inline(intel.counted_terms(F.col("t")))).collect()
-    assert sorted(map(tuple, r)) == [(1, "a", 1), (1, "b", 3), (1, "c", 1), (3, "x", 1)]
-
-
 def test_numbered(spark):
     df = spark.range(500).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(1000)))
     rows = paging.numbered(df, [F.col("k"), F.col("id")], "n").collect()
