@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +64,16 @@ def release_memory() -> None:
         pass
 
 
+def portions(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Start and number of rows of stretches of about ``size`` bytes of text, one row at least, however long texts are."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + size // 4096)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, stop - at
+        at = stop
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, release_memory
+from .common import kept, portions, release_memory
 from .shingles import shingle_set
 
 #: Shingles that a task compares with each other at once (8 bytes each, a few copies).
@@ -75,8 +75,8 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, rows in portions(batch.column(1)):
+                part = batch.slice(at, rows)
                 sets = [shingle_set(t, shingle).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
         release_memory()

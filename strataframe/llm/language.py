@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import release_memory
+from .common import portions, release_memory
 
 #: Width and number of the filters.
 FILTERS = ((2, 8), (3, 12), (4, 12))
@@ -202,8 +202,8 @@ def identify(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at, rows in portions(batch.column(place)):
+                part = batch.slice(at, rows)
                 got = scorer.score(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g for g, _ in got]), pa.array([p for _, p in got])], names=[*names, "label", "p"])
         del scorer

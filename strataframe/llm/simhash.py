@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, fresh, kept, release_memory
+from .common import cut, fresh, kept, portions, release_memory
 from .graph import connected_components
 from .shingles import shingle_hashes, shingle_set
 
@@ -74,8 +74,8 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int, words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, size in portions(batch.column(1)):
+                part = batch.slice(at, size)
                 hashes, counts = [], []
                 for t in part.column(1).to_pylist():
                     found = shingle_hashes(t, shingle)
@@ -83,6 +83,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int, words: int =
                     counts.append(len(found))
                 h, n = np.array(hashes, np.uint64), np.array(counts, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(majority(_mixed(h, w), n).view(np.int64)) for w in range(words)]], names=["key", *[f"f{w}" for w in range(words)]])
+        release_memory()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"f{w} long" for w in range(words)))
@@ -398,8 +399,8 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at, size in portions(batch.column(2)):
+                part = batch.slice(at, size)
                 sets = [shingle_set(t, shingle) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 ids = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).view(np.int64)
                 n, h = np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)

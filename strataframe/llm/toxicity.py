@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut
+from .common import cut, portions
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
@@ -205,8 +205,8 @@ def score(df: DataFrame, net: ToxicNet, text: str = "text", name: str = "score",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at, rows in portions(batch.column(place)):
+                part = batch.slice(at, rows)
                 p, counts = scorer.sentences(part.column(place).to_pylist())
                 cols = [*part.columns, pa.array(_noisy_or(p, counts))]
                 if spans:

@@ -232,3 +232,15 @@ def test_contract_columns(spark):
     prints = {k: brute_fingerprint(t, 4) for k, t in docs}
     parts = components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if bin(prints[a] ^ prints[b]).count("1") <= 4])
     assert six == {k: (f"{p:016x}", parts[k]) for k, p in prints.items()}
+
+
+def test_portions_hold_every_row_once():
+    import pyarrow as pa
+
+    from strataframe.llm.common import portions
+
+    texts = pa.array(["x" * n for n in (0, 5, 3_000, 10, 900, 0)] + [None, "y" * 70_000, "z"] + [""] * 30_000)
+    cuts = list(portions(texts, 4096))
+    assert [a for a, _ in cuts] == [0, *np.cumsum([n for _, n in cuts])[:-1]] and sum(n for _, n in cuts) == len(texts)
+    assert all(n == 1 or sum(len(t or "") for t in texts.slice(a, n).to_pylist()) <= 4096 for a, n in cuts)
+    assert max(n for _, n in cuts) <= 4096 and not list(portions(texts.slice(0, 0)))

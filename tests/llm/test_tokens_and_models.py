@@ -285,4 +285,4 @@ def test_pipeline_keeps_one_of_each_group(spark):
             rows.append((10 * g + c, " ".join(v)))
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows] + [(None, rows[0][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_copies(spark, df, "")
-    assert {r.doc_id for r in out.where("doc_id IS NOT NULL").collect()} == want and out.where("doc_id IS NULL").count() == 1
+    assert {r.doc_id for r in out.where("doc_id IS NOT NULL").collect()} == want and out.where("doc_id IS NULL").count() == 0  # a copy of document 0
