@@ -12,6 +12,16 @@ from strataframe.llm.common import discard, new_folder
 LEAST_SCORE = 0.5
 #: Texts are near-duplicates when their sets of five-word shingles overlap by this many hundredths of their union.
 SHINGLE, PERCENT = 5, 80
+#: Rows of whole texts that Spark passes to a Python worker at once.
+BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to :data:`BATCH` rows, unless the session already has smaller ones: both sides hold a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(name, BATCH)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Repeated rows are judged alike. Without any labelled text every document goes. An empty table stays empty.
     """
+    _small_batches(spark)
     known = language.identify(docs, language.fit(docs), label="lang_pred_", score="lang_score_")
     return known.where((F.col("lang_pred_") != "und") & (F.col("lang_score_") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -28,6 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No document goes. Null and empty texts stay as they are; a null source is a source of its own.
     """
+    _small_batches(spark)
     out = lines.drop_boilerplate_lines(docs, host="source", max_ratio=queries.LINE_RATIO, least=queries.LINE_PAGES, copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -38,16 +50,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and blank texts are near-duplicates of each other. Documents of one id but different texts are judged each
     by its text. An empty table stays empty.
     """
+    _small_batches(spark)
     return simhash.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark. Null, empty and short texts stay; null ids are judged like others."""
+    _small_batches(spark)
     return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 ids; a null or empty text is one piece of one id."""
+    _small_batches(spark)
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), queries.END, 1024)
 
 
