@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.units import convert_units, normalize_units
 from .paging import numbered
+from .quantiles import LIMIT, kept_values, quantiles
 
 # The years a period may name, and the kinds of groups.
 YEAR = r"(?<!\d)(18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?!\d)"
@@ -122,26 +123,35 @@ def cagr(observations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return ends.select(*keys, "first_year", "last_year", F.when((n > 0) & (F.col("first") > 0), (F.pow(F.col("last") / F.col("first"), F.lit(1.0) / n) - 1) * 100).alias("cagr_percent"))
 
 
-def statistics(df: DataFrame, value: str, keys: tuple[str, ...] = (), percentile: float = 50) -> DataFrame:
-    """Count, sum, mean, median, extremes, population deviation and an interpolated percentile of what is not null."""
+def statistics(df: DataFrame, value: str, keys: tuple[str, ...] = (), percentile: float = 50, limit: int = LIMIT) -> DataFrame:
+    """Count, sum, mean, median, extremes, population deviation and an interpolated percentile of what is not null.
+
+    No task holds more than ``limit`` values of a group. An empty table without keys gives one row of nulls.
+    """
     if not 0 <= percentile <= 100:
         raise ValueError("a percentile lies between 0 and 100")
-    v = F.col(value).cast("double")
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("sum"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(v).alias("stddev_pop"), F.percentile(v, F.lit(percentile / 100)).alias("percentile"))
+    rows, own = kept_values(df, value, keys), [f"k{i}" for i in range(len(keys))]
+    v = F.col("v").cast("double")
+    plain = rows.groupBy(*own).agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg(v).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop(v).alias("stddev_pop"))
+    q = quantiles(rows, len(keys), [0.5, percentile / 100], limit).select(*[F.col(k).alias(f"_{k}") for k in own], "q")
+    joined = plain.join(q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in own]) if keys else plain.crossJoin(F.broadcast(q))  # one row
+    return joined.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n", "sum", "mean", F.get("q", F.lit(0)).alias("median"), "min", "max", "stddev_pop", F.get("q", F.lit(1)).alias("percentile"))
 
 
-def anomalies(df: DataFrame, value: str, method: str = "z_score", threshold: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def anomalies(df: DataFrame, value: str, method: str = "z_score", threshold: float = 3.0, keys: tuple[str, ...] = (), limit: int = LIMIT) -> DataFrame:
     """``df`` with ``score`` and ``anomaly`` (ANOMALY or NORMAL) against the statistics of all rows, or of the rows of the same keys.
 
     ``z_score``: distance from the mean in population deviations, over the threshold. ``iqr``: outside the quartiles by
-    more than ``threshold`` times their distance; the score is how far outside.
+    more than ``threshold`` times their distance; the score is how far outside. No task holds more than ``limit`` values of
+    a group to find its quartiles.
     """
     v = F.col(value).cast("double")
     key = [F.col(k).alias(f"_{k}") for k in keys]
     if method == "z_score":
         stats = df.groupBy(*key).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
     elif method == "iqr":
-        stats = df.groupBy(*key).agg(F.percentile(v, F.lit(0.25)).alias("_a"), F.percentile(v, F.lit(0.75)).alias("_b"))
+        q = quantiles(kept_values(df, value, keys), len(keys), [0.25, 0.75], limit)
+        stats = q.select(*[F.col(f"k{i}").alias(f"_{k}") for i, k in enumerate(keys)], F.get("q", F.lit(0)).alias("_a"), F.get("q", F.lit(1)).alias("_b"))
     else:
         raise ValueError("a method is z_score or iqr")
     joined = df.join(stats, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left") if keys else df.crossJoin(F.broadcast(stats))  # one row
