@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 MAX_TOP_K, MAX_QUERY_CHARS, CONTEXT_CHARS = 50, 1000, 24_000
 #: Query vectors that are broadcast at once; more are scored block by block.
 BROADCAST_QUERIES = 20_000
+#: Query vectors that a task scores at once.
+TASK_QUERIES = 2000
 
 # The words that route a question.
 CALCULATION = r"(?i)\b(total|sum|average|mean|percentage|percent|how many|how much|distance|reserve|growth rate|production rate)\b"
@@ -42,10 +48,11 @@ def semantic_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [_scored(block, chunks) for block in _blocks(queries)])
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
+def _blocks(queries: DataFrame, most: int = 0) -> list[DataFrame]:
     """``queries`` in parts that may be broadcast, by a hash of their ids."""
+    most = most or BROADCAST_QUERIES
     n = queries.count()
-    parts = 1 if n <= BROADCAST_QUERIES else -(-2 * n // BROADCAST_QUERIES)
+    parts = 1 if n <= most else -(-2 * n // most)
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
 
 
@@ -97,9 +104,68 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", (r / (1 + r)).alias("lexical_score"))
 
 
+def _units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their length, and which of them have one: others have no score."""
+    lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out, fine = np.zeros((len(vectors), dim)), lengths == dim
+    some = vectors.filter(pa.array(fine)).flatten()
+    if len(some):
+        out[fine] = some.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # a null becomes NaN
+    size = np.sqrt((out * out).sum(1))
+    fine &= np.isfinite(size) & (size > 0)
+    out[~fine] = 0
+    return out / np.where(fine, size, 1)[:, None], fine
+
+
+def _best_in_task(queries: pa.Table, k: int):
+    """What a task does for a block of queries: its ``k`` best chunks for each, ties by id, chunks without a score last."""
+    names = queries.column("query_id").to_pylist()
+    vectors = queries.column("vector").combine_chunks()
+    dims = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    groups = [(d, np.flatnonzero(dims == d)) for d in np.unique(dims).tolist()]
+    ready = [(at, *_units(vectors.take(pa.array(at)), max(d, 0)), max(d, 0)) for d, at in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in names]
+        kind = None
+        for batch in batches:
+            ids, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.schema.field(0).type
+            order = np.argsort(ids, kind="stable")
+            for at, unit, usable, dim in ready:
+                chunk, fine = _units(batch.column(1), dim)
+                score = np.round(unit @ chunk.T, 12)
+                score[~usable] = -np.inf
+                score[:, ~fine] = -np.inf
+                if len(ids) > k:
+                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+                else:
+                    least = np.full(len(at), -np.inf)
+                for i, q in enumerate(at.tolist()):
+                    own = best[q]
+                    floor = max(least[i], -own[-1][0]) if len(own) == k else least[i]
+                    row = score[i, order]
+                    hit = np.flatnonzero(row >= floor)
+                    if len(hit) > k:  # ties: the first by id of the best
+                        hit = hit[np.argsort(-row[hit], kind="stable")[:k]]
+                    best[q] = sorted(own + [(-s, x) for s, x in zip(row[hit].tolist(), ids[order[hit]].tolist(), strict=True)])[:k]
+        if kind is not None:
+            rows = [(names[q], x, None if s == np.inf else -s) for q, own in enumerate(best) for s, x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], queries.schema.field("query_id").type), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` by meaning. Each block of queries is cut to its best before rows move."""
-    return reduce(DataFrame.unionByName, [_top(_scored(block, chunks).withColumnRenamed("semantic_score", "score"), k) for block in _blocks(queries)])
+    """Best ``k`` by meaning: scores of one block of queries after another with all chunks, in matrices inside the tasks.
+
+    A task passes on ``k`` rows for each query at most. Scores that agree to twelve places are ties and go by chunk id.
+    """
+    if not 1 <= k <= MAX_TOP_K:
+        raise ValueError(f"top-k is 1 to {MAX_TOP_K}")
+    own = chunks.where(F.col("is_indexed") & F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", chunks.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+    blocks = [block.select("query_id", "vector").toArrow() for block in _blocks(queries, TASK_QUERIES)]  # each of at most so many
+    return reduce(DataFrame.unionByName, [_top(own.mapInArrow(_best_in_task(block, k), schema), k) for block in blocks])
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False) -> DataFrame:
