@@ -22,7 +22,7 @@ def _folding(form: str, lower: bool) -> tuple[str, str, dict[str, str], str]:
     """How characters beyond ASCII come out of a Unicode normal form as ASCII: those that give one character and what they
     give, those that give several, and a pattern of ASCII characters that the form joins with a mark behind them."""
     one, many = {}, {}
-    for code in [*range(0x80, 0xD800), *range(0xE000, 0x1F200)]:
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x1FC00)]:
         c = chr(code)
         got = unicodedata.normalize(form, c)
         got = "".join(x for x in (got.casefold() if lower else got) if x.isascii())
@@ -59,9 +59,26 @@ def entity_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(fold_ascii(name)), "[^a-z0-9]+", "")
 
 
+@cache
+def _case_folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that are in lower case and yet not folded: those folded to one character and to what, and those folded to several."""
+    folded = {c: c.casefold() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1FC00)]) if c.lower() == c != c.casefold()}
+    one = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def case_fold(text: Column) -> Column:
+    """Text for comparison without case: as in lower case, but ``ß`` is ``ss``, ligatures are spelt and a final sigma is a sigma."""
+    one, plain, many = _case_folding()
+    low = F.translate(F.lower(text), one, plain)
+    known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit("[" + "".join(many) + "]"), F.lit(0)))
+    return F.aggregate(found, low, lambda t, c: F.replace(t, c, F.element_at(known, c)))
+
+
 def name_key(name: Column) -> Column:
-    """As :func:`entity_key`, but accented letters are dropped."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+    """As :func:`entity_key`, but case is folded and accented letters are dropped."""
+    return F.regexp_replace(case_fold(name), "[^a-z0-9]+", "")
 
 
 def mention_key(name: Column) -> Column:

@@ -7,8 +7,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import entity_key
+from ..functions.text import case_fold, entity_key, name_key
 from ..functions.units import EXTRACTION_UNITS, normalize_units
 from .extract import YEAR
 
@@ -120,13 +121,60 @@ def edit_issues(decisions: DataFrame) -> DataFrame:
     return rows.withColumn("edit_issue", issue).drop("_one", "_u", "normalized_value", "normalized_unit", "dimension", "conversion_rule", "unit_issue")
 
 
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two texts, from 0 to 1."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def similarity(a: pd.Series, b: pd.Series, least: float = 0.0) -> pd.Series:
+    """Matching-blocks ratio of two texts, from 0 to 1; where the letters in common alone keep it below ``least``, that bound."""
 
+    def ratio(x: str, y: str) -> float:
+        matcher = SequenceMatcher(None, x, y)
+        bound = matcher.quick_ratio() if least else 1.0
+        return bound if bound < least else matcher.ratio()
 
-def _ratio() -> object:
-    return F.pandas_udf(similarity, "double")
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def _ratio(least: float = 0.0) -> object:
+    @F.pandas_udf("double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return similarity(a, b, least)
+
+    return scored
+
+
+def _rare(rows: DataFrame, of: list[str], gram: str, key: str, least: float) -> DataFrame:
+    """Of each key's runs of letters ``(*of, gram, n)`` the rarest that a partner cannot all lack, by ``n``, then by themselves.
+
+    ``u`` unmatched letters of a key and ``w`` of its partner spoil ``3 u + 2 w`` of its runs at most. With lengths ``a`` and
+    ``b`` and the ratio at ``least`` that is ``3 a + 2 b - 2.5 least (a + b)``, most for the shortest partner. All others are
+    in common, so the rarest run in common is among that many and one more, for both keys. Keys of up to eight letters keep all runs.
+    """
+    a = F.length(key)
+    shortest = F.ceil(a * F.lit(least / (2 - least)) - F.lit(1e-9))
+    most = F.floor(3 * a + 2 * shortest - F.lit(2.5 * least) * (a + shortest) + F.lit(1e-9)) + 1
+    w = Window.partitionBy(*of).orderBy("n", gram)
+    return rows.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= most) | (a <= 8)).drop("_r", "n")
+
+
+def candidate_pairs(keys: DataFrame, known: DataFrame, least: float = FUZZY) -> DataFrame:
+    """Pairs ``(ct, ck, ek, entity_id)`` of ``keys (ct, ck)`` and ``known (et, ek, entity_id)`` of one type that may reach a ratio of ``least``.
+
+    They share one of their rarest runs, their lengths allow the ratio, and so does the number of edits between them.
+    """
+
+    def runs(key: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(key) - n, F.lit(0))), lambda i: F.substring(key, i + 1, F.lit(n)))
+
+    def run(key: Column) -> Column:
+        return F.when(F.length(key) <= 5, F.concat(runs(key, 3), runs(key, 2))).otherwise(runs(key, 3))
+
+    c = keys.select("ct", "ck", F.explode(F.array_distinct(run(F.col("ck")))).alias("g"))
+    e = known.select("et", "ek", "entity_id", F.explode(F.array_distinct(run(F.col("ek")))).alias("h"))
+    often = c.select(F.col("ct").alias("t"), F.col("g").alias("x")).unionByName(e.select(F.col("et").alias("t"), F.col("h").alias("x"))).groupBy("t", "x").agg(F.count(F.lit(1)).alias("n"))
+    c = _rare(c.join(often, (F.col("ct") == F.col("t")) & (F.col("g") == F.col("x"))).drop("t", "x"), ["ct", "ck"], "g", "ck", least)
+    e = _rare(e.join(often, (F.col("et") == F.col("t")) & (F.col("h") == F.col("x"))).drop("t", "x"), ["et", "ek"], "h", "ek", least)
+    a, b = F.length("ck"), F.length("ek")
+    band = F.least(a, b) * 2 >= (a + b) * F.lit(least)
+    near = F.levenshtein("ck", "ek") <= F.floor((a + b) * F.lit(1 - least) + F.lit(1e-9))  # no more edits than unmatched letters
+    return c.join(e, (F.col("ct") == F.col("et")) & (F.col("g") == F.col("h")) & band & near).select("ct", "ck", "ek", "entity_id").distinct()
 
 
 def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) -> DataFrame:
@@ -135,28 +183,19 @@ def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) ->
     ``cands (id, entity_type, key)``, ``entities (entity_id, entity_type, entity_key)``. Pairs meet in a hash join on type and
     a shared run of letters, within the band of lengths that ``least`` leaves. That loses nothing at 0.88 or above: ``u``
     unmatched letters cut the ``M`` matched ones into ``u + 1`` runs at most, and the ratio makes ``M`` so large that one of
-    them has three letters; only where both keys have five letters at most it may have two. Keys are compared once however
+    them has three letters; only where both keys have five letters at most it may have two. Of a key's runs only the rarest
+    are joined (:func:`_rare`), so names that share a common word do not meet by it. Keys are compared once however
     many candidates have them, and only those that no entity has: an equal key is the most similar one.
     """
     if least < FUZZY:
         raise ValueError(f"runs of three letters find all pairs from {FUZZY} on")
-    ratio = _ratio()
-
-    def runs(key: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(key) - n, F.lit(0))), lambda i: F.substring(key, i + 1, F.lit(n)))
-
-    def run(key: Column) -> Column:
-        return F.when(F.length(key) <= 5, F.concat(runs(key, 3), runs(key, 2))).otherwise(runs(key, 3))
+    ratio = _ratio(least)
 
     keys = cands.where(F.col("key") != "").select(F.col("entity_type").alias("ct"), F.col("key").alias("ck")).distinct()
     known = entities.where(F.col("entity_key") != "").groupBy(F.col("entity_type").alias("et"), F.col("entity_key").alias("ek")).agg(F.min("entity_id").alias("entity_id"))
     same = (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek"))
     equal = keys.join(known, same).select("ct", "ck", "entity_id", F.lit(1.0).alias("score"))
-    c = keys.join(known, same, "left_anti").select("ct", "ck", F.explode(F.array_distinct(run(F.col("ck")))).alias("g"))
-    e = known.select("et", "ek", "entity_id", F.explode(F.array_distinct(run(F.col("ek")))).alias("h"))
-    a, b = F.length("ck"), F.length("ek")
-    band = F.least(a, b) * 2 >= (a + b) * F.lit(least)
-    pairs = c.join(e, (F.col("ct") == F.col("et")) & (F.col("g") == F.col("h")) & band).select("ct", "ck", "ek", "entity_id").distinct()
+    pairs = candidate_pairs(keys.join(known, same, "left_anti"), known, least)
     scored = pairs.withColumn("score", ratio("ck", "ek")).where(F.col("score") >= least)
     best = scored.groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"))
     found = equal.unionByName(best)
@@ -203,9 +242,10 @@ def resolve_identity(cands: DataFrame, entities: DataFrame) -> DataFrame:
     In order: code, exact name or alias, same parent and similarity of 0.75, a point within 0.01 degrees, similarity of 0.88.
     Each rule is an equality join; the first that finds something decides.
     """
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
-    c = cands.select("id", plain(F.col("name")).alias("key"), F.lower(F.trim(F.coalesce("code", F.lit("")))).alias("code"), F.lower(F.coalesce("parent", F.lit(""))).alias("parent"), "lat", "lon")
-    e = entities.select("entity_id", plain(F.col("canonical_name")).alias("ek"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), plain).alias("keys"), F.lower(F.coalesce("domain_code", F.lit(""))).alias("ecode"), F.lower(F.coalesce(F.col("parent"), F.lit(""))).alias("eparent"), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
+    plain = lambda c: name_key(F.coalesce(c, F.lit("")))
+    fold = lambda c: case_fold(F.coalesce(c, F.lit("")))
+    c = cands.select("id", plain(F.col("name")).alias("key"), F.trim(fold(F.col("code"))).alias("code"), fold(F.col("parent")).alias("parent"), "lat", "lon")
+    e = entities.select("entity_id", plain(F.col("canonical_name")).alias("ek"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), plain).alias("keys"), fold(F.col("domain_code")).alias("ecode"), fold(F.col("parent")).alias("eparent"), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
     rule = lambda df, rank, status: df.select("id", F.lit(rank).alias("rank"), F.col("entity_id"), status.alias("status"))
     other = (F.col("key") != "") & (F.col("key") != F.col("ek")) & ~F.array_contains("keys", F.col("key"))
     by_code = rule(c.where("code <> ''").join(e.where("ecode <> ''"), F.col("code") == F.col("ecode")), 1, F.when(other, "POSSIBLE_MATCH").otherwise("MATCHED"))

@@ -143,7 +143,7 @@ QUERIES = {
     "h10_needs_rebuild": (rebuild, "WITH n AS (SELECT source AS document_id, count(*) AS n, count(*) FILTER (WHERE doc_id % 17 <> 0) AS m FROM documents GROUP BY 1) SELECT document_id, document_id = 'src3' OR n <> m AS rebuild FROM n"),
     "h11_themes": (themes, _THEMES),
     "m04_topic_sets": (sets, _sql(f", {_OWN} SELECT term, CASE WHEN bool_or(document_id = 'src1') AND bool_or(document_id = 'src2') THEN 'BOTH' WHEN bool_or(document_id = 'src1') THEN 'FIRST' ELSE 'SECOND' END AS side FROM own WHERE document_id IN ('src1', 'src2') GROUP BY 1")),
-    "k05_name_keys": (names, r"SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '', 'g') AS entity_key, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS name_key FROM documents"),
+    "k05_name_keys": (names, r"SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '', 'g') AS entity_key, regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), '[^a-z0-9]+', '', 'g') AS name_key FROM documents"),
     "e13_uuid5": (identifiers, _UUID),
     "a02_safe_filename": (filenames, _FILENAMES),
     "b04_redact": (redacted, _REDACTED),

@@ -1,13 +1,17 @@
 import datetime
 import decimal
 import importlib.util
+import random
+import re
 from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from strataframe.functions import text as fn
 from strataframe.operators import review
 from strataframe.operators.canonical import fold_values
 from strataframe.operators.decisions import ACTIONS, next_state, transition
@@ -31,6 +35,43 @@ def test_fuzzy_match_finds_what_a_scan_finds(spark):
     assert got == want and want
 
 
+def test_names_with_a_common_word_hardly_meet(spark):
+    """The rarest letter runs alone are joined, and nothing that a scan finds is lost."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["mine" + "".join(rng.choices(letters, k=rng.randint(5, 14))) for _ in range(700)]
+
+    def changed(x):
+        x = list(x)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(x))
+            x[i : i + rng.randint(0, 1)] = rng.choice(letters) * rng.randint(0, 2)
+        return "".join(x)
+
+    like = [changed(rng.choice(names)) for _ in range(250)] + ["mine", "mines", "mineab", "amine"] + ["mine" + "".join(rng.choices("abc", k=6)) for _ in range(60)]
+    known = spark.createDataFrame([("M", n, i) for i, n in enumerate(names)], "et string, ek string, entity_id int").groupBy("et", "ek").agg(F.min("entity_id").alias("entity_id"))
+    keys = spark.createDataFrame([("M", x) for x in set(like)], "ct string, ck string")
+    pairs = {(r.ck, r.ek) for r in review.candidate_pairs(keys, known).collect()}
+    want = {(x, n) for x in set(like) for n in set(names) if SequenceMatcher(None, x, n).ratio() >= 0.88}
+    assert want <= pairs and len(want) > 150
+    assert len(pairs) < 0.01 * len(set(like)) * len(set(names))
+
+
+def test_case_is_folded(spark):
+    names = ["Straße", "STRASSE", "ﬁeld mine", "İstanbul", "ΣΊΣΥΦΟΣ", "Kelvin", "ŉx", "ǰa", "ſeam", "ﬀﬃﬆ", "Ա և", "plain", "", "ẞ"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for r in df.select("n", fn.case_fold(F.col("n")).alias("f"), fn.name_key(F.col("n")).alias("k")).collect():
+        assert r.f == r.n.casefold(), r
+        assert r.k == re.sub("[^a-z0-9]+", "", r.n.casefold())
+    assert spark.range(1).select(fn.entity_key(F.lit("\U0001fbf1\U0001fbf9"))).first()[0] == "19"
+
+
+def test_folded_names_are_one(spark):
+    c = spark.createDataFrame([(1, "STRASSE mine", None, None, None, None), (2, "x", "ﬁ1", None, None, None), (3, "Straße mine", None, "PARENTSS", None, None)], "id int, name string, code string, parent string, lat double, lon double")
+    e = spark.createDataFrame([(10, "Straße mine", None, "FI1", "parentß", None, None)], "entity_id int, canonical_name string, aliases array<string>, domain_code string, parent string, lat double, lon double")
+    assert {r.id: r.identity_status for r in review.resolve_identity(c, e).collect()} == {1: "MATCHED", 2: "POSSIBLE_MATCH", 3: "MATCHED"}
+
+
 def test_transitions(spark):
     from itertools import product
 
