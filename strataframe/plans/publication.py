@@ -12,7 +12,7 @@ from ..operators import events as log
 from ..operators import quality, reports
 from ..operators import spatial as geo
 from ..operators.decisions import ACTIONS
-from ..operators.paging import list_by_status
+from ..operators.paging import keep_pages, list_by_status, read_page
 from ..operators.production import production_report
 from ..sources.views import table
 from ..streaming import index, jobs, uploads
@@ -146,6 +146,15 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).select("source", "event_id", "action", "detail")
 
 
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down the audit events, and the first and last ones, of rows sorted once."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.round("value", 1).alias("value"))
+    path = keep_pages(e, ("value", "event_id"), "value", "event_id", descending=True)
+    last = read_page(e, path, 1, 5).select("pages").first()
+    out = [read_page(e, path, page, 5) for page in (1, 150, last["pages"] if last else 2)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_by_status(_log(spark, sf_dir), None, "ts", "source", 200).select("source", "event_id")
 
@@ -306,6 +315,7 @@ QUERIES = {
     "d14_field_provenance": (traced, "SELECT event_id, n_name, lang FROM events JOIN part ON p_partkey = event_id % 500 LEFT JOIN nation ON n_nationkey = p_partkey % 30 LEFT JOIN documents ON doc_id = p_partkey % 60"),
     "l14_data_conflicts": (data_conflicts, f"{_VALUES} SELECT seq AS conflict_id, CASE WHEN seq % 5 = 0 THEN 'RESOLVED' WHEN seq % 2 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM v WHERE value <> f"),
     "m01_audit_events": (audit, """SELECT 'AUDIT' AS source, event_id, event_type AS action, props AS detail FROM events UNION ALL SELECT 'VERIFICATION', event_id, 'CLAIM', '{"candidate_id":' || event_id || ',"previous_state":"PENDING","new_state":"IN_REVIEW"}' FROM events WHERE event_id % 4 = 0"""),
+    "c09_deep_page": (deep_page, "SELECT * FROM (SELECT event_id, event_type, round(value, 1) AS value, row_number() OVER (ORDER BY round(value, 1) DESC NULLS LAST, event_id) - 1 AS position, count(*) OVER () AS total, ceil(count(*) OVER () / 5)::BIGINT AS pages FROM events) WHERE position < 5 OR position BETWEEN 745 AND 749 OR position >= 5 * (pages - 1)"),
     "c18_listing": (listing, "SELECT source, event_id FROM (SELECT 'AUDIT' AS source, event_id, ts FROM events UNION ALL SELECT 'VERIFICATION', event_id, ts FROM events WHERE event_id % 4 = 0) ORDER BY ts DESC, source LIMIT 200"),
     "m02_trusted_union": (trusted_union, "SELECT s_suppkey AS id, s_name AS name, NULL::INTEGER AS value, 'MINE' AS entity_type FROM supplier UNION ALL SELECT p_partkey, NULL, p_size, 'PRODUCTION' FROM part UNION ALL SELECT c_custkey, c_name, NULL, 'BOREHOLE' FROM customer"),
     "v07_quality_report": (checked, _CHECKED),

@@ -126,6 +126,21 @@ def test_numbered(spark):
     assert paging.numbered(df.limit(0), [F.col("k")], "n").count() == 0
 
 
+def test_deep_pages_read_little(spark):
+    df = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(700))).alias("k")).repartition(3)
+    df = df.unionByName(df.limit(100))  # repeated rows count once
+    path = paging.keep_pages(df, ("k",), "k", "id", ranges=150)
+    want = sorted(((r.k is None, r.k or 0, r.id) for r in df.distinct().collect()))
+    for page, size in ((1, 3), (10_000, 3), (57, 500), (60, 500), (61, 500)):
+        out = paging.read_page(df, path, page, size)
+        rows = sorted(out.collect(), key=lambda r: r.position)
+        assert [r.id for r in rows] == [x[2] for x in want[(page - 1) * size : page * size]]
+        assert all(r.total == 30_000 and r.pages == 30_000 // size for r in rows)
+    files = paging.read_page(df, path, 5_000, 3).inputFiles()
+    assert spark.read.parquet(*files).count() < 0.02 * 30_000 and len(files) <= 2
+    assert not paging.read_page(df.limit(0), paging.keep_pages(df.limit(0), ("k",), "k", "id"), 1, 5).count()
+
+
 def test_files_in_and_out(spark, tmp_path):
     from strataframe.sources import ingest, sinks
 
