@@ -66,9 +66,52 @@ def nearest(df: DataFrame, lon: float, lat: float, k: int) -> DataFrame:
     return df.withColumn("distance_m", haversine(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat))).orderBy("distance_m", "entity_type", "id").limit(k)
 
 
+#: Degrees of a cell at each level of the grid for nearest points; a whole number of each goes round the earth.
+LEVELS = [8.0 / 4**j for j in range(9)]
+
+
+def _at_levels(df: DataFrame, lon: str, lat: str, levels: int) -> DataFrame:
+    """A row for each level with ``level`` and the cell ``x, y``."""
+    out = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_step", F.lit(LEVELS[0]) / F.pow(F.lit(4.0), F.col("level")))
+    around = F.round(F.lit(360.0) / F.col("_step")).cast("long")
+    return out.withColumns({"x": F.pmod(F.floor((F.col(lon) + 180) / F.col("_step")), around), "y": F.floor((F.col(lat) + 90) / F.col("_step"))}).drop("_step")
+
+
+def near_pairs(origins: DataFrame, layer: DataFrame, k: int, max_radius_m: float) -> DataFrame:
+    """Pairs of an origin and a layer's point that hold the ``k`` nearest of each origin within ``max_radius_m``, and few others.
+
+    Cells of nine sizes are counted. An origin's finest cell that holds ``k`` points bounds the distance of its ``k``-th
+    nearest by the cell's diagonal, so only cells four times as wide and around it are searched, or those of the radius where no
+    cell holds so many. Of the points of one place the ``k`` first by type and id can rank, others are not paired.
+    """
+    if not 0 < max_radius_m <= 500_000:
+        raise ValueError("a radius is over 0 and at most 500000 metres")
+    place = Window.partitionBy("lon", "lat").orderBy("entity_type", "id")
+    points = layer.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
+    full = _at_levels(points.select("lon", "lat"), "lon", "lat", len(LEVELS)).groupBy("level", "x", "y").count().where(F.col("count") >= k)
+    starts = origins.select(*[F.col(c).alias(f"origin_{c}") for c in origins.columns]).where("origin_lon IS NOT NULL AND origin_lat IS NOT NULL")
+    places = starts.select("origin_lon", "origin_lat").distinct()
+    finest = _at_levels(places, "origin_lon", "origin_lat", len(LEVELS)).join(full, ["level", "x", "y"], "left_semi").where(F.abs("origin_lat") <= 85).groupBy(F.col("origin_lon").alias("_lon"), F.col("origin_lat").alias("_lat")).agg(F.max("level").alias("_finest"))
+    known = starts.join(finest, (F.col("origin_lon") == F.col("_lon")) & (F.col("origin_lat") == F.col("_lat")), "left").drop("_lon", "_lat")
+    side = F.lit(LEVELS[0]) / F.pow(F.lit(4.0), F.col("_finest"))
+    reach = F.least(F.coalesce(side * math.sqrt(2) * METRES_PER_DEGREE * 1.001, F.lit(max_radius_m)), F.lit(max_radius_m))
+    known = known.withColumns({"_reach": reach, "level": F.greatest(F.coalesce(F.col("_finest"), F.lit(0)) - 1, F.lit(0))})
+    step = F.lit(LEVELS[0]) / F.pow(F.lit(4.0), F.col("level"))
+    around = F.round(F.lit(360.0) / step).cast("long")
+    degrees = F.col("_reach") / METRES_PER_DEGREE * 1.01
+    ring, top = F.floor(around / 2) + 1, F.abs("origin_lat") + degrees  # near a pole, where cells are the widest, all of the ring
+    wide = F.when(top >= 89, ring).otherwise(F.least(F.ceil(degrees * 1.05 / (step * F.cos(F.radians(F.least(F.lit(89.0), top))))), ring)).cast("long")
+    own_x, own_y = F.floor((F.col("origin_lon") + 180) / step), F.floor((F.col("origin_lat") + 90) / step)
+    searched = known.withColumn("_ny", F.explode(F.sequence(own_y - 1, own_y + 1))).withColumn("_nx", F.explode(F.array_distinct(F.transform(F.sequence(own_x - wide, own_x + wide), lambda v: F.pmod(v, around))))).withColumnRenamed("level", "_level")
+    cells = _at_levels(points, "lon", "lat", len(LEVELS) - 1)
+    met = cells.join(searched, (F.col("level") == F.col("_level")) & (F.col("x") == F.col("_nx")) & (F.col("y") == F.col("_ny")))
+    distance = haversine(F.col("lon"), F.col("lat"), F.col("origin_lon"), F.col("origin_lat"))
+    return met.withColumn("distance_m", distance).where(F.col("distance_m") <= F.col("_reach")).drop("level", "x", "y", "_level", "_nx", "_ny", "_finest", "_reach")
+
+
 def knn(origins: DataFrame, layer: DataFrame, k: int, max_radius_m: float) -> DataFrame:
-    """The ``k`` nearest points of each origin within ``max_radius_m``, ranked from 1."""
-    near = distance_join(layer, origins, max_radius_m, "", "origin_")
+    """The ``k`` nearest points of each origin within ``max_radius_m``, ranked from 1; ties by type and id. See :func:`near_pairs`."""
+    near = near_pairs(origins, layer, k, max_radius_m)
     w = Window.partitionBy("origin_id").orderBy("distance_m", "entity_type", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
