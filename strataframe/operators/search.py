@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .postings import kept_scores, scores
+
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 MAX_TOP_K, MAX_QUERY_CHARS, CONTEXT_CHARS = 50, 1000, 24_000
 #: Query vectors that are broadcast at once; more are scored block by block.
@@ -77,31 +79,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def lexical_scores(queries: DataFrame, chunks: DataFrame, index: str | None = None) -> DataFrame:
     """``(query_id, chunk_id, lexical_score)`` of the chunks that hold all words of ``queries (query_id, query)``.
 
     Cover density: every shortest stretch that holds all words adds one over its length beyond the words; the sum ``r`` is
-    squashed to ``r / (1 + r)``. Words meet in an inverted index by hash; nothing that lacks a word is scored.
+    squashed to ``r / (1 + r)``. Chunks are scored in the tasks that read them, for a block of queries at a time. With an
+    ``index`` that :func:`.postings.keep_postings` wrote, only the postings of the queries' words are read.
     """
     if queries.where(F.length("query") > MAX_QUERY_CHARS).limit(1).count():
         raise ValueError(f"a query has at most {MAX_QUERY_CHARS} characters")
-    wanted = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w"))
-    terms = wanted.select("query_id", F.size("w").alias("n_words"), F.explode("w").alias("word"))
-    index = chunks.select("chunk_id", F.posexplode(words(F.col("chunk"))).alias("at", "word"))
-    hits = index.join(terms.withColumnRenamed("word", "t"), F.col("word") == F.col("t")).select("query_id", "chunk_id", "n_words", "word", "at")
-    found = hits.groupBy("query_id", "chunk_id", "n_words").agg(F.count_distinct("word").alias("have"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("places")).where("have = n_words")
-    # scan the places: the last place of each word so far; a cover ends where all are known and its start has moved
-    state = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("sum"))
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.map_concat(F.map_filter(acc["last"], lambda k, _: k != p["word"]), F.map_from_arrays(F.array(p["word"]), F.array(p["at"])))
-        begin = F.array_min(F.map_values(last))
-        full = (F.size(last) == F.col("n_words")) & (begin > acc["start"])
-        gain = F.lit(1.0) / (p["at"] - begin + 1 - F.col("n_words") + 1)
-        return F.struct(last.alias("last"), F.when(full, begin).otherwise(acc["start"]).alias("start"), (acc["sum"] + F.when(full, gain).otherwise(0.0)).alias("sum"))
-
-    r = F.aggregate("places", state, step)["sum"]
-    return found.select("query_id", "chunk_id", (r / (1 + r)).alias("lexical_score"))
+    wanted = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
+    if index is not None:
+        return kept_scores(wanted, index, chunks.schema["chunk_id"].dataType.simpleString())
+    blocks = [block.toArrow() for block in _blocks(wanted, TASK_QUERIES)]  # each of at most so many
+    return reduce(DataFrame.unionByName, [scores(block, chunks) for block in blocks])
 
 
 def _units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +159,9 @@ def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [_top(own.mapInArrow(_best_in_task(block, k), schema), k) for block in blocks])
 
 
-def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False) -> DataFrame:
-    """Best ``k`` by words; ``pad`` fills up with chunks of no score in the order of their ids."""
-    best = _top(lexical_scores(queries, chunks).withColumnRenamed("lexical_score", "score"), k)
+def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False, index: str | None = None) -> DataFrame:
+    """Best ``k`` by words, those of ``chunks`` or of a kept index of them; ``pad`` fills up with chunks of no score in the order of their ids."""
+    best = _top(lexical_scores(queries, chunks, index).withColumnRenamed("lexical_score", "score"), k)
     if not pad:
         return best
     spare = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)  # whatever is found, k of these are not

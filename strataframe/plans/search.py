@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as op
+from ..operators.postings import keep_postings
 from ..sources.views import table
 
 
@@ -27,6 +28,8 @@ _SCORES = """q AS (SELECT item_id AS query_id, embedding AS v, list_distinct_wor
   SELECT item_id, embedding, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_words FROM (SELECT item_id, embedding, regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+') AS w FROM benchmark b JOIN embeddings ON item_id = vec_id))),
 c AS (SELECT doc_id AS chunk_id, vec_id, embedding, text FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 s AS (SELECT query_id, chunk_id, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS score FROM q JOIN c ON vec_id IS NOT NULL)"""
+#: The same over English source documents alone.
+_SCORES_EN = _SCORES.replace("ON doc_id = vec_id),\ns AS", "ON doc_id = vec_id WHERE lang = 'en' AND doc_id % 5 <> 0),\ns AS")
 # a cover ends at every place where all words have been seen and the last place of the one seen longest ago has moved
 _LEXICAL = """, p AS (SELECT chunk_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM c)),
 h AS (SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = a UNION ALL SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = b UNION ALL SELECT query_id, chunk_id, word, pos, a, b, c FROM q JOIN p ON word = c),
@@ -58,6 +61,20 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.hybrid_topk(queries(spark, sf_dir), chunks(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def filtered_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best among the chunks that filters leave."""
+    c = op.filter_chunks(chunks(spark, sf_dir), content_type="en", evidence_types=["SOURCE_DOCUMENT"])
+    return op.hybrid_topk(queries(spark, sf_dir), c, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches in one kept index: one after another, each for every second query."""
+    c, q = chunks(spark, sf_dir), queries(spark, sf_dir)
+    index = keep_postings(c)
+    every = [op.lexical_scores(q.where(F.col("query_id") % 2 == i), c, index) for i in (0, 1)]
+    return every[0].unionByName(every[1]).select("query_id", "chunk_id", F.round("lexical_score", 6).alias("score"))
+
+
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.filter_chunks(chunks(spark, sf_dir), document_id="src1", content_type="en", evidence_types=["SOURCE_DOCUMENT"]).select("chunk_id")
 
@@ -137,6 +154,8 @@ QUERIES = {
     "g02_lexical_scores": (lexical, f"WITH {_SCORES}{_LEXICAL} SELECT query_id, chunk_id, round(lexical, 6) AS score FROM x"),
     "g02_lexical_padded": (padded, f"WITH {_SCORES}{_LEXICAL} SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(lexical, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(lexical, 0) DESC, chunk_id) AS rank FROM (SELECT query_id, q_c.chunk_id, lexical FROM (SELECT query_id, chunk_id FROM q CROSS JOIN (SELECT chunk_id FROM c)) q_c LEFT JOIN x USING (query_id, chunk_id))) WHERE rank <= 10"),
     "g03_hybrid_topk": (hybrid, f"WITH {_SCORES}{_LEXICAL}, y AS (SELECT s.query_id, s.chunk_id, 0.7 * score + 0.3 * coalesce(lexical, 0) AS score FROM s LEFT JOIN x USING (query_id, chunk_id)) {_ranked('y', 10)}"),
+    "g03_filtered_topk": (filtered_hybrid, f"WITH {_SCORES_EN}{_LEXICAL}, y AS (SELECT s.query_id, s.chunk_id, 0.7 * score + 0.3 * coalesce(lexical, 0) AS score FROM s LEFT JOIN x USING (query_id, chunk_id)) {_ranked('y', 10)}"),
+    "g02_kept_index": (indexed, f"WITH {_SCORES}{_LEXICAL} SELECT query_id, chunk_id, round(lexical, 6) AS score FROM x"),
     "c10_filtered_chunks": (filtered, "SELECT doc_id AS chunk_id FROM documents WHERE source = 'src1' AND lang = 'en' AND doc_id % 5 <> 0"),
     "d05_chunk_context": (context, f"{_HITS} SELECT query_id, chunk_id, 'file-' || document_id AS document_name FROM hits"),
     "d12_evidence": (evidence, f"{_HITS}, u AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), t AS (SELECT h.query_id, h.chunk_id, string_agg('unit ' || u.doc_id, chr(10) ORDER BY r) FILTER (WHERE u.doc_id <> h.chunk_id) AS units FROM hits h JOIN u ON u.source = h.document_id AND r <= 10 GROUP BY 1, 2) SELECT query_id, chunk_id, sha256(substr(chunk || chr(10) || 'page ' || document_id || chr(10) || units, 1, 24000)) AS hash FROM hits JOIN t USING (query_id, chunk_id)"),
