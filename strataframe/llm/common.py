@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -92,20 +93,24 @@ def crc_fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... within each group, without bringing a group into one task.
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... along ``order`` within each group, without bringing a group or a key into one task.
 
-    Each group is split into ``buckets`` by a hash of ``order`` (which should identify a row); rows are numbered inside
-    a bucket and shifted by the sizes of the buckets before it. Only one row per group and bucket is ranged over.
+    Rows are sorted in ranges over group, order and, last, their place in the input, so that rows of one key, too, fill as
+    many ranges as they need; rows that ``order`` does not tell apart are numbered in any order. The ranges are kept in the
+    shared folder; a row for each range tells how many rows come before it, and a row for each group where it begins. An
+    empty table stays empty.
     """
-    b, at, shift = fresh(df, "bucket"), fresh(df, "at"), fresh(df, "shift")
-    split = df.withColumn(b, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)))
-    sizes = split.groupBy(*group, b).agg(F.count(F.lit(1)).alias(at))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*[F.col(g).alias(f"{shift}{i}") for i, g in enumerate(group)], F.col(b).alias(f"{shift}b"), F.coalesce(F.sum(at).over(before), F.lit(0)).alias(shift))
-    inside = Window.partitionBy(*group, b).orderBy(*order)
-    numbered = split.withColumn(at, F.row_number().over(inside) - 1)
-    on = (F.col(b) == F.col(f"{shift}b"))
+    tie, part, at, number, before = (fresh(df, x) for x in ("tie", "part", "at", "number", "before"))
+    path = new_folder(df.sparkSession, "ranges")
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*group, *order, tie).drop(tie)
+    ranged.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id() % (1 << 33)}).write.parquet(path)
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(part, IntegerType()), StructField(at, LongType())])).parquet(path)
+    sizes = rows.groupBy(F.col(part).alias(f"{part}r")).agg(F.count(F.lit(1)).alias(before))
+    earlier = F.coalesce(F.sum(before).over(Window.partitionBy(F.lit(0)).orderBy(f"{part}r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    numbered = rows.join(sizes.select(f"{part}r", earlier.alias(before)), F.col(part) == F.col(f"{part}r")).withColumn(number, F.col(before) + F.col(at)).drop(part, at, f"{part}r", before)
+    first = numbered.groupBy(*[F.col(g).alias(f"{before}{i}") for i, g in enumerate(group)]).agg(F.min(number).alias(before))
+    same = F.lit(True)
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"{shift}{i}"))
-    return numbered.join(shifts, on, "left").withColumn(name, (F.col(at) + F.col(shift)).cast("long")).drop(b, at, shift, f"{shift}b", *[f"{shift}{i}" for i in range(len(group))])
+        same = same & F.col(g).eqNullSafe(F.col(f"{before}{i}"))
+    return numbered.join(first, same).withColumn(name, (F.col(number) - F.col(before)).cast("long")).drop(number, before, *[f"{before}{i}" for i in range(len(group))])

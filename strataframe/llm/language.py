@@ -164,7 +164,7 @@ def sample(df: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     """
     rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     share = F.shiftrightunsigned("h", 11).cast("double") * 2.0**-53
-    sizes = rows.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.select("label", "h").distinct().groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n"))  # equal rows once
     near = rows.join(F.broadcast(sizes), F.col("label") == F.col("l")).where(share * F.col("n") < 1.5 * per_label).select("h", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

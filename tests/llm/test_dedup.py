@@ -244,3 +244,24 @@ def test_portions_hold_every_row_once():
     assert [a for a, _ in cuts] == [0, *np.cumsum([n for _, n in cuts])[:-1]] and sum(n for _, n in cuts) == len(texts)
     assert all(n == 1 or sum(len(t or "") for t in texts.slice(a, n).to_pylist()) <= 4096 for a, n in cuts)
     assert max(n for _, n in cuts) <= 4096 and not list(portions(texts.slice(0, 0)))
+
+
+def test_ranks_have_no_gaps_and_spread_one_key(spark, odd):
+    from strataframe.llm.common import gapless_rank
+
+    out = gapless_rank(odd.unionByName(odd), ["source"], ["doc_id"], "rank")
+    assert out.columns == [*odd.columns, "rank"]
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.source, []).append((r["rank"], r.doc_id))
+    assert all([n for n, _ in sorted(v)] == list(range(len(v))) for v in by.values()) and None in by
+    assert all([k for _, k in sorted(v)] == sorted((k for _, k in v), key=lambda k: (k is not None, k or 0)) for v in by.values())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = spark.range(200_000).select(F.lit(1).alias("g"), F.lit(7).alias("key"))
+        out = gapless_rank(same, ["g"], ["key"], "rank")
+        assert out.agg(F.count_distinct("rank"), F.max("rank")).first() == (200_000, 199_999)
+        assert len(out.inputFiles()) == 4  # every task had a range
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert gapless_rank(odd.limit(0), ["source"], ["doc_id"], "rank").count() == 0
