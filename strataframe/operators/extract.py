@@ -34,7 +34,7 @@ DM = r"(?i)(\d{1,3})\s*°\s*(\d{1,2}(?:\.\d+)?)\s*[′']\s*([NSEW])?"
 LABEL = r"(?i)\b(?:production|output|dispatch|achievement|reserve|resource|depth|thickness|elevation|area|distance|grade|quality|calorific\s+value|ash|moisture|sulphur|sulfur|latitude|longitude|coordinate|tonnage|quantity|target|overburden)\b"
 PRODUCTION_PREFIX = r"(?i)(?:production|output|dispatch|achievement)\D*$"
 NONNEGATIVE_PREFIX = r"(?i)(?:production|output|dispatch|depth|thickness|area|distance|reserve|resource)\D*$"
-NON_UNITS = "and or is are was were of in on at to from for with by as the a an per than more less".split()
+NON_UNITS = ("and", "or", "is", "are", "was", "were", "of", "in", "on", "at", "to", "from", "for", "with", "by", "as", "the", "a", "an", "per", "than", "more", "less")
 YEAR = r"(?<!\d)(?:18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?!\d)"
 PERIOD = r"(?<!\d)(?:18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?:[-/](?:\d{2}|18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200))?(?!\d)"
 UNIT_DEFINITION = r"(?i)\bMT\b[\s:;=–—-]{1,32}Million\s+Tonnes\b"
@@ -271,10 +271,10 @@ def spatial_rows(rows: DataFrame) -> DataFrame:
     kind = F.when(point, "coordinate").when(F.col("_type") == "BOREHOLE", "borehole").otherwise("mine")
     check = lambda s, message: F.struct(F.lit("coordinate_range").alias("rule"), F.lit(s).alias("status"), F.lit(message).alias("message"))
     first = (
-        F.when(~complete, check("WARNING", "Spatial entity row has no complete latitude/longitude pair")).when(~numeric, check("FAILED", "Latitude and longitude must be numeric"))
-        .when(fine, check("PASSED", "Coordinate is within WGS84 numeric ranges")).otherwise(check("FAILED", "Longitude must be within ±180 and latitude within ±90 degrees"))
+        F.when(~complete, check("WARNING", "no pair of coordinates")).when(~numeric, check("FAILED", "a coordinate is not a number"))
+        .when(fine, check("PASSED", "both coordinates are in range")).otherwise(check("FAILED", "a coordinate is out of range"))
     )
-    checks = F.when(~complete & point, F.array(first, check("FAILED", "Coordinate row requires valid latitude and longitude"))).otherwise(F.array(first))
+    checks = F.when(~complete & point, F.array(first, check("FAILED", "a coordinate row needs a pair of coordinates"))).otherwise(F.array(first))
     names: dict[str, list[str]] = {}
     for key, name in SPATIAL_METADATA.items():
         names.setdefault(name, []).insert(0, key)
@@ -294,7 +294,7 @@ def spatial_rows(rows: DataFrame) -> DataFrame:
 MEASURE = r"(?i)production|output|dispatch|achievement|quantity|tonnage"
 EXCLUDED = r"(?i)%|percent|share|growth|change|rate|average|difference|index"
 MASS = r"(?i)\b(million\s+tonnes?|kilotonnes?|tonnes?|tons?|Mt|kt)\b"
-HEADING_KEYS = "year years period reportingperiod reportingyear financialyear country countries countrygroup state states sector company commodity mineral production unit quantity".split()
+HEADING_KEYS = ("year", "years", "period", "reportingperiod", "reportingyear", "financialyear", "country", "countries", "countrygroup", "state", "states", "sector", "company", "commodity", "mineral", "production", "unit", "quantity")
 PERIOD_KEYS = ("period", "reportingperiod", "reportingyear", "financialyear", "year")
 AMOUNT = rf"^\s*({NUMBER})\s*([A-Za-z%²]+)?\s*$"
 

@@ -103,11 +103,17 @@ def document_topics(chunks: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def compare_documents(chunks: DataFrame, limit: int = 100) -> DataFrame:
-    """``(term, n_documents, total, class)`` over each document's first topics: COMMON to all, else DOCUMENT_SPECIFIC."""
+    """``(term, n_documents, total, class)`` over each document's first topics: COMMON to all, else DOCUMENT_SPECIFIC; nothing for fewer than two documents."""
     own = document_topics(chunks, limit)
     n = chunks.agg(F.count_distinct("document_id").alias("_n"))
     found = own.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("frequency").alias("total"))
-    return found.crossJoin(F.broadcast(n)).select("term", "n_documents", "total", F.when(F.col("n_documents") == F.col("_n"), "COMMON").otherwise("DOCUMENT_SPECIFIC").alias("class"))
+    return found.crossJoin(F.broadcast(n)).where("_n > 1").select("term", "n_documents", "total", F.when(F.col("n_documents") == F.col("_n"), "COMMON").otherwise("DOCUMENT_SPECIFIC").alias("class"))
+
+
+def comparison_status(chunks: DataFrame) -> DataFrame:
+    """One row ``(status, numerical_analysis_status, n_documents)``: fewer than two documents cannot be compared, and numbers in texts are never compared."""
+    n = chunks.agg(F.count_distinct("document_id").alias("n_documents"))
+    return n.select(F.when(F.col("n_documents") < 2, "INSUFFICIENT_EVIDENCE").otherwise("COMPLETED").alias("status"), F.when(F.col("n_documents") >= 2, "INSUFFICIENT_VERIFIED_DATA").alias("numerical_analysis_status"), "n_documents")
 
 
 def frequency_changes(chunks: DataFrame, limit: int = 100) -> DataFrame:

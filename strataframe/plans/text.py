@@ -71,6 +71,12 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.compare_documents(chunks(spark, sf_dir))
 
 
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and one alone."""
+    c = chunks(spark, sf_dir)
+    return intel.comparison_status(c).unionByName(intel.comparison_status(c.where("document_id = 'src1'")))
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.frequency_changes(chunks(spark, sf_dir))
 
@@ -138,6 +144,7 @@ QUERIES = {
     "h05_distribution": (distribution, _sql(f", {_TOPICS} SELECT term, document_id, count(*) AS frequency FROM counted WHERE term IN (SELECT term FROM top) GROUP BY 1, 2")),
     "c17_topics_for_document": (document_topics, _sql(f", {_TOPICS} SELECT term, count(*) AS frequency FROM counted WHERE term IN (SELECT term FROM top) AND document_id = 'src1' GROUP BY 1")),
     "h07_keywords_by_document": (keywords_by_document, _sql(", k AS (SELECT document_id, term, count(*) AS frequency, sum(n)::BIGINT AS token_frequency, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, term) AS r FROM counted GROUP BY 1, 2) SELECT document_id, term, frequency, token_frequency, round(frequency / max(frequency) OVER (PARTITION BY document_id), 6) AS weight FROM k WHERE r <= 20")),
+    "h08_comparison_status": (comparison, "SELECT CASE WHEN n < 2 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'COMPLETED' END AS status, CASE WHEN n > 1 THEN 'INSUFFICIENT_VERIFIED_DATA' END AS numerical_analysis_status, n AS n_documents FROM (SELECT count(DISTINCT source) AS n FROM documents UNION ALL SELECT count(DISTINCT source) FROM documents WHERE source = 'src1')"),
     "h08_frequency_changes": (changes, _sql(f", {_OWN}, every_document AS (SELECT DISTINCT source AS document_id FROM documents) SELECT t.term, d.document_id, coalesce(frequency, 0) AS frequency FROM (SELECT DISTINCT term FROM own) t CROSS JOIN every_document d LEFT JOIN own o ON o.term = t.term AND o.document_id = d.document_id")),
     "h09_compare_documents": (compared, _sql(f", {_OWN} SELECT term, count(*) AS n_documents, sum(frequency)::BIGINT AS total, CASE WHEN count(*) = (SELECT count(DISTINCT source) FROM documents) THEN 'COMMON' ELSE 'DOCUMENT_SPECIFIC' END AS class FROM own GROUP BY 1")),
     "h10_needs_rebuild": (rebuild, "WITH n AS (SELECT source AS document_id, count(*) AS n, count(*) FILTER (WHERE doc_id % 17 <> 0) AS m FROM documents GROUP BY 1) SELECT document_id, document_id = 'src3' OR n <> m AS rebuild FROM n"),

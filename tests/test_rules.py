@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import text
-from strataframe.operators import canonical, extract, intel, paging, production, review, search
+from strataframe.operators import canonical, extract, paging, production, review, search
 
 NAMES = ["Łódź Čapek Şahin", "Mine-Á 7", "Ｍｉｎｅ ﬁve Ⅷ ½ km²", "Straße ſ K", "é e\u0301 q\u0301 ñ", "", "日本 12", None]
 

@@ -71,3 +71,9 @@ def test_evidence_has_provenance(spark, chunks):
 def test_no_chunks(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert not intel.keywords(none).count() and not intel.topics(none).count() and not intel.keywords(none, 5, ("document_id",)).count() and not intel.evidence(none, intel.keywords(none)).count()
+
+
+def test_one_document_is_not_compared(spark, chunks):
+    one = chunks.where("document_id = 'd1'")
+    assert tuple(intel.comparison_status(one).first()) == ("INSUFFICIENT_EVIDENCE", None, 1) and not intel.compare_documents(one).count()
+    assert tuple(intel.comparison_status(chunks).first()) == ("COMPLETED", "INSUFFICIENT_VERIFIED_DATA", 7) and intel.compare_documents(chunks).count()
