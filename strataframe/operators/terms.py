@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import NOISE, STOP_WORDS, TOKEN
 
-_tokens, _noise, _stops = re.compile(TOKEN).findall, re.compile(NOISE).fullmatch, frozenset(STOP_WORDS)
+_tokens, _noise, _stops = re.compile(TOKEN).findall, re.compile(rf"(?:{NOISE})\Z").match, frozenset(STOP_WORDS)
 #: A task passes its counts on when it holds so many, and knows so many tokens.
 HELD, KNOWN = 300_000, 500_000
 #: Bins that terms are counted in, chunks of the sample, and likely terms for each term wanted.
