@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.units import convert_units, normalize_units
 from .paging import numbered
-from .quantiles import LIMIT, kept_values, quantiles
+from .quantiles import LIMIT, kept, kept_values, quantiles
 
 # The years a period may name, and the kinds of groups.
 YEAR = r"(?<!\d)(18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?!\d)"
@@ -150,7 +150,9 @@ def anomalies(df: DataFrame, value: str, method: str = "z_score", threshold: flo
     if method == "z_score":
         stats = df.groupBy(*key).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
     elif method == "iqr":
-        q = quantiles(kept_values(df, value, keys), len(keys), [0.25, 0.75], limit)
+        df = kept(df)  # computed once, for quartiles and scores
+        rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], v.alias("v"))
+        q = quantiles(rows, len(keys), [0.25, 0.75], limit)
         stats = q.select(*[F.col(f"k{i}").alias(f"_{k}") for i, k in enumerate(keys)], F.get("q", F.lit(0)).alias("_a"), F.get("q", F.lit(1)).alias("_b"))
     else:
         raise ValueError("a method is z_score or iqr")

@@ -20,12 +20,16 @@ LIMIT = 1 << 20
 RANGES, ACCURACY = 1024, 10_000
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept_values(df: DataFrame, value: str | Column, keys: tuple[str, ...]) -> DataFrame:
     """``(k0, k1, ..., v)``: keys and value of each row, the value as it is, written once to the shared folder."""
-    path = folder(df.sparkSession)
-    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], (F.col(value) if isinstance(value, str) else value).alias("v"))
-    rows.write.parquet(path)
-    return df.sparkSession.read.schema(rows.schema).parquet(path)
+    return kept(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], (F.col(value) if isinstance(value, str) else value).alias("v")))
 
 
 def _same(n: int, prefix: str = "_k") -> Column:
@@ -46,13 +50,6 @@ def quantiles(rows: DataFrame, n_keys: int, probabilities: list[float], limit: i
     small = lambda df: df.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, probabilities))).alias("q"))
     if not sizes.where(F.col("n") > limit).limit(1).count():
         return small(rows)
-    spark = rows.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = folder(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     large = kept(sizes.where(F.col("n") > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], "n"))
     position = F.col("p") * (F.col("n") - 1)
     wanted = large.select("*", F.explode(F.array(*map(F.lit, probabilities))).alias("p")).select("*", F.explode(F.array(F.floor(position), F.ceil(position))).alias("rank"))
