@@ -97,12 +97,14 @@ def table_row_text(cells: DataFrame) -> DataFrame:
     value = F.trim(F.coalesce(F.nullif("normalized_value", F.lit("")), "raw_value", F.lit("")))
     rows = cells.withColumns({"value": value, "head": F.min("row_index").over(Window.partitionBy("table_id")), "deep": F.max("row_index").over(Window.partitionBy("table_id"))})
     fallback = F.concat(F.lit("Column "), F.col("column_index") + 1)
-    heads = rows.where("row_index = head").select(F.col("table_id").alias("t"), F.col("column_index").alias("c"), F.when(F.col("value") != "", F.col("value")).otherwise(fallback).alias("header"))
-    every = heads.groupBy(F.col("t").alias("ht")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "header"))), lambda x: x["header"]), " | ").alias("headers"))
-    body = rows.where("row_index > head OR deep = head").join(heads, (F.col("table_id") == F.col("t")) & (F.col("column_index") == F.col("c")), "left")
-    cell = F.concat(F.coalesce("header", fallback), F.lit(": "), F.col("value"))
+    # windows over cells dealt by table: a join could broadcast all headers
+    top = F.when((F.col("row_index") == F.col("head")) & (F.col("value") != ""), F.col("value"))
+    rows = rows.withColumn("header", F.coalesce(F.max(top).over(Window.partitionBy("table_id", "column_index")), fallback))
+    every = rows.where("row_index = head").groupBy(F.col("table_id").alias("ht")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("column_index", "header"))), lambda x: x["header"]), " | ").alias("headers"))
+    body = rows.where("row_index > head OR deep = head")
+    cell = F.concat(F.col("header"), F.lit(": "), F.col("value"))
     text = body.groupBy("table_id", "table_order", "row_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("column_index"), cell.alias("cell")))), lambda x: x["cell"]), " | ").alias("row_text"))
-    joined = text.join(every, F.col("table_id") == F.col("ht"))
+    joined = text.join(every.hint("merge"), F.col("table_id") == F.col("ht"))
     return joined.select("table_id", "row_index", F.concat(F.lit("Table "), F.col("table_order"), F.lit(", row "), F.col("row_index") + 1, F.lit(". Headers: "), F.col("headers"), F.lit(". "), F.col("row_text")).alias("text"))
 
 

@@ -219,15 +219,18 @@ def header_key(header: Column) -> Column:
     return F.regexp_replace(F.lower(header), "[^a-z0-9]+", "")
 
 
+def _header(value: Column) -> Column:
+    """``value`` of the cell's column in the first row, ``_head``; a window, as the cells are dealt by table already and a join could broadcast all headers."""
+    return F.max(F.when(F.col("row_index") == F.col("_head"), value)).over(Window.partitionBy("table_id", "column_index"))
+
+
 def table_rows(cells: DataFrame) -> DataFrame:
     """``(table_id, row_index, values, cells)``: each row after the first as a map from header to value; a blank header is the column's number.
 
     ``cells`` keeps each cell with its header and, where ``cells`` has a column ``id``, its ``cell_id``.
     """
-    w = Window.partitionBy("table_id")
-    rows = cells.withColumn("_head", F.min("row_index").over(w))
-    heads = rows.where("row_index = _head").select(F.col("table_id").alias("_t"), F.col("column_index").alias("_c"), F.when(F.trim(F.coalesce("raw_value", F.lit(""))) != "", F.trim("raw_value")).otherwise(F.col("column_index").cast("string")).alias("_h"))
-    body = rows.where("row_index > _head").join(heads, (F.col("table_id") == F.col("_t")) & (F.col("column_index") == F.col("_c")), "left")
+    rows = cells.withColumn("_head", F.min("row_index").over(Window.partitionBy("table_id")))
+    body = rows.withColumn("_h", _header(F.nullif(F.trim("raw_value"), F.lit("")))).where("row_index > _head")
     cell_id = (F.col("id") if "id" in cells.columns else F.lit(None)).cast("string").alias("cell_id")
     entry = F.struct(F.col("column_index"), F.coalesce("_h", F.col("column_index").cast("string")).alias("header"), F.col("raw_value"), cell_id)
     grouped = body.groupBy("table_id", "row_index").agg(F.sort_array(F.collect_list(entry)).alias("cells"))
@@ -322,25 +325,25 @@ def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> D
     ).where(F.col("title").rlike(MEASURE))
     if definitions is not None:
         said = [c for c in ("definition", "definition_page") if c in definitions.columns]
-        text = text.join(definitions.groupBy(F.col("table_id").alias("_d")).agg(F.count(F.lit(1)).alias("_defined"), *[F.min(c).alias(c) for c in said]), F.col("_t") == F.col("_d"), "left")
+        text = text.hint("merge").join(definitions.groupBy(F.col("table_id").alias("_d")).agg(F.count(F.lit(1)).alias("_defined"), *[F.min(c).alias(c) for c in said]), F.col("_t") == F.col("_d"), "left")
     unit = F.coalesce(F.nullif(F.regexp_extract("title", MASS, 1), F.lit("")), "body_unit")
     settled = lambda u: F.when((F.lower(u) == "mt") & (u != "Mt") & known, "Mt").otherwise(u)
     text = text.withColumns({"raw_unit": unit, "unit": settled(unit), "defined": known, "one": F.lit("1")})
     text = normalize_units(text, "one", "unit", EXTRACTION_UNITS).where("dimension = 'mass'")
     text = text.select("_t", "title", "raw_unit", F.col("normalized_value").alias("table_factor"), "defined", *[(F.col(c) if c in text.columns else F.lit(None)).cast("string").alias(c) for c in ("definition", "definition_page")])
-    body = rows.where("row_index > _head").join(text, F.col("table_id") == F.col("_t"))
+    # a row for each table, and no broadcast of them all; the rest are windows over cells dealt by table
+    body = rows.join(text.hint("merge"), F.col("table_id") == F.col("_t")).withColumn("_top", F.col("row_index") == F.col("_head"))
     amount = F.col("v").rlike(AMOUNT)
     label = F.max(F.when(F.col("column_index") == 0, F.col("v"))).over(Window.partitionBy("table_id", "row_index"))
     body = body.withColumn("row_label", F.coalesce(label, F.lit("")))
-    data = (F.col("row_label") != "") & ~F.regexp_replace(F.lower("row_label"), "[^a-z]+", "").isin(*HEADING_KEYS) & (F.col("column_index") > 0) & amount
+    data = (F.col("row_label") != "") & ~F.regexp_replace(F.lower("row_label"), "[^a-z]+", "").isin(*HEADING_KEYS) & (F.col("column_index") > 0) & amount & ~F.col("_top")
     body = body.withColumn("_start", F.min(F.when(data, F.col("row_index"))).over(Window.partitionBy("table_id"))).where(F.col("_start").isNotNull())
-    top = rows.where("row_index = _head AND v <> ''").select("table_id", "column_index", "row_index", "v")
-    stacked = body.where((F.col("row_index") < F.col("_start")) & (F.col("v") != "") & ~F.col("v").rlike(r"^\(\s*\d+\s*\)$")).select("table_id", "column_index", "row_index", "v")
-    parts = top.unionByName(stacked).groupBy(F.col("table_id").alias("_lt"), F.col("column_index").alias("_lc")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("row_index", "v"))), lambda x: x["v"])).alias("parts"))
-    heads = top.select(F.col("table_id").alias("_ht"), F.col("column_index").alias("_hc"), header_key(F.col("v")).alias("head_key"))
-    body = body.join(parts, (F.col("table_id") == F.col("_lt")) & (F.col("column_index") == F.col("_lc")), "left").join(heads, (F.col("table_id") == F.col("_ht")) & (F.col("column_index") == F.col("_hc")), "left")
+    stacked = F.col("_top") | ((F.col("row_index") < F.col("_start")) & ~F.col("v").rlike(r"^\(\s*\d+\s*\)$"))
+    label_parts = F.collect_list(F.when((F.col("v") != "") & stacked, F.struct("row_index", "v"))).over(Window.partitionBy("table_id", "column_index"))
+    body = body.withColumns({"_parts": label_parts, "head_key": header_key(_header(F.nullif("v", F.lit(""))))}).where(~F.col("_top"))
+    body = body.withColumn("parts", F.array_distinct(F.transform(F.sort_array("_parts"), lambda x: x["v"]))).drop("_parts")
     own = F.max(F.when(F.col("head_key").isin(*PERIOD_KEYS) & F.col("v").rlike(YEAR), F.col("v"))).over(Window.partitionBy("table_id", "row_index"))
-    column = F.array_join(F.coalesce("parts", F.array().cast("array<string>")), " ")
+    column = F.array_join("parts", " ")
     none = lambda c: F.nullif(c, F.lit(""))
     period = F.coalesce(own, F.when(F.col("row_label").rlike(f"^{YEAR}$"), F.col("row_label")), none(F.regexp_extract(column, PERIOD, 0)), none(F.regexp_extract("title", PERIOD, 0)))
     cell_id = (F.col("id") if "id" in cells.columns else F.lit(None)).cast("string")
@@ -353,7 +356,7 @@ def production_rows(cells: DataFrame, definitions: DataFrame | None = None) -> D
     out = out.withColumn("_cu", F.when((F.lower("cell_unit") == "mt") & (F.col("cell_unit") != "Mt") & F.col("defined"), "Mt").otherwise(F.col("cell_unit")))
     out = normalize_units(out, "_one", "_cu", EXTRACTION_UNITS)
     factor = F.when(F.col("cell_unit").isNull(), F.col("table_factor")).when(F.col("dimension") == "mass", F.col("normalized_value"))
-    readable = F.filter(F.coalesce("parts", F.array().cast("array<string>")), lambda p: ~(p.rlike(MEASURE) & ((F.length(p) > 32) | p.rlike(PERIOD))))
+    readable = F.filter("parts", lambda p: ~(p.rlike(MEASURE) & ((F.length(p) > 32) | p.rlike(PERIOD))))
     named = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(none(F.array_join(readable, " ")), "column_label"), MASS, ""), r"\s+", " "), r"^[ \-:|\n]+|[ \-:|\n]+$", "")
     named = F.coalesce(none(named), F.lit("production"))
     plain = (F.col("row_label") == "") | F.lower("row_label").isin("india", "all india", "world", "total")
@@ -369,10 +372,9 @@ RELEVANT_HEADER = r"(?i)mine|project|block|borehole|seam|formation|mineral|reser
 def cell_context(cells: DataFrame) -> DataFrame:
     """``context``: a cell's text with its header before it, where the header says what the cell is."""
     rows = cells.withColumn("_head", F.min("row_index").over(Window.partitionBy("table_id")))
-    heads = rows.where("row_index = _head").select(F.col("table_id").alias("_t"), F.col("column_index").alias("_c"), F.trim("raw_value").alias("header"))
-    joined = rows.join(heads, (F.col("table_id") == F.col("_t")) & (F.col("column_index") == F.col("_c")), "left")
+    joined = rows.withColumn("header", _header(F.trim("raw_value")))
     fits = (F.col("row_index") > F.col("_head")) & F.col("header").rlike(RELEVANT_HEADER)
-    return joined.withColumn("context", F.when(fits, F.concat_ws(": ", "header", "raw_value")).otherwise(F.coalesce("raw_value", F.lit("")))).drop("_head", "_t", "_c", "header")
+    return joined.withColumn("context", F.when(fits, F.concat_ws(": ", "header", "raw_value")).otherwise(F.coalesce("raw_value", F.lit("")))).drop("_head", "header")
 
 
 def source_units(pages: DataFrame, contents: DataFrame, cells: DataFrame, used_cells: DataFrame | None = None) -> DataFrame:
