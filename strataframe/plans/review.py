@@ -202,13 +202,13 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _identity(spark: SparkSession, sf_dir: str, near: bool) -> DataFrame:
     """Customers against suppliers as known entities, by code, name, place; with ``near`` some names are merely like known ones."""
     s = table(spark, sf_dir, "supplier")
-    e = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Mine Alpha "), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("canonical_name"), F.array(F.concat(F.lit("A-"), "s_suppkey")).alias("aliases"), F.concat(F.lit("C"), "s_suppkey").alias("domain_code"), F.concat(F.lit("P"), F.col("s_nationkey")).alias("parent"), (F.col("s_suppkey") / 10.0).alias("lat"), (F.col("s_suppkey") / 5.0).alias("lon"))
+    e = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Mine Alpha "), F.format_string("%04d", "s_suppkey")).alias("canonical_name"), F.array(F.concat(F.lit("A-"), "s_suppkey")).alias("aliases"), F.concat(F.lit("C"), "s_suppkey").alias("domain_code"), F.concat(F.lit("P"), F.col("s_nationkey")).alias("parent"), (F.col("s_suppkey") / 10.0).alias("lat"), (F.col("s_suppkey") / 5.0).alias("lon"))
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     if not near:  # names that are like none where they are none
         c = c.crossJoin(F.broadcast(s.agg(F.max("s_suppkey").alias("n"))))  # one row
     known = F.lit(True) if near else k <= F.col("n")
-    name = F.when(k % 6 == 0, F.concat(F.lit("a "), k)).when((k % 6 == 1) & known, F.concat(F.lit("MINE-ALPHA "), F.lpad(k.cast("string"), 4, "0"))).when(k % 6 == 2, "").otherwise(F.concat(F.lit("zz"), k))
+    name = F.when(k % 6 == 0, F.concat(F.lit("a "), k)).when((k % 6 == 1) & known, F.concat(F.lit("MINE-ALPHA "), F.format_string("%04d", k))).when(k % 6 == 2, "").otherwise(F.concat(F.lit("zz"), k))
     cands = c.select(k.alias("id"), name.alias("name"), F.when(k % 6 == 3, F.concat(F.lit("c"), k)).alias("code"), F.when(k % 12 == 1, "other").alias("parent"), F.when(k % 6 == 4, k / 10.0 + 0.001).alias("lat"), F.when(k % 6 == 4, k / 5.0).alias("lon"))
     return op.resolve_identity(cands, e)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataframe.operators import chunk, extract
+from strataframe.plans import review
 
 
 def _broadcasts(df) -> int:
@@ -21,3 +22,9 @@ def test_headers_and_titles_are_not_broadcast(spark):
     assert _broadcasts(extract.cell_context(cells)) == 0
     named = cells.withColumns({"normalized_value": F.lit(None).cast("string"), "table_order": F.lit(1)})
     assert _broadcasts(chunk.table_row_text(named)) == 0
+
+
+def test_names_of_more_than_four_digits_stay_different(spark, tmp_path):
+    spark.createDataFrame([(1025, 1), (10251, 1), (10252, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(10251,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in review.identity(spark, str(tmp_path)).select("id", "entity_id").collect()] == [(10251, 10251)]
