@@ -275,12 +275,21 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions in sixteen files, every two of them in the wrong order; a last one, long after, lets the watermark pass them all."""
     at, session = folder(spark), spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    # each batch starts a worker and opens a store for every part of the state, so there are no more parts than cores ask for
+    session.conf.set("spark.sql.shuffle.partitions", min(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     d = table(spark, sf_dir, "events").select((F.col("user_id") * 7 % 300).alias("id"), F.col("event_id").alias("seq"), _pick(ACTIONS, (F.col("event_id") * 31 + F.col("user_id")) % 5).alias("action"), F.col("ts").cast("timestamp").alias("ts"))
     n, newest, oldest = d.agg(F.max("seq"), F.max("ts"), F.min("ts")).first()
+    d.withColumn("k", F.floor(F.col("seq") * 16 / (n + 1))).write.partitionBy("k").parquet(f"{at}/dealt")  # the table is read once
+    dealt = spark.read.parquet(f"{at}/dealt")
+    spans = {r["k"]: r for r in dealt.groupBy("k").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).collect()}  # a row for each file
+    late, seen = (newest - oldest) // 4, oldest
+    for k in range(16):  # no file is later than the watermark allows, however its times lie
+        if r := spans.get(k ^ 1):
+            late, seen = max(late, seen - r["first"] + timedelta(seconds=1)), max(seen, r["last"])
     for k in range(16):
-        d.where(F.floor(F.col("seq") * 16 / (n + 1)) == (k ^ 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    spark.createDataFrame([(-1, n + 1, ACTIONS[0], newest + timedelta(days=90))], d.schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    out = jobs.stream_decisions(session.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), late=f"{(newest - oldest) // 4 // timedelta(seconds=1)} seconds")
+        dealt.where(F.col("k") == (k ^ 1)).drop("k").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    spark.createDataFrame([(-1, n + 1, ACTIONS[0], newest + late + timedelta(days=90))], d.schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    out = jobs.stream_decisions(session.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), late=f"{late // timedelta(seconds=1)} seconds")
     return _drained(session, out, at=at, back=spark)
 
 

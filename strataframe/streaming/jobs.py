@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +35,16 @@ def stream_index(chunks: DataFrame, path: str, checkpoint: str, model: str, dime
     return chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Decisions that wait together as one entry of the state.
+PACKED = 4096
+_next = lru_cache(4096)(next_state)
+
+
 class _Decisions(StatefulProcessor):
-    """Decisions of one candidate wait until the watermark has passed them, then they are folded in order."""
+    """Decisions of one candidate wait until the watermark has passed them, then they are folded in order.
+
+    They wait in packs, as each entry written to or read from the state costs a call.
+    """
 
     def __init__(self, idle: int | None):
         self.idle = idle
@@ -43,37 +52,40 @@ class _Decisions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "state string, last long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, action string")
+        self.waiting = handle.getListState("waiting", "at array<long>, seq array<long>, action array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for some in rows:
-            for r in some.itertuples():
-                self.waiting.appendValue((int(r.at), int(r.seq), r.action))
-                first = int(r.at) if first is None else min(first, int(r.at))
+            at, seq, action = some["at"].tolist(), some["seq"].tolist(), some["action"].tolist()
+            self._wait(list(zip(at, seq, action, strict=True)))
+            first = min(at) if first is None else min(first, *at)
         if first is not None:
             self.handle.registerTimer(first + 1)
         return iter(())
 
+    def _wait(self, rows: list[tuple[int, int, str]]) -> None:
+        for i in range(0, len(rows), PACKED):
+            self.waiting.appendValue(tuple(map(list, zip(*rows[i : i + PACKED], strict=True))))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         ready, later = [], []
-        for r in self.waiting.get() if self.waiting.exists() else ():
-            (ready if r[0] < mark else later).append(tuple(r))
+        for pack in self.waiting.get() if self.waiting.exists() else ():
+            for r in zip(*pack, strict=True):
+                (ready if r[0] < mark else later).append(r)
         state, last = self.state.get() if self.state.exists() else ("PENDING", 0)
         out = []
         for at, seq, action in sorted(ready, key=lambda r: (r[1], r[2])):
             if self.idle is not None and last and at - last > self.idle:
                 state = "PENDING"  # forgotten, whether or not its timer has been
-            state, outcome = next_state(state, action)
+            state, outcome = _next(state, action)
             out.append((key[0], seq, action, state, outcome))
             last = max(last, at)
         if ready:
             self.state.update((state, last))
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
+            self.waiting.clear()
+            self._wait(later)
         if later:
             self.handle.registerTimer(min(r[0] for r in later) + 1)
         elif self.idle is not None:
