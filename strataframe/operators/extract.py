@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import mention_key, uuid5
@@ -40,23 +47,67 @@ PERIOD = r"(?<!\d)(?:18\d{2}|19\d{2}|20\d{2}|21\d{2}|2200)(?:[-/](?:\d{2}|18\d{2
 UNIT_DEFINITION = r"(?i)\bMT\b[\s:;=–—-]{1,32}Million\s+Tonnes\b"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<raw, start, end>>`` of all matches, by their gaps: places count characters from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.arrays_zip(found.alias("raw"), F.slice(gaps, 1, F.size(found)).alias("gap"))
+#: Hits that a task gathers before it passes rows on.
+HELD = 100_000
+_HIT = ArrayType(StructType([StructField("raw", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["raw"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), start.alias("start"), end.alias("end")))).alias("out"))
+@cache
+def _edge() -> str:
+    """The boundary of a word where letters, digits and accents of any script belong to words."""
+    every = list(map(chr, range(0x80, 0x110000)))
+    numbers = "".join(c for c in every if c.isalnum() and unicodedata.category(c) in ("No", "Nl"))
+    marks = "".join(c for c in every if unicodedata.category(c) == "Mn")
+    before, after = rf"(?u:(?<=[\w{marks}])(?<![{numbers}]))", rf"(?u:(?=[\w{marks}])(?![{numbers}]))"
+    return rf"(?:{before}(?!{after})|(?!{before}){after})"
 
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<raw:string,start:int,end:int>>")).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("out")), step)["out"])
 
+@cache
+def _search(pattern: str, plain: bool) -> Callable[[str], Iterator[re.Match]]:
+    """The search of a pattern in ASCII texts, or in others: as in column expressions, ``\\w``, ``\\d`` and case are ASCII's, ``\\b`` is not."""
+    return re.compile(pattern if plain else pattern.replace(r"\b", _edge()), re.ASCII).finditer
 
-def _exploded(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    out = df.withColumn("_m", F.explode(matches(F.coalesce(F.col(text), F.lit("")), pattern)))
-    return out.withColumns({"raw_text": F.col("_m.raw"), "start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m")
+
+def found(df: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """A column ``array<struct<raw, start, end>>`` of all matches for each pattern; places count characters from 0.
+
+    All patterns go over a text in one task: as column expressions, lambdas over gaps, they were evaluated again wherever
+    a span was looked at.
+    """
+    own, at = df.columns, df.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, row = batch.column(at).to_pylist(), 0
+            while row < len(texts):
+                first, n = row, 0
+                offsets, hits = [[0] for _ in patterns], [([], [], []) for _ in patterns]
+                while row < len(texts) and n < HELD:
+                    t = texts[row] or ""
+                    plain = t.isascii()
+                    for pattern, ends, (raw, start, end) in zip(patterns.values(), offsets, hits, strict=True):
+                        for m in _search(pattern, plain)(t):
+                            raw.append(m.group())
+                            start.append(m.start())
+                            end.append(m.end())
+                        n += len(raw) - ends[-1]
+                        ends.append(len(raw))
+                    row += 1
+                spans = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(raw, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["raw", "start", "end"])) for ends, (raw, start, end) in zip(offsets, hits, strict=True)]
+                part = batch.slice(first, row - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, *spans], names=[*own, *patterns])
+
+    return df.mapInArrow(work, StructType([*df.schema, *[StructField(name, _HIT) for name in patterns]]))
+
+
+def _spread(df: DataFrame, spans: Column) -> DataFrame:
+    """A row for each span."""
+    return df.withColumn("_m", F.explode(spans)).withColumns({"raw_text": F.col("_m.raw"), "start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _candidate(df: DataFrame, kind: Column | str, raw_value: Column, normalized: Column, numeric: Column | None = None, unit: Column | None = None, failed: Column | None = None, rule: Column | str = "") -> DataFrame:
@@ -73,10 +124,11 @@ def extract_entities(df: DataFrame) -> DataFrame:
     """Names after their labels, by eight rules, in one pass over the texts."""
     def named(kind: str, pattern: str) -> Column:
         value = lambda raw: F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"^[ .,:;-]+|[ .,:;-]+$", "")
-        return F.transform(matches(F.coalesce(F.col("text"), F.lit("")), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), value(m["raw"]).alias("value")))
+        return F.transform(f"_{kind}", lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), value(m["raw"]).alias("value")))
 
-    rows = df.withColumn("_m", F.explode(F.concat(*[named(*rule) for rule in ENTITY_RULES.items()])))
-    rows = rows.withColumns({"raw_text": F.col("_m.raw"), "start": F.col("_m.start"), "end": F.col("_m.end"), "_kind": F.col("_m.kind"), "_value": F.col("_m.value")}).drop("_m")
+    spans = found(df.select("unit_id", "text"), {f"_{kind}": pattern for kind, pattern in ENTITY_RULES.items()})
+    rows = spans.select("unit_id", F.explode(F.concat(*[named(*rule) for rule in ENTITY_RULES.items()])).alias("_m"))
+    rows = rows.select("unit_id", F.col("_m.raw").alias("raw_text"), F.col("_m.start").alias("start"), F.col("_m.end").alias("end"), F.col("_m.kind").alias("_kind"), F.col("_m.value").alias("_value"))
     return _candidate(rows, F.col("_kind"), F.col("_value"), F.col("_value"))
 
 
@@ -90,9 +142,8 @@ def parse_date(raw: Column) -> Column:
 
 
 def extract_dates(df: DataFrame) -> DataFrame:
-    rows = _exploded(df, DATE)
-    value = parse_date(F.col("raw_text"))
-    return _candidate(rows, "date_time", F.col("raw_text"), value, failed=value.isNull(), rule="date_value")
+    rows = _spread(found(df.select("unit_id", "text"), {"_dates": DATE}), F.col("_dates")).withColumn("_value", parse_date(F.col("raw_text")))
+    return _candidate(rows, "date_time", F.col("raw_text"), F.col("_value"), failed=F.col("_value").isNull(), rule="date_value")
 
 
 def _degrees(match: Column, pattern: str, seconds: bool) -> Column:
@@ -109,43 +160,48 @@ def parse_pair(raw: Column) -> Column:
 
     Hemispheres tell the order; without them longitude comes first, unless only the second value can be one.
     """
-    def two(pattern: str, seconds: bool) -> tuple[Column, Column]:
-        found = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))
-        a, b = _degrees(F.get(found, F.lit(0)), pattern, seconds), _degrees(F.get(found, F.lit(1)), pattern, seconds)
-        swap = a["h"].isin("N", "S") & b["h"].isin("E", "W")
-        lon, lat = F.when(swap, b["v"]).otherwise(a["v"]), F.when(swap, a["v"]).otherwise(b["v"])
-        return F.size(found) >= 2, F.when((F.abs(lon) <= 180) & (F.abs(lat) <= 90), F.struct(lon.alias("lon"), lat.alias("lat")))
+    def two(pattern: str, seconds: bool, otherwise: Column) -> Column:
+        def placed(a: Column, b: Column) -> Column:
+            swap = a["h"].isin("N", "S") & b["h"].isin("E", "W")
+            lon, lat = F.when(swap, b["v"]).otherwise(a["v"]), F.when(swap, a["v"]).otherwise(b["v"])
+            return F.when((F.abs(lon) <= 180) & (F.abs(lat) <= 90), F.struct(lon.alias("lon"), lat.alias("lat")))
+
+        degrees = lambda all_, i: _degrees(F.get(all_, F.lit(i)), pattern, seconds)
+        both = lambda all_: _once(degrees(all_, 0), lambda a: _once(degrees(all_, 1), lambda b: placed(a, b)))
+        return _once(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)), lambda all_: F.when(F.size(all_) >= 2, both(all_)).otherwise(otherwise))
+
+    def decimal(a: Column, b: Column) -> Column:
+        swap = (F.abs(a) <= 90) & (F.abs(b) <= 180) & (F.abs(b) > 90)
+        return F.when(swap, F.struct(b.alias("lon"), a.alias("lat"))).when((F.abs(a) <= 180) & (F.abs(b) <= 90), F.struct(a.alias("lon"), b.alias("lat")))
 
-    has_dms, dms = two(DMS, True)
-    has_dm, dm = two(DM, False)
-    a, b = (F.nullif(F.regexp_extract(raw, PAIR, i), F.lit("")).try_cast("double") for i in (1, 2))
-    swap = (F.abs(a) <= 90) & (F.abs(b) <= 180) & (F.abs(b) > 90)
-    pair = F.when(swap, F.struct(b.alias("lon"), a.alias("lat"))).when((F.abs(a) <= 180) & (F.abs(b) <= 90), F.struct(a.alias("lon"), b.alias("lat")))
-    return F.when(has_dms, dms).when(has_dm, dm).otherwise(pair)
+    number = lambda i: F.nullif(F.regexp_extract(raw, PAIR, i), F.lit("")).try_cast("double")
+    return two(DMS, True, two(DM, False, _once(number(1), lambda a: _once(number(2), lambda b: decimal(a, b)))))
 
 
-def _overlaps(spans: Column) -> Column:
-    return F.exists(spans, lambda s: (F.col("start") < s["end"]) & (F.col("end") > s["start"]))
+def _overlaps(spans: Column | str, start: Column, end: Column) -> Column:
+    return F.exists(spans, lambda s: (start < s["end"]) & (end > s["start"]))
 
 
 def _pair_text(pair: Column) -> Column:
     return F.when(pair.isNotNull(), F.concat_ws(",", pair["lon"].cast("string"), pair["lat"].cast("string")))
 
 
-def _with_spans(df: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    units = F.filter(matches(text, QUANTITY), lambda m: F.regexp_extract(m["raw"], QUANTITY, 2) != "")
-    return df.withColumns({"_dates": matches(text, DATE), "_units": units})
+def _with_spans(df: DataFrame, **more: str) -> DataFrame:
+    """Spans of dates, of quantities, and of decimal pairs outside dates and quantities with units."""
+    spans = found(df.select("unit_id", "text"), {"_dates": DATE, "_quantities": QUANTITY, "_pairs": PAIR, **more})
+    units = F.filter("_quantities", lambda m: F.regexp_extract(m["raw"], QUANTITY, 2) != "")
+    free = lambda units: F.filter("_pairs", lambda m: ~_overlaps("_dates", m["start"], m["end"]) & ~_overlaps(units, m["start"], m["end"]))
+    return spans.withColumn("_coords", _once(units, free))
 
 
 def extract_coordinates(df: DataFrame) -> DataFrame:
     """Decimal pairs outside dates and quantities with units, and the first two values in degrees and minutes."""
-    rows = _exploded(_with_spans(df), PAIR).where(~_overlaps(F.col("_dates")) & ~_overlaps(F.col("_units")))
-    pairs = _candidate(rows, "coordinate", F.col("raw_text"), _pair_text(parse_pair(F.col("raw_text"))), failed=parse_pair(F.col("raw_text")).isNull(), rule="coordinate_range")
-    marks = df.withColumn("_m", matches(F.coalesce(F.col("text"), F.lit("")), DMS)).where(F.size("_m") >= 2)
-    start, end = F.element_at("_m", 1)["start"], F.element_at("_m", 2)["end"]
-    both = marks.withColumns({"start": start, "end": end}).withColumn("raw_text", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    return pairs.unionByName(_candidate(both, "coordinate", F.col("raw_text"), _pair_text(parse_pair(F.col("raw_text"))), failed=parse_pair(F.col("raw_text")).isNull(), rule="coordinate_range"))
+    spans = _with_spans(df, _marks=DMS)
+    start, end = F.element_at("_marks", 1)["start"], F.element_at("_marks", 2)["end"]
+    both = F.struct(F.substring(F.col("text"), start + 1, end - start).alias("raw"), start.alias("start"), end.alias("end"))
+    rows = _spread(spans, F.concat("_coords", F.when(F.size("_marks") >= 2, F.array(both)).otherwise(F.array().cast(_HIT))))
+    rows = rows.select("unit_id", "raw_text", "start", "end", parse_pair(F.col("raw_text")).alias("_pair"))
+    return _candidate(rows, "coordinate", F.col("raw_text"), _pair_text(F.col("_pair")), failed=F.col("_pair").isNull(), rule="coordinate_range")
 
 
 def extract_quantities(df: DataFrame) -> DataFrame:
@@ -154,10 +210,7 @@ def extract_quantities(df: DataFrame) -> DataFrame:
     Numbers in dates and coordinates are left out. A number with an unknown unit is kept only after a label, and not where
     the unit is a function word.
     """
-    spanned = _with_spans(df)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    coords = F.filter(matches(text, PAIR), lambda m: ~F.exists("_dates", lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"])) & ~F.exists("_units", lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"])))
-    rows = _exploded(spanned.withColumn("_coords", coords), QUANTITY).where(~_overlaps(F.col("_dates")) & ~_overlaps(F.col("_coords")))
+    rows = _spread(_with_spans(df), F.filter("_quantities", lambda m: ~_overlaps("_dates", m["start"], m["end"]) & ~_overlaps("_coords", m["start"], m["end"])))
     rows = rows.withColumns({
         "_prefix": F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 69), F.least(F.lit(70), F.col("start"))),
         "_value": F.regexp_extract("raw_text", QUANTITY, 1), "_raw_unit": F.nullif(F.regexp_extract("raw_text", QUANTITY, 2), F.lit("")),

@@ -128,3 +128,22 @@ def test_production_table(spark):
     assert extract.production_rows(df).count() == 0
     r = extract.production_rows(df, spark.createDataFrame([(1,)], "table_id int")).first()
     assert (float(r.normalized_value), r.period, r.commodity) == (1_047_523_000.0, "2024-25", "Total Coal")
+
+
+def test_texts_are_searched_once_for_all_spans(spark):
+    df = spark.createDataFrame([(1, "Mine: Alpha; depth 12.5 metres at 20.5, 11.25 on 05/03/2024")], "unit_id int, text string")
+    for extract_ in (extract.extract_entities, extract.extract_dates, extract.extract_quantities, extract.extract_coordinates):
+        plan = extract_(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("regexp_extract_all") <= 2 and "aggregate(" not in plan, extract_.__name__
+
+
+def test_found_spans_are_those_of_column_expressions(spark):
+    texts = ["Größe 12.5 m² an 3/4/2024², mine: Élan Ä", "éMT = Million Tonnes", "e\u0301MT - Million Tonnes MT: million tonnes", "½ MT = Million Tonnes ½", None, "", "😀 20.5, 11.25 😀 11°15'N, 20°30'E ¼mine Alpha", "١٢ 12 tonnes, K mine: B\u2028C"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    patterns = {"date": extract.DATE, "quantity": extract.QUANTITY, "pair": extract.PAIR, "dms": extract.DMS, "definition": extract.UNIT_DEFINITION, **extract.ENTITY_RULES}
+    rows = extract.found(df, patterns).collect()
+    for name, pattern in patterns.items():
+        known = {r.i: r.m for r in df.select("i", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("m")).collect()}
+        for r in rows:
+            assert [m.raw for m in r[name]] == known[r.i], (name, r.text)
+            assert all(r.text[m.start : m.end] == m.raw for m in r[name])
