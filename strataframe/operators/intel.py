@@ -33,26 +33,32 @@ def _frequencies(chunks: DataFrame, by: tuple[str, ...], limit: int, pairs_only:
     return rows.groupBy(*by, "term").agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
 
 
-def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
+def keywords(chunks: DataFrame, limit: int = 100, keys: tuple[str, ...] = (), page_counts: bool = True) -> DataFrame:
     """Terms by the number of chunks that hold them, with counts of tokens, documents and pages and a weight from 0 to 1.
 
-    ``keys=("document_id",)`` gives each document its own list. Without keys, terms that cannot be among the first are
-    found in a pass of their own (:func:`.terms.candidates`) and not shuffled.
+    ``keys=("document_id",)`` gives each document its own list; its pages are counted for the terms of the lists alone, in a
+    pass of their own that ``page_counts=False`` leaves out with their column. Without keys, terms that cannot be among the
+    first are found in a pass of their own (:func:`.terms.candidates`) and not shuffled.
     """
-    by = ("document_id", "page_id")
     if keys:
-        pages = summed_terms(chunks, by).groupBy("term", *by).agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
-    else:
-        pages = _frequencies(chunks, by, limit, False)
-    documents = pages.groupBy("term", "document_id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.count("page_id").alias("p"))
-    if "document_id" in keys:
-        found = documents.select(*keys, "term", F.col("f").alias("frequency"), F.col("t").alias("token_frequency"), F.lit(1).cast("long").alias("document_count"), F.col("p").alias("page_count"))
+        rows = summed_terms(chunks, ("document_id",)).groupBy("document_id", "term").agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
+        found = rows.select(*keys, "term", F.col("f").alias("frequency"), F.col("t").alias("token_frequency"), F.lit(1).cast("long").alias("document_count"))
     else:  # a page belongs to one document
+        pages = _frequencies(chunks, ("document_id", "page_id"), limit, False)
+        documents = pages.groupBy("term", "document_id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.count("page_id").alias("p"))
         found = documents.groupBy("term").agg(F.sum("f").alias("frequency"), F.sum("t").alias("token_frequency"), F.count("document_id").alias("document_count"), F.sum("p").alias("page_count"))
     first = _ranked(found, keys, limit)
-    top = first.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("frequency").alias("_top"))
-    joined = first.join(F.broadcast(top) if not keys else top, [F.col(k) == F.col(f"_{k}") for k in keys]) if keys else first.crossJoin(F.broadcast(top))  # one row
-    return joined.withColumn("weight", F.round(F.col("frequency") / F.col("_top"), 6)).drop("_top", *[f"_{k}" for k in keys])
+    if not keys:
+        top = first.agg(F.max("frequency").alias("_top"))
+        return first.crossJoin(F.broadcast(top)).withColumn("weight", F.round(F.col("frequency") / F.col("_top"), 6)).drop("_top")  # one row
+    first = first.withColumn("weight", F.round(F.col("frequency") / F.max("frequency").over(Window.partitionBy(*keys)), 6))
+    if not page_counts:
+        return first
+    held = chunk_terms(chunks).select(F.col("document_id").alias("_d"), F.col("term").alias("_t"), "page_id")
+    lists = first.select("document_id", "term")
+    pages = held.join(lists, F.col("_d").eqNullSafe(F.col("document_id")) & (F.col("_t") == F.col("term"))).groupBy("_d", "_t").agg(F.count_distinct("page_id").alias("page_count"))
+    joined = first.join(pages, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("term") == F.col("_t")), "left")
+    return joined.select(*keys, "term", "frequency", "token_frequency", "document_count", F.coalesce("page_count", F.lit(0)).alias("page_count"), "weight")
 
 
 #: What evidence says about its chunk, where the chunks have it.

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,17 @@ class _Known(dict):
         return found
 
 
-def counted(lowered: str, fine: _Known, pairs_only: bool = False) -> Counter:
+def listed(lowered: str, fine: _Known, pairs_only: bool = False) -> list[str]:
     """Terms of a text in lower case: meaningful tokens, and pairs of different ones side by side."""
     every = _tokens(lowered)
     flags = [fine[t] for t in every]
-    out = Counter() if pairs_only else Counter([t for t, ok in zip(every, flags, strict=True) if ok])
-    out.update([f"{a} {b}" for a, b, x, y in zip(every, every[1:], flags, flags[1:], strict=False) if x and y and a != b])
-    return out
+    pairs = [f"{a} {b}" for a, b, x, y in zip(every, every[1:], flags, flags[1:], strict=False) if x and y and a != b]
+    return pairs if pairs_only else [*compress(every, flags), *pairs]
+
+
+def counted(lowered: str, fine: _Known, pairs_only: bool = False) -> Counter:
+    """Terms of a text with their occurrences."""
+    return Counter(listed(lowered, fine, pairs_only))
 
 
 def _run(chunks: DataFrame, keys: tuple[str, ...], text: str, added: list[StructField], work: Callable) -> DataFrame:
@@ -90,23 +95,22 @@ def summed_terms(chunks: DataFrame, keys: tuple[str, ...], text: str = "text", p
         fine, held, total = _Known(), {}, 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            for key, own in held.items():
-                columns = [pa.array([k] * len(own), batch.schema.field(i).type) for i, k in enumerate(key)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(own), pa.string()), pa.array([f for f, _ in own.values()], pa.int64()), pa.array([t for _, t in own.values()], pa.int64())], names=[*keys, "term", "f", "t"])
+            for key, (f, t) in held.items():
+                columns = [pa.array([k] * len(f), batch.schema.field(i).type) for i, k in enumerate(key)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(f), pa.string()), pa.array(list(f.values()), pa.int64()), pa.array([t[term] for term in f], pa.int64())], names=[*keys, "term", "f", "t"])
             held.clear()
 
         batch = None
         for batch in batches:
             for *key, lowered in zip(*batch.columns, strict=True):
-                found = counted(lowered.as_py(), fine, pairs_only)
+                found = listed(lowered.as_py(), fine, pairs_only)
                 if wanted is not None:
-                    found = {t: n for t, n in found.items() if t in wanted or (bins and _bin(t) in bins)}
-                own = held.setdefault(tuple(k.as_py() for k in key), {})
-                total -= len(own)
-                for term, n in found.items():
-                    f, t = own.get(term, (0, 0))
-                    own[term] = f + 1, t + n
-                total += len(own)
+                    found = [t for t in found if t in wanted or (bins and _bin(t) in bins)]
+                f, t = held.setdefault(tuple(k.as_py() for k in key), (Counter(), Counter()))
+                total -= len(f)
+                f.update(set(found))
+                t.update(found)
+                total += len(f)
                 if total > HELD:
                     yield from done()
                     total = 0

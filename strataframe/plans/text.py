@@ -38,7 +38,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intel.keywords(chunks(spark, sf_dir), 20, ("document_id",)).select("document_id", "term", "frequency", "token_frequency", "weight")
+    return intel.keywords(chunks(spark, sf_dir), 20, ("document_id",), page_counts=False).select("document_id", "term", "frequency", "token_frequency", "weight")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

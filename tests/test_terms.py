@@ -77,3 +77,14 @@ def test_one_document_is_not_compared(spark, chunks):
     one = chunks.where("document_id = 'd1'")
     assert tuple(intel.comparison_status(one).first()) == ("INSUFFICIENT_EVIDENCE", None, 1) and not intel.compare_documents(one).count()
     assert tuple(intel.comparison_status(chunks).first()) == ("COMPLETED", "INSUFFICIENT_VERIFIED_DATA", 7) and intel.compare_documents(chunks).count()
+
+
+def test_keywords_of_documents_search_the_texts_once(spark):
+    rows = [("a", 1, 1, "coal seam coal"), ("a", 1, 2, "coal ash"), ("a", 2, 3, "coal seam"), ("b", 3, 4, "seam"), (None, 4, 5, "ash ash")]
+    chunks = spark.createDataFrame(rows, "document_id string, page_id int, chunk_id int, text string")
+    lean = intel.keywords(chunks, 2, ("document_id",), page_counts=False)
+    assert lean._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    full = intel.keywords(chunks, 2, ("document_id",))
+    got = {(r.document_id, r.term): (r.frequency, r.token_frequency, r.document_count, r.page_count, r.weight) for r in full.collect()}
+    assert got == {("a", "coal"): (3, 4, 1, 2, 1.0), ("a", "coal seam"): (2, 2, 1, 2, 0.666667), ("b", "seam"): (1, 1, 1, 1, 1.0), (None, "ash"): (1, 2, 1, 1, 1.0)}
+    assert {tuple(r) for r in lean.collect()} == {tuple(r) for r in full.drop("page_count").collect()}
