@@ -267,17 +267,23 @@ def calculate(requests: DataFrame, production: DataFrame) -> DataFrame:
     Two-record kinds need two records of one entity and commodity in different periods (shares need neither). A record that
     is not there gives ``INSUFFICIENT_VERIFIED_DATA``, as do the two kinds whose inputs production does not hold.
     """
-    ids = requests.select("request_id", "kind", "years", F.size("record_ids").alias("asked"), F.explode_outer(F.array_distinct("record_ids")).alias("rid"))
+    # requests of one list of records share its rows: lists are told apart by a digest and meet in the task that holds them
+    keyed = requests.withColumn("_set", F.sha2(F.to_json(F.struct("record_ids")), 256))
+    lists = keyed.groupBy("_set").agg(F.first("record_ids").alias("record_ids"))
+    ids = lists.select("_set", F.explode_outer(F.array_distinct("record_ids")).alias("rid"))
     rows = production.select("record_id", "mine_id", "project_id", "commodity", "year", "period", "tonnes")
     joined = ids.join(rows, F.col("rid") == F.col("record_id"), "left")
     v = F.col("tonnes").cast("double")
     order = F.struct(F.coalesce("year", F.lit(-1)).alias("y"), F.col("period").alias("p"), F.col("record_id").alias("r"))
-    g = joined.groupBy("request_id", "kind").agg(
-        F.max("years").alias("years"), F.count("record_id").alias("n_inputs"), F.count("rid").alias("wanted"),
-        F.count_distinct(F.struct("mine_id", "project_id", "commodity")).alias("entities"), F.count_distinct("period").alias("periods"),
+    entity = F.struct("mine_id", "project_id", "commodity")
+    g = joined.groupBy("_set").agg(
+        F.count("record_id").alias("n_inputs"), F.count("rid").alias("wanted"),
+        (F.min(entity) != F.max(entity)).alias("entities_differ"), F.coalesce(F.min("period") != F.max("period"), F.lit(False)).alias("periods_differ"),
         F.min_by(v, order).alias("first"), F.max_by(v, order).alias("last"), F.sum(v).alias("s"), F.avg(v).alias("a"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.median(v).alias("med"), F.stddev_pop(v).alias("sd"),
         F.min_by(v, "rid").alias("one"), F.max_by(v, "rid").alias("two"),
     )
+    asked = keyed.groupBy("request_id", "kind", "_set").agg(F.max("years").alias("years"))
+    g = asked.join(g, "_set")
     kind = F.col("kind")
     pair = kind.isin(*PAIRS)
     ordered = kind.isin("production_difference", "growth_percentage", "cagr")
@@ -285,8 +291,8 @@ def calculate(requests: DataFrame, production: DataFrame) -> DataFrame:
         F.when(~kind.isin(*KINDS), "UNSUPPORTED_KIND")
         .when(kind.isin("stripping_ratio", "productivity") | (F.col("n_inputs") == 0) | (F.col("n_inputs") < F.col("wanted")), "INSUFFICIENT_VERIFIED_DATA")
         .when(pair & (F.col("n_inputs") != 2), "NEEDS_TWO_RECORDS")
-        .when(ordered & (F.col("entities") > 1), "DIFFERENT_ENTITIES")
-        .when(ordered & (F.col("periods") < 2), "SAME_PERIOD")
+        .when(ordered & F.col("entities_differ"), "DIFFERENT_ENTITIES")
+        .when(ordered & ~F.col("periods_differ"), "SAME_PERIOD")
         .when((kind == "cagr") & (F.coalesce("years", F.lit(0)) <= 0), "NEEDS_YEARS")
         .when((kind == "growth_percentage") & (F.col("first") == 0) | (kind == "production_share") & (F.col("two") == 0) | (kind == "cagr") & (F.col("first") <= 0), "ZERO_BASE")
         .otherwise("OK")

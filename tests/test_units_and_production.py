@@ -84,3 +84,17 @@ def test_filters_refuse_contradictions(spark):
         op.filter_production(spark.range(1), year=2020, year_from=2019)
     with pytest.raises(ValueError):
         op.filter_production(spark.range(1), year_from=2021, year_to=2020)
+
+
+def test_requests_of_one_list_share_its_rows(spark):
+    rows = [("a", 1, None, "coal", 2020, "2020", Decimal(100)), ("b", 1, None, "coal", 2022, "2022", Decimal(121)), ("c", 1, 7, "coal", 2022, None, Decimal(5))]
+    prod = spark.createDataFrame(rows, "record_id string, mine_id int, project_id int, commodity string, year int, period string, tonnes decimal(29,9)")
+    asked = [("1", "sum", ["a", "b", "a"], None), ("2", "sum", ["a", "b", "a"], None), ("3", "maximum", ["a", "b", "a"], None), ("4", "cagr", ["a", "b"], 1), ("5", "cagr", ["a", "b"], 2), ("6", "production_difference", ["a", "c"], None), ("7", "growth_percentage", ["c", "a"], None), ("8", "sum", [], None), ("9", "sum", None, None), ("10", "sum", [None], None)]
+    req = spark.createDataFrame(asked, "request_id string, kind string, record_ids array<string>, years int")
+    out = op.calculate(req, prod)
+    got = {r.request_id: (r.status, None if r.value is None else round(r.value, 6), r.n_inputs) for r in out.collect()}
+    assert got == {
+        "1": ("OK", 221.0, 2), "2": ("OK", 221.0, 2), "3": ("OK", 121.0, 2), "4": ("OK", 21.0, 2), "5": ("OK", 10.0, 2), "6": ("DIFFERENT_ENTITIES", None, 2), "7": ("DIFFERENT_ENTITIES", None, 2),
+        "8": ("INSUFFICIENT_VERIFIED_DATA", None, 0), "9": ("INSUFFICIENT_VERIFIED_DATA", None, 0), "10": ("INSUFFICIENT_VERIFIED_DATA", None, 0),
+    }
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # rows are not repeated for each distinct count
