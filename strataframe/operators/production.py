@@ -167,10 +167,14 @@ def anomalies(df: DataFrame, value: str, method: str = "z_score", threshold: flo
     return joined.withColumns({"score": score, "anomaly": F.when(flag, "ANOMALY").otherwise("NORMAL")}).drop(*[f"_{k}" for k in keys], "_m", "_s", "_a", "_b")
 
 
+def _with_entity(df: DataFrame) -> DataFrame:
+    entity = F.coalesce(F.concat(F.lit("mine:"), F.col("mine_id")), F.concat(F.lit("project:"), F.col("project_id")))
+    return df.withColumns({"entity": entity, "commodity_key": F.lower(F.coalesce("commodity", F.lit("")))})
+
+
 def cross_source_checks(df: DataFrame, value: str = "tonnes") -> DataFrame:
     """Entities with several records for a period and commodity: duplicates where values agree, conflicts where not."""
-    entity = F.coalesce(F.concat(F.lit("mine:"), F.col("mine_id")), F.concat(F.lit("project:"), F.col("project_id")))
-    rows = df.withColumns({"entity": entity, "commodity_key": F.lower(F.coalesce("commodity", F.lit("")))}).where(F.col("entity").isNotNull())
+    rows = _with_entity(df).where(F.col("entity").isNotNull())
     groups = rows.groupBy("entity", "period", "commodity_key").agg(F.count(F.lit(1)).alias("n_records"), F.min(value).alias("lo"), F.max(value).alias("hi")).where("n_records > 1")
     same = F.col("lo") == F.col("hi")
     return groups.select("entity", "period", "commodity_key", "n_records", F.when(same, "DUPLICATE_OBSERVATION").otherwise("CONFLICTING_PRODUCTION_VALUES").alias("validation_type"), F.when(same, "WARNING").otherwise("ERROR").alias("severity"), F.when(same, "DUPLICATE").otherwise("CONFLICT").alias("status"), (F.col("hi") - F.col("lo")).alias("difference"))
@@ -309,10 +313,17 @@ def calculate(requests: DataFrame, production: DataFrame) -> DataFrame:
 
 def production_report(df: DataFrame) -> DataFrame:
     """``(section, key, value, detail)``: totals by state and year, checks by type, and, from three records on, anomalies of yearly totals."""
-    good = usable(df)
-    by = [group_production(good, g).select(F.lit(f"by_{g}").alias("section"), "key", F.col("total").cast("double").alias("value"), F.col("record_count").cast("string").alias("detail")) for g in ("state", "year")]
-    checks = cross_source_checks(good).groupBy("validation_type").count().select(F.lit("checks").alias("section"), F.col("validation_type").alias("key"), F.col("count").cast("double").alias("value"), F.lit(None).cast("string").alias("detail"))
-    years = yearly(good)
+    # records are joined and checked once: every section adds up these cells
+    good = _with_entity(usable(df)).groupBy("state", "year", "entity", "period", "commodity_key").agg(F.sum("tonnes").alias("tonnes"), F.count(F.lit(1)).alias("n"), F.min("tonnes").alias("lo"), F.max("tonnes").alias("hi")).checkpoint()
+
+    def total(by: str) -> DataFrame:
+        sums = good.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("UNSPECIFIED")).alias("key")).agg(F.sum("tonnes").cast("decimal(38,9)").alias("total"), F.sum("n").alias("record_count"))
+        return sums.select(F.lit(f"by_{by}").alias("section"), "key", F.col("total").cast("double").alias("value"), F.col("record_count").cast("string").alias("detail"))
+
+    by = [total(g) for g in ("state", "year")]
+    groups = good.where(F.col("entity").isNotNull()).groupBy("entity", "period", "commodity_key").agg(F.sum("n").alias("n_records"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n_records > 1")
+    checks = groups.select(F.when(F.col("lo") == F.col("hi"), "DUPLICATE_OBSERVATION").otherwise("CONFLICTING_PRODUCTION_VALUES").alias("validation_type")).groupBy("validation_type").count().select(F.lit("checks").alias("section"), F.col("validation_type").alias("key"), F.col("count").cast("double").alias("value"), F.lit(None).cast("string").alias("detail"))
+    years = good.where(F.col("year").isNotNull()).groupBy("year").agg(F.sum("tonnes").cast("decimal(38,9)").alias("value"), F.sum("n").alias("record_count"))
     enough = years.agg(F.sum("record_count").alias("n")).where("n >= 3")
     odd = anomalies(years, "value", "z_score", 2.0).crossJoin(F.broadcast(enough)).select(F.lit("anomalies").alias("section"), F.col("year").cast("string").alias("key"), F.col("score").alias("value"), F.col("anomaly").alias("detail"))
     return by[0].unionByName(by[1]).unionByName(checks).unionByName(odd)

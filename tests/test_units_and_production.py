@@ -98,3 +98,12 @@ def test_requests_of_one_list_share_its_rows(spark):
         "8": ("INSUFFICIENT_VERIFIED_DATA", None, 0), "9": ("INSUFFICIENT_VERIFIED_DATA", None, 0), "10": ("INSUFFICIENT_VERIFIED_DATA", None, 0),
     }
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # rows are not repeated for each distinct count
+
+
+def test_report_joins_the_records_once(spark):
+    from strataframe.plans import production as plans
+
+    out = plans.report(spark, "/root/testdata/sf0.001")
+    assert "Relation [" not in out._jdf.queryExecution().optimizedPlan().toString()  # only the kept cells are read again
+    sections = {r.section: r.n for r in out.groupBy("section").agg(F.count("*").alias("n")).collect()}
+    assert set(sections) == {"by_state", "by_year", "checks", "anomalies"}
