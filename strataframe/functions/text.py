@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -39,14 +40,33 @@ def _folding(form: str, lower: bool) -> tuple[str, str, dict[str, str], str]:
     return "".join(one), "".join(one.values()), many, joined
 
 
+def _one_of(chars: Iterable[str]) -> str:
+    """A pattern of the characters, all beyond ASCII, as ranges. A class is compared range by range, so ASCII is told apart before."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return r"(?![\x00-\x7F])[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _spelt(text: Column, many: dict[str, str]) -> Column:
+    """``text`` with the characters of ``many`` replaced by what they give; each different one once."""
+    known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_one_of(many)), F.lit(0)))
+    return F.aggregate(found, text, lambda t, c: F.replace(t, c, F.element_at(known, c)))
+
+
+def _beyond_ascii(text: Column, folded: Column) -> Column:
+    """``folded`` of texts with characters beyond ASCII; others are as they are."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
+
+
 def _folded(text: Column, form: str, lower: bool) -> Column:
     one, plain, many, joined = _folding(form, lower)
-    if joined:
-        text = F.regexp_replace(text, joined, "")
-    known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("[" + "".join(many) + "]"), F.lit(0)))
-    text = F.aggregate(found, text, lambda t, c: F.replace(t, c, F.element_at(known, c)))
-    return F.regexp_replace(F.translate(text, one, plain), r"[^\x00-\x7F]", "")
+    own = F.regexp_replace(text, joined, "") if joined else text
+    return _beyond_ascii(text, F.regexp_replace(F.translate(_spelt(own, many), one, plain), r"[^\x00-\x7F]", ""))
 
 
 def fold_ascii(text: Column) -> Column:
@@ -70,10 +90,8 @@ def _case_folding() -> tuple[str, str, dict[str, str]]:
 def case_fold(text: Column) -> Column:
     """Text for comparison without case: as in lower case, but ``ß`` is ``ss``, ligatures are spelt and a final sigma is a sigma."""
     one, plain, many = _case_folding()
-    low = F.translate(F.lower(text), one, plain)
-    known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit("[" + "".join(many) + "]"), F.lit(0)))
-    return F.aggregate(found, low, lambda t, c: F.replace(t, c, F.element_at(known, c)))
+    low = F.lower(text)
+    return _beyond_ascii(low, F.translate(_spelt(low, many), one, plain))  # what is folded does not change when folded again
 
 
 def name_key(name: Column) -> Column:
