@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DecimalType, IntegralType, StringType, TimestampType
 from pyspark.sql.window import Window
 
-from .terms import candidates, chunk_terms, summed_terms
+from .terms import candidates, chunk_terms, first_chunks, ranked_terms, summed_terms
 
 
 def intelligence_input(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -67,18 +68,37 @@ PROVENANCE = ("document_version_id", "page_id", "page_number", "source_unit_id",
 GIVEN = 10_000
 
 
-def _held(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
-    """:func:`chunk_terms` of the ranked terms."""
+#: Columns that a task can order as Spark does.
+_ORDERED = (StringType, IntegralType, DecimalType, DateType, TimestampType)
+
+
+def first_terms(chunks: DataFrame, limit: int = 100, pairs_only: bool = False) -> DataFrame:
+    """``(term, frequency)``: the terms of most chunks, or the two-word ones, as ranked by :func:`keywords` and :func:`topics`."""
+    (rows,) = ranked_terms(chunks, limit, (pairs_only,))
+    return chunks.sparkSession.createDataFrame(rows, "term string, frequency long")  # ``limit`` rows
+
+
+def _given(ranked: DataFrame) -> list[str] | None:
+    """The ranked terms, unless they are too many for tasks to look for."""
     wanted = [r["term"] for r in ranked.select("term").distinct().limit(GIVEN + 1).collect()]
-    if len(wanted) <= GIVEN:
-        return chunk_terms(chunks, only=wanted)
+    return wanted if len(wanted) <= GIVEN else None
+
+
+def _held(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
+    """:func:`chunk_terms` of the ranked terms, joined."""
     return chunk_terms(chunks).join(ranked.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left_semi")
 
 
 def evidence(chunks: DataFrame, ranked: DataFrame, per_term: int = 5) -> DataFrame:
-    """``(term, evidence)``: the first chunks of each ranked term in order of document and chunk, with their provenance."""
+    """``(term, evidence)``: the first chunks of each ranked term in order of document and chunk, with their provenance.
+
+    Of terms that tasks can look for, a task passes on the first chunks that it has.
+    """
     w = Window.partitionBy("term").orderBy("document_id", "chunk_id")
-    first = _held(chunks, ranked).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_term)
+    wanted = _given(ranked)
+    in_tasks = wanted is not None and all(isinstance(chunks.schema[c].dataType, _ORDERED) for c in ("document_id", "chunk_id"))
+    held = first_chunks(chunks, wanted, per_term) if in_tasks else _held(chunks, ranked)
+    first = held.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_term)
     known = [c for c in PROVENANCE if c in chunks.columns and c != "page_id"]
     if known:
         first = first.join(chunks.select(F.col("chunk_id").alias("_c"), *known), F.col("chunk_id") == F.col("_c"))
@@ -95,7 +115,10 @@ def topics(chunks: DataFrame, limit: int = 100) -> DataFrame:
 
 def distribution(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     """``(term, document_id, frequency)`` of the ranked topics."""
-    return _held(chunks, ranked).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("frequency"))
+    wanted = _given(ranked)
+    if wanted is None:
+        return _held(chunks, ranked).groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("frequency"))
+    return summed_terms(chunks, ("document_id",), likely=wanted, occurrences=False).groupBy("term", "document_id").agg(F.sum("f").alias("frequency"))
 
 
 def topics_for_document(distributed: DataFrame, document_id) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from . import intel
 from .paging import latest
+from .terms import ranked_terms
 
 
 def validate_reports(reports: DataFrame, sections: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -38,11 +39,11 @@ def cite(evidence: DataFrame, labels: DataFrame) -> DataFrame:
 
 def document_report(chunks: DataFrame, limit: int = 20) -> DataFrame:
     """``(section, term, frequency, citations)``: topics and keywords with the labels of their evidence, labels given in order of first use."""
-    words = intel.keywords(chunks, limit).select(F.lit("keywords").alias("section"), "term", "frequency")
-    themes = intel.topics(chunks, limit).select(F.lit("topics").alias("section"), "term", "frequency")
-    rows = themes.unionByName(words)
-    rows = chunks.sparkSession.createDataFrame(rows.collect(), rows.schema)  # ``limit`` rows of each
+    themes, words = ranked_terms(chunks, limit, (True, False))
+    every = [("topics", *x) for x in themes] + [("keywords", *x) for x in words]
+    rows = chunks.sparkSession.createDataFrame(every, "section string, term string, frequency long")  # ``limit`` rows of each
     ev = intel.evidence(chunks, rows)
+    ev = chunks.sparkSession.createDataFrame(ev.collect(), ev.schema)  # five chunks a term at most, used twice
     first = ev.select(F.explode("evidence").alias("e")).select(F.col("e.document_id").alias("document_id"), F.col("e.chunk_id").alias("chunk_id")).distinct()
     labels = first.withColumn("citation_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("document_id", "chunk_id")))).select("chunk_id", "citation_id")  # five chunks a term at most
     return rows.join(cite(ev, labels), "term", "left")

@@ -43,7 +43,7 @@ def keywords_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    out = intel.evidence(c, intel.keywords(c))
+    out = intel.evidence(c, intel.first_terms(c))
     return out.select("term", F.transform("evidence", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
@@ -56,12 +56,12 @@ _TOPICS = "top AS (SELECT term, count(*) AS frequency, count(DISTINCT document_i
 
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    return intel.distribution(c, intel.topics(c))
+    return intel.distribution(c, intel.first_terms(c, pairs_only=True))
 
 
 def document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    return intel.topics_for_document(intel.distribution(c, intel.topics(c)), "src1")
+    return intel.topics_for_document(intel.distribution(c, intel.first_terms(c, pairs_only=True)), "src1")
 
 
 _OWN = "own AS (SELECT * FROM (SELECT document_id, term, count(*) AS frequency, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, term) AS r FROM counted WHERE contains(term, ' ') GROUP BY 1, 2) WHERE r <= 100)"
