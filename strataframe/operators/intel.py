@@ -127,7 +127,7 @@ def topics_for_document(distributed: DataFrame, document_id) -> DataFrame:
 
 def document_topics(chunks: DataFrame, limit: int = 100) -> DataFrame:
     """Each document's own first topics."""
-    rows = summed_terms(chunks, ("document_id",), pairs_only=True).groupBy("document_id", "term").agg(F.sum("f").alias("frequency"))
+    rows = summed_terms(chunks, ("document_id",), pairs_only=True, occurrences=False).groupBy("document_id", "term").agg(F.sum("f").alias("frequency"))
     return _ranked(rows, ("document_id",), limit)
 
 
@@ -147,9 +147,10 @@ def comparison_status(chunks: DataFrame) -> DataFrame:
 
 def frequency_changes(chunks: DataFrame, limit: int = 100) -> DataFrame:
     """Every topic of the documents compared with its frequency in every one of them, 0 where it is none of its first topics."""
-    own = document_topics(chunks, limit)
-    grid = own.select("term").distinct().crossJoin(F.broadcast(chunks.select("document_id").distinct()))  # 20 documents at most are compared
-    return grid.join(own, ["term", "document_id"], "left").select("term", "document_id", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+    own = document_topics(chunks, limit).groupBy("term").agg(F.collect_list(F.struct("document_id", "frequency")).alias("_own"))  # a row for each document; texts are searched once
+    grid = own.crossJoin(F.broadcast(chunks.select("document_id").distinct()))  # 20 documents at most are compared
+    held = F.filter("_own", lambda x: x["document_id"] == F.col("document_id"))
+    return grid.select("term", "document_id", F.coalesce(F.get(held, F.lit(0))["frequency"], F.lit(0)).alias("frequency"))
 
 
 def topic_sets(chunks: DataFrame, a, b, limit: int = 100) -> DataFrame:

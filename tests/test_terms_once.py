@@ -50,6 +50,14 @@ def test_distribution_is_added_up_in_tasks(spark, chunks, held):
     assert terms.summed_terms(chunks, ("document_id",), likely=["coal"], occurrences=False).count() <= 5 * 6
 
 
+def test_topics_of_documents_are_searched_once(spark, chunks):
+    out = intel.frequency_changes(chunks, 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # there were two
+    own = {(r.term, r.document_id): r.frequency for r in intel.document_topics(chunks, 3).collect() if r.document_id is not None}
+    names = {t for t, _ in own} | {r.term for r in intel.document_topics(chunks, 3).collect()}
+    assert {(r.term, r.document_id): r.frequency for r in out.collect()} == {(t, d): own.get((t, d), 0) for t in names for d in (None, "d0", "d1", "d2", "d3", "d4")}
+
+
 def test_report_searches_texts_for_its_evidence_once(chunks):
     out = reports.document_report(chunks, 5)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0  # found once; it stood twice in the plan
