@@ -95,17 +95,19 @@ def span_blocks(spans: DataFrame) -> DataFrame:
 def table_row_text(cells: DataFrame) -> DataFrame:
     """A sentence for each row of each table, its cells named by the first row's."""
     value = F.trim(F.coalesce(F.nullif("normalized_value", F.lit("")), "raw_value", F.lit("")))
-    rows = cells.withColumns({"value": value, "head": F.min("row_index").over(Window.partitionBy("table_id")), "deep": F.max("row_index").over(Window.partitionBy("table_id"))})
-    fallback = F.concat(F.lit("Column "), F.col("column_index") + 1)
-    # windows over cells dealt by table: a join could broadcast all headers
+    table = Window.partitionBy("table_id")
+    # cells are dealt out and sorted once: windows, rows and headers follow that order, with no join that could broadcast all headers
+    dealt = cells.select("table_id", "table_order", "row_index", "column_index", value.alias("value")).repartition("table_id").sortWithinPartitions("table_id", "column_index")
+    rows = dealt.withColumns({"head": F.min("row_index").over(table), "deep": F.max("row_index").over(table)})
     top = F.when((F.col("row_index") == F.col("head")) & (F.col("value") != ""), F.col("value"))
-    rows = rows.withColumn("header", F.coalesce(F.max(top).over(Window.partitionBy("table_id", "column_index")), fallback))
-    every = rows.where("row_index = head").groupBy(F.col("table_id").alias("ht")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("column_index", "header"))), lambda x: x["header"]), " | ").alias("headers"))
-    body = rows.where("row_index > head OR deep = head")
-    cell = F.concat(F.col("header"), F.lit(": "), F.col("value"))
-    text = body.groupBy("table_id", "table_order", "row_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("column_index"), cell.alias("cell")))), lambda x: x["cell"]), " | ").alias("row_text"))
-    joined = text.join(every.hint("merge"), F.col("table_id") == F.col("ht"))
-    return joined.select("table_id", "row_index", F.concat(F.lit("Table "), F.col("table_order"), F.lit(", row "), F.col("row_index") + 1, F.lit(". Headers: "), F.col("headers"), F.lit(". "), F.col("row_text")).alias("text"))
+    header = F.coalesce(F.max(top).over(Window.partitionBy("table_id", "column_index")), F.concat(F.lit("Column "), F.col("column_index") + 1))
+    found = rows.withColumn("header", header).groupBy("table_id", "table_order", "row_index").agg(F.first("head").alias("head"), F.first("deep").alias("deep"), F.sort_array(F.collect_list(F.struct("column_index", "header", "value"))).alias("_cells"))
+    own = F.transform("_cells", lambda x: F.struct(x["column_index"], x["header"]))
+    every = F.sort_array(F.flatten(F.collect_list(F.when(F.col("row_index") == F.col("head"), own)).over(table)))
+    body = found.withColumn("_head", every).where("row_index > head OR deep = head")
+    headers = F.array_join(F.transform("_head", lambda x: x["header"]), " | ")
+    row_text = F.array_join(F.transform("_cells", lambda x: F.concat(x["header"], F.lit(": "), x["value"])), " | ")
+    return body.select("table_id", "row_index", F.concat(F.lit("Table "), F.col("table_order"), F.lit(", row "), F.col("row_index") + 1, F.lit(". Headers: "), headers, F.lit(". "), row_text).alias("text"))
 
 
 def page_chunks(pages: DataFrame, contents: DataFrame, rows: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
