@@ -8,9 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..streaming.tables import folder
 
@@ -86,49 +86,89 @@ def _bucket(word, buckets: int):
 
 
 def keep_postings(chunks: DataFrame, buckets: int = BUCKETS) -> str:
-    """The folder of an inverted index of ``chunks (chunk_id, chunk)``: for each word and chunk the word's places, in parts by word, sorted by word."""
+    """The folder of an inverted index of ``chunks (chunk_id, chunk)``: for each word the chunks that hold it and its places in each, in parts by word, sorted by word.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, at, ends, flat = [], [], [0], []
+    A task passes on one row for a word and many chunks: their ids, how often each has the word, and all places one after another.
+    """
 
-            def done(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), lists], names=["word", "chunk_id", "places"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held, total = None, {}, 0
+
+        def done() -> pa.RecordBatch:
+            sizes, ends = [len(ids) for ids, _, _ in held.values()], [len(own) for _, _, own in held.values()]
+            bounds = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            columns = [
+                pa.array(list(held), pa.string()), pa.ListArray.from_arrays(bounds(sizes), pa.array([x for ids, _, _ in held.values() for x in ids], kind)),
+                pa.ListArray.from_arrays(bounds(sizes), pa.array([x for _, n, _ in held.values() for x in n], pa.int32())), pa.ListArray.from_arrays(bounds(ends), pa.array([x for _, _, own in held.values() for x in own], pa.int32())),
+            ]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "chunk_ids", "counts", "places"])
 
-            for i, lowered in enumerate(batch.column(1)):
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for chunk, lowered in zip(*batch.columns, strict=True):
                 places: dict[str, list[int]] = {}
                 for n, word in enumerate(_words(lowered.as_py())):
                     places.setdefault(word, []).append(n)
+                name = chunk.as_py()
                 for word, own in places.items():
-                    words.append(word)
-                    at.append(i)
+                    ids, counts, flat = held.setdefault(word, ([], [], []))
+                    ids.append(name)
+                    counts.append(len(own))
                     flat += own
-                    ends.append(len(flat))
-                if len(flat) > HELD:
+                    total += len(own)
+                if total > HELD:
                     yield done()
-                    words, at, ends, flat = [], [], [0], []
+                    total = 0
+        if held:
             yield done()
 
     path = folder(chunks.sparkSession)
-    schema = StructType([StructField("word", StringType()), chunks.schema["chunk_id"], StructField("places", ArrayType(IntegerType()))])
+    schema = StructType([StructField("word", StringType()), StructField("chunk_ids", ArrayType(chunks.schema["chunk_id"].dataType)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType()))])
     rows = chunks.select("chunk_id", F.lower(F.coalesce("chunk", F.lit(""))).alias("lowered")).mapInArrow(run, schema)
-    rows.withColumn("bucket", _bucket("word", buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
+    rows.withColumn("bucket", _bucket("word", buckets)).repartition("bucket", F.pmod(F.xxhash64(F.get("chunk_ids", F.lit(0))), F.lit(8))).sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
     return path
 
 
-def kept_scores(queries: DataFrame, index: str, key: str = "bigint", buckets: int = BUCKETS) -> DataFrame:
-    """As :func:`.search.lexical_scores`, for ``queries (query_id, w)``, from an index that :func:`keep_postings` wrote: only the parts of the queries' words are read, and of these only their words."""
-    spark = queries.sparkSession
-    asked = queries.select("query_id", F.array_distinct("w").alias("w")).where(F.size("w") > 0)
-    terms = asked.select("query_id", F.size("w").alias("n_words"), F.explode("w").alias("t")).withColumn("b", _bucket("t", buckets))
+def kept_scores(queries: pa.Table, index: str, spark: SparkSession, key: DataType, buckets: int = BUCKETS) -> DataFrame:
+    """As :func:`scores`, for a block of ``queries (query_id, w)``, from an index that :func:`keep_postings` wrote: only the parts of the queries' words are read, and of these only their words.
+
+    A posting is moved once to its chunk, for all queries of the block.
+    """
+    names, wanted = queries.column("query_id").to_pylist(), [list(dict.fromkeys(w)) for w in queries.column("w").to_pylist()]
+    asking: dict[str, list[int]] = {}
+    for q, own in enumerate(wanted):
+        for word in own:
+            asking.setdefault(word, []).append(q)
+    sizes, kind, number = [len(w) for w in wanted], queries.schema.field("query_id").type, {word: i for i, word in enumerate(asking)}
+    asked = list(asking.values())
+    terms = spark.createDataFrame(list(number.items()), "t string, number int").withColumn("b", _bucket("t", buckets))  # words of the block
     parts = sorted(r["b"] for r in terms.select("b").distinct().collect())  # at most ``buckets``
-    rows = spark.read.schema(f"word string, chunk_id {key}, places array<int>, bucket int").parquet(index).where(F.col("bucket").isin(parts))
-    hits = rows.join(terms, (F.col("bucket") == F.col("b")) & (F.col("word") == F.col("t")))
-    held = hits.groupBy("query_id", "chunk_id", "n_words").agg(F.collect_list("places").alias("every")).where(F.size("every") == F.col("n_words"))  # a list for each word of the query
+    schema = StructType([StructField("word", StringType()), StructField("chunk_ids", ArrayType(key)), StructField("counts", ArrayType(IntegerType())), StructField("places", ArrayType(IntegerType())), StructField("bucket", IntegerType())])
+    rows = spark.read.schema(schema).parquet(index).where(F.col("bucket").isin(parts))
+    hits = rows.join(F.broadcast(terms), (F.col("bucket") == F.col("b")) & (F.col("word") == F.col("t"))).select("number", "chunk_ids", "counts", "places")
 
-    @F.pandas_udf("double")
-    def density(every):  # noqa: ANN001, ANN202
-        return every.map(lambda lists: cover_density([np.asarray(x).tolist() for x in lists]))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, counts, places = (row.column(k).flatten() for k in (1, 2, 3))
+                ends = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row.column(0)[0].as_py(), np.int32)), ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], names=["number", "chunk_id", "places"])
 
-    return held.select("query_id", "chunk_id", density("every").alias("lexical_score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, at, score = [], [], []
+            for i, every in enumerate(batch.column(1)):
+                places = {x["number"]: x["places"] for x in every.as_py()}
+                held = Counter(q for n in places for q in asked[n])
+                for q, n in held.items():
+                    if n == sizes[q]:
+                        found.append(names[q])
+                        at.append(i)
+                        score.append(cover_density([places[number[w]] for w in wanted[q]]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(0).take(pa.array(at, pa.int64())), pa.array(score, pa.float64())], names=["query_id", "chunk_id", "lexical_score"])
+
+    own = hits.mapInArrow(dealt, StructType([StructField("number", IntegerType()), StructField("chunk_id", key), StructField("places", ArrayType(IntegerType()))]))
+    held = own.groupBy("chunk_id").agg(F.collect_list(F.struct("number", "places")).alias("every"))  # a list for each word of the block
+    return held.mapInArrow(run, StructType([StructField("query_id", _type(kind)), StructField("chunk_id", key), StructField("lexical_score", DoubleType())]))

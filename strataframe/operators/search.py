@@ -89,9 +89,10 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, index: str | None = No
     if queries.where(F.length("query") > MAX_QUERY_CHARS).limit(1).count():
         raise ValueError(f"a query has at most {MAX_QUERY_CHARS} characters")
     wanted = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
-    if index is not None:
-        return kept_scores(wanted, index, chunks.schema["chunk_id"].dataType.simpleString())
     blocks = [block.toArrow() for block in _blocks(wanted, TASK_QUERIES)]  # each of at most so many
+    if index is not None:
+        key = chunks.schema["chunk_id"].dataType
+        return reduce(DataFrame.unionByName, [kept_scores(block, index, chunks.sparkSession, key) for block in blocks])
     return reduce(DataFrame.unionByName, [scores(block, chunks) for block in blocks])
 
 
