@@ -135,15 +135,16 @@ def merge_chunks(old: DataFrame, new: DataFrame, model: str, dimension: int, res
     A chunk is indexed if its text is unchanged and its vector is of ``model`` and ``dimension`` and finite, whatever its flag
     was. ``change`` is ADDED, CHANGED, KEPT, or FLAGGED where only the flag differs. With ``rest`` the missing ones stay as they are.
     """
-    o = old.select(*[F.col(c).alias(f"_{c}") for c in ("chunk_id", "chunk", "embedding", "embedding_model", "embedding_dimension", "is_indexed")])
-    joined = new.withColumn("_arrived", F.lit(True)).join(o, F.col("chunk_id") == F.col("_chunk_id"), "full" if rest else "left")
+    text_hash = F.sha2("chunk", 256)  # where texts themselves are not asked for, their hashes meet
+    o = old.select(*[F.col(c).alias(f"_{c}") for c in ("chunk_id", "chunk", "embedding", "embedding_model", "embedding_dimension", "is_indexed")], text_hash.alias("_hash"))
+    joined = new.withColumns({"_arrived": F.lit(True), "_new_hash": text_hash}).join(o, F.col("chunk_id") == F.col("_chunk_id"), "full" if rest else "left")
     arrived = F.col("_arrived").isNotNull()
-    same = F.col("_chunk_id").isNotNull() & F.col("chunk").eqNullSafe(F.col("_chunk"))
+    same = F.col("_chunk_id").isNotNull() & F.col("_new_hash").eqNullSafe(F.col("_hash"))
     fits = same & valid_vector(F.col("_embedding"), dimension) & F.col("_embedding_model").eqNullSafe(F.lit(model)) & F.col("_embedding_dimension").eqNullSafe(F.lit(dimension))
     state = F.when(~arrived, "KEPT").when(F.col("_chunk_id").isNull(), "ADDED").when(~same, "CHANGED").when(~fits.eqNullSafe(F.col("_is_indexed")), "FLAGGED").otherwise("KEPT")
     vector = {c: F.when(same | ~arrived, F.col(f"_{c}")) for c in ("embedding", "embedding_model", "embedding_dimension")}
     own = {c: F.when(arrived, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("chunk_id", "chunk")}
-    return joined.withColumns({**vector, "is_indexed": F.when(arrived, fits).otherwise(F.col("_is_indexed")), "change": state}).withColumns(own).drop("_arrived", *o.columns)
+    return joined.withColumns({**vector, "is_indexed": F.when(arrived, fits).otherwise(F.col("_is_indexed")), "change": state}).withColumns(own).drop("_arrived", "_new_hash", *o.columns)
 
 
 def removed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def needs_embedding(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, model: str, dimension: int) -> DataFrame:
     """``vectors (id, text_hash, vector)`` put on the chunks whose text still has that hash."""
     v = vectors.where(valid_vector(F.col("vector"), dimension))
-    joined = chunks.join(v, (F.col("chunk_id") == F.col("id")) & (F.sha2("chunk", 256) == F.col("text_hash")), "left")
+    joined = chunks.withColumn("_hash", F.sha2("chunk", 256)).join(v, (F.col("chunk_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left").drop("_hash")
     got = F.col("vector").isNotNull()
     return joined.withColumns({"embedding": F.coalesce("vector", "embedding"), "is_indexed": got | F.coalesce("is_indexed", F.lit(False)), "embedding_model": F.when(got, model).otherwise(F.col("embedding_model")), "embedding_dimension": F.when(got, dimension).otherwise(F.col("embedding_dimension"))}).drop("id", "text_hash", "vector")
 

@@ -298,7 +298,8 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
     again = d.where("chunk_id % 3 = 0").withColumn("chunk", F.when(F.col("chunk_id") % 2 == 0, F.lit("another text")).otherwise(F.col("chunk")))
-    vectors = d.join(table(spark, sf_dir, "embeddings"), F.col("chunk_id") == F.col("vec_id")).select(F.col("chunk_id").alias("id"), F.sha2("chunk", 256).alias("text_hash"), F.col("embedding").alias("vector"))
+    hashed = d.select(F.col("chunk_id").alias("id"), F.sha2("chunk", 256).alias("text_hash"))  # texts are not moved to meet their vectors
+    vectors = hashed.join(table(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id")).select("id", "text_hash", F.col("embedding").alias("vector"))
     for k, part in enumerate((d.where("chunk_id % 7 <> 0"), again)):
         part.write.mode("append").parquet(f"{at}/in")
         jobs.stream_index(spark.readStream.schema(d.schema).parquet(f"{at}/in"), f"{at}/index", f"{at}/state", "m1", 64, buckets=64).awaitTermination()
