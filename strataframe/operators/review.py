@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import case_fold, entity_key, name_key
 from ..functions.units import EXTRACTION_UNITS, normalize_units
+from ..streaming.tables import shared
 from .extract import YEAR
 
 # What candidates are, and the words that tell.
@@ -187,19 +188,30 @@ def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) ->
     are joined (:func:`_rare`), so names that share a common word do not meet by it. Keys are compared once however
     many candidates have them, and only those that no entity has: an equal key is the most similar one.
     """
+    keys = cands.where(F.col("key") != "").select(F.col("entity_type").alias("ct"), F.col("key").alias("ck")).distinct()
+    found = best_matches(keys, entities, least)
+    return cands.join(found, (F.col("entity_type") == F.col("ct")) & (F.col("key") == F.col("ck"))).select("id", "entity_id", "score")
+
+
+def best_matches(keys: DataFrame, entities: DataFrame, least: float = FUZZY) -> DataFrame:
+    """``(ct, ck, entity_id, score, equal)``: of different ``keys (ct, ck)`` those with a match, and it, as in :func:`fuzzy_match`.
+
+    Both sides are kept with ``checkpoint()``, one row for each different name: they are used four times, and what they are
+    made from is read once.
+    """
     if least < FUZZY:
         raise ValueError(f"runs of three letters find all pairs from {FUZZY} on")
     ratio = _ratio(least)
 
-    keys = cands.where(F.col("key") != "").select(F.col("entity_type").alias("ct"), F.col("key").alias("ck")).distinct()
-    known = entities.where(F.col("entity_key") != "").groupBy(F.col("entity_type").alias("et"), F.col("entity_key").alias("ek")).agg(F.min("entity_id").alias("entity_id"))
+    shared(keys.sparkSession)
+    keys = keys.checkpoint()
+    known = entities.where(F.col("entity_key") != "").groupBy(F.col("entity_type").alias("et"), F.col("entity_key").alias("ek")).agg(F.min("entity_id").alias("entity_id")).checkpoint()
     same = (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek"))
-    equal = keys.join(known, same).select("ct", "ck", "entity_id", F.lit(1.0).alias("score"))
+    equal = keys.join(known, same).select("ct", "ck", "entity_id", F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
     pairs = candidate_pairs(keys.join(known, same, "left_anti"), known, least)
     scored = pairs.withColumn("score", ratio("ck", "ek")).where(F.col("score") >= least)
-    best = scored.groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"))
-    found = equal.unionByName(best)
-    return cands.join(found, (F.col("entity_type") == F.col("ct")) & (F.col("key") == F.col("ck"))).select("id", "entity_id", "score")
+    best = scored.groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"), F.lit(False).alias("equal"))
+    return equal.unionByName(best)
 
 
 def conflict_keys(cands: DataFrame) -> DataFrame:
@@ -216,24 +228,22 @@ def extraction_conflicts(cands: DataFrame) -> DataFrame:
 def propose_mapping(cands: DataFrame, entities: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
     """``mapping_status`` and ``entity_id`` of classified candidates ``(id, classification, raw_value, normalized_value)``.
 
-    Exact keys first; the rest of the entity candidates goes through the similarity search. A candidate in an open conflict
-    ``(id)`` is CONFLICT whatever it matches.
+    Each different key is matched once, exactly or else by similarity, however many candidates have it, and only the matches
+    join the candidates. A candidate in an open conflict ``(id)`` is CONFLICT whatever it matches.
     """
     rows = cands.withColumn("_key", entity_key(F.coalesce(F.nullif("normalized_value", F.lit("")), "raw_value", F.lit(""))))
     named = F.col("classification").isin(*ENTITIES)
-    exact = entities.groupBy(F.col("entity_type").alias("_et"), F.col("entity_key").alias("_ek")).agg(F.min("entity_id").alias("_exact"))
-    joined = rows.join(exact, named & (F.col("classification") == F.col("_et")) & (F.col("_key") == F.col("_ek")) & (F.col("_key") != ""), "left")
-    rest = joined.where(named & F.col("_exact").isNull() & (F.col("_key") != "")).select("id", F.col("classification").alias("entity_type"), F.col("_key").alias("key"))
-    fuzzy = fuzzy_match(rest, entities).select(F.col("id").alias("_f"), F.col("entity_id").alias("_possible"))
-    joined = joined.join(fuzzy, F.col("id") == F.col("_f"), "left")
+    keys = rows.where(named & (F.col("_key") != "")).select(F.col("classification").alias("ct"), F.col("_key").alias("ck")).distinct()
+    found = best_matches(keys, entities).select(F.col("ct").alias("_et"), F.col("ck").alias("_ek"), F.col("entity_id").alias("_found"), F.col("equal").alias("_equal"))
+    joined = rows.join(found, named & (F.col("classification") == F.col("_et")) & (F.col("_key") == F.col("_ek")), "left")
     status = (
         F.when(F.col("classification") == "UNKNOWN", "UNRESOLVED").when(F.col("classification") == "MEASUREMENT", "NOT_REQUIRED").when(~named, "NEW")
-        .when(F.col("_key") == "", "UNRESOLVED").when(F.col("_exact").isNotNull(), "MATCHED").when(F.col("_possible").isNotNull(), "POSSIBLE_MATCH").otherwise("NEW")
+        .when(F.col("_key") == "", "UNRESOLVED").when(F.col("_found").isNull(), "NEW").when(F.col("_equal"), "MATCHED").otherwise("POSSIBLE_MATCH")
     )
     if conflicts is not None:
         joined = joined.join(conflicts.select(F.col("id").alias("_c")).distinct(), F.col("id") == F.col("_c"), "left")
         status = F.when(F.col("_c").isNotNull(), "CONFLICT").otherwise(status)
-    return joined.withColumns({"mapping_status": status, "entity_id": F.coalesce("_exact", "_possible")}).drop("_key", "_et", "_ek", "_exact", "_f", "_possible", "_c")
+    return joined.withColumns({"mapping_status": status, "entity_id": F.col("_found")}).drop("_key", "_et", "_ek", "_found", "_equal", "_c")
 
 
 def resolve_identity(cands: DataFrame, entities: DataFrame) -> DataFrame:

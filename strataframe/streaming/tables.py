@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared checkpoint folder; a local one only where a session on one machine names none."""
+def shared(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a local one only where a session on one machine names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataframe-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the session's shared checkpoint folder."""
+    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
