@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from .extract import YEAR
 TYPES = {"mine": "MINE", "project": "PROJECT", "coal_block": "COAL_BLOCK", "borehole": "BOREHOLE", "seam": "SEAM", "geological_formation": "GEOLOGICAL_FORMATION", "exploration_location": "EXPLORATION_LOCATION", "mineral_resource": "RESOURCE", "production_record": "PRODUCTION", "coordinate": "COORDINATE"}
 ENTITIES = ("MINE", "PROJECT", "COAL_BLOCK", "BOREHOLE", "SEAM", "GEOLOGICAL_FORMATION", "EXPLORATION_LOCATION", "RESOURCE")
 FUZZY = 0.88
+WAYS = 1000  # most texts that are left of a short name when letters are cut
 DEPTH_WORDS = r"(?i)depth|thickness|elevation|grade|quality|ash|moisture|sulphur|sulfur"
 SHARE_WORDS = r"(?i)share|growth|percent(?:age)?|increase|decrease|change|variation|rate"
 
@@ -178,15 +180,103 @@ def candidate_pairs(keys: DataFrame, known: DataFrame, least: float = FUZZY) ->
     return c.join(e, (F.col("ct") == F.col("et")) & (F.col("g") == F.col("h")) & band & near).select("ct", "ck", "ek", "entity_id").distinct()
 
 
+def _ways(n: Column, k: Column) -> Column:
+    """Number of choices of ``k`` letters among ``n``."""
+    return F.aggregate(F.sequence(F.lit(0), k), F.lit(1.0), lambda acc, i: F.when(i == 0, acc).otherwise(acc * (n - i + 1) / i))
+
+
+def _without(key: Column, n: Column) -> Column:
+    """All texts that are left of ``key`` without ``n`` of its letters, as ``(text, at)``."""
+
+    def cut(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.length(x["text"])), lambda i: i >= x["at"])  # of several letters the first is cut first
+        return F.transform(places, lambda i: F.struct(F.concat(F.substring(x["text"], F.lit(1), i - 1), F.substring(x["text"], i + 1, F.length(x["text"]))).alias("text"), i.alias("at")))
+
+    whole = F.array(F.struct(key.alias("text"), F.lit(1).alias("at")))
+    return F.when(n == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), n), whole, lambda acc, _: F.flatten(F.transform(acc, cut))))
+
+
+def _lengths(keys: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """``(t, a, b, m, short)``: lengths of keys and of known names that occur in a type and allow the ratio, and with how many letters in common.
+
+    They are ``short`` if neither side leaves more than ``WAYS`` texts when it is cut to ``m`` letters.
+    """
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    own = keys.select(F.col("ct").alias("t"), F.length("ck").alias("a")).distinct()
+    other = known.select(F.col("et").alias("_t"), F.length("ek").alias("b")).distinct()
+    both = own.join(other, F.col("t") == F.col("_t")).drop("_t").withColumn("m", F.ceil((a + b) * F.lit(least / 2) - F.lit(1e-9)).cast("int")).where(m <= F.least(a, b))
+    return both.withColumn("short", (_ways(a, a - m) <= WAYS) & (_ways(b, b - m) <= WAYS))
+
+
+def _cut(rows: DataFrame, type_: str, key: str, lengths: DataFrame, length: str) -> DataFrame:
+    """``rows`` once for each text ``left`` of their key when it is cut to the numbers of letters ``k`` of its length in ``lengths (t, <length>, k)``."""
+    wanted = lengths.groupBy(F.col("t").alias("_t"), F.col(length).alias("_l")).agg(F.collect_set("k").alias("_k"))  # a row for each length of a type
+    cut = rows.join(F.broadcast(wanted), (F.col(type_) == F.col("_t")) & (F.length(key) == F.col("_l"))).select(*rows.columns, F.explode("_k").alias("_k"))
+    return cut.select(*rows.columns, F.explode(_without(F.col(key), F.length(key) - F.col("_k"))["text"]).alias("left"))
+
+
+def _bound() -> Column:
+    """The ratio of two names if what is left of both is all they have in common."""
+    return 2.0 * F.length("left") / (F.length("ck") + F.length("ek"))
+
+
+def _most_alike(keys: DataFrame, known: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(ct, ck, m (bound, neg, ek))``: of each key the name with which most letters are left, by the smallest id, without a row for each pair.
+
+    Of the names that leave one text only the first of each length is joined.
+    """
+    first = _cut(known, "et", "ek", lengths, "b").groupBy("et", "left", F.length("ek")).agg(F.min(F.struct("entity_id", "ek")).alias("e")).select("et", F.col("left").alias("_left"), "e.entity_id", "e.ek")
+    met = _cut(keys, "ct", "ck", lengths, "a").join(first, (F.col("ct") == F.col("et")) & (F.col("left") == F.col("_left")))
+    return met.groupBy("ct", "ck").agg(F.max(F.struct(_bound().alias("bound"), (-F.col("entity_id")).alias("neg"), F.col("ek"))).alias("m"))
+
+
+def _best_of_short(keys: DataFrame, known: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
+    """``(ct, ck, entity_id, score)``: of each key's pairs of short lengths the best, at ``least`` or above.
+
+    Two names have ``k`` letters in common, in order, if they are one text when both are cut to ``k``, so what is left of them
+    bounds their ratio. One cut letter of a key is tried first, and more only where the names found could be surpassed. The
+    ratio is taken of the pair with the highest bound alone: if it reaches the bound, none is better. Otherwise, as blocks need
+    not match all letters in common, all pairs of the key are compared whose bound is not below the ratio found.
+    """
+    ratio = _ratio(least)
+    levels = lengths.select("t", "a", "b", F.explode(F.sequence("m", F.least("a", "b"))).alias("k"))
+    few, more = levels.where("a - k <= 1"), levels.where("a - k > 1")
+    top = _most_alike(keys, known, few)
+    if not more.isEmpty():
+        top = top.checkpoint()
+        best_left = more.groupBy(F.col("t").alias("_t"), F.col("a").alias("_a")).agg(F.max(2.0 * F.col("k") / (F.col("a") + F.col("b"))).alias("_most"))
+        found = top.select(F.col("ct").alias("_ct"), F.col("ck").alias("_ck"), F.col("m.bound").alias("_bound"))
+        open_ = keys.join(F.broadcast(best_left), (F.col("ct") == F.col("_t")) & (F.length("ck") == F.col("_a"))).join(found, (F.col("ct") == F.col("_ct")) & (F.col("ck") == F.col("_ck")), "left").where("_bound IS NULL OR _bound <= _most").select("ct", "ck")
+        top = top.unionByName(_most_alike(open_, known, more)).groupBy("ct", "ck").agg(F.max("m").alias("m"))
+    top = top.select("ct", "ck", F.col("m.bound").alias("bound"), (-F.col("m.neg")).alias("entity_id"), ratio("ck", "m.ek").alias("score")).checkpoint()
+    sure = top.where("score = bound").select("ct", "ck", "entity_id", "score")
+    rest = top.where("score <> bound").select("ct", "ck", F.greatest("score", F.lit(least)).alias("floor"))
+    if rest.isEmpty():
+        return sure
+    every = _cut(known, "et", "ek", levels, "b").withColumnRenamed("left", "_left")
+    pairs = _cut(rest, "ct", "ck", levels, "a").join(every, (F.col("ct") == F.col("et")) & (F.col("left") == F.col("_left"))).where(_bound() >= F.col("floor")).select("ct", "ck", "ek", "entity_id").distinct()
+    return sure.unionByName(pairs.select("ct", "ck", "entity_id", ratio("ck", "ek").alias("score")))
+
+
+def _of_long(keys: DataFrame, known: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
+    """``(ct, ck, entity_id, score)``: pairs of lengths that are not short, by runs of letters."""
+    k, e = lengths.select(F.col("t").alias("_t"), F.col("a").alias("_a"), F.col("b").alias("_b")), F.length("ek")
+    own = keys.join(F.broadcast(k), (F.col("ct") == F.col("_t")) & (F.length("ck") == F.col("_a")), "left_semi")
+    other = known.join(F.broadcast(k), (F.col("et") == F.col("_t")) & (e == F.col("_b")), "left_semi")
+    pairs = candidate_pairs(own, other, least).join(F.broadcast(k), (F.col("ct") == F.col("_t")) & (F.length("ck") == F.col("_a")) & (e == F.col("_b")), "left_semi")
+    return pairs.select("ct", "ck", "entity_id", _ratio(least)("ck", "ek").alias("score"))
+
+
 def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) -> DataFrame:
     """``(id, entity_id, score)``: the most similar entity of the type, at ``least`` or above; ties to the smallest id.
 
-    ``cands (id, entity_type, key)``, ``entities (entity_id, entity_type, entity_key)``. Pairs meet in a hash join on type and
+    ``cands (id, entity_type, key)``, ``entities (entity_id, entity_type, entity_key)``. Keys are compared once however many
+    candidates have them, and only those that no entity has: an equal key is the most similar one. Short keys meet by what is
+    left of them when some letters are cut (:func:`_best_of_short`). Long ones meet in a hash join on type and
     a shared run of letters, within the band of lengths that ``least`` leaves. That loses nothing at 0.88 or above: ``u``
     unmatched letters cut the ``M`` matched ones into ``u + 1`` runs at most, and the ratio makes ``M`` so large that one of
     them has three letters; only where both keys have five letters at most it may have two. Of a key's runs only the rarest
-    are joined (:func:`_rare`), so names that share a common word do not meet by it. Keys are compared once however
-    many candidates have them, and only those that no entity has: an equal key is the most similar one.
+    are joined (:func:`_rare`), so names that share a common word do not meet by it.
     """
     keys = cands.where(F.col("key") != "").select(F.col("entity_type").alias("ct"), F.col("key").alias("ck")).distinct()
     found = best_matches(keys, entities, least)
@@ -196,22 +286,22 @@ def fuzzy_match(cands: DataFrame, entities: DataFrame, least: float = FUZZY) ->
 def best_matches(keys: DataFrame, entities: DataFrame, least: float = FUZZY) -> DataFrame:
     """``(ct, ck, entity_id, score, equal)``: of different ``keys (ct, ck)`` those with a match, and it, as in :func:`fuzzy_match`.
 
-    Both sides are kept with ``checkpoint()``, one row for each different name: they are used four times, and what they are
-    made from is read once.
+    Known names and keys are kept with ``checkpoint()``, one row for each different name: they are used several times, and what
+    they are made from is read once.
     """
     if least < FUZZY:
         raise ValueError(f"runs of three letters find all pairs from {FUZZY} on")
-    ratio = _ratio(least)
-
     shared(keys.sparkSession)
-    keys = keys.checkpoint()
     known = entities.where(F.col("entity_key") != "").groupBy(F.col("entity_type").alias("et"), F.col("entity_key").alias("ek")).agg(F.min("entity_id").alias("entity_id")).checkpoint()
-    same = (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek"))
-    equal = keys.join(known, same).select("ct", "ck", "entity_id", F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
-    pairs = candidate_pairs(keys.join(known, same, "left_anti"), known, least)
-    scored = pairs.withColumn("score", ratio("ck", "ek")).where(F.col("score") >= least)
-    best = scored.groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m")).select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"), F.lit(False).alias("equal"))
-    return equal.unionByName(best)
+    named = keys.join(known.withColumn("equal", F.lit(True)), (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek")), "left").select("ct", "ck", "entity_id", "equal").checkpoint()
+    equal, unlike = named.where("equal").select("ct", "ck", "entity_id", F.lit(1.0).alias("score"), "equal"), named.where("equal IS NULL").select("ct", "ck")
+    lengths = _lengths(unlike, known, least).checkpoint()
+    short, long = lengths.where("short"), lengths.where("NOT short")
+    scored = [f(unlike, known, part, least) for f, part in ((_best_of_short, short), (_of_long, long)) if not part.isEmpty()]
+    if not scored:
+        return equal
+    best = reduce(DataFrame.unionByName, scored).where(F.col("score") >= least).groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m"))
+    return equal.unionByName(best.select("ct", "ck", (-F.col("m.neg")).alias("entity_id"), F.col("m.score").alias("score"), F.lit(False).alias("equal")))
 
 
 def conflict_keys(cands: DataFrame) -> DataFrame:
