@@ -230,11 +230,11 @@ def _most_alike(keys: DataFrame, known: DataFrame, lengths: DataFrame) -> DataFr
     return met.groupBy("ct", "ck").agg(F.max(F.struct(_bound().alias("bound"), (-F.col("entity_id")).alias("neg"), F.col("ek"))).alias("m"))
 
 
-def _best_of_short(keys: DataFrame, known: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
+def _best_of_short(keys: DataFrame, known: DataFrame, lengths: DataFrame, least: float, further: bool) -> DataFrame:
     """``(ct, ck, entity_id, score)``: of each key's pairs of short lengths the best, at ``least`` or above.
 
     Two names have ``k`` letters in common, in order, if they are one text when both are cut to ``k``, so what is left of them
-    bounds their ratio. One cut letter of a key is tried first, and more only where the names found could be surpassed. The
+    bounds their ratio. One cut letter of a key is tried first, and where lengths allow ``further`` ones, they are if the names found could be surpassed. The
     ratio is taken of the pair with the highest bound alone: if it reaches the bound, none is better. Otherwise, as blocks need
     not match all letters in common, all pairs of the key are compared whose bound is not below the ratio found.
     """
@@ -242,7 +242,7 @@ def _best_of_short(keys: DataFrame, known: DataFrame, lengths: DataFrame, least:
     levels = lengths.select("t", "a", "b", F.explode(F.sequence("m", F.least("a", "b"))).alias("k"))
     few, more = levels.where("a - k <= 1"), levels.where("a - k > 1")
     top = _most_alike(keys, known, few)
-    if not more.isEmpty():
+    if further:
         top = top.checkpoint()
         best_left = more.groupBy(F.col("t").alias("_t"), F.col("a").alias("_a")).agg(F.max(2.0 * F.col("k") / (F.col("a") + F.col("b"))).alias("_most"))
         found = top.select(F.col("ct").alias("_ct"), F.col("ck").alias("_ck"), F.col("m.bound").alias("_bound"))
@@ -296,8 +296,9 @@ def best_matches(keys: DataFrame, entities: DataFrame, least: float = FUZZY) ->
     named = keys.join(known.withColumn("equal", F.lit(True)), (F.col("ct") == F.col("et")) & (F.col("ck") == F.col("ek")), "left").select("ct", "ck", "entity_id", "equal").checkpoint()
     equal, unlike = named.where("equal").select("ct", "ck", "entity_id", F.lit(1.0).alias("score"), "equal"), named.where("equal IS NULL").select("ct", "ck")
     lengths = _lengths(unlike, known, least).checkpoint()
-    short, long = lengths.where("short"), lengths.where("NOT short")
-    scored = [f(unlike, known, part, least) for f, part in ((_best_of_short, short), (_of_long, long)) if not part.isEmpty()]
+    short, further, long = lengths.agg(F.max("short"), F.max(F.col("short") & (F.col("a") - F.col("m") > 1)), F.max(~F.col("short"))).first()  # what there is, null if nothing
+    scored = [_best_of_short(unlike, known, lengths.where("short"), least, further)] if short else []
+    scored += [_of_long(unlike, known, lengths.where("NOT short"), least)] if long else []
     if not scored:
         return equal
     best = reduce(DataFrame.unionByName, scored).where(F.col("score") >= least).groupBy("ct", "ck").agg(F.max(F.struct(F.col("score"), (-F.col("entity_id")).alias("neg"))).alias("m"))
