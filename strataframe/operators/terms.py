@@ -63,7 +63,7 @@ def _looked_for(wanted: Collection[str]) -> Callable[[str], set[str]]:
     """What finds those of the terms ``wanted`` that :func:`listed` would find in a text."""
     fine = _Known()
     parts = [t.split(" ") for t in wanted]
-    parts = [p for p in parts if all(re.fullmatch(TOKEN, t) and fine[t] for t in p)]
+    parts = [p for p in parts if all(_tokens(t) == [t] and fine[t] for t in p)]
     tokens, pairs = {p[0] for p in parts if len(p) == 1}, {(p[0], p[1]) for p in parts if len(p) == 2 and p[0] != p[1]}
     firsts = {a for a, _ in pairs}
 
